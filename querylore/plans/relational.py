@@ -221,16 +221,12 @@ def _(t):
 
 
 @plan("j07_self_join_inequality", """
-SELECT p1.product AS main_product, p2.product AS related_product FROM db_product p1
-JOIN db_product p2 ON p1.category = p2.category AND p1.product <> p2.product AND p1.brand = p2.brand AND p1.description = p2.description""")
+SELECT p1.product, p1.category, count(p2.product) AS related FROM db_product p1
+LEFT JOIN db_product p2 ON p1.category = p2.category AND p1.product <> p2.product GROUP BY p1.product, p1.category""")
 def _(t):
-    # the equality keys make the groups small before the inequality is applied
-    one = t.db_product.select("category", "brand", "description", F.col("product").alias("main_product"))
-    two = t.db_product.select("category", "brand", "description", F.col("product").alias("related_product"))
-    return (
-        one.join(two, ["category", "brand", "description"]).filter(F.col("main_product") != F.col("related_product"))
-        .select("main_product", "related_product")
-    )
+    # the number of partners under an inequality is the group size less one: no pair is ever made
+    sizes = L.count_by(t.db_product, "category")
+    return t.db_product.select("product", "category").join(sizes, "category").select("product", "category", (F.col("n") - 1).alias("related"))
 
 
 @plan("j08_join_of_aggregates", """
