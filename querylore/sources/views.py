@@ -178,7 +178,7 @@ FROM labels l JOIN events e ON e.event_id = l.doc_id
 """,
     # one chunk per document; vectors are dealt round and round, so every document and every vector takes part
     "kb_chunk": """
-SELECT d.chunk_id, d.source, d.content, e.embedding,
+SELECT d.chunk_id, d.source, d.content, e.embedding, e.label,
   CASE e.label % 3 WHEN 0 THEN 'database' WHEN 1 THEN 'support' ELSE 'documentation' END AS kb_type
 FROM (SELECT doc_id AS chunk_id, 's3://kb/' || source || '/' || CAST(doc_id AS STRING) || '.md' AS source,
         text AS content, doc_id % (SELECT count(*) FROM embeddings) AS vec_id FROM documents) d
@@ -186,7 +186,7 @@ JOIN embeddings e ON e.vec_id = d.vec_id
 """,
     # every vector is a question; a variant whose vector would lie past the last one is missing
     "query_variant": """
-SELECT v.query_id, v.strategy, v.strategy_no, v.variant_no, e.embedding,
+SELECT v.query_id, v.strategy, v.strategy_no, v.variant_no, e.embedding, v.label,
   CASE v.label % 3 WHEN 0 THEN 'database' WHEN 1 THEN 'support' ELSE 'documentation' END AS kb_type
 FROM (SELECT q.vec_id AS query_id, q.label, s.strategy, s.strategy_no, s.variant_no, q.vec_id + s.shift AS vec_id
       FROM embeddings q {rows:variant_shifts:s}) v
