@@ -175,6 +175,26 @@ SELECT l.doc_id AS id, l.doc_id AS message_id, l.doc_id % 20 AS user_id, l.doc_i
   CASE (l.doc_id + l.quality) % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'reviewed' WHEN 2 THEN 'applied' ELSE 'rejected' END AS processing_status,
   e.ts AS created_at
 FROM labels l JOIN events e ON e.event_id = l.doc_id
+""",
+    "kb_improvement_log": """
+SELECT id, kb_id, company_id, 'content_update' AS improvement_type,
+  CASE processing_status WHEN 'applied' THEN 'completed' WHEN 'reviewed' THEN 'in_progress' ELSE 'planned' END AS status,
+  CASE WHEN processing_status = 'applied' THEN created_at END AS completed_at, created_at,
+  CASE WHEN rating >= 3 THEN '{"rating":' || CAST(rating AS STRING) || '}' END AS success_metrics
+FROM query_feedback WHERE feedback_type = 'correction'
+""",
+    "training_data": """
+SELECT id, kb_id, company_id, lower(original_query) AS query_pattern, id % 9 AS times_used,
+  CASE WHEN id % 9 > 0 THEN created_at END AS last_used_at
+FROM query_feedback WHERE feedback_type = 'correction' AND corrected_response IS NOT NULL
+""",
+    # users who ask and the companies and users already on file
+    "user_context": """
+SELECT event_id, ts, 'u' || CAST(user_id AS STRING) AS login_id, 'C' || CAST(user_id AS STRING) AS company_code, user_id % 5 AS application_id FROM events
+""",
+    "company": "SELECT c_custkey AS id, 'C' || CAST(c_custkey AS STRING) AS company_code FROM customer WHERE c_acctbal >= 0",
+    "app_user": """
+SELECT c_custkey AS id, 'u' || CAST(c_custkey AS STRING) AS login_id, c_custkey AS company_id FROM customer WHERE c_acctbal >= 5000
 """,
     # one chunk per document; vectors are dealt round and round, so every document and every vector takes part
     "kb_chunk": """
