@@ -1 +1,134 @@
-"""Plans."""
+"""Sources and sinks: tables written by Spark into the shared scratch folder and read back."""
+
+from pyspark.sql import functions as F
+
+from querylore.functions.text import content_type, object_key
+from querylore.operators import catalog as C
+from querylore.operators import feedback as V
+from querylore.operators import pages as P
+from querylore.operators import querylog as Q
+from querylore.plans.catalog import BASE, DOC_SQL, JOIN_LISTS, LISTS, _documents
+from querylore.plans.query_log import ANALYZED, EXTRACTED, UNIQUE, analyzed, unique
+from querylore.plans.query_pages import page_queries
+from querylore.plans.registry import plan
+from querylore.session import scratch_dir
+from querylore.sources import query_files as S
+from querylore.sources import stores as K
+
+
+@plan("s02_query_json", f"WITH {UNIQUE} SELECT hash AS name, md5(sql) AS query FROM uq WHERE main_table IS NOT NULL")
+def _(t):
+    # statements without a FROM get no name, so their items lack a key
+    items = unique(t).select(F.when(F.col("main_table").isNotNull(), F.col("hash")).alias("name"), F.col("sql").alias("query"))
+    path = K.write_json(items, scratch_dir(t.spark, "queries-json"))
+    return S.read_query_json(t.spark, path, lines=True).withColumn("query", F.md5("query"))
+
+
+@plan("s03_query_csv", f"WITH {UNIQUE} SELECT hash AS name, md5(replace(sql, ' FROM ', chr(10) || 'FROM \"quoted\" ')) AS query FROM uq")
+def _(t):
+    path = scratch_dir(t.spark, "queries-csv")
+    broken_lines = F.replace("sql", F.lit(" FROM "), F.lit('\nFROM "quoted" '))
+    unique(t).select(F.col("hash").alias("name"), broken_lines.alias("query")).write.csv(path, header=True, quoteAll=True, escape='"')
+    return S.read_query_csv(t.spark, path).withColumn("query", F.md5("query"))
+
+
+def _query_pages(t):
+    """One file per distinct content of the log."""
+    files = t.query_log.groupBy("content").agg(F.min("fname").alias("path"))
+    return K.write_pages(files, scratch_dir(t.spark, "query-files"))
+
+
+@plan("s04_query_text_files", "SELECT md5(content) AS content, count(DISTINCT content) AS files FROM query_log GROUP BY 1")
+def _(t):
+    files = S.read_query_text(t.spark, _query_pages(t)).select(F.md5(F.regexp_replace("query", r"\n\z", "")).alias("content"))
+    return files.groupBy("content").agg(F.count("*").alias("files"))
+
+
+@plan("s05_query_lines", r"""SELECT md5(line) AS line, count(*) AS n FROM (SELECT regexp_replace(unnest(string_split(text, chr(10))), '^\s+|\s+$', '', 'g') AS line FROM documents) WHERE line <> '' GROUP BY 1""")
+def _(t):
+    path = scratch_dir(t.spark, "lines")
+    t.documents.select("text").write.text(path)
+    return S.read_query_lines(t.spark, path).groupBy(F.md5("query").alias("line")).agg(F.count("*").alias("n"))
+
+
+@plan("s06_markdown_folder", f"WITH {EXTRACTED} SELECT hash, count(DISTINCT sql0) AS files FROM (SELECT e.hash, q.content AS sql0 FROM ex e JOIN query_log q ON e.query_id = q.query_id) GROUP BY 1")
+def _(t):
+    files = S.read_markdown_folder(t.spark, _query_pages(t), "*.txt").withColumn("query_id", F.lit(0))
+    return Q.extract_sql(files).groupBy("hash").agg(F.count("*").alias("files"))
+
+
+@plan("s07_prefixes", "SELECT chunk_id, source FROM kb_chunk WHERE starts_with(source, 's3://kb/src1') OR starts_with(source, 's3://kb/src7/')")
+def _(t):
+    return t.kb_chunk.filter(S.under_prefixes(F.col("source"), ["s3://kb/src1", "s3://kb/src7/"])).select("chunk_id", "source")
+
+
+def _stored_documents(t):
+    documents = _documents(t)
+    path = K.write_json(documents, scratch_dir(t.spark, "schema"))
+    return K.read_json(t.spark, path, documents.schema)
+
+
+@plan("s08_schema_read_back", f"WITH {DOC_SQL[len('WITH '):]} SELECT tenant, table_name, md5(content) AS content FROM docs")
+def _(t):
+    return C.table_documents(_stored_documents(t)).withColumn("content", F.md5("content"))
+
+
+@plan("s09_chat_tables_by_sql", "SELECT s.company_id, s.kb_id, count(*) AS messages, count(DISTINCT s.id) AS sessions FROM chat_session s JOIN chat_message m ON s.id = m.session_id GROUP BY 1, 2")
+def _(t):
+    return t.sql("SELECT s.company_id, s.kb_id, count(*) AS messages, count(DISTINCT s.id) AS sessions FROM chat_session s JOIN chat_message m ON s.id = m.session_id GROUP BY s.company_id, s.kb_id")
+
+
+@plan("k01_schema_json", rf"""WITH {BASE}, {LISTS}
+SELECT b.tenant, b.table_name, replace(b.description, '|', '\|') AS description, coalesce(l_cols.n, 0) AS column_count,
+  coalesce(replace(pks.primary_key, ',', ', '), 'None') AS primary_key, coalesce(l_fk.n, 0) AS foreign_key_count FROM base b {JOIN_LISTS}""")
+def _(t):
+    return C.tables_summary(_stored_documents(t))
+
+
+@plan("k02_analysis_json", f"WITH {ANALYZED} SELECT query_id, query_type, array_to_string(tables, ',') AS tables, len(joins) AS joins, complexity FROM an")
+def _(t):
+    results = analyzed(t)
+    path = K.write_json(results, K.analysis_path(scratch_dir(t.spark, "analysis") + ".json"))
+    stored = K.read_json(t.spark, path, results.schema)
+    return stored.select("query_id", "query_type", F.array_join("tables", ",").alias("tables"), F.size("joins").cast("bigint").alias("joins"), "complexity")
+
+
+@plan("k03_markdown_pages", f"WITH {DOC_SQL[len('WITH '):]} SELECT DISTINCT 'tables/' || table_name || '.md' AS path, md5(content) AS content FROM docs")
+def _(t):
+    documents = C.table_documents(_documents(t)).select(F.concat(F.lit("tables/"), "table_name", F.lit(".md")).alias("path"), "content")
+    # tenants share their table documents: each text is written once
+    folder = K.write_pages(documents.groupBy("path").agg(F.max("content").alias("content")), scratch_dir(t.spark, "pages"))
+    pages = K.read_pages(t.spark, folder)
+    return pages.select("path", F.md5("content").alias("content"))
+
+
+@plan("k03_category_pages")
+def _(t):
+    folder = K.write_pages(P.category_pages(page_queries(t)), scratch_dir(t.spark, "category-pages"))
+    return K.read_pages(t.spark, folder)
+
+
+_PATH = """'/data/docs/' || source || CASE WHEN doc_id % 2 = 0 THEN '/' ELSE chr(92) END || CAST(doc_id AS STRING) ||
+  CASE doc_id % 5 WHEN 0 THEN '.md' WHEN 1 THEN '.TXT' WHEN 2 THEN '.json' WHEN 3 THEN '.xyz' ELSE '' END"""
+
+
+@plan("k04_object_keys", f"""WITH p AS (SELECT doc_id, {_PATH} AS path FROM documents)
+SELECT doc_id, 'kb/' || replace(substring(path, 12), chr(92), '/') AS key, CASE doc_id % 5 WHEN 0 THEN 'text/markdown' WHEN 1 THEN 'text/plain' WHEN 2 THEN 'application/json' END AS content_type FROM p""")
+def _(t):
+    files = t.documents.select("doc_id", F.expr(_PATH).alias("path"))
+    return files.select("doc_id", object_key(F.col("path"), "/data/docs", "kb").alias("key"), content_type(F.replace("path", F.lit("\\"), F.lit("/"))).alias("content_type"))
+
+
+@plan("k05_append_and_update", """WITH n AS (SELECT question_id FROM question_log),
+u AS (SELECT id, CASE WHEN processing_status = 'pending' AND feedback_type = 'correction' AND corrected_response IS NOT NULL THEN 'reviewed' ELSE processing_status END AS status FROM query_feedback)
+SELECT 'feedback ' || status AS kind, count(*) AS n FROM u GROUP BY 1 UNION ALL SELECT 'messages', (SELECT count(*) FROM chat_message) + (SELECT count(*) FROM n)""")
+def _(t):
+    columns = ["session_id", "content", "created_at"]
+    path = K.append_rows(t.chat_message.select(*columns), scratch_dir(t.spark, "messages"))
+    K.append_rows(t.question_log.select("session_id", F.col("query_text").alias("content"), F.col("ts").alias("created_at")), path)
+    feedback = t.query_feedback.select("id", "feedback_type", "corrected_response", "processing_status")
+    taken = V.training_rows(t.query_feedback).select(F.col("feedback_id").alias("id"))
+    changes = feedback.join(taken, "id", "left_semi").withColumn("processing_status", F.lit("reviewed"))
+    stored = K.append_rows(K.updated_rows(feedback, changes, ["id"]), scratch_dir(t.spark, "feedback"))
+    kinds = t.spark.read.parquet(stored).groupBy(F.concat(F.lit("feedback "), "processing_status").alias("kind")).agg(F.count("*").alias("n"))
+    return kinds.unionByName(t.spark.read.parquet(path).agg(F.count("*").alias("n")).select(F.lit("messages").alias("kind"), "n"))

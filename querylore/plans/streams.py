@@ -1 +1,53 @@
-"""Plans."""
+"""Streaming operators over tables that arrive in several files."""
+
+from pyspark.sql import functions as F
+
+from querylore.plans.feedback import TRAINING
+from querylore.plans.registry import plan
+from querylore.plans.sessions import STAMP, stamp
+from querylore.session import scratch_dir
+from querylore.streaming import jobs as Z
+
+
+def _arriving(t, df, name: str):
+    """The table as a stream of four files, one per batch."""
+    folder = scratch_dir(t.spark, f"arriving-{name}")
+    df.repartition(4).write.parquet(folder)
+    return Z.arriving(t.spark, folder, df.schema, files_per_batch=1)
+
+
+def _run(t, start, stream, name: str, **options) -> str:
+    out = scratch_dir(t.spark, name)
+    start(stream, out, scratch_dir(t.spark, f"{name}-checkpoint"), **options).awaitTermination()
+    return out
+
+
+@plan("z01_incremental_training", f"WITH {TRAINING} SELECT * FROM tr")
+def _(t):
+    out = _run(t, Z.incremental_training, _arriving(t, t.query_feedback, "feedback"), "training")
+    rows = t.spark.read.parquet(f"{out}/training").drop("batch")
+    return rows.withColumn("confidence_weight", F.col("confidence_weight").cast("double"))
+
+
+@plan("z02_first_requests")
+def _(t):
+    # which requests stay depends on how they are split into batches; that every key stays does not
+    requests = t.events.select(F.concat_ws("::", "event_type", F.col("user_id").cast("string")).alias("request_key"), F.col("ts").cast("timestamp").alias("ts"))
+    out = _run(t, Z.first_requests, _arriving(t, requests, "requests"), "first-requests")
+    return t.spark.read.parquet(out).groupBy("request_key").agg(F.count("*").alias("kept"))
+
+
+@plan("z03_running_analytics", f"""SELECT company_id, md5(content) AS question_hash, count(*) AS use_count, {STAMP.format("min(created_at)")} AS first_used, {STAMP.format("max(created_at)")} AS last_used
+FROM chat_message WHERE message_type = 'user' GROUP BY 1, 2""")
+def _(t):
+    messages = t.chat_message.select("company_id", "message_type", "content", "created_at")
+    out = _run(t, Z.running_analytics, _arriving(t, messages, "messages"), "analytics")
+    return Z.latest_state(t.spark, out, ["company_id", "question_hash"]).withColumns({"first_used": stamp("first_used"), "last_used": stamp("last_used")})
+
+
+@plan("z03_hourly_analytics", f"SELECT company_id, {STAMP.format("date_trunc('hour', created_at)")} AS hour_start, count(*) AS messages FROM chat_message GROUP BY 1, 2")
+def _(t):
+    # files come in no order of time, so nothing may count as late here
+    messages = t.chat_message.select("company_id", F.col("created_at").cast("timestamp").alias("created_at"))
+    out = _run(t, Z.hourly_analytics, _arriving(t, messages, "hourly-messages"), "hourly", delay="60 days")
+    return Z.latest_state(t.spark, out, ["company_id", "hour_start"]).withColumn("hour_start", stamp("hour_start"))
