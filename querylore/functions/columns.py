@@ -34,6 +34,12 @@ def count_if(condition: Column, alias: str) -> Column:
     return F.count(F.when(condition, F.lit(1))).alias(alias)
 
 
+def epoch_seconds(ts: Column) -> Column:
+    """Whole seconds since 1970 of a timestamp without zone, whatever the zone of the session."""
+    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_diff("SECOND", start, F.date_trunc("second", ts).cast("timestamp_ntz"))
+
+
 def percent(part: Column, whole: Column, digits: int = 1) -> Column:
     """Share of a total in percent, zero when there is nothing to divide by."""
     return F.when(whole > 0, F.round(part * 100.0 / whole, digits)).otherwise(F.lit(0.0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from querylore.functions.columns import count_if, strip
+from querylore.functions.columns import count_if, epoch_seconds, strip
 from querylore.operators.relational import number_rows
 
 GROUP = ["kb_id", "company_id"]
@@ -84,7 +84,7 @@ def improvement_log(training: DataFrame, now: Column) -> DataFrame:
         "log_id", *GROUP, F.lit("content_update").alias("improvement_type"),
         F.concat(F.lit("Processed "), F.col("processed").cast("string"), F.lit(" user corrections")).alias("description"),
         F.lit("ingestion_job").alias("implementation_method"), F.lit("in_progress").alias("status"),
-        F.concat(F.lit("job-"), F.col("log_id").cast("string"), F.lit("-"), F.unix_seconds(now.cast("timestamp")).cast("string")).alias("ingestion_job_id"))
+        F.concat(F.lit("job-"), F.col("log_id").cast("string"), F.lit("-"), epoch_seconds(now).cast("string")).alias("ingestion_job_id"))
 
 
 def improvement_log_ids(training: DataFrame, page_size: int = ID_PAGE) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querylore.functions import blocks, sqltext
+from querylore.functions.columns import epoch_seconds
 from querylore.functions.text import non_blank_lines
 from querylore.operators.relational import last_per_group
 
@@ -248,7 +249,7 @@ def reused_requests(requests: DataFrame, key: str = "request_key", ts: str = "ts
     Time counts in whole seconds. Requests of one key and second are merged first, so what a task sees of the busiest
     key is bounded by the seconds the log covers and not by the number of requests.
     """
-    seconds = requests.groupBy(key, F.unix_seconds(F.col(ts).cast("timestamp")).alias("second")).agg(F.count("*").alias("requests"))
+    seconds = requests.groupBy(key, epoch_seconds(F.col(ts)).alias("second")).agg(F.count("*").alias("requests"))
 
     def chain(table: pa.Table) -> pa.Table:
         import numpy as np
