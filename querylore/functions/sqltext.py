@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from querylore.functions.columns import strip
 
 # Patterns.
-EMBEDDED = r"(?s)## Embedding-Ready Query\s*```sql\s*(.*?)```"
+EMBEDDED = r"(?s)## Embedding-Ready Query\s*```sql\s*(.*?)\s*```"
 FILE_DATABASE = r"^(epic\w+)_query_"
 FROM_TABLE = r"(?i)FROM\s+(\w+)"
 JOIN_TABLE = r"(?i)JOIN\s+(\w+)"
@@ -22,7 +22,7 @@ VERBS = ["SELECT", "INSERT", "UPDATE", "DELETE", "REPLACE", "MERGE", "CREATE", "
 
 def embedded_query(content: Column) -> Column:
     """SQL block under its heading, trimmed; null when there is none or it is empty."""
-    return F.nullif(strip(F.regexp_extract(content, EMBEDDED, 1)), F.lit(""))
+    return F.nullif(F.regexp_extract(content, EMBEDDED, 1), F.lit(""))
 
 
 def database_of_file(name: Column) -> Column:
@@ -31,7 +31,8 @@ def database_of_file(name: Column) -> Column:
 
 def query_hash(sql: Column) -> Column:
     """Hash of the trimmed, lower-cased, space-collapsed text; null for an empty text."""
-    return F.md5(F.regexp_replace(F.lower(F.nullif(strip(sql), F.lit(""))), r"\s+", " "))
+    text = strip(F.regexp_replace(F.lower(sql), r"\s+", " "))
+    return F.when(text != "", F.md5(text))
 
 
 def main_table(sql: Column) -> Column:

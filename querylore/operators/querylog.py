@@ -32,13 +32,15 @@ def extract_sql(files: DataFrame) -> DataFrame:
 def dedup_queries(extracted: DataFrame) -> DataFrame:
     """First text per hash with the databases that hold it.
 
-    Partial aggregation keeps one entry per hash and map task, so a text that fills a third of the log shuffles like any other.
+    Partial aggregation keeps one entry per hash and map task, so a text that fills a third of the log shuffles like any
+    other. Files without SQL form a group that is dropped at the end: a filter on the hash would be pushed below the
+    extraction and compute it twice.
     """
     return (
-        extracted.filter(F.col("hash").isNotNull())
-        .groupBy("hash")
+        extracted.groupBy("hash")
         .agg(F.min("query_id").alias("query_id"), F.min_by("sql", "query_id").alias("sql"),
              F.array_sort(F.collect_set("database")).alias("databases"), F.count("*").alias("files"))
+        .filter(F.col("sql").isNotNull())
         .withColumn("main_table", S.main_table(F.col("sql")))
         .withColumn("tables", S.from_and_join_tables(F.col("sql")))
     )

@@ -275,23 +275,24 @@ def with_errors(questions: DataFrame, found: DataFrame) -> DataFrame:
 
 # --- searches about tables and statements ----------------------------------------------------------------------------
 
-def relationship_search(documents: DataFrame, n: int = 10) -> DataFrame:
+def relationship_search(documents: DataFrame, names: DataFrame, n: int = 10) -> DataFrame:
     """Documents that answer five fixed questions about every table of a tenant, by share of question words.
 
     A document's share for a question is its share of the fixed words plus one for naming the table. So the best are
     among the documents naming the table (an equi join on the name) and the best by fixed words (a few per question):
-    the documents of a tenant are never paired with all its tables.
+    the documents of a tenant are never paired with all its tables. ``names`` has the tables to ask about.
     """
     per = n // len(RELATIONSHIP_TEXTS) + 1
     fixed = [sorted(set(t.replace("{}", " ").split())) for t in RELATIONSHIP_TEXTS]
     words = documents.select("tenant", F.col("table_name").alias("doc"), F.md5("content").alias("content_hash"), terms(F.col("content")).alias("words"))
-    held = F.array(*[F.struct(F.lit(i).alias("question_no"), F.size(F.array_intersect("words", F.array(*map(F.lit, f)))).alias("held")) for i, f in enumerate(fixed)])
-    fixed_scores = words.select("tenant", "doc", "content_hash", F.inline(held))
-    names = documents.select("tenant", F.col("table_name").alias("asked"))
-    naming = words.select("tenant", "doc", F.explode("words").alias("asked")).join(names, ["tenant", "asked"], "left_semi")
-    named = naming.join(fixed_scores, ["tenant", "doc"]).withColumn("names_it", F.lit(1))
-    leading = last_per_group(fixed_scores, ["tenant", "question_no"], [F.desc("held"), F.col("doc")], per).drop("position")
-    others = leading.join(names, "tenant").withColumn("names_it", F.lit(0))
+    held = F.array(*[F.size(F.array_intersect("words", F.array(*map(F.lit, f)))) for f in fixed])
+    scored = words.withColumn("held", held)
+    asked = names.select("tenant", F.col("table_name").alias("asked"))
+    each = F.posexplode("held").alias("question_no", "held")
+    naming = scored.select("tenant", "doc", "content_hash", "held", F.explode("words").alias("asked")).join(asked, ["tenant", "asked"], "left_semi")
+    named = naming.select("tenant", "asked", "doc", "content_hash", each).withColumn("names_it", F.lit(1))
+    leading = last_per_group(scored.select("tenant", "doc", "content_hash", each), ["tenant", "question_no"], [F.desc("held"), F.col("doc")], per).drop("position")
+    others = leading.join(asked, "tenant").withColumn("names_it", F.lit(0))
     columns = ["tenant", "asked", "question_no", "doc", "content_hash", "held"]
     candidates = named.select(*columns, "names_it").unionByName(others.select(*columns, "names_it")).groupBy(*columns).agg(F.max("names_it").alias("names_it"))
     sizes = F.array(*[F.lit(len(f)) for f in fixed])

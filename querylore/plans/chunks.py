@@ -6,6 +6,7 @@ from querylore.operators import catalog as C
 from querylore.operators import chunking as D
 from querylore.plans.catalog import DOC_SQL, _documents
 from querylore.plans.registry import plan
+from querylore.session import spread
 
 WORDS = r"w AS (SELECT doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS words FROM documents)"
 
@@ -26,18 +27,18 @@ def _hashed(chunks):
 
 @plan("d01_hierarchical_chunks", _hierarchy_sql(4000, 800, 150))
 def _(t):
-    return _hashed(D.hierarchical_chunks(t.documents, *D.DEFAULT_SIZES))
+    return _hashed(D.hierarchical_chunks(spread(t.documents), *D.DEFAULT_SIZES))
 
 
 @plan("d02_migrated_chunks", _hierarchy_sql(512, 300, 50))
 def _(t):
-    return _hashed(D.hierarchical_chunks(t.documents, *D.MIGRATED_SIZES))
+    return _hashed(D.hierarchical_chunks(spread(t.documents), *D.MIGRATED_SIZES))
 
 
 @plan("d03_fixed_chunks", rf"""WITH {WORDS}, c AS (SELECT doc_id, words, unnest(list_filter(range(0, len(words), 280), lambda s: s = 0 OR s + 20 < len(words))) AS s FROM w)
 SELECT doc_id, CAST(s // 280 AS INT) AS chunk_no, CAST(len(words[s + 1:s + 300]) AS INT) AS token_count, md5(array_to_string(words[s + 1:s + 300], ' ')) AS chunk FROM c""")
 def _(t):
-    return _hashed(D.fixed_chunks(t.documents, *D.FIXED_SIZES))
+    return _hashed(D.fixed_chunks(spread(t.documents), *D.FIXED_SIZES))
 
 
 @plan("d04_marked_blocks", rf"""{DOC_SQL}, b AS (SELECT tenant, table_name, regexp_extract_all(content, '\[QUERY_EXAMPLE\](.*?)\[/QUERY_EXAMPLE\]', 1, 's') AS l FROM docs)

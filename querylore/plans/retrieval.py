@@ -105,7 +105,7 @@ b AS (SELECT *, min(position) OVER (PARTITION BY tenant, asked, content_hash) AS
 f AS (SELECT *, CAST(row_number() OVER (PARTITION BY tenant, asked ORDER BY score DESC, first_position) AS INT) AS r FROM b)
 SELECT tenant, asked, doc, question_no, r AS rank, round(score, 6) AS score FROM f WHERE r <= 10""")
 def _(t):
-    return _rounded(R.relationship_search(C.table_documents(_documents(t))), "tenant", "asked", "doc", "question_no", "rank")
+    return _rounded(R.relationship_search(C.table_documents(_documents(t)), C.base_tables(t.cat_table)), "tenant", "asked", "doc", "question_no", "rank")
 
 
 def distinct_documents(t):

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -15,6 +15,7 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -32,6 +33,16 @@ def local_session(cpus: int = 8, name: str = "querylore", memory: str = "8g") ->
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan to all cores when its files give fewer splits than that; else leave it alone.
+
+    For plans whose work per row is heavy. Only plain scans and projections of them should be given: counting their
+    splits runs nothing.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() * 2 > cores else df.repartition(cores)
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the folder the cluster shares between its executors.
 

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from querylore.session import spread
 from querylore.sources.views import BASE_TABLES, VIEWS, needed_views, spark_text
 
+# views whose texts are read word by word, and the table their rows come from
+SPREAD = {"query_log": "events", "kb_chunk": "documents"}
+
 
 class Tables:
     """``tables.orders`` is the parquet table, ``tables.db_order`` the view built from it."""
@@ -32,13 +36,14 @@ class Tables:
             if name in BASE_TABLES:
                 self._frames[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
             elif name in VIEWS:
-                self._frames[name] = self.sql(spark_text(name))
+                self._frames[name] = self.sql(spark_text(name), SPREAD.get(name))
             else:
                 raise AttributeError(f"no table or view named {name}")
         return self._frames[name]
 
-    def sql(self, text: str) -> DataFrame:
-        """Run Spark SQL over these tables and views."""
+    def sql(self, text: str, heavy: str | None = None) -> DataFrame:
+        """Run Spark SQL over these tables and views; ``heavy`` names a table to deal to all cores."""
         for name in needed_views(text):
-            getattr(self, name).createOrReplaceTempView(name)
+            frame = getattr(self, name)
+            (spread(frame) if name == heavy else frame).createOrReplaceTempView(name)
         return self.spark.sql(text)
