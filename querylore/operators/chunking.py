@@ -32,26 +32,35 @@ def _check(size: int, overlap: int) -> None:
         raise ValueError("the overlap must be smaller than the chunk")
 
 
+def _numbered(df: DataFrame, keys: list[str], lists: Column, number: str, item: str) -> DataFrame:
+    """Elements of a computed list with their numbers.
+
+    The outer form is used because for the plain one Spark adds a filter on the list's size and computes the list twice.
+    """
+    return df.select(*keys, F.posexplode_outer(lists).alias(number, item)).filter(F.col(item).isNotNull())
+
+
 def hierarchical_chunks(docs: DataFrame, parent: int = 4000, child: int = 800, overlap: int = 150, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Children inside consecutive parents. A list of parents is exploded, so a row carries one parent and never the whole text."""
     _check(child, overlap)
     words = docs.select(key, tokens(F.col(text)).alias("words"))
-    parents = words.select(key, F.posexplode(
-        F.transform(_starts(F.size("words"), parent), lambda s: F.slice("words", s + 1, F.lit(parent)))).alias("parent_no", "parent_words"))
-    children = parents.select(key, "parent_no", F.posexplode(_windows(F.col("parent_words"), child, overlap)).alias("child_no", "chunk_words"))
+    cuts = F.transform(_starts(F.size("words"), parent), lambda s: F.slice("words", s + 1, F.lit(parent)))
+    parents = _numbered(words, [key], cuts, "parent_no", "parent_words")
+    children = _numbered(parents, [key, "parent_no"], _windows(F.col("parent_words"), child, overlap), "child_no", "chunk_words")
     return children.select(key, "parent_no", "child_no", F.size("chunk_words").alias("token_count"), F.array_join("chunk_words", " ").alias("chunk"))
 
 
 def fixed_chunks(docs: DataFrame, size: int = 300, overlap: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
     _check(size, overlap)
-    chunks = docs.select(key, F.posexplode(_windows(tokens(F.col(text)), size, overlap)).alias("chunk_no", "chunk_words"))
+    words = docs.select(key, tokens(F.col(text)).alias("words"))
+    chunks = _numbered(words, [key], _windows(F.col("words"), size, overlap), "chunk_no", "chunk_words")
     return chunks.select(key, "chunk_no", F.size("chunk_words").alias("token_count"), F.array_join("chunk_words", " ").alias("chunk"))
 
 
 def marked_blocks(docs: DataFrame, marker: str, key: list[str], text: str = "content") -> DataFrame:
     """Texts between ``[MARKER]`` and ``[/MARKER]``, in order."""
     found = F.regexp_extract_all(F.col(text), F.lit(rf"(?s)\[{marker}(?:: \w+)?\](.*?)\[/{marker}(?:: \w+)?\]"), 1)
-    return docs.select(*key, F.posexplode(found).alias("block_no", "block"))
+    return _numbered(docs, key, found, "block_no", "block")
 
 
 def load_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -63,7 +63,7 @@ def complete_order_lines(orders, customers, items, products, statuses, since: st
     return (
         orders.filter(F.col("order_date") >= day(since))
         .join(customers.select("customer", F.col("name").alias("customer_name")), "customer")
-        .join(F.broadcast(order_status), "status")
+        .join(order_status, "status")
         .join(items.select("wo", "item", "product", "qty", "subtotal"), "wo")
         .join(products.select("product", F.col("description").alias("product_description")), "product")
         .select(
@@ -105,6 +105,7 @@ def related_products(products: DataFrame, product: int) -> DataFrame:
     main = products.filter(F.col("product") == product).select(
         "category", F.col("product").alias("main_product"), F.col("description").alias("main_description")
     )
+    # the product is the key, so this side is one row
     return (
         products.join(F.broadcast(main), "category")
         .filter(F.col("product") != F.col("main_product"))
@@ -354,7 +355,7 @@ def order_cost(orders, items, products, customers, statuses, by_box: bool = True
     unit = F.col("cost") / F.nullif(F.col("qty").cast("double"), F.lit(0.0))
     grouped = (
         _costed(orders, items, products)
-        .join(F.broadcast(order_status), "status", "left_semi")
+        .join(order_status, "status", "left_semi")
         .join(customers.select("customer"), "customer", "left_semi")
         .groupBy(*keys)
         .agg(

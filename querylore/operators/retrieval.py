@@ -288,8 +288,9 @@ def relationship_search(documents: DataFrame, names: DataFrame, n: int = 10) ->
     held = F.array(*[F.size(F.array_intersect("words", F.array(*map(F.lit, f)))) for f in fixed])
     scored = words.withColumn("held", held)
     asked = names.select("tenant", F.col("table_name").alias("asked"))
-    each = F.posexplode("held").alias("question_no", "held")
-    naming = scored.select("tenant", "doc", "content_hash", "held", F.explode("words").alias("asked")).join(asked, ["tenant", "asked"], "left_semi")
+    # outer forms: the plain ones add filters that would compute the words of every document again
+    each = F.posexplode_outer("held").alias("question_no", "held")
+    naming = scored.select("tenant", "doc", "content_hash", "held", F.explode_outer("words").alias("asked")).join(asked, ["tenant", "asked"], "left_semi")
     named = naming.select("tenant", "asked", "doc", "content_hash", each).withColumn("names_it", F.lit(1))
     leading = last_per_group(scored.select("tenant", "doc", "content_hash", each), ["tenant", "question_no"], [F.desc("held"), F.col("doc")], per).drop("position")
     others = leading.join(asked, "tenant").withColumn("names_it", F.lit(0))

@@ -37,7 +37,7 @@ def scores(questions: DataFrame, keywords: dict[str, list[str]] = SERVER_KEYWORD
 def application_sources(questions: DataFrame, applications: DataFrame, key: str = "company_id") -> DataFrame:
     """Source ids of the active application of each question; applications are a list of products, one row each."""
     active = applications.filter("is_active").select(key, F.col("name").alias("application"), "database_kb", "support_kb", "documentation_kb")
-    return questions.join(F.broadcast(active), key, "left")
+    return questions.join(active, key, "left")
 
 
 def _kb(kind: Column) -> Column:

@@ -24,7 +24,7 @@ ERROR_LIMIT = 0.01
 def accepted_contexts(contexts: DataFrame, applications: DataFrame) -> DataFrame:
     """Contexts of a known, active application; the others are rejected."""
     active = applications.filter("is_active").select(F.col("company_id").alias("application_id"))
-    return contexts.join(F.broadcast(active), "application_id", "left_semi")
+    return contexts.join(active, "application_id", "left_semi")
 
 
 def upsert_companies(existing: DataFrame, contexts: DataFrame) -> DataFrame:

@@ -169,7 +169,7 @@ def _(t):
     return (
         t.db_orderitem.select("wo", "product", "subtotal").join(t.db_order.select("wo", "customer", "status"), "wo")
         .join(t.db_customer.select("customer", "state"), "customer").join(t.db_product.select("product", "category"), "product")
-        .join(F.broadcast(statuses), "status").groupBy("order_status", "state", "category")
+        .join(statuses, "status").groupBy("order_status", "state", "category")
         .agg(F.count("*").alias("n"), total("subtotal", "revenue"))
     )
 
@@ -190,7 +190,7 @@ def _(t):
     )
     return (
         lines.join(t.db_order.select("wo", "customer", "status"), "wo").join(t.db_shipping.select("wo", "tracking"), "wo")
-        .join(t.db_customer.select("customer", F.col("name").alias("customer_name")), "customer").join(F.broadcast(statuses), "status")
+        .join(t.db_customer.select("customer", F.col("name").alias("customer_name")), "customer").join(statuses, "status")
         .select("wo", "item", "customer_name", "order_status", "tracking", "lines", "price", "cost")
     )
 
@@ -277,7 +277,7 @@ SELECT q.question_id, a.name, a.database_kb, a.support_kb FROM question_log q
 LEFT JOIN application a ON q.company_id = a.company_id AND a.is_active""")
 def _(t):
     active = t.application.filter("is_active").select("company_id", "name", "database_kb", "support_kb")
-    return t.question_log.join(F.broadcast(active), "company_id", "left").select("question_id", "name", "database_kb", "support_kb")
+    return t.question_log.join(active, "company_id", "left").select("question_id", "name", "database_kb", "support_kb")
 
 
 @plan("j15_small_to_large", """

@@ -431,7 +431,7 @@ FROM db_customer c JOIN application a ON c.customer % 5 = a.company_id""")
 def _(t):
     companies = t.db_customer.select("customer", F.col("name").alias("company_name"), (F.col("customer") % 5).alias("company_id"))
     return (
-        companies.join(F.broadcast(t.application.select("company_id", F.col("name").alias("application"))), "company_id")
+        companies.join(t.application.select("company_id", F.col("name").alias("application")), "company_id")
         .select(F.concat(F.lit("C"), F.col("customer").cast("string")).alias("company_code"), "company_name", "application")
     )
 

@@ -7,6 +7,8 @@ from querylore.operators import retrieval as R
 from querylore.plans.catalog import DOC_SQL, _documents
 from querylore.plans.query_log import UNIQUE, unique
 from querylore.plans.registry import plan
+from querylore.session import scratch_dir
+from querylore.sources.stores import append_rows
 
 DOT = "list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[]))"
 CHUNKS = "ch AS MATERIALIZED (SELECT chunk_id, kb_type, label, embedding, content, md5(content) AS content_hash FROM kb_chunk)"
@@ -105,7 +107,9 @@ b AS (SELECT *, min(position) OVER (PARTITION BY tenant, asked, content_hash) AS
 f AS (SELECT *, CAST(row_number() OVER (PARTITION BY tenant, asked ORDER BY score DESC, first_position) AS INT) AS r FROM b)
 SELECT tenant, asked, doc, question_no, r AS rank, round(score, 6) AS score FROM f WHERE r <= 10""")
 def _(t):
-    return _rounded(R.relationship_search(C.table_documents(_documents(t)), C.base_tables(t.cat_table)), "tenant", "asked", "doc", "question_no", "rank")
+    # documents are stored before they are searched: the search reads them twice
+    path = append_rows(C.table_documents(_documents(t)), scratch_dir(t.spark, "table-documents"))
+    return _rounded(R.relationship_search(t.spark.read.parquet(path), C.base_tables(t.cat_table)), "tenant", "asked", "doc", "question_no", "rank")
 
 
 def distinct_documents(t):

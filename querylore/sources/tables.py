@@ -8,13 +8,13 @@ from querylore.session import spread
 from querylore.sources.views import BASE_TABLES, VIEWS, needed_views, spark_text
 
 # views whose texts are read word by word, and the table their rows come from
-SPREAD = {"query_log": "events", "kb_chunk": "documents"}
+SPREAD = {"query_log": "events", "kb_chunk": "documents", "cat_table": "customer"}
 
 
 class Tables:
     """``tables.orders`` is the parquet table, ``tables.db_order`` the view built from it."""
 
-    _open: dict[tuple[int, str], "Tables"] = {}
+    _open: dict[tuple[str, str], "Tables"] = {}
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
@@ -23,8 +23,8 @@ class Tables:
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str) -> "Tables":
-        """One instance per session and folder, so that file footers are read once."""
-        key = (id(spark._jsparkSession), folder)
+        """One instance per application and folder, so that file footers are read once."""
+        key = (spark.sparkContext.applicationId, folder)
         if key not in cls._open:
             cls._open[key] = cls(spark, folder)
         return cls._open[key]
