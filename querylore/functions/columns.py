@@ -24,10 +24,20 @@ def average(name: str, alias: str) -> Column:
     return (F.sum(name).cast("double") / F.count(name)).alias(alias)
 
 
+def quotient(numerator: Column, divisor: Column) -> Column:
+    """Double quotient, null for a divisor of zero."""
+    return numerator.cast("double") / F.nullif(divisor.cast("double"), F.lit(0.0))
+
+
+def exact_sum(value: Column) -> Column:
+    """Sum of doubles through ten decimal places, so that it does not depend on the order of rows."""
+    return F.sum(value.cast("decimal(28,10)")).cast("double")
+
+
 def mean_of(numerator: Column, divisor: Column, alias: str) -> Column:
     """Mean of a quotient; rows with divisor zero are left out."""
-    quotient = numerator.cast("double") / F.nullif(divisor.cast("double"), F.lit(0.0))
-    return F.round(F.avg(quotient), 8).alias(alias)
+    value = quotient(numerator, divisor)
+    return (exact_sum(value) / F.nullif(F.count(value), F.lit(0))).alias(alias)
 
 
 def count_if(condition: Column, alias: str) -> Column:
@@ -45,6 +55,12 @@ def percent(part: Column, whole: Column, digits: int = 1) -> Column:
     return F.when(whole > 0, F.round(part * 100.0 / whole, digits)).otherwise(F.lit(0.0))
 
 
+def percent_text(part: Column, whole: Column) -> Column:
+    """Share as a text with one decimal, an exact half going to the even digit."""
+    share = F.when(whole > 0, part / whole * 100).otherwise(F.lit(0.0))
+    return F.concat(F.format_number(share, 1), F.lit("%"))
+
+
 def strip(column: Column) -> Column:
     """Trim all white space, newlines too; the built-in trim removes blanks only."""
     return F.regexp_replace(column, r"^\s+|\s+$", "")

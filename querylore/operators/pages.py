@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from querylore.functions.columns import percent, slug
+from querylore.functions.columns import percent, percent_text, slug
 from querylore.operators.relational import count_by, last_per_group
 
 # Levels in the order pages show them.
@@ -52,7 +52,7 @@ def category_levels(queries: DataFrame) -> DataFrame:
     counts = count_by(queries, "category", "complexity")
     n = F.coalesce("n", F.lit(0))
     return grid.join(counts, ["category", "complexity"], "left").select(
-        "category", "level_no", "complexity", n.alias("n"), percent(n, F.col("total")).alias("pct"))
+        "category", "level_no", "complexity", n.alias("n"), percent(n, F.col("total")).alias("pct"), percent_text(n, F.col("total")).alias("pct_text"))
 
 
 def _tables_of(queries: DataFrame) -> DataFrame:
@@ -63,7 +63,8 @@ def category_tables(queries: DataFrame, n: int = 15) -> DataFrame:
     totals = count_by(queries, "category", name="total")
     counts = count_by(_tables_of(queries), "category", "table_name")
     top = last_per_group(counts, ["category"], [F.desc("n"), F.col("table_name")], n)
-    return top.join(totals, "category").select("category", "position", "table_name", "n", percent(F.col("n"), F.col("total")).alias("pct"))
+    share = F.col("n"), F.col("total")
+    return top.join(totals, "category").select("category", "position", "table_name", "n", percent(*share).alias("pct"), percent_text(*share).alias("pct_text"))
 
 
 def category_samples(queries: DataFrame, n: int = 20) -> DataFrame:
@@ -81,7 +82,7 @@ def category_pages(queries: DataFrame) -> DataFrame:
     def row(*cells):
         return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |\n"))
 
-    pct = F.format_string("%.1f%%", F.col("pct"))
+    pct = F.col("pct_text")
     n = F.col("n").cast("string")
     sample = F.concat(F.lit("### Query "), F.col("query_id").cast("string"), F.lit("\n\n**Complexity**: "), "complexity",
                       F.lit("  \n**Tables**: "), "tables", F.lit("  \n\n```sql\n"), "query_text", F.lit("\n```\n\n"))

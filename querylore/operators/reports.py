@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from querylore.functions.columns import as_double, as_text, average, mean_of, total
+from querylore.functions.columns import as_double, as_text, average, exact_sum, mean_of, quotient, total
 
 
 def newest(df: DataFrame, column: str) -> Column:
@@ -352,7 +352,7 @@ def order_cost(orders, items, products, customers, statuses, by_box: bool = True
     """Unit and line cost. A box is the ship date of a line; non-grouped columns take their smallest value."""
     keys = ["ship_date", "wo", "item"] if by_box else ["wo", "item"]
     order_status = statuses.filter(F.col("type") == "ORDER").select("status")
-    unit = F.col("cost") / F.nullif(F.col("qty").cast("double"), F.lit(0.0))
+    unit = quotient(F.col("cost"), F.col("qty"))
     grouped = (
         _costed(orders, items, products)
         .join(order_status, "status", "left_semi")
@@ -360,9 +360,9 @@ def order_cost(orders, items, products, customers, statuses, by_box: bool = True
         .groupBy(*keys)
         .agg(
             F.min("description").alias("product"), F.min("qty").cast("double").alias("qty"),
-            F.min("subtotal").cast("double").alias("unit_price"), F.round(F.sum(unit), 6).alias("unit_cost"),
+            F.min("subtotal").cast("double").alias("unit_price"), exact_sum(unit).alias("unit_cost"),
             F.min(F.col("subtotal") * F.col("qty")).cast("double").alias("line_price"),
-            F.round(F.sum("cost"), 6).alias("line_cost"),
+            exact_sum(F.col("cost")).alias("line_cost"),
         )
     )
     return grouped.withColumn("box", F.col("ship_date").cast("string")).drop("ship_date") if by_box else grouped
@@ -373,7 +373,7 @@ def batch_cost(orders, items, products) -> DataFrame:
     return (
         _costed(orders, items, products)
         .groupBy("wo")
-        .agg(F.count("*").alias("lines"), F.round(F.sum("cost"), 6).alias("order_cost"), total("subtotal", "order_price"))
+        .agg(F.count("*").alias("lines"), exact_sum(F.col("cost")).alias("order_cost"), total("subtotal", "order_price"))
     )
 
 

@@ -33,14 +33,14 @@ def _(t):
 @plan("q24_category_levels", f"""WITH {PAGES}, lv AS (SELECT * FROM (VALUES (0, 'Low'), (1, 'Medium'), (2, 'High'), (3, 'Very High')) AS v(level_no, complexity)),
 c AS (SELECT category, complexity, count(*) AS n FROM pg GROUP BY 1, 2),
 x AS (SELECT t.category, t.total, lv.level_no, lv.complexity, coalesce(c.n, 0) AS n FROM tot t CROSS JOIN lv LEFT JOIN c ON c.category = t.category AND c.complexity = lv.complexity)
-SELECT category, level_no, complexity, n, {PCT} FROM x""")
+SELECT category, level_no, complexity, n, {PCT}, printf('%.1f%%', n::DOUBLE / total * 100) AS pct_text FROM x""")
 def _(t):
     return P.category_levels(page_queries(t))
 
 
 @plan("q24_category_tables", f"""WITH {PAGES}, c AS (SELECT category, table_name, count(*) AS n FROM pt GROUP BY 1, 2),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY category ORDER BY n DESC, table_name) AS INT) AS position FROM c)
-SELECT r.category, position, table_name, n, {PCT} FROM r JOIN tot ON r.category = tot.category WHERE position <= 15""")
+SELECT r.category, position, table_name, n, {PCT}, printf('%.1f%%', n::DOUBLE / total * 100) AS pct_text FROM r JOIN tot ON r.category = tot.category WHERE position <= 15""")
 def _(t):
     return P.category_tables(page_queries(t))
 

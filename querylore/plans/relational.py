@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from querylore.functions.columns import as_double, as_text, average, count_if, percent, total
+from querylore.functions.columns import as_double, as_text, average, count_if, exact_sum, mean_of, percent, percent_text, quotient, total
 from querylore.operators import relational as L
 from querylore.operators import reports as R
 from querylore.plans.registry import plan
@@ -177,7 +177,7 @@ def _(t):
 @plan("j03_long_chain", """
 SELECT o.wo, i.item, min(c.name) AS customer_name, min(s.description) AS order_status, min(h.tracking) AS tracking,
   count(*) AS lines, CAST(sum(i.subtotal) AS DOUBLE) AS price,
-  round(sum(CAST(p.standard_cost AS DOUBLE) * (CAST(i.qty AS DOUBLE) / (1 + i.product % 4))), 6) AS cost
+  CAST(sum(CAST(CAST(p.standard_cost AS DOUBLE) * (CAST(i.qty AS DOUBLE) / (1 + i.product % 4)) AS DECIMAL(28,10))) AS DOUBLE) AS cost
 FROM db_order o JOIN db_orderitem i ON o.wo = i.wo JOIN db_product p ON i.product = p.product
 JOIN db_customer c ON o.customer = c.customer JOIN db_status s ON o.status = s.status AND s.type = 'ORDER'
 JOIN db_shipping h ON o.wo = h.wo GROUP BY o.wo, i.item""")
@@ -186,7 +186,7 @@ def _(t):
     cost = F.col("standard_cost").cast("double") * (F.col("qty").cast("double") / (1 + F.col("product") % 4))
     lines = (
         t.db_orderitem.select("wo", "item", "product", "qty", "subtotal").join(t.db_product.select("product", "standard_cost"), "product")
-        .groupBy("wo", "item").agg(F.count("*").alias("lines"), total("subtotal", "price"), F.round(F.sum(cost), 6).alias("cost"))
+        .groupBy("wo", "item").agg(F.count("*").alias("lines"), total("subtotal", "price"), exact_sum(cost).alias("cost"))
     )
     return (
         lines.join(t.db_order.select("wo", "customer", "status"), "wo").join(t.db_shipping.select("wo", "tracking"), "wo")
@@ -318,18 +318,16 @@ def _(t):
 
 
 @plan("a04_sum_of_expression", """
-SELECT i.product, CAST(sum(i.subtotal * i.qty) AS DOUBLE) AS value, round(sum(CAST(i.subtotal AS DOUBLE) / nullif(CAST(i.qty - i.qty % 2 AS DOUBLE), 0)), 6) AS per_pair
+SELECT i.product, CAST(sum(i.subtotal * i.qty) AS DOUBLE) AS value, CAST(sum(CAST(CAST(i.subtotal AS DOUBLE) / nullif(CAST(i.qty - i.qty % 2 AS DOUBLE), 0) AS DECIMAL(28,10))) AS DOUBLE) AS per_pair
 FROM db_orderitem i GROUP BY i.product""")
 def _(t):
-    pairs = (F.col("qty") - F.col("qty") % 2).cast("double")
     return t.db_orderitem.groupBy("product").agg(
         F.sum(F.col("subtotal") * F.col("qty")).cast("double").alias("value"),
-        F.round(F.sum(F.col("subtotal").cast("double") / F.nullif(pairs, F.lit(0.0))), 6).alias("per_pair"))
+        exact_sum(quotient(F.col("subtotal"), F.col("qty") - F.col("qty") % 2)).alias("per_pair"))
 
 
-@plan("a05_ratio_average", "SELECT product, round(avg(CAST(subtotal AS DOUBLE) / nullif(CAST(qty AS DOUBLE), 0)), 8) AS unit_price FROM db_orderitem GROUP BY product")
+@plan("a05_ratio_average", "SELECT product, CAST(sum(CAST(CAST(subtotal AS DOUBLE) / nullif(CAST(qty AS DOUBLE), 0) AS DECIMAL(28,10))) AS DOUBLE) / nullif(count(*) FILTER (WHERE qty <> 0), 0) AS unit_price FROM db_orderitem GROUP BY product")
 def _(t):
-    from querylore.functions.columns import mean_of
     return t.db_orderitem.groupBy("product").agg(mean_of(F.col("subtotal"), F.col("qty"), "unit_price"))
 
 
@@ -400,12 +398,12 @@ def _(t):
 
 
 @plan("a15_percent_of_group", """
-SELECT lang, source, n, CASE WHEN tot > 0 THEN round(n * 100.0::DOUBLE / tot, 1) ELSE 0 END AS pct, printf('%.1f%%', n * 100.0::DOUBLE / tot) AS pct_text
+SELECT lang, source, n, CASE WHEN tot > 0 THEN round(n * 100.0::DOUBLE / tot, 1) ELSE 0 END AS pct, printf('%.1f%%', n::DOUBLE / tot * 100) AS pct_text
 FROM (SELECT lang, source, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY lang) AS BIGINT) AS tot FROM documents GROUP BY lang, source)""")
 def _(t):
     counts = L.count_by(t.documents, "lang", "source")
     tot = F.sum("n").over(Window.partitionBy("lang"))
-    return counts.withColumn("tot", tot).select("lang", "source", "n", percent(F.col("n"), F.col("tot")).alias("pct"), F.format_string("%.1f%%", F.col("n") * 100.0 / F.col("tot")).alias("pct_text"))
+    return counts.withColumn("tot", tot).select("lang", "source", "n", percent(F.col("n"), F.col("tot")).alias("pct"), percent_text(F.col("n"), F.col("tot")).alias("pct_text"))
 
 
 # --- windows, sorts, sets -------------------------------------------------------------------------------------------

@@ -208,7 +208,7 @@ def _(t):
 
 @plan("b16_product_performance", f"""
 SELECT p.product, p.description, p.category, count(DISTINCT i.wo) AS orders_containing, CAST(sum(i.qty) AS DOUBLE) AS total_quantity_sold,
-  CAST(sum(i.subtotal) AS DOUBLE) AS total_revenue, round(avg(CAST(i.subtotal AS DOUBLE) / nullif(CAST(i.qty AS DOUBLE), 0)), 8) AS average_unit_price,
+  CAST(sum(i.subtotal) AS DOUBLE) AS total_revenue, CAST(sum(CAST(CAST(i.subtotal AS DOUBLE) / nullif(CAST(i.qty AS DOUBLE), 0) AS DECIMAL(28,10))) AS DOUBLE) / nullif(count(*) FILTER (WHERE i.qty <> 0), 0) AS average_unit_price,
   count(DISTINCT o.customer) AS unique_customers, CAST(min(o.order_date) AS VARCHAR) AS first_sale_date,
   CAST(max(o.order_date) AS VARCHAR) AS last_sale_date,
   round(CAST(sum(i.subtotal) AS DOUBLE) / CAST(sum(sum(i.subtotal)) OVER () AS DOUBLE) * 100, 2) AS revenue_percentage
@@ -232,8 +232,8 @@ WITH costed AS (SELECT o.wo, i.item, i.ship_date, p.description, i.qty, i.subtot
   JOIN db_customer c ON o.customer = c.customer JOIN db_status s ON o.status = s.status AND s.type = 'ORDER'
   WHERE o.status >= 1)"""
 _COST_COLUMNS = """min(description) AS product, CAST(min(qty) AS DOUBLE) AS qty, CAST(min(subtotal) AS DOUBLE) AS unit_price,
-  round(sum(cost / nullif(CAST(qty AS DOUBLE), 0)), 6) AS unit_cost, CAST(min(subtotal * qty) AS DOUBLE) AS line_price,
-  round(sum(cost), 6) AS line_cost"""
+  CAST(sum(CAST(cost / nullif(CAST(qty AS DOUBLE), 0) AS DECIMAL(28,10))) AS DOUBLE) AS unit_cost, CAST(min(subtotal * qty) AS DOUBLE) AS line_price,
+  CAST(sum(CAST(cost AS DECIMAL(28,10))) AS DOUBLE) AS line_cost"""
 
 
 @plan("b18_order_cost_by_box", f"{_COSTED} SELECT CAST(ship_date AS VARCHAR) AS box, wo, item, {_COST_COLUMNS} FROM costed GROUP BY ship_date, wo, item")
@@ -247,7 +247,7 @@ def _(t):
 
 
 @plan("b18_order_cost_by_order", f"""{_COSTED}
-SELECT wo, count(*) AS lines, round(sum(cost), 6) AS order_cost, CAST(sum(subtotal) AS DOUBLE) AS order_price FROM costed GROUP BY wo""")
+SELECT wo, count(*) AS lines, CAST(sum(CAST(cost AS DECIMAL(28,10))) AS DOUBLE) AS order_cost, CAST(sum(subtotal) AS DOUBLE) AS order_price FROM costed GROUP BY wo""")
 def _(t):
     return R.batch_cost(t.db_order, t.db_orderitem, t.db_product)
 
