@@ -11,7 +11,7 @@ from collections.abc import Callable
 from functools import partial
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from querylore.functions import blocks, sqltext
@@ -97,7 +97,8 @@ def top_k(questions: DataFrame, chunks: DataFrame, k: int = 5, keys: tuple[str,
     have = chunks.filter("embedding IS NOT NULL").select("chunk_id", "embedding", *only, *([carry] if carry else []))
     kernel = partial(blocks.vector_top_k, keys=keys, k=k, by=by, carry=carry)
     best = blockwise(asked, have, keys, kernel, _schema(asked, keys, carry), shared_bytes)
-    return last_per_group(best, keys, [F.desc("score"), F.col("chunk_id")], k, rank="rank")
+    # dealt by question alone: whatever follows per question, variant or content needs no further shuffle
+    return last_per_group(best.repartition(keys[0]), keys, [F.desc("score"), F.col("chunk_id")], k, rank="rank")
 
 
 def terms(text: Column) -> Column:
@@ -165,22 +166,43 @@ def search_variants(variants: DataFrame, chunks: DataFrame, k: int) -> DataFrame
 
 def expansion(found: DataFrame, k: int) -> DataFrame:
     """Merge the variants of the expansion strategy; ``from_variant`` tells which one brought a context."""
-    own = found.filter(F.col("strategy") == "expansion").withColumn("position", F.col("variant_no") * 100 + F.col("rank")).withColumn("from_variant", F.col("variant_no"))
+    own = found.withColumn("position", F.col("variant_no") * 100 + F.col("rank")).withColumn("from_variant", F.col("variant_no"))
     return best_contexts(own, ["query_id"], ["chunk_id", "from_variant"], k)
 
 
+def _has_hyde() -> Column:
+    return F.max(F.col("strategy") == "hyde").over(Window.partitionBy("query_id"))
+
+
 def with_hyde_fallback(found: DataFrame) -> DataFrame:
-    """Results of the hypothetical-document strategy; a question without such a document uses its own vector."""
-    hyde, standard = (found.filter(F.col("strategy") == s) for s in ("hyde", "standard"))
-    return hyde.unionByName(standard.join(hyde.select("query_id"), "query_id", "left_anti"))
+    """Results of the hypothetical-document strategy; a question without such a document uses its own vector.
+    ``found`` holds the standard and the hypothetical-document results."""
+    return found.withColumn("has_hyde", _has_hyde()).filter((F.col("strategy") == "hyde") | ~F.col("has_hyde")).drop("has_hyde")
 
 
 def all_contexts(found: DataFrame, per: int) -> DataFrame:
-    """The three strategies one after the other, each with its position in the joint list."""
-    columns = ["query_id", "content_hash", "chunk_id", "score", "rank"]
-    parts = [found.filter(F.col("strategy") == "standard").select(*columns), expansion(found, per).select(*columns), with_hyde_fallback(found).select(*columns)]
-    named = [p.withColumn("strategy", F.lit(n)).withColumn("position", F.lit(i * 100) + F.col("rank")) for i, (n, p) in enumerate(zip(("standard", "expansion", "hyde"), parts))]
-    return named[0].unionByName(named[1]).unionByName(named[2])
+    """What the three strategies bring, each content once per strategy, with its place in the joint list.
+
+    ``found`` is read once, and stays dealt by question through all steps: copies are merged per strategy, the
+    expansion is cut to its share, and standard results stand in where the hypothetical document is missing.
+    """
+    placed = found.withColumn("position", F.col("variant_no") * 100 + F.col("rank"))
+    group = ["query_id", "strategy", "strategy_no"]
+    best = F.max_by(F.struct("score", "chunk_id"), F.struct(F.col("score"), -F.col("position")))
+    merged = placed.groupBy(*group, "content_hash").agg(best.alias("best_row"), F.min("position").alias("position"), F.count("*").alias("copies"))
+    merged = merged.select(*group, "content_hash", "best_row.*", "position", "copies")
+    is_expansion = F.col("strategy") == "expansion"
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("score"), "position"))
+    cut = merged.withColumn("place", place).filter(~is_expansion | (F.col("place") <= per)).withColumns({
+        "position": F.when(is_expansion, F.col("place")).otherwise(F.col("position")),
+        "copies": F.when(is_expansion, F.lit(1)).otherwise(F.col("copies"))})
+
+    def entry(name, number):
+        return F.struct(name.alias("strategy"), number.alias("strategy_no"))
+    own, stand_in = entry(F.col("strategy"), F.col("strategy_no")), entry(F.lit("hyde"), F.lit(2))
+    entries = F.when((F.col("strategy") == "standard") & ~F.col("has_hyde"), F.array(own, stand_in)).otherwise(F.array(own))
+    listed = cut.withColumn("has_hyde", _has_hyde()).select("query_id", "content_hash", "score", "chunk_id", "position", "copies", F.inline(entries))
+    return listed.withColumn("position", F.col("strategy_no") * 100 + F.col("position"))
 
 
 def per_strategy(n: int) -> int:
@@ -197,10 +219,11 @@ def funnel(variants: DataFrame, chunks: DataFrame, n: int = 8) -> DataFrame:
     """Contexts found, unique and selected per question, and found per strategy."""
     per = per_strategy(n)
     joint = all_contexts(search_variants(variants, chunks, per), per)
+    strategies = ("standard", "expansion", "hyde")
     per_content = joint.groupBy("query_id", "content_hash").agg(
-        F.count("*").alias("found"), *[F.count(F.when(F.col("strategy") == s, 1)).alias(s) for s in ("standard", "expansion", "hyde")])
+        F.sum("copies").alias("found"), *[F.sum(F.when(F.col("strategy") == s, F.col("copies")).otherwise(0)).alias(s) for s in strategies])
     return per_content.groupBy("query_id").agg(
-        *[F.sum(c).alias(c) for c in ("standard", "expansion", "hyde", "found")], F.count("*").alias("unique_contexts"),
+        *[F.sum(c).alias(c) for c in (*strategies, "found")], F.count("*").alias("unique_contexts"),
         F.least(F.count("*"), F.lit(n)).alias("selected"))
 
 
