@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from querylore.functions.columns import strip
 
-# Words that mark a line as SQL, long and short list.
+# Words that mark a line as SQL: long list, short list, and the list that only looks at the whole answer.
 SQL_WORDS = ["select", "from", "where", "join", "create", "table", "insert", "update", "delete"]
 SQL_WORDS_SHORT = ["select", "from", "where", "join", "create", "table"]
+SQL_WORDS_PROBE = ["select", "from", "where", "join", "create table"]
 SQL_FOCUSED = 0.3
 
 
@@ -27,6 +28,10 @@ def sql_share(answers: DataFrame, words: list[str] = SQL_WORDS, text: str = "tex
     return answers.withColumns({"has_sql": _has_word(F.col(text), words), "sql_share": share, "sql_focused": share > SQL_FOCUSED})
 
 
+def contains_sql(answers: DataFrame, text: str = "text") -> DataFrame:
+    return answers.withColumn("has_sql", _has_word(F.col(text), SQL_WORDS_PROBE))
+
+
 def truncation_flags(answers: DataFrame, text: str = "text") -> DataFrame:
     return answers.withColumns({"ends_with_dots": F.col(text).endswith("..."), "short": F.char_length(text) < 100})
 

@@ -23,7 +23,7 @@ SHARED_BYTES = 64 << 20
 QUESTION_BLOCK = 2_000
 CHUNK_BLOCK = 20_000
 
-# Texts asked about a table and about a statement.
+# Texts asked about a table and about a statement, and the parts of a context text.
 RELATIONSHIP_TEXTS = [
     "relationships of {} table", "{} foreign keys", "tables that reference {}", "{} primary key", "{} table schema relationships",
 ]
@@ -31,6 +31,10 @@ STATEMENT_TABLE_TEXTS = ["{} schema columns indexes", "{} table structure", "{}
 STATEMENT_TEXT = "SQL query optimization for: {}..."
 SEPARATOR = "\n\n---\n\n"
 CORRECTIONS_HEADING = "\n\n--- USER CORRECTIONS ---\n\n"
+NOTHING_FOUND = (
+    "I couldn't find relevant information in the database knowledge base for your query: '{}'. "
+    "Please try rephrasing your question or check if the topic is covered in the documentation."
+)
 
 
 # --- the two ways to bring questions and chunks together -------------------------------------------------------------
@@ -254,7 +258,7 @@ def context_text(questions: DataFrame, selected: DataFrame, chunks: DataFrame, c
         out = out.join(corrections, "query_id", "left")
     else:
         out = out.withColumn("corrections", F.lit(None).cast("string"))
-    message = F.concat(F.lit("No relevant information was found for: '"), "query_text", F.lit("'"))
+    message = F.replace(F.lit(NOTHING_FOUND), F.lit("{}"), F.col("query_text"))
     added = F.coalesce(F.concat(F.lit(CORRECTIONS_HEADING), F.nullif("corrections", F.lit(""))), F.lit(""))
     return out.select("query_id", F.coalesce(F.concat("contexts", added), message).alias("context_text"))
 

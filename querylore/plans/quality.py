@@ -39,6 +39,11 @@ def _(t):
     return X.sql_share(answers(t), X.SQL_WORDS_SHORT).drop("text")
 
 
+@plan("x01_contains_sql", f"WITH {ANSWERS} SELECT origin, id, " + " OR ".join(f"contains(lower(text), '{w}')" for w in X.SQL_WORDS_PROBE) + " AS has_sql FROM ans")
+def _(t):
+    return X.contains_sql(answers(t)).drop("text")
+
+
 @plan("x02_truncation_flags", f"WITH {ANSWERS} SELECT origin, id, ends_with(text, '...') AS ends_with_dots, length(text) < 100 AS short FROM ans")
 def _(t):
     return X.truncation_flags(answers(t)).drop("text")

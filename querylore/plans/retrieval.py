@@ -162,11 +162,14 @@ def _named_questions(t):
     return t.embeddings.select(F.col("vec_id").alias("query_id"), F.concat(F.lit("question "), F.col("vec_id").cast("string")).alias("query_text"))
 
 
+_NOTHING = R.NOTHING_FOUND.replace("'", "''")
+
+
 @plan("r12_context_text", rf"""WITH {_multi(2)}, {_dedup('jt', 'ms', 8, 'strategy')},
 x AS (SELECT m.query_id, m.rank, regexp_replace(c.content, '^\s+|\s+$', '', 'g') AS content FROM ms m JOIN ch c ON m.chunk_id = c.chunk_id),
 j AS (SELECT query_id, string_agg(content, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS contexts FROM x WHERE content <> '' GROUP BY 1)
 SELECT q.vec_id AS query_id, md5(coalesce(j.contexts || CASE WHEN q.label = 3 THEN chr(10) || chr(10) || '--- USER CORRECTIONS ---' || chr(10) || chr(10) || 'use db_order' ELSE '' END,
-  'No relevant information was found for: ''question ' || q.vec_id || '''')) AS context_text FROM embeddings q LEFT JOIN j ON q.vec_id = j.query_id""")
+  replace('{_NOTHING}', '{{}}', 'question ' || q.vec_id))) AS context_text FROM embeddings q LEFT JOIN j ON q.vec_id = j.query_id""")
 def _(t):
     corrections = t.embeddings.filter("label = 3").select(F.col("vec_id").alias("query_id"), F.lit("use db_order").alias("corrections"))
     text = R.context_text(_named_questions(t), R.multi_strategy(t.query_variant, t.kb_chunk, 8), t.kb_chunk, corrections)

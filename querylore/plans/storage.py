@@ -9,7 +9,7 @@ from querylore.operators import pages as P
 from querylore.operators import querylog as Q
 from querylore.plans.catalog import BASE, DOC_SQL, JOIN_LISTS, LISTS, _documents
 from querylore.plans.query_log import ANALYZED, EXTRACTED, UNIQUE, analyzed, unique
-from querylore.plans.query_pages import page_queries
+from querylore.plans.query_pages import PAGES, page_queries
 from querylore.plans.registry import plan
 from querylore.session import scratch_dir
 from querylore.sources import query_files as S
@@ -102,10 +102,29 @@ def _(t):
     return pages.select("path", F.md5("content").alias("content"))
 
 
-@plan("k03_category_pages")
+_CATEGORY_SQL = f"""WITH {PAGES}, lv AS (SELECT * FROM (VALUES (0, 'Low'), (1, 'Medium'), (2, 'High'), (3, 'Very High')) AS v(level_no, complexity)),
+cl AS (SELECT category, complexity, count(*) AS n FROM pg GROUP BY 1, 2),
+lx AS (SELECT t.category, lv.level_no, lv.complexity, coalesce(cl.n, 0) AS n, printf('%.1f%%', coalesce(cl.n, 0)::DOUBLE / total * 100) AS pct
+  FROM tot t CROSS JOIN lv LEFT JOIN cl ON cl.category = t.category AND cl.complexity = lv.complexity),
+ll AS (SELECT category, string_agg('| ' || complexity || ' | ' || n || ' | ' || pct || ' |' || chr(10), '' ORDER BY level_no) AS levels FROM lx GROUP BY 1),
+ct AS (SELECT category, table_name, count(*) AS n FROM pt GROUP BY 1, 2),
+tx AS (SELECT ct.category, table_name, n, total, row_number() OVER (PARTITION BY ct.category ORDER BY n DESC, table_name) AS r FROM ct JOIN tot ON ct.category = tot.category),
+tt AS (SELECT category, string_agg('| ' || table_name || ' | ' || n || ' | ' || printf('%.1f%%', n::DOUBLE / total * 100) || ' |' || chr(10), '' ORDER BY r) AS tables FROM tx WHERE r <= 15 GROUP BY 1),
+sx AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY complexity, query_id) AS r FROM pg),
+ss AS (SELECT category, string_agg('### Query ' || query_id || chr(10) || chr(10) || '**Complexity**: ' || complexity || '  ' || chr(10) || '**Tables**: ' || array_to_string(tables, ', ') || '  '
+  || chr(10) || chr(10) || '```sql' || chr(10) || query_text || chr(10) || '```' || chr(10) || chr(10), '' ORDER BY r) AS samples FROM sx WHERE r <= 20 GROUP BY 1)
+SELECT 'query_patterns/' || t.category || '.md' AS path, md5('# ' || t.category || ' Queries' || chr(10) || chr(10) || 'This document contains ' || total
+  || ' queries categorized as ' || chr(39) || t.category || chr(39) || '.' || chr(10) || chr(10) || '## Complexity Distribution' || chr(10) || chr(10)
+  || '| Complexity | Count | Percentage |' || chr(10) || '|-----------|-------|------------|' || chr(10) || levels
+  || coalesce(chr(10) || '## Tables Used in this Category' || chr(10) || chr(10) || '| Table Name | Query Count | Percentage |' || chr(10) || '|------------|------------|------------|' || chr(10) || tables, '')
+  || chr(10) || '## Sample Queries' || chr(10) || chr(10) || coalesce(samples, '')) AS content
+FROM tot t JOIN ll ON t.category = ll.category LEFT JOIN tt ON t.category = tt.category LEFT JOIN ss ON t.category = ss.category"""
+
+
+@plan("k03_category_pages", _CATEGORY_SQL)
 def _(t):
     folder = K.write_pages(P.category_pages(page_queries(t)), scratch_dir(t.spark, "category-pages"))
-    return K.read_pages(t.spark, folder)
+    return K.read_pages(t.spark, folder).withColumn("content", F.md5("content"))
 
 
 _PATH = """'/data/docs/' || source || CASE WHEN doc_id % 2 = 0 THEN '/' ELSE chr(92) END || CAST(doc_id AS STRING) ||

@@ -10,9 +10,9 @@ from querylore.streaming import jobs as Z
 
 
 def _arriving(t, df, name: str):
-    """The table as a stream of four files, one per batch."""
+    """The table as a stream of two files, one per batch."""
     folder = scratch_dir(t.spark, f"arriving-{name}")
-    df.repartition(4).write.parquet(folder)
+    df.repartition(2).write.parquet(folder)
     return Z.arriving(t.spark, folder, df.schema, files_per_batch=1)
 
 

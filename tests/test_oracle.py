@@ -9,7 +9,7 @@ from __spark_entry__ import entry, oracle_sql, queries
 
 FOLDER = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="supplied tables not found")
-WITHOUT_TWIN = {"z02_first_requests", "k03_category_pages"}
+WITHOUT_TWIN = {"z02_first_requests"}
 
 
 @pytest.fixture(scope="module")

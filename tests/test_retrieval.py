@@ -200,7 +200,7 @@ def test_texts(spark):
     selected = spark.createDataFrame([(1, 2, 7), (1, 1, 8), (1, 3, 9)], "query_id int, rank int, chunk_id int")
     chunks = spark.createDataFrame([(7, " b "), (8, "a"), (9, " ")], "chunk_id int, content string")
     got = dict(tuple(r) for r in R.context_text(questions, selected, chunks, spark.createDataFrame([(1, "fix")], "query_id int, corrections string")).collect())
-    assert got == {1: "a\n\n---\n\nb\n\n--- USER CORRECTIONS ---\n\nfix", 2: "No relevant information was found for: 'how'"}
+    assert got == {1: "a\n\n---\n\nb\n\n--- USER CORRECTIONS ---\n\nfix", 2: R.NOTHING_FOUND.format("how")}
     asked = spark.createDataFrame([(1, "SELECT x FROM a JOIN b JOIN a")], "query_id int, sql string")
     texts = [r["query_text"] for r in R.statement_questions(asked).orderBy("question_no").collect()]
     assert texts[0] == "a schema columns indexes" and texts[6:9] == texts[0:3] and len(texts) == 10 and texts[-1].startswith("SQL query optimization for: SELECT x")
