@@ -321,14 +321,17 @@ def relationship_search(documents: DataFrame, names: DataFrame, n: int = 10) ->
     named = naming.select("tenant", "asked", "doc", "content_hash", each).withColumn("names_it", F.lit(1))
     leading = last_per_group(scored.select("tenant", "doc", "content_hash", each), ["tenant", "question_no"], [F.desc("held"), F.col("doc")], per).drop("position")
     others = leading.join(asked, "tenant").withColumn("names_it", F.lit(0))
-    columns = ["tenant", "asked", "question_no", "doc", "content_hash", "held"]
-    candidates = named.select(*columns, "names_it").unionByName(others.select(*columns, "names_it")).groupBy(*columns).agg(F.max("names_it").alias("names_it"))
     sizes = F.array(*[F.lit(len(f)) for f in fixed])
     lists_of_words = F.array(*[F.array(*map(F.lit, f)) for f in fixed])
     is_new = (~F.array_contains(F.get(lists_of_words, F.col("question_no")), F.lower("asked"))).cast("int")
     score = (F.col("held") + F.col("names_it") * is_new) / (F.get(sizes, F.col("question_no")) + is_new)
-    ranked = last_per_group(candidates.withColumn("score", score), ["tenant", "asked", "question_no"], [F.desc("score"), F.col("doc")], per, rank="rank")
-    found = ranked.withColumn("position", F.col("question_no") * 100 + F.col("rank"))
+    question = ["tenant", "asked", "question_no"]
+    candidates = named.unionByName(others).select(*question, "doc", "content_hash", score.alias("score"))
+    order = [F.desc("score"), F.col("doc")]
+    # a document is listed twice at most, with and without its name counted, so twice the number holds all that matter
+    near = last_per_group(candidates, question, order, 2 * per)
+    once = near.groupBy(*question, "doc", "content_hash").agg(F.max("score").alias("score"))
+    found = last_per_group(once, question, order, per, rank="rank").withColumn("position", F.col("question_no") * 100 + F.col("rank"))
     return best_contexts(found, ["tenant", "asked"], ["doc", "question_no"], n)
 
 
