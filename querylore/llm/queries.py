@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from querylore.llm import ngram_join as N
+from querylore.llm import sharding as H
+from querylore.llm import substring_dedup as S
+from querylore.llm import winnowing as W
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,7 +21,25 @@ def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return N.ngram_jaccard_join(_table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    placed = H.assign_shards(_table(spark, folder, "documents").select("doc_id", "text"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = S.remove_repeated_windows(_table(spark, folder, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op6_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    rows = W.fingerprints(_table(spark, folder, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_sharding": op2_sharding,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op6_document_fingerprints": op6_document_fingerprints,
 }
 SQL: dict[str, str] = {}
