@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from querylore.llm import chat as C
+from querylore.llm import decontaminate as D
 from querylore.llm import ngram_join as N
 from querylore.llm import sharding as H
 from querylore.llm import substring_dedup as S
@@ -31,15 +33,51 @@ def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    rows = C.rotate_perspectives(_table(spark, folder, "conversations"))
+    mask = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return rows.select("conv_id", "perspective", "part", "n_turns", "text", mask.alias("mask"))
+
+
 def op6_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     rows = W.fingerprints(_table(spark, folder, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return D.contained_items(_table(spark, folder, "documents").select("doc_id", "text"), _table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_sharding": op2_sharding,
     "op3_substring_dedup": op3_substring_dedup,
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_document_fingerprints": op6_document_fingerprints,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
+}
+
+_WORDS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+_CHAT = """WITH t AS (SELECT conv_id, turn, turn // 64 AS part, CASE WHEN role <> '' THEN role ELSE 'unknown' END AS role,
+  replace(coalesce(text, ''), '<|im_', '<| im_') || '<|im_end|>' AS said FROM conversations),
+s AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
+m AS (SELECT t.conv_id, perspective, part, turn, role = perspective AS own, said, '<|im_start|>' || CASE WHEN role = perspective THEN 'assistant'
+  WHEN role = 'system' THEN role ELSE 'user name=' || role END || chr(10) AS head FROM t JOIN s ON t.conv_id = s.conv_id),
+p AS (SELECT *, sum(length(head) + length(said) + 1) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn) - 1 AS stop FROM m)
+SELECT conv_id, perspective, part, count(*) AS n_turns, string_agg(head || said || chr(10), '' ORDER BY turn) AS text,
+  coalesce(string_agg((stop - length(said))::BIGINT || '-' || stop::BIGINT, ',' ORDER BY turn) FILTER (WHERE own), '') AS mask
+FROM p GROUP BY conv_id, perspective, part"""
+
+_LEAKS = f"""WITH dw AS (SELECT doc_id, {_WORDS} AS w FROM documents), iw AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+dl AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM dw WHERE len(w) > 0),
+il AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM iw WHERE len(w) > 0),
+d AS (SELECT DISTINCT doc_id, list_slice(w, k, k + 4) AS s FROM dl), i AS (SELECT DISTINCT item_id, list_slice(w, k, k + 4) AS s FROM il),
+n AS (SELECT item_id, count(*) AS n FROM i GROUP BY 1)
+SELECT doc_id, item_id, n AS item_shingles, count(*) AS shared_shingles, count(*) / n AS containment
+FROM d JOIN i USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n HAVING 100 * count(*) >= 80 * n"""
+
+SQL: dict[str, str] = {
+    "op5_chat_formatting": _CHAT,
+    "op10_benchmark_decontamination": _LEAKS,
 }
-SQL: dict[str, str] = {}
