@@ -2,17 +2,32 @@
 
 from __future__ import annotations
 
+import importlib.util
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from querylore.llm import bpe as B
 from querylore.llm import chat as C
 from querylore.llm import decontaminate as D
+from querylore.llm import language_id as L
 from querylore.llm import ngram_join as N
 from querylore.llm import sharding as H
 from querylore.llm import substring_dedup as S
+from querylore.llm import token_files as T
 from querylore.llm import winnowing as W
+from querylore.session import scratch_dir
+
+
+def vocabulary(name: str) -> str:
+    """The path of a public vocabulary file; TOKENIZER_DIR names another folder than the installed package's."""
+    folder = os.environ.get("TOKENIZER_DIR")
+    if not folder:
+        found = importlib.util.find_spec("public_tokenizers")
+        folder = os.path.dirname(found.origin) if found else "/opt/tokenizers"
+    return os.path.join(folder, name)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,6 +48,13 @@ def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op4_bpe_encoding(spark: SparkSession, folder: str) -> DataFrame:
+    file = vocabulary("word_bpe_49k.json")
+    coded = B.decode(B.encode(_table(spark, folder, "documents").select("doc_id", "text"), file), file)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     rows = C.rotate_perspectives(_table(spark, folder, "conversations"))
     mask = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -44,6 +66,15 @@ def op6_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = T.write_records(_table(spark, folder, "documents").select("doc_id", "text"), vocabulary("byte_bpe_50k.json"), scratch_dir(spark, "token-files"))
+    return T.read_records(T.open_records(spark, path)).select("doc_id", "start", F.col("n_ids").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return L.identify(_table(spark, folder, "documents").select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return D.contained_items(_table(spark, folder, "documents").select("doc_id", "text"), _table(spark, folder, "benchmark"))
 
@@ -52,8 +83,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_sharding": op2_sharding,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_bpe_encoding": op4_bpe_encoding,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_document_fingerprints": op6_document_fingerprints,
+    "op8_token_files": op8_token_files,
+    "op9_language_id": op9_language_id,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
