@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from querylore.llm import bpe as B
 from querylore.llm import chat as C
 from querylore.llm import decontaminate as D
+from querylore.llm import html_extract as X
 from querylore.llm import language_id as L
 from querylore.llm import ngram_join as N
 from querylore.llm import sharding as H
@@ -66,6 +67,10 @@ def op6_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op7_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return X.extract(_table(spark, folder, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = T.write_records(_table(spark, folder, "documents").select("doc_id", "text"), vocabulary("byte_bpe_50k.json"), scratch_dir(spark, "token-files"))
     return T.read_records(T.open_records(spark, path)).select("doc_id", "start", F.col("n_ids").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe_encoding": op4_bpe_encoding,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_document_fingerprints": op6_document_fingerprints,
+    "op7_html_extraction": op7_html_extraction,
     "op8_token_files": op8_token_files,
     "op9_language_id": op9_language_id,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
