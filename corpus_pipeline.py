@@ -3,9 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from querylore.llm import ngram_join
+from querylore.llm import bpe, decontaminate, language_id, ngram_join, substring_dedup
 from querylore.llm.common import stored
+from querylore.llm.queries import vocabulary
+
+
+def _clear_of(docs: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """The frame with its own columns of these names out of an operator's way, and how to name them back."""
+    moved = {c: f"_kept_{c}" for c in docs.columns if c in names}
+    return docs.withColumnsRenamed(moved), {new: old for old, new in moved.items()}
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised stay: those without letters, or with a score below the calibrated bound, go."""
+    own, back = _clear_of(docs, ["held_out", "lang_pred", "score", "accepted"])
+    kept = language_id.identify(own).filter("accepted").drop("held_out", "lang_pred", "score", "accepted")
+    return kept.withColumnsRenamed(back).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,11 +28,36 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return ngram_join.keep_one(docs)
 
 
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words that repeat 50 words or more of an earlier document go; a document that loses none keeps its text as it is."""
+    own, back = _clear_of(docs, ["kept_text", "n_words", "n_removed"])
+    cut = substring_dedup.remove_repeated_windows(own).withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return cut.drop("kept_text", "n_words", "n_removed").withColumnsRenamed(back).select(*docs.columns)
+
+
+def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain an item of the benchmark go."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, source, n_tokens, ids, decoded) of each document."""
+    file = vocabulary("word_bpe_49k.json")
+    coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), file), file)
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
+
+
 STAGES = [
+    ("language_id", known_language),
     ("ngram_jaccard_join", near_duplicates),
+    ("substring_dedup", repeated_passages),
+    ("benchmark_decontamination", without_benchmarks),
+    ("bpe_encoding", encoded),
 ]
 
-# stages of learned models and of sub-word ids have no SQL form; tests/llm compares the pipeline with a plain version
+# a learned model and sub-word ids have no SQL form; tests/llm compares the whole pipeline with a plain version
 ORACLE_SQL = None
 
 
