@@ -24,7 +24,7 @@ def rows_estimate(df: DataFrame) -> int:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reachable over the undirected links ``a``, ``b`` (longs).
+    """(node, component): the smallest node reachable over the undirected links ``a``, ``b`` (longs), of all nodes but these smallest.
 
     Alternating large-star and small-star steps. A node with very many links is an aggregation with partial sums and a join
     whose large side Spark can split; no neighbour list is ever collected. Each round is a stored table.

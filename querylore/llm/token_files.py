@@ -273,18 +273,18 @@ def look_up(files: DataFrame, keys: DataFrame) -> DataFrame:
     A key's chunk is found by the id ranges of the chunks; the chunk's perfect hash then leads to the record in constant time.
     """
 
-    def find(key, asked: pa.Table, stored_: pa.Table) -> pa.Table:
-        wanted = asked.column("doc_id").to_numpy()
-        out_ids, out = [], []
-        for row in stored_.to_pylist():
-            chunk = _Chunk(row)
-            slots = chunk.find(wanted, np.zeros(len(wanted), np.uint32))
-            out_ids += wanted[slots >= 0].tolist()
-            out += [chunk.ids(s).tobytes() for s in slots[slots >= 0]]
-        return pa.table({"doc_id": pa.array(out_ids, pa.int64()), "ids": pa.array(out, pa.binary())})
-
-    ranges = files.select("bucket", "chunk", "first_id", "last_id")
-    one = keys.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    asked = one.join(ranges, F.col("doc_id").between(F.col("first_id"), F.col("last_id"))).select("bucket", "chunk", "doc_id")
-    return asked.groupBy("bucket", "chunk").cogroup(files.groupBy("bucket", "chunk")).applyInArrow(find, "doc_id long, ids binary")
+    def find(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                wanted = np.array(row["asked"], np.int64)
+                chunk = _Chunk(row)
+                slots = chunk.find(wanted, np.zeros(len(wanted), np.uint32))
+                hit = slots >= 0
+                yield pa.RecordBatch.from_arrays([pa.array(wanted[hit]), pa.array([chunk.ids(s).tobytes() for s in slots[hit]], pa.binary())], ["doc_id", "ids"])
 
+    ranges = files.select(F.col("bucket").alias("_bucket"), F.col("chunk").alias("_chunk"), "first_id", "last_id")
+    one = keys.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    # a chunk is asked for no more keys than it has documents, but for keys between its own
+    asked = one.join(ranges, F.col("doc_id").between(F.col("first_id"), F.col("last_id"))).groupBy("_bucket", "_chunk").agg(F.collect_list("doc_id").alias("asked"))
+    own = files.join(asked, (F.col("bucket") == F.col("_bucket")) & (F.col("chunk") == F.col("_chunk")))
+    return own.drop("_bucket", "_chunk").mapInArrow(find, "doc_id long, ids binary")
