@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from querylore.functions.columns import count_if, epoch_seconds, strip
+from querylore.functions.columns import count_if, strip
 from querylore.operators.relational import number_rows
 
 GROUP = ["kb_id", "company_id"]
@@ -18,7 +18,6 @@ PATTERN_TERMS = {
     "orders": "[ORDER_ENTITY]",
     "payments": "[PAYMENT_ENTITY]",
 }
-ID_PAGE = 10_000
 
 
 def accept_feedback(requests: DataFrame, sessions: DataFrame, messages: DataFrame) -> DataFrame:
@@ -76,22 +75,20 @@ def mark_reviewed(feedback: DataFrame, now: Column) -> DataFrame:
         "processing_status": F.when(taken, "reviewed").otherwise(F.col("processing_status"))})
 
 
-def improvement_log(training: DataFrame, now: Column) -> DataFrame:
-    """One row per source and company with a running job. The ids are in ``improvement_log_ids``."""
+def improvement_log(training: DataFrame) -> DataFrame:
+    """One row per source and company. The ids are in ``improvement_log_ids``."""
     counted = training.groupBy(*GROUP).agg(F.count("*").alias("processed"))
     numbered = number_rows(counted, GROUP, "log_id", F.lit(0))
     return numbered.select(
         "log_id", *GROUP, F.lit("content_update").alias("improvement_type"),
         F.concat(F.lit("Processed "), F.col("processed").cast("string"), F.lit(" user corrections")).alias("description"),
-        F.lit("ingestion_job").alias("implementation_method"), F.lit("in_progress").alias("status"),
-        F.concat(F.lit("job-"), F.col("log_id").cast("string"), F.lit("-"), epoch_seconds(now).cast("string")).alias("ingestion_job_id"))
+        F.lit("ingestion_job").alias("implementation_method"), F.lit("in_progress").alias("status"))
 
 
-def improvement_log_ids(training: DataFrame, page_size: int = ID_PAGE) -> DataFrame:
-    """The training ids of a log row as JSON lists. A page is a range of ids, so a list has ``page_size`` entries at most,
-    however many corrections one source gets."""
-    paged = training.withColumn("page", F.floor(F.col("training_id") / page_size))
-    return paged.groupBy(*GROUP, "page").agg(F.to_json(F.array_sort(F.collect_list("training_id"))).alias("training_ids"))
+def improvement_log_ids(training: DataFrame) -> DataFrame:
+    """The training rows of each log row, as rows: their number grows with the corrections of one source."""
+    log = improvement_log(training).select("log_id", *GROUP)
+    return training.select("training_id", *GROUP).join(log, GROUP).select("log_id", "training_id")
 
 
 def correction_documents(training: DataFrame, now: Column) -> DataFrame:

@@ -169,7 +169,7 @@ def sales_by_period(orders, items, period: str = "month", months: int | None = 1
         confirmed.join(item_counts(items), "wo")
         .groupBy(*PERIODS[period]("order_date"))
         .agg(
-            F.count_distinct("wo").alias("order_count"),
+            F.count("*").alias("order_count"),  # rows are one for each order here
             F.count_distinct("customer").alias("unique_customers"),
             F.sum(F.col("total") * lines).cast("double").alias("total_revenue"),
             (F.sum(F.col("total") * lines).cast("double") / F.sum(lines)).alias("average_order_value"),
@@ -338,11 +338,16 @@ def export_format(orders: DataFrame) -> DataFrame:
 
 # --- cost and shop floor --------------------------------------------------------------------------------------------
 
-def _costed(orders, items, products) -> DataFrame:
+def _costed(orders, items, products, customers=None, statuses=None) -> DataFrame:
+    """Cost of every line of a started order. Conditions on the order's customer and status cut orders before their lines are joined."""
     relief = 1 + F.col("product") % 4
+    started = orders.filter(F.col("status") >= 1).select("wo", "status", "customer")
+    if statuses is not None:
+        started = started.join(statuses.filter(F.col("type") == "ORDER").select("status"), "status", "left_semi")
+    if customers is not None:
+        started = started.join(customers.select("customer"), "customer", "left_semi")
     return (
-        orders.filter(F.col("status") >= 1).select("wo", "status", "customer")
-        .join(items, "wo")
+        started.join(items, "wo")
         .join(products.select("product", "description", "standard_cost"), "product")
         .withColumn("cost", F.col("standard_cost").cast("double") * (F.col("qty").cast("double") / relief))
     )
@@ -351,12 +356,9 @@ def _costed(orders, items, products) -> DataFrame:
 def order_cost(orders, items, products, customers, statuses, by_box: bool = True) -> DataFrame:
     """Unit and line cost. A box is the ship date of a line; non-grouped columns take their smallest value."""
     keys = ["ship_date", "wo", "item"] if by_box else ["wo", "item"]
-    order_status = statuses.filter(F.col("type") == "ORDER").select("status")
     unit = quotient(F.col("cost"), F.col("qty"))
     grouped = (
-        _costed(orders, items, products)
-        .join(order_status, "status", "left_semi")
-        .join(customers.select("customer"), "customer", "left_semi")
+        _costed(orders, items, products, customers, statuses)
         .groupBy(*keys)
         .agg(
             F.min("description").alias("product"), F.min("qty").cast("double").alias("qty"),

@@ -107,7 +107,7 @@ def top_k(questions: DataFrame, chunks: DataFrame, k: int = 5, keys: tuple[str,
 
 def terms(text: Column) -> Column:
     """Distinct lower-case words of a text."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), 0))
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), 0))
 
 
 def term_numbers(text: Column) -> Column:
@@ -144,6 +144,14 @@ def hybrid_top_k(questions: DataFrame, chunks: DataFrame, k: int = 5, w_vector:
     return last_per_group(best, keys, [F.desc("score"), F.col("chunk_id")], k, rank="rank")
 
 
+def place(rank: Column, variant_no: Column | None = None, strategy_no: Column | None = None) -> Column:
+    """One number in the order of strategy, variant, rank: each takes bits of its own, so no two places are equal."""
+    at = rank.cast("bigint")
+    for number, bits in ((variant_no, 32), (strategy_no, 52)):
+        at = at if number is None else F.shiftleft(number.cast("bigint"), bits) + at
+    return at
+
+
 # --- merging --------------------------------------------------------------------------------------------------------
 
 def dedup_contexts(found: DataFrame, group: list[str], keep: list[str]) -> DataFrame:
@@ -170,7 +178,7 @@ def search_variants(variants: DataFrame, chunks: DataFrame, k: int) -> DataFrame
 
 def expansion(found: DataFrame, k: int) -> DataFrame:
     """Merge the variants of the expansion strategy; ``from_variant`` tells which one brought a context."""
-    own = found.withColumn("position", F.col("variant_no") * 100 + F.col("rank")).withColumn("from_variant", F.col("variant_no"))
+    own = found.withColumn("position", place(F.col("rank"), F.col("variant_no"))).withColumn("from_variant", F.col("variant_no"))
     return best_contexts(own, ["query_id"], ["chunk_id", "from_variant"], k)
 
 
@@ -190,14 +198,14 @@ def all_contexts(found: DataFrame, per: int) -> DataFrame:
     ``found`` is read once, and stays dealt by question through all steps: copies are merged per strategy, the
     expansion is cut to its share, and standard results stand in where the hypothetical document is missing.
     """
-    placed = found.withColumn("position", F.col("variant_no") * 100 + F.col("rank"))
+    placed = found.withColumn("position", place(F.col("rank"), F.col("variant_no")))
     group = ["query_id", "strategy", "strategy_no"]
     best = F.max_by(F.struct("score", "chunk_id"), F.struct(F.col("score"), -F.col("position")))
     merged = placed.groupBy(*group, "content_hash").agg(best.alias("best_row"), F.min("position").alias("position"), F.count("*").alias("copies"))
     merged = merged.select(*group, "content_hash", "best_row.*", "position", "copies")
     is_expansion = F.col("strategy") == "expansion"
-    place = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("score"), "position"))
-    cut = merged.withColumn("place", place).filter(~is_expansion | (F.col("place") <= per)).withColumns({
+    standing = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("score"), "position"))
+    cut = merged.withColumn("place", standing).filter(~is_expansion | (F.col("place") <= per)).withColumns({
         "position": F.when(is_expansion, F.col("place")).otherwise(F.col("position")),
         "copies": F.when(is_expansion, F.lit(1)).otherwise(F.col("copies"))})
 
@@ -206,7 +214,7 @@ def all_contexts(found: DataFrame, per: int) -> DataFrame:
     own, stand_in = entry(F.col("strategy"), F.col("strategy_no")), entry(F.lit("hyde"), F.lit(2))
     entries = F.when((F.col("strategy") == "standard") & ~F.col("has_hyde"), F.array(own, stand_in)).otherwise(F.array(own))
     listed = cut.withColumn("has_hyde", _has_hyde()).select("query_id", "content_hash", "score", "chunk_id", "position", "copies", F.inline(entries))
-    return listed.withColumn("position", F.col("strategy_no") * 100 + F.col("position"))
+    return listed.withColumn("position", place(F.col("position"), strategy_no=F.col("strategy_no")))
 
 
 def per_strategy(n: int) -> int:
@@ -273,24 +281,55 @@ def reused_requests(requests: DataFrame, key: str = "request_key", ts: str = "ts
     """Which requests are computed and which reuse an answer computed less than ``ttl`` seconds ago. Reuse does not
     extend the life of an answer.
 
-    Time counts in whole seconds. Requests of one key and second are merged first, so what a task sees of the busiest
-    key is bounded by the seconds the log covers and not by the number of requests.
+    Time counts in whole seconds, and requests of one key and second are merged first. The chain of computed requests of a busy key is
+    cut into spans of time (a day, or ``ttl`` if that is longer). For every second at which a span may be entered, a task finds when its
+    chain leaves the span; a fold over the few spans of a key tells where each is really entered; then all spans are
+    marked at once. So the work of one key is spread over its spans.
     """
-    seconds = requests.groupBy(key, epoch_seconds(F.col(ts)).alias("second")).agg(F.count("*").alias("requests"))
+    import numpy as np
 
-    def chain(table: pa.Table) -> pa.Table:
-        import numpy as np
+    span = max(86_400, ttl)
+    seconds = requests.groupBy(key, epoch_seconds(F.col(ts)).alias("second")).agg(F.count("*").alias("requests"))
+    parted = seconds.withColumn("span", F.floor(F.col("second") / span).cast("bigint"))
+    kind = dict(seconds.dtypes)[key]
 
+    def exits(table: pa.Table) -> pa.Table:
+        """The first seconds of a span, up to the first one at which any answer from before has ended, with where their chains leave."""
+        table = table.sort_by("second")
+        second, number = table.column("second").to_numpy(), table.column("span")[0].as_py()
+        after = np.searchsorted(second, second + ttl, side="left")
+        leaves = np.zeros(len(second), np.int64)
+        for i in range(len(second) - 1, -1, -1):
+            leaves[i] = second[i] + ttl if after[i] == len(second) else leaves[after[i]]
+        head = min(len(second), int(np.searchsorted(second, number * span + ttl, side="left")) + 1)
+        own = {key: table.column(key)[:1], "span": table.column("span")[:1], "seconds": pa.array([second[:head].tolist()], pa.list_(pa.int64()))}
+        return pa.table(own | {"leaves": pa.array([leaves[:head].tolist()], pa.list_(pa.int64()))})
+
+    def enter(table: pa.Table) -> pa.Table:
+        """When each span of one key may compute again for the first time."""
+        table = table.sort_by("span")
+        free, entries = None, []
+        for row_seconds, row_leaves in zip(table.column("seconds"), table.column("leaves")):
+            first, leaves = row_seconds.values.to_numpy(), row_leaves.values.to_numpy()
+            free = int(first[0]) if free is None else free
+            entries.append(free)
+            at = int(np.searchsorted(first, free, side="left"))
+            free = int(leaves[at]) if at < len(first) else free
+        return pa.table({key: table.column(key), "span": table.column("span"), "free": pa.array(entries, pa.int64())})
+
+    def mark(table: pa.Table) -> pa.Table:
         table = table.sort_by("second")
-        second = table.column("second").to_numpy()
-        computed = np.zeros(len(second), np.int64)
-        at = 0
+        second, computed = table.column("second").to_numpy(), np.zeros(table.num_rows, np.int64)
+        at = int(np.searchsorted(second, table.column("free")[0].as_py(), side="left"))
         while at < len(second):
             computed[at] = 1
             at = int(np.searchsorted(second, second[at] + ttl, side="left"))
-        return table.append_column("computed", pa.array(computed))
+        return table.select([key, "second", "requests"]).append_column("computed", pa.array(computed))
 
-    return seconds.groupBy(key).applyInArrow(chain, f"{key} string, second bigint, requests bigint, computed bigint").withColumn("reused", F.col("requests") - F.col("computed"))
+    ways = parted.groupBy(key, "span").applyInArrow(exits, f"{key} {kind}, span bigint, seconds array<bigint>, leaves array<bigint>")
+    entries = ways.groupBy(key).applyInArrow(enter, f"{key} {kind}, span bigint, free bigint")
+    marked = parted.join(entries, [key, "span"]).groupBy(key, "span").applyInArrow(mark, f"{key} {kind}, second bigint, requests bigint, computed bigint")
+    return marked.withColumn("reused", F.col("requests") - F.col("computed"))
 
 
 def with_errors(questions: DataFrame, found: DataFrame) -> DataFrame:
@@ -305,33 +344,30 @@ def with_errors(questions: DataFrame, found: DataFrame) -> DataFrame:
 def relationship_search(documents: DataFrame, names: DataFrame, n: int = 10) -> DataFrame:
     """Documents that answer five fixed questions about every table of a tenant, by share of question words.
 
-    A document's share for a question is its share of the fixed words plus one for naming the table. So the best are
-    among the documents naming the table (an equi join on the name) and the best by fixed words (a few per question):
-    the documents of a tenant are never paired with all its tables. ``names`` has the tables to ask about.
+    A question's words are its fixed words and the words of the table's name, which may be several (``sales-log``) and of any case. So
+    the best documents are among those holding a word of the name (an equi join on the word) and the best by fixed
+    words (a few per question): documents are not paired with tables whose name they share no word with. ``names`` has the tables to ask about.
     """
     per = n // len(RELATIONSHIP_TEXTS) + 1
-    fixed = [sorted(set(t.replace("{}", " ").split())) for t in RELATIONSHIP_TEXTS]
+    fixed = [F.array(*map(F.lit, sorted(set(t.replace("{}", " ").split())))) for t in RELATIONSHIP_TEXTS]
     words = documents.select("tenant", F.col("table_name").alias("doc"), F.md5("content").alias("content_hash"), terms(F.col("content")).alias("words"))
-    held = F.array(*[F.size(F.array_intersect("words", F.array(*map(F.lit, f)))) for f in fixed])
-    scored = words.withColumn("held", held)
-    asked = names.select("tenant", F.col("table_name").alias("asked"))
+    scored = words.withColumn("held", F.array(*[F.size(F.array_intersect("words", f)) for f in fixed]))
+    asked = names.select("tenant", F.col("table_name").alias("asked")).withColumn("name_words", terms(F.col("asked")))
+    sizes = F.array(*[F.size(F.array_union(f, F.col("name_words"))) for f in fixed])
     # outer forms: the plain ones add filters that would compute the words of every document again
-    each = F.posexplode_outer("held").alias("question_no", "held")
-    naming = scored.select("tenant", "doc", "content_hash", "held", F.explode_outer("words").alias("asked")).join(asked, ["tenant", "asked"], "left_semi")
-    named = naming.select("tenant", "asked", "doc", "content_hash", each).withColumn("names_it", F.lit(1))
-    leading = last_per_group(scored.select("tenant", "doc", "content_hash", each), ["tenant", "question_no"], [F.desc("held"), F.col("doc")], per).drop("position")
-    others = leading.join(asked, "tenant").withColumn("names_it", F.lit(0))
-    sizes = F.array(*[F.lit(len(f)) for f in fixed])
-    lists_of_words = F.array(*[F.array(*map(F.lit, f)) for f in fixed])
-    is_new = (~F.array_contains(F.get(lists_of_words, F.col("question_no")), F.lower("asked"))).cast("int")
-    score = (F.col("held") + F.col("names_it") * is_new) / (F.get(sizes, F.col("question_no")) + is_new)
+    by_word = asked.select("tenant", "asked", "name_words", F.explode_outer("name_words").alias("word"))
+    holding = scored.select("tenant", "doc", "content_hash", "held", F.explode_outer("words").alias("word")).join(by_word, ["tenant", "word"])
+    # counted per pair: of a name's words, those that are not among the fixed words of the question add to what a document holds
+    extra = [F.sum(F.when(F.array_contains(f, F.col("word")), 0).otherwise(1)) for f in fixed]
+    pairs = holding.groupBy("tenant", "asked", "name_words", "doc", "content_hash", "held").agg(F.array(*extra).alias("extra"))
+    named = pairs.select("tenant", "asked", "name_words", "doc", "content_hash", F.posexplode_outer(F.transform("held", lambda h, i: h + F.get("extra", i))).alias("question_no", "held"))
+    leading = last_per_group(scored.select("tenant", "doc", "content_hash", F.posexplode_outer("held").alias("question_no", "held")), ["tenant", "question_no"], [F.desc("held"), F.col("doc")], per).drop("position")
+    others = leading.join(asked, "tenant").select(*named.columns)
     question = ["tenant", "asked", "question_no"]
-    candidates = named.unionByName(others).select(*question, "doc", "content_hash", score.alias("score"))
-    order = [F.desc("score"), F.col("doc")]
-    # a document is listed twice at most, with and without its name counted, so twice the number holds all that matter
-    near = last_per_group(candidates, question, order, 2 * per)
-    once = near.groupBy(*question, "doc", "content_hash").agg(F.max("score").alias("score"))
-    found = last_per_group(once, question, order, per, rank="rank").withColumn("position", F.col("question_no") * 100 + F.col("rank"))
+    candidates = named.unionByName(others).select(*question, "doc", "content_hash", (F.col("held") / F.get(sizes, F.col("question_no"))).alias("score"))
+    # a document is listed twice at most, with and without its name counted
+    once = candidates.groupBy(*question, "doc", "content_hash").agg(F.max("score").alias("score"))
+    found = last_per_group(once, question, [F.desc("score"), F.col("doc")], per, rank="rank").withColumn("position", place(F.col("rank"), F.col("question_no")))
     return best_contexts(found, ["tenant", "asked"], ["doc", "question_no"], n)
 
 
@@ -348,5 +384,5 @@ def statement_search(statements: DataFrame, chunks: DataFrame, n: int = 10) -> D
     """Context for SQL statements. Each distinct question text is searched once, whatever the number of statements."""
     asked = statement_questions(statements)
     best = keyword_top_k(asked.select("query_text").distinct(), chunks, 5, ("query_text",), carry="content_hash")
-    found = asked.join(best, "query_text").filter(F.col("rank") <= F.col("k")).withColumn("position", F.col("question_no") * 100 + F.col("rank"))
+    found = asked.join(best, "query_text").filter(F.col("rank") <= F.col("k")).withColumn("position", place(F.col("rank"), F.col("question_no")))
     return best_contexts(found, ["query_id"], ["chunk_id", "question_no"], n)

@@ -70,16 +70,18 @@ def _(t):
     return V.mark_reviewed(t.query_feedback, now(t)).select("id", "processing_status", stamp("processed_at"), "processed_by")
 
 
-@plan("v07_improvement_log", f"""WITH {TRAINING}, c AS (SELECT kb_id, company_id, count(*) AS n FROM tr GROUP BY 1, 2),
-l AS (SELECT *, row_number() OVER (ORDER BY left(md5(kb_id || '|' || CAST(company_id AS VARCHAR)), 3), kb_id, company_id) AS log_id FROM c)
+LOG = f"""WITH {TRAINING}, c AS (SELECT kb_id, company_id, count(*) AS n FROM tr GROUP BY 1, 2),
+l AS (SELECT *, row_number() OVER (ORDER BY left(md5(kb_id || '|' || CAST(company_id AS VARCHAR)), 3), kb_id, company_id) AS log_id FROM c)"""
+
+
+@plan("v07_improvement_log", f"""{LOG}
 SELECT log_id, kb_id, company_id, 'content_update' AS improvement_type, 'Processed ' || n || ' user corrections' AS description, 'ingestion_job' AS implementation_method,
-  'in_progress' AS status, 'job-' || log_id || '-' || CAST(epoch_us({NOW}) // 1000000 AS VARCHAR) AS ingestion_job_id FROM l""")
+  'in_progress' AS status FROM l""")
 def _(t):
-    return V.improvement_log(training(t), now(t))
+    return V.improvement_log(training(t))
 
 
-@plan("v07_improvement_log_ids", f"""WITH {TRAINING} SELECT kb_id, company_id, training_id // 10000 AS page, '[' || string_agg(CAST(training_id AS VARCHAR), ',' ORDER BY training_id) || ']' AS training_ids
-FROM tr GROUP BY 1, 2, 3""")
+@plan("v07_improvement_log_ids", f"{LOG} SELECT log_id, training_id FROM tr JOIN l ON tr.kb_id = l.kb_id AND tr.company_id = l.company_id")
 def _(t):
     return V.improvement_log_ids(training(t))
 

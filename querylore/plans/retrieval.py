@@ -32,13 +32,13 @@ def _dedup(source: str, name: str, n: int, extra: str) -> str:
 
 def _multi(per: int) -> str:
     return f"""{_top(per)},
-ex_in AS (SELECT *, variant_no * 100 + rank AS position, variant_no AS from_variant FROM tk WHERE strategy = 'expansion'),
+ex_in AS (SELECT *, variant_no * 4294967296 + rank AS position, variant_no AS from_variant FROM tk WHERE strategy = 'expansion'),
 {_dedup("ex_in", "ex", per, "from_variant")},
 hy AS (SELECT query_id, content_hash, chunk_id, score, rank FROM tk WHERE strategy = 'hyde' UNION ALL
   SELECT query_id, content_hash, chunk_id, score, rank FROM tk WHERE strategy = 'standard' AND query_id NOT IN (SELECT query_id FROM tk WHERE strategy = 'hyde')),
 jt AS (SELECT query_id, content_hash, chunk_id, score, rank AS position, 'standard' AS strategy FROM tk WHERE strategy = 'standard'
-  UNION ALL SELECT query_id, content_hash, chunk_id, score, 100 + rank, 'expansion' FROM ex
-  UNION ALL SELECT query_id, content_hash, chunk_id, score, 200 + rank, 'hyde' FROM hy)"""
+  UNION ALL SELECT query_id, content_hash, chunk_id, score, 4503599627370496 + rank, 'expansion' FROM ex
+  UNION ALL SELECT query_id, content_hash, chunk_id, score, 2 * 4503599627370496 + rank, 'hyde' FROM hy)"""
 
 
 def _rounded(df, *columns):
@@ -66,7 +66,7 @@ def _(t):
     return t.kb_chunk.select("chunk_id", R.content_sample(F.col("content")).alias("content_sample"))
 
 
-@plan("r04_expansion", f"""WITH {_top(5)}, ex_in AS (SELECT *, variant_no * 100 + rank AS position, variant_no AS from_variant FROM tk WHERE strategy = 'expansion'),
+@plan("r04_expansion", f"""WITH {_top(5)}, ex_in AS (SELECT *, variant_no * 4294967296 + rank AS position, variant_no AS from_variant FROM tk WHERE strategy = 'expansion'),
 {_dedup("ex_in", "ex", 5, "from_variant")} SELECT query_id, chunk_id, from_variant, rank, round(score, 6) AS score FROM ex""")
 def _(t):
     found = R.search_variants(t.query_variant.filter(F.col("strategy") == "expansion"), t.kb_chunk, 5)
@@ -94,14 +94,14 @@ def _(t):
 
 
 _FIXED = ", ".join(f"({i}, '{x}')" for i, x in enumerate(R.RELATIONSHIP_TEXTS))
-_TERMS = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9_]+'))"
+_TERMS = r"list_distinct(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+'))"
 
 
 @plan("r08_relationship_search", f"""{DOC_SQL}, w AS MATERIALIZED (SELECT tenant, table_name AS doc, md5(content) AS content_hash, {_TERMS.format("content")} AS words FROM docs),
 qs AS (SELECT d.tenant, d.doc AS asked, v.i AS question_no, {_TERMS.format("replace(v.x, '{}', d.doc)")} AS q FROM w d CROSS JOIN (VALUES {_FIXED}) AS v(i, x)),
 sc AS (SELECT q.tenant, q.asked, q.question_no, w.doc, w.content_hash, len(list_intersect(q.q, w.words))::DOUBLE / len(q.q) AS score FROM qs q JOIN w ON q.tenant = w.tenant),
 tk AS (SELECT *, row_number() OVER (PARTITION BY tenant, asked, question_no ORDER BY score DESC, doc) AS rank FROM sc QUALIFY rank <= 3),
-ps AS (SELECT *, question_no * 100 + rank AS position FROM tk),
+ps AS (SELECT *, question_no * 4294967296 + rank AS position FROM tk),
 b AS (SELECT *, min(position) OVER (PARTITION BY tenant, asked, content_hash) AS first_position FROM ps
   QUALIFY row_number() OVER (PARTITION BY tenant, asked, content_hash ORDER BY score DESC, position) = 1),
 f AS (SELECT *, CAST(row_number() OVER (PARTITION BY tenant, asked ORDER BY score DESC, first_position) AS INT) AS r FROM b)
@@ -131,17 +131,17 @@ q1 AS (SELECT query_id, last, unnest(range(len(texts))) AS question_no, unnest(t
 q2 AS (SELECT query_id, question_no, CASE WHEN question_no = last THEN 5 ELSE 3 END AS k, {_TERMS.format("x")} AS q FROM q1),
 sc AS (SELECT query_id, question_no, k, chunk_id, content_hash, len(list_intersect(q, words))::DOUBLE / len(q) AS score FROM q2 CROSS JOIN dd),
 tk AS (SELECT *, row_number() OVER (PARTITION BY query_id, question_no ORDER BY score DESC, chunk_id) AS rank FROM sc QUALIFY rank <= k),
-ps AS (SELECT *, question_no * 100 + rank AS position FROM tk), {_dedup("ps", "fin", 10, "question_no")}
+ps AS (SELECT *, question_no * 4294967296 + rank AS position FROM tk), {_dedup("ps", "fin", 10, "question_no")}
 SELECT query_id, chunk_id, CAST(question_no AS INT) AS question_no, rank, round(score, 6) AS score FROM fin""")
 def _(t):
     return _rounded(R.statement_search(unique(t), distinct_documents(t)), "query_id", "chunk_id", "question_no", "rank")
 
 
-@plan("r10_content_dedup", f"""WITH {_top(5)}, p AS (SELECT *, strategy_no * 10000 + variant_no * 100 + rank AS position FROM tk),
+@plan("r10_content_dedup", f"""WITH {_top(5)}, p AS (SELECT *, strategy_no * 4503599627370496 + variant_no * 4294967296 + rank AS position FROM tk),
 b AS (SELECT *, min(position) OVER (PARTITION BY query_id, content_hash) AS first_position FROM p QUALIFY row_number() OVER (PARTITION BY query_id, content_hash ORDER BY score DESC, position) = 1)
 SELECT query_id, content_hash, chunk_id, first_position, round(score, 6) AS score FROM b""")
 def _(t):
-    position = F.col("strategy_no") * 10000 + F.col("variant_no") * 100 + F.col("rank")
+    position = R.place(F.col("rank"), F.col("variant_no"), F.col("strategy_no"))
     found = R.search_variants(t.query_variant, t.kb_chunk, 5).withColumn("position", position)
     return _rounded(R.dedup_contexts(found, ["query_id"], ["chunk_id"]), "query_id", "content_hash", "chunk_id", "first_position")
 

@@ -33,15 +33,13 @@ def _(t):
 
 
 def _query_pages(t):
-    """One file per distinct content of the log."""
-    files = t.query_log.groupBy("content").agg(F.min("fname").alias("path"))
-    return K.write_pages(files, scratch_dir(t.spark, "query-files"))
+    """Every file of the log under its own name."""
+    return K.write_pages(t.query_log.select(F.col("fname").alias("path"), "content"), scratch_dir(t.spark, "query-files"))
 
 
-@plan("s04_query_text_files", "SELECT md5(content) AS content, count(DISTINCT content) AS files FROM query_log GROUP BY 1")
+@plan("s04_query_text_files", "SELECT fname AS name, md5(content) AS content FROM query_log")
 def _(t):
-    files = S.read_query_text(t.spark, _query_pages(t)).select(F.md5(F.regexp_replace("query", r"\n\z", "")).alias("content"))
-    return files.groupBy("content").agg(F.count("*").alias("files"))
+    return S.read_query_text(t.spark, _query_pages(t)).select("name", F.md5(F.regexp_replace("query", r"\n\z", "")).alias("content"))
 
 
 @plan("s05_query_lines", r"""SELECT md5(line) AS line, count(*) AS n FROM (SELECT regexp_replace(unnest(string_split(text, chr(10))), '^\s+|\s+$', '', 'g') AS line FROM documents) WHERE line <> '' GROUP BY 1""")
@@ -51,10 +49,12 @@ def _(t):
     return S.read_query_lines(t.spark, path).groupBy(F.md5("query").alias("line")).agg(F.count("*").alias("n"))
 
 
-@plan("s06_markdown_folder", f"WITH {EXTRACTED} SELECT hash, count(DISTINCT sql0) AS files FROM (SELECT e.hash, q.content AS sql0 FROM ex e JOIN query_log q ON e.query_id = q.query_id) GROUP BY 1")
+@plan("s06_markdown_folder", f"WITH {EXTRACTED} SELECT query_id, fname, database, hash FROM ex")
 def _(t):
-    files = S.read_markdown_folder(t.spark, _query_pages(t), "*.txt").withColumn("query_id", F.lit(0))
-    return Q.extract_sql(files).groupBy("hash").agg(F.count("*").alias("files"))
+    # the pattern fits the writer's part files; a page's own name is that of its folder
+    files = S.read_markdown_folder(t.spark, _query_pages(t), "*.txt")
+    numbered = files.withColumn("query_id", F.regexp_extract("fname", r"_query_(\d+)", 1).cast("bigint"))
+    return Q.extract_sql(numbered).select("query_id", "fname", "database", "hash")
 
 
 @plan("s07_prefixes", "SELECT chunk_id, source FROM kb_chunk WHERE starts_with(source, 's3://kb/src1') OR starts_with(source, 's3://kb/src7/')")
@@ -93,13 +93,11 @@ def _(t):
     return stored.select("query_id", "query_type", F.array_join("tables", ",").alias("tables"), F.size("joins").cast("bigint").alias("joins"), "complexity")
 
 
-@plan("k03_markdown_pages", f"WITH {DOC_SQL[len('WITH '):]} SELECT DISTINCT 'tables/' || table_name || '.md' AS path, md5(content) AS content FROM docs")
+@plan("k03_markdown_pages", f"WITH {DOC_SQL[len('WITH '):]} SELECT 'tables/' || tenant || '/' || table_name || '.md' AS path, md5(content) AS content FROM docs")
 def _(t):
-    documents = C.table_documents(_documents(t)).select(F.concat(F.lit("tables/"), "table_name", F.lit(".md")).alias("path"), "content")
-    # tenants share their table documents: each text is written once
-    folder = K.write_pages(documents.groupBy("path").agg(F.max("content").alias("content")), scratch_dir(t.spark, "pages"))
-    pages = K.read_pages(t.spark, folder)
-    return pages.select("path", F.md5("content").alias("content"))
+    path = F.concat(F.lit("tables/"), "tenant", F.lit("/"), "table_name", F.lit(".md"))
+    folder = K.write_pages(C.table_documents(_documents(t)).select(path.alias("path"), "content"), scratch_dir(t.spark, "pages"))
+    return K.read_pages(t.spark, folder).select("path", F.md5("content").alias("content"))
 
 
 _CATEGORY_SQL = f"""WITH {PAGES}, lv AS (SELECT * FROM (VALUES (0, 'Low'), (1, 'Medium'), (2, 'High'), (3, 'Very High')) AS v(level_no, complexity)),

@@ -5,15 +5,15 @@ from pyspark.sql import functions as F
 from querylore.plans.feedback import TRAINING
 from querylore.plans.registry import plan
 from querylore.plans.sessions import STAMP, stamp
-from querylore.session import scratch_dir
+from querylore.session import scratch_dir, spread
 from querylore.streaming import jobs as Z
 
 
 def _arriving(t, df, name: str):
-    """The table as a stream of two files, one per batch."""
+    """The table as a stream of several batches. Its files are as many as its scan has splits, or cores, so every batch is parallel."""
     folder = scratch_dir(t.spark, f"arriving-{name}")
-    df.repartition(2).write.parquet(folder)
-    return Z.arriving(t.spark, folder, df.schema, files_per_batch=1)
+    spread(df).write.parquet(folder)
+    return Z.arriving(t.spark, folder, df.schema, files_per_batch=t.spark.sparkContext.defaultParallelism // 2 + 1)
 
 
 def _run(t, start, stream, name: str, **options) -> str:
@@ -29,12 +29,12 @@ def _(t):
     return rows.withColumn("confidence_weight", F.col("confidence_weight").cast("double"))
 
 
-@plan("z02_first_requests")
+@plan("z02_first_requests", "SELECT DISTINCT event_type || '::' || user_id AS request_key FROM events")
 def _(t):
-    # which requests stay depends on how they are split into batches; that every key stays does not
+    # how many requests stay depends on how they are split into batches; that every key stays does not
     requests = t.events.select(F.concat_ws("::", "event_type", F.col("user_id").cast("string")).alias("request_key"), F.col("ts").cast("timestamp").alias("ts"))
     out = _run(t, Z.first_requests, _arriving(t, requests, "requests"), "first-requests")
-    return t.spark.read.parquet(out).groupBy("request_key").agg(F.count("*").alias("kept"))
+    return t.spark.read.parquet(out).select("request_key").distinct()
 
 
 @plan("z03_running_analytics", f"""SELECT company_id, md5(content) AS question_hash, count(*) AS use_count, {STAMP.format("min(created_at)")} AS first_used, {STAMP.format("max(created_at)")} AS last_used

@@ -25,9 +25,15 @@ def read_query_csv(spark: SparkSession, path: str) -> DataFrame:
     return table.select("name", "query")
 
 
+def _file_name() -> Column:
+    """The name of the file a row comes from; for a page that a Spark writer put into a folder of its own (``path=name``), that name."""
+    folder = F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), "/path=([^/]+)/[^/]+$", 1))
+    return F.coalesce(F.nullif(folder, F.lit("")), F.col("_metadata.file_name"))
+
+
 def read_query_text(spark: SparkSession, path: str) -> DataFrame:
     """Every file is one query, named by the file."""
-    return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("query"))
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(_file_name().alias("name"), F.col("value").alias("query"))
 
 
 def read_query_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -38,7 +44,7 @@ def read_query_lines(spark: SparkSession, path: str) -> DataFrame:
 def read_markdown_folder(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFrame:
     """Files of a folder with name and whole content."""
     files = spark.read.text(path, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=True)
-    return files.select(F.col("_metadata.file_name").alias("fname"), F.col("value").alias("content"))
+    return files.select(_file_name().alias("fname"), F.col("value").alias("content"))
 
 
 def under_prefixes(path: Column, prefixes: list[str]) -> Column:
