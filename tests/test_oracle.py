@@ -6,10 +6,10 @@ import pytest
 from oracle import connect, difference, run_duckdb, run_spark
 
 from __spark_entry__ import entry, oracle_sql, queries
+from querylore.plans.registry import all_plans
 
 FOLDER = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="supplied tables not found")
-WITHOUT_TWIN = {"z02_first_requests"}
 
 
 @pytest.fixture(scope="module")
@@ -17,15 +17,11 @@ def con():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(all_plans()))
 def test_plan_equals_twin(spark, con, name):
     got = run_spark(queries()[name](spark, FOLDER))
     assert got[1], "no rows"
-    sql = oracle_sql().get(name)
-    if sql is None:
-        assert name in WITHOUT_TWIN
-    else:
-        assert difference(got, run_duckdb(con, sql)) is None
+    assert difference(got, run_duckdb(con, oracle_sql()[name])) is None
 
 
 def test_entry(spark):

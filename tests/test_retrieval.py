@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,9 +120,10 @@ def test_content_dedup_keeps_best_row_at_first_place(spark):
     assert rows(R.best_contexts(found, ["query_id"], ["chunk_id"], 1), "query_id", "chunk_id") == {(1, 12), (2, 14)}
 
 
-def test_multi_strategy_against_loops(spark):
-    questions, chunks = vectors(60, 9), vectors(50, 10)
-    contents = {i: f"text {i % 20}" for i in range(50)}
+@pytest.mark.parametrize("n_chunks, n", [(50, 8), (400, 450)])
+def test_multi_strategy_against_loops(spark, n_chunks, n):
+    questions, chunks, per = vectors(60, 9), vectors(n_chunks, 10), R.per_strategy(n)
+    contents = {i: f"text {i % (n_chunks * 2 // 5)}" for i in range(n_chunks)}
     _, c = frames(spark, questions, chunks, contents)
     names = [("standard", 0, 0), ("expansion", 1, 0), ("expansion", 1, 1), ("hyde", 2, 0)]
     variants = [(q, *n, questions[(q * 4 + i) % 60]) for q in range(10) for i, n in enumerate(names) if not (q == 3 and n[0] == "hyde")]
@@ -140,10 +142,12 @@ def test_multi_strategy_against_loops(spark):
     want = set()
     for q in range(10):
         own = {(n, i): x for qq, n, _, i, x in variants if qq == q}
-        joint = search(own["standard", 0], 2) + merged(search(own["expansion", 0], 2) + search(own["expansion", 1], 2), 2)
-        joint += search(own.get(("hyde", 0), own["standard", 0]), 2)
-        want |= {(q, ci, rank + 1, s) for rank, (ci, s) in enumerate(merged(joint, 8))}
-    assert rows(R.multi_strategy(v, c, 8), "query_id", "chunk_id", "rank", "score") == want
+        joint = search(own["standard", 0], per) + merged(search(own["expansion", 0], per) + search(own["expansion", 1], per), per)
+        joint += search(own.get(("hyde", 0), own["standard", 0]), per)
+        want |= {(q, ci, rank + 1, s) for rank, (ci, s) in enumerate(merged(joint, n))}
+    assert rows(R.multi_strategy(v, c, n), "query_id", "chunk_id", "rank", "score") == want
+    if n != 8:
+        return
     # two of each strategy for eight contexts
     assert R.per_strategy(8) == 2 and R.per_strategy(3) == 2 and R.per_strategy(12) == 4
     funnel = {r["query_id"]: r for r in R.funnel(v, c, 8).collect()}
@@ -153,6 +157,7 @@ def test_multi_strategy_against_loops(spark):
 def test_reuse_follows_computed_answers(spark):
     rng = random.Random(11)
     requests = [("hot", rng.randint(0, 40_000)) for _ in range(3_000)] + [("edge", x) for x in (0, 3599, 3600, 7199, 7200)] + [("one", 5)]
+    requests += [("days", rng.randint(0, 900_000)) for _ in range(900)] + [("days", 5_000_000), ("days", 5_000_001)]
     df = spark.createDataFrame(requests, "request_key string, s bigint").withColumn("ts", F.timestamp_seconds("s").cast("timestamp_ntz"))
     got = {}
     for r in R.reused_requests(df).collect():
@@ -170,7 +175,7 @@ def test_reuse_follows_computed_answers(spark):
 
 def test_relationship_search_with_telling_names(spark):
     # table names that are question words themselves, and names nobody else mentions
-    tenants = {"a": ["table", "keys", "orders", "zebra"], "b": ["reference"]}
+    tenants = {"a": ["table", "keys", "orders", "zebra"], "b": ["reference"], "c": ["DB_Order", "sales-log", "db.order", "Sales", "foreign-keys"]}
     rng = random.Random(12)
     docs = [(t, n, f"{n} " + " ".join(rng.choices(["primary", "key", "foreign", "keys", "tables", "schema", "relationships", "orders", "of", "x"], k=6)))
             for t, ns in tenants.items() for n in ns]
@@ -180,8 +185,8 @@ def test_relationship_search_with_telling_names(spark):
         own = [(n, c) for t, n, c in docs if t == tenant]
         slots = {}
         for no, pattern in enumerate(R.RELATIONSHIP_TEXTS):
-            words = set(pattern.replace("{}", asked).split())
-            top = sorted((-len(words & set(c.split())) / len(words), n, c) for n, c in own)[:3]
+            words = set(re.findall(r"\w+", pattern.replace("{}", asked).lower()))
+            top = sorted((-len(words & set(re.findall(r"\w+", c.lower()))) / len(words), n, c) for n, c in own)[:3]
             for s, n, c in top:
                 if c not in slots or -s > slots[c][1]:
                     slots[c] = (n, -s)
