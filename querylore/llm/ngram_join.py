@@ -7,14 +7,17 @@ The Jaccard distance 1 - J is a metric, and two documents are linked when it is
    opened only between sets that can be close: a set is replicated into the cells of its rarest shingles, as many as a set
    within eps cannot miss (rarity by a count-min sketch of all shingles; any order gives the same links). Two linked sets
    share at least one such cell.
-3. Each cell elects a pivot. Sets around one pivot form its region, and every member's distance to the pivot is computed
-   exactly. Members within eps are linked to the pivot and need no comparison with each other to be in one component.
-4. A link between x and y that the pivot does not settle has one end beyond eps from it, and the triangle inequality puts
-   the other end at no less than that distance minus eps. These members are joined recursively: pivots inside the region split
-   it into Voronoi cells by nearest pivot, members in the window d(x, q) <= d(x, nearest) + 2 eps are replicated to pivot q, and
-   cells that stay small are compared pair by pair. A region too large for one task is dealt into blocks of rows first.
-
-``links`` holds class pairs (a, b): every linked pair is either in it, or both ends are linked in it to one pivot.
+3. A cell of a few sets is a leaf: its pairs are compared, but for those whose sizes or positions in the cells' order rule out a
+   link. Each larger cell elects a pivot. The sets around one pivot form its region. Each member that a count vector (see 4) does
+   not prove farther than eps from the pivot is compared with it exactly. Members linked to the pivot are in one component and
+   need no comparison with each other.
+4. What a pivot leaves open, regions whose members are in several components, is joined recursively: more pivots inside the
+   region split it into Voronoi cells by nearest pivot, members in the window d(x, q) <= d(x, nearest) + 2 eps are replicated to
+   pivot q, and small cells are compared pair by pair. This runs on count vectors of the sets over 128 hash bins, whose
+   weighted Jaccard distance is a metric too and never above the sets' own distance, so no link is lost; the pairs found are then
+   compared exactly. A region too large for one task is dealt into blocks of rows first.
+
+``links`` holds class pairs (a, b): every linked pair is either in it, or both ends are joined by pairs in it.
 """
 
 from __future__ import annotations
@@ -33,8 +36,10 @@ from querylore.llm.sketch import Shared, bits_for, merged
 SHINGLE = 5
 THRESHOLD = (80, 100)  # a link: 100 * intersection >= 80 * union
 CELL = 1024  # members compared with a pivot in one group
-FAR_BLOCK = 256
-LEAF = 24
+LEAF = 48
+BINS = 128
+LEAF_CELL = 16  # sets of a cell that are compared pair by pair
+POSITION_BITS = 20  # later positions count as the last one, which only weakens a bound
 KEY_SHIFT = 24  # cell keys keep 40 bits of a shingle hash; a false meeting only costs a comparison
 
 
@@ -61,7 +66,7 @@ def least_shared(n: int, threshold: tuple[int, int]) -> int:
 def _sets(texts: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
     """(doc_id, n_shingles, set_key, cells) of each document; cells are the keys of its rarest shingles."""
     mean = texts.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = bits_for(mean / 6 / 64)  # one cell for about sixteen shingles: only clearly frequent ones must stand out
+    bits = bits_for(mean / 6 / 512)  # some 64 shingles a cell: only clearly frequent ones must stand out
 
     def all_shingles(batches):
         for batch in pieces(batches, "text"):
@@ -78,185 +83,193 @@ def _sets(texts: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
             seen = table.estimate(flat).astype(np.float64)
             rank = np.clip(np.log2(np.maximum(seen / usual, 1.0)) * 4, 0, 63).astype(np.uint64)
             order = (rank << np.uint64(58)) | (flat >> np.uint64(6))
-            n, keys, cells, bounds = np.diff(ends), [], [], [0]
+            n, keys, cells, bounds, fold = np.diff(ends), [], [], [0], []
             for i in range(batch.num_rows):
                 own = flat[ends[i] : ends[i + 1]]
                 keys.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
                 take = len(own) - least_shared(len(own), threshold) + 1 if len(own) else 0
                 cells.append(own[np.argsort(order[ends[i] : ends[i + 1]], kind="stable")[:take]])
                 bounds.append(bounds[-1] + take)
+                fold.append(np.minimum(np.bincount((own & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
             flat_cells = (np.concatenate(cells) >> np.uint64(KEY_SHIFT)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(keys, pa.binary()), lists(flat_cells, np.array(bounds))], ["doc_id", "n_shingles", "set_key", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(keys, pa.binary()), lists(flat_cells, np.array(bounds)), pa.array(fold, pa.binary())], ["doc_id", "n_shingles", "set_key", "cells", "fold"])
 
-    return texts.mapInArrow(build, "doc_id long, n_shingles long, set_key binary, cells array<long>")
+    return texts.mapInArrow(build, "doc_id long, n_shingles long, set_key binary, cells array<long>, fold binary")
 
 
-def distances(flat: np.ndarray, ends: np.ndarray, pivot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shared shingles of each set with a pivot, and the size of each union."""
-    at = np.minimum(np.searchsorted(pivot, flat), len(pivot) - 1)
-    hits = np.concatenate([[0], np.cumsum(pivot[at] == flat)])
-    both = hits[ends[1:]] - hits[ends[:-1]]
-    return both, np.diff(ends) + len(pivot) - both
+def folds(blobs: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """Count vectors of sets over ``BINS`` hash bins, with what saturated bytes lost in one more coordinate."""
+    counts = np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), BINS).astype(np.int32)
+    return np.column_stack([counts, sizes.astype(np.int32) - counts.sum(1, dtype=np.int32)])
 
 
-def metric_join(sets: list[np.ndarray], threshold: tuple[int, int]) -> list[tuple[int, int]]:
-    """All linked pairs of positions, by recursive Voronoi cells with windows of twice eps."""
-    eps = 1 - threshold[0] / threshold[1]
-    found: set[tuple[int, int]] = set()
+def fold_distances(points: np.ndarray, sizes: np.ndarray, at: int) -> np.ndarray:
+    """Weighted Jaccard distance of each count vector to one of them: a metric, never above the sets' own distance."""
+    apart = np.abs(points - points[at]).sum(1)
+    return 2 * apart / np.maximum(sizes + sizes[at] + apart, 1)
 
-    def stacked(members):
-        ends = np.zeros(len(members) + 1, np.int64)
-        np.cumsum([len(sets[i]) for i in members], out=ends[1:])
-        return np.concatenate([sets[i] for i in members]), ends
+
+def metric_join(points: np.ndarray, sizes: np.ndarray, labels: np.ndarray, eps: float) -> list[tuple[int, int]]:
+    """Positions (i, j), i < j, of different labels within eps, by recursive Voronoi cells with windows of twice eps."""
+    found: set[tuple[int, int]] = set()
 
     def leaf(members):
-        flat, ends = stacked(members)
-        for k, i in enumerate(members[:-1]):
-            both, union = distances(flat[ends[k + 1] :], ends[k + 1 :] - ends[k + 1], sets[i])
-            for hit in np.flatnonzero(threshold[1] * both >= threshold[0] * union):
-                found.add((min(i, members[k + 1 + hit]), max(i, members[k + 1 + hit])))
+        own, n = points[members], sizes[members]
+        for k in range(len(members) - 1):
+            near = fold_distances(own[k:], n[k:], 0) <= eps + 1e-9
+            for hit in np.flatnonzero(near & (labels[members[k:]] != labels[members[k]])):
+                i, j = sorted((int(members[k]), int(members[k + hit])))
+                found.add((i, j))
 
     def split(members):
-        if len(members) <= LEAF:
-            return leaf(members)
-        flat, ends = stacked(members)
-        wanted = max(2, int(len(members) ** 0.5))
-        # each pivot is the set farthest from those before it, so that sparse regions get pivots too
-        far, away, nearest = 0, [], np.full(len(members), 2.0)
-        for _ in range(wanted):
-            both, union = distances(flat, ends, sets[members[far]])
-            away.append(1 - both / union)
+        if len(members) <= LEAF or (labels[members] == labels[members[0]]).all():
+            return leaf(members) if (labels[members] != labels[members[0]]).any() else None
+        own, n = points[members], sizes[members]
+        # each pivot is the set farthest from those before it, so that sparse parts get pivots too
+        pivot, away, nearest = 0, [], np.full(len(members), 2.0)
+        for _ in range(max(2, int(len(members) ** 0.5))):
+            away.append(fold_distances(own, n, pivot))
             nearest = np.minimum(nearest, away[-1])
-            far = int(np.argmax(nearest))
-            if nearest[far] <= 0:
+            pivot = int(np.argmax(nearest))
+            if nearest[pivot] <= 0:
                 break
-        away = np.stack(away)
-        inside = away <= nearest + 2 * eps + 1e-9
-        if inside.sum() > 0.7 * len(members) * len(away):
+        # let p be the nearest pivot of x, q that of y, and y within eps of x: then d(y, p) <= d(x, p) + eps <= d(x, q) + eps
+        # <= d(y, q) + 2 eps, so y is in the window of p and meets x there
+        inside = np.stack(away) <= nearest + 2 * eps + 1e-9
+        if inside.sum() > 0.7 * inside.size or inside.all(1).any():
             return leaf(members)  # distances too alike for windows to part the region
         for row in inside:
-            part = [members[i] for i in np.flatnonzero(row)]
-            if len(part) == len(members):
-                return leaf(members)
-            if len(part) > 1:
-                split(part)
-
-    if len(sets) > 1:
-        split(list(range(len(sets))))
+            if row.sum() > 1:
+                split(members[row])
+
+    if len(sizes) > 1:
+        split(np.arange(len(sizes)))
     return sorted(found)
 
 
-def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
+def _arrays(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     values = column.combine_chunks()
-    flat, bounds = values.flatten().to_numpy().view(np.uint64), values.offsets.to_numpy()
-    bounds = bounds - bounds[0]
-    return [flat[bounds[i] : bounds[i + 1]] for i in range(len(values))]
-
-
-_FOUND = "p long, x long, y long, d double"
-
-
-def _region(threshold: tuple[int, int]):
-    """Of one pivot cell: links as (p, x, y); of regions in several cells, members beyond eps or in its window as (p, x, d)."""
-    eps = 1 - threshold[0] / threshold[1]
+    bounds = values.offsets.to_numpy().astype(np.int64)
+    return values.flatten().to_numpy().view(np.uint64), bounds - bounds[0]
 
-    def run(table: pa.Table) -> pa.Table:
-        p = table.column("p")[0].as_py()
-        x, sets, whole = table.column("x").to_numpy(), _arrays(table.column("hashes")), table.column("cells")[0].as_py() == 1
-        pivots = [s for i, s in zip(x, sets) if i == p]
-        rows = {"p": [], "x": [], "y": [], "d": []}
-
-        def add(a, b, d):
-            for name, value in zip(rows, (p, a, b, d)):
-                rows[name].append(value)
-
-        # a pivot whose doc_id names several rows has several sets; each is tried
-        ends = np.zeros(len(sets) + 1, np.int64)
-        np.cumsum([len(s) for s in sets], out=ends[1:])
-        flat, d, linked = np.concatenate(sets), np.full(len(sets), 1.0), np.zeros(len(sets), bool)
-        for k, pivot in enumerate(pivots):
-            both, union = distances(flat, ends, pivot)
-            d = 1 - both / union if k == 0 else d
-            linked |= threshold[1] * both >= threshold[0] * union
-        for i in np.flatnonzero(linked & (x != p)):
-            add(int(x[i]), p, float(d[i]))
-        far = ~linked & (x != p)
-        if whole:
-            if far.any():
-                window = np.flatnonzero((d >= d[far].min() - eps - 1e-9) & (x != p))
-                for i, j in metric_join([sets[i] for i in window], threshold):
-                    add(int(x[window[i]]), int(x[window[j]]), None)
-        else:
-            for i in np.flatnonzero(x != p):
-                add(int(x[i]), None, float(d[i]) if far[i] else float(min(d[i], eps)))
-        return pa.table(rows, schema=pa.schema([("p", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), ("d", pa.float64())]))
-
-    return run
-
-
-def _block(threshold: tuple[int, int]):
-    def run(table: pa.Table) -> pa.Table:
-        x, sets = table.column("x").to_numpy(), _arrays(table.column("hashes"))
-        _, one = np.unique(x, return_index=True)
-        pairs = metric_join([sets[i] for i in one], threshold)
-        return pa.table({"a": pa.array([int(x[one[i]]) for i, _ in pairs], pa.int64()), "b": pa.array([int(x[one[j]]) for _, j in pairs], pa.int64())})
-
-    return run
 
+def _verified(texts: DataFrame, pairs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
+    """The linked ones among the pairs (x, p), by exact comparison of whole sets, as stored (a, b).
 
-def _links(texts: DataFrame, classes: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
-    spread = classes.filter("n_shingles > 0").select(F.col("class_id").alias("x"), F.explode("cells").alias("cell"))
-    pivots = spread.groupBy("cell").agg(F.min("x").alias("p"), F.count("*").alias("n")).filter("n > 1").select("cell", "p")
-    members = stored(spread.join(pivots, "cell").filter("x <> p").select("x", "p").distinct(), "members")
-    ids = members.select("x").unionByName(members.select(F.col("p").alias("x"))).distinct()
+    Pairs are grouped by p, at most ``CELL`` at a time, each group with its own copy of p's set.
+    """
+    ids = pairs.select("x").unionByName(pairs.select(F.col("p").alias("x"))).distinct()
 
     def id_keys(batches):
         for batch in batches:
             yield batch.column(0).to_numpy().astype(np.int64).view(np.uint64)
 
-    wanted = Shared(ids, merged(ids, bits_for(members.count() * 2), id_keys))
+    wanted = Shared(ids, merged(ids, bits_for(pairs.count() * 2), id_keys))
 
     def hashed(batches):
         table = wanted.get()
         for batch in pieces(batches, "text"):
-            keep = table.estimate(batch.column(0).to_numpy().astype(np.int64).view(np.uint64)) > 0
-            batch = batch.filter(pa.array(keep))
+            batch = batch.filter(pa.array(table.estimate(batch.column(0).to_numpy().astype(np.int64).view(np.uint64)) > 0))
             if batch.num_rows:
                 flat, ends = shingles(batch, 1, size)
                 yield pa.RecordBatch.from_arrays([batch.column(0), lists(flat.view(np.int64), ends)], ["x", "hashes"])
 
+    def compare(table: pa.Table) -> pa.Table:
+        p, x = table.column("p")[0].as_py(), table.column("x").to_numpy()
+        flat, ends = _arrays(table.column("hashes"))
+        linked = np.zeros(len(x), bool)
+        for k in np.flatnonzero(x == p):  # several where rows share the doc_id p
+            pivot = flat[ends[k] : ends[k + 1]]
+            at = np.minimum(np.searchsorted(pivot, flat), len(pivot) - 1)
+            hits = np.concatenate([[0], np.cumsum(pivot[at] == flat)])
+            both = hits[ends[1:]] - hits[ends[:-1]]
+            linked |= threshold[1] * both >= threshold[0] * (np.diff(ends) + len(pivot) - both)
+        out = np.unique(x[linked & (x != p)])
+        return pa.table({"a": pa.array(out, pa.int64()), "b": pa.array(np.full(len(out), p), pa.int64())})
+
     # the sketch of wanted ids keeps most texts out of the shuffle; the join drops what it lets through by chance
     sets = texts.mapInArrow(hashed, "x long, hashes array<long>").filter(F.size("hashes") > 0)
-    sizes = members.groupBy("p").agg(F.count("*").alias("n")).withColumn("cells", F.ceil(F.col("n") / CELL).cast("int"))
-    dealt = members.join(sizes, "p").select("p", "x", "cells", F.pmod(F.xxhash64("x"), F.col("cells")).cast("int").alias("cell"))
-    own = sizes.select("p", F.col("p").alias("x"), "cells", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("cell"))
-    region = dealt.unionByName(own).join(sets, "x").groupBy("p", "cell").applyInArrow(_region(threshold), _FOUND)
-    found = stored(region, "regions")
-    links = found.filter("y is not null").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    groups = pairs.groupBy("p").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
+    dealt = pairs.join(groups, "p").select("p", "x", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int").alias("part"))
+    own = groups.select("p", F.col("p").alias("x"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return stored(dealt.unionByName(own).join(sets, "x").groupBy("p", "part").applyInArrow(compare, "a long, b long"), "links")
+
+
+def _region(eps: float):
+    def run(table: pa.Table) -> pa.Table:
+        x, one = np.unique(table.column("x").to_numpy(), return_index=True)
+        sizes, labels = table.column("n").to_numpy()[one], table.column("label").to_numpy()[one]
+        blobs = table.column("fold").to_pylist()
+        pairs = metric_join(folds([blobs[i] for i in one], sizes), sizes, labels, eps)
+        return pa.table({"x": pa.array([int(x[j]) for _, j in pairs], pa.int64()), "p": pa.array([int(x[i]) for i, _ in pairs], pa.int64())})
+
+    return run
+
 
+def _near_fold(eps: float):
+    def run(batches):
+        for batch in batches:
+            nx, np_ = batch.column("n").to_numpy(), batch.column("np").to_numpy()
+            apart = np.abs(folds(batch.column("fold").to_pylist(), nx) - folds(batch.column("foldp").to_pylist(), np_)).sum(1) if batch.num_rows else np.zeros(0)
+            keep = 2 * apart <= (eps + 1e-9) * (nx + np_ + apart)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in (batch.column("x"), batch.column("p"))], ["x", "p"])
+
+    return run
+
+
+def _meetings(filled: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Stored, distinct (x, p, leaf): pairs of a small cell that sizes and positions allow, or a member of a large cell and its pivot.
+
+    Cells list a set's shingles in one order. In the first cell that two linked sets share, at positions i and j, at most
+    min(n - i, m - j) shingles can be shared, and a link needs threshold * (n + m) / (1 + threshold) of them.
+    """
+    top, whole = threshold
+    packed = F.shiftleft("n_shingles", POSITION_BITS) + F.least(F.col("i"), F.lit((1 << POSITION_BITS) - 1))
+    spread = filled.select(F.col("class_id").alias("x"), "n_shingles", F.posexplode("cells").alias("i", "cell")).select("cell", "x", packed.alias("ni"))
+    cells = spread.groupBy("cell").agg(F.min("x").alias("p"), F.count("*").alias("m")).filter("m > 1")
+    met = spread.join(cells, "cell")
+    n, left = lambda r: F.shiftright(r["ni"], POSITION_BITS), lambda r: F.shiftright(r["ni"], POSITION_BITS) - r["ni"].bitwiseAND(F.lit((1 << POSITION_BITS) - 1))
+
+    def can_link(a, b):
+        sizes = (F.greatest(n(a), n(b)) * top <= F.least(n(a), n(b)) * whole) & (a["x"] > b["x"])
+        return sizes & (F.least(left(a), left(b)) * (top + whole) >= (n(a) + n(b)) * top)
+
+    group = met.filter(F.col("m") <= LEAF_CELL).groupBy("cell").agg(F.collect_list(F.struct("x", "ni")).alias("own"))  # at most LEAF_CELL rows
+    pairs = F.flatten(F.transform("own", lambda a: F.transform(F.filter("own", lambda b: can_link(a, b)), lambda b: F.struct(a["x"].alias("x"), b["x"].alias("p")))))
+    small = group.select(F.explode_outer(pairs).alias("pair")).filter("pair is not null").select("pair.x", "pair.p").distinct().withColumn("leaf", F.lit(True))
+    large = met.filter((F.col("m") > LEAF_CELL) & (F.col("x") != F.col("p"))).select("x", "p").distinct().withColumn("leaf", F.lit(False))
+    return stored(small.unionByName(large), "meetings")
+
+
+def _links(texts: DataFrame, classes: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
     eps = 1 - threshold[0] / threshold[1]
-    large = found.filter("y is null")
-    far = large.filter(F.col("d") > eps).groupBy("p").agg(F.count("*").alias("f"), F.min("d").alias("near"))
-    if far.isEmpty():
-        return links
-    near = large.join(far, "p").filter(F.col("d") >= F.col("near") - eps - 1e-9)
-    counts = near.groupBy("p").agg(F.count("*").alias("m"))
-    near = near.join(counts, "p").withColumn("nf", F.ceil(F.col("f") / FAR_BLOCK).cast("int")).withColumn("nm", F.ceil(F.col("m") / CELL).cast("int"))
-    row = F.pmod(F.xxhash64("x"), F.col("nf")).cast("int").alias("i")
-    column = F.pmod(F.xxhash64("x", F.lit(1)), F.col("nm")).cast("int").alias("j")
-    a = near.filter(F.col("d") > eps).select("p", "x", row, F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("j"))
-    b = near.select("p", "x", F.explode(F.sequence(F.lit(0), F.col("nf") - 1)).alias("i"), column)
-    more = a.unionByName(b).join(sets, "x").groupBy("p", "i", "j").applyInArrow(_block(threshold), "a long, b long")
-    return links.unionByName(stored(more, "blocks"))
+    filled = classes.filter("n_shingles > 0")
+    meetings = _meetings(filled, threshold)
+    points = filled.select(F.col("class_id").alias("x"), F.col("n_shingles").alias("n"), "fold")
+
+    pivot = points.select(F.col("x").alias("p"), F.col("n").alias("np"), F.col("fold").alias("foldp"))
+    near = meetings.select("x", "p").distinct().join(points, "x").join(pivot, "p").mapInArrow(_near_fold(eps), "x long, p long").distinct()
+    stars = _verified(texts, stored(near, "stars"), size, threshold)
+
+    labels = components(stars)
+    members = meetings.filter("not leaf").select("x", "p")
+    named = members.join(labels.withColumnRenamed("node", "x"), "x", "left").select("x", "p", F.coalesce("component", "x").alias("label"))
+    # members of one region that are all in one component already have nothing left to settle
+    open_ = named.groupBy("p").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")).filter("low < high")
+    rows = named.join(points, "x").join(open_.select("p", F.ceil(F.col("m") / CELL).cast("int").alias("parts")), "p").withColumn("own", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    rows = rows.withColumn("other", other).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    rest = rows.select("p", "i", "j", "x", "n", "fold", "label").groupBy("p", "i", "j").applyInArrow(_region(eps), "x long, p long").distinct()
+    return stars.unionByName(_verified(texts, stored(rest, "rest"), size, threshold))
 
 
 def link_tables(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sets, classes, links) of the documents with a doc_id: sets (doc_id, n_shingles, set_key), classes (class_id, copies, n_shingles)."""
     texts = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     sets = stored(_sets(texts, size, threshold), "sets")
-    full = sets.groupBy("set_key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("cells").alias("cells"))
+    full = sets.groupBy("set_key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("cells").alias("cells"), F.first("fold").alias("fold"))
     links = _links(texts, full, size, threshold)
-    return sets.drop("cells"), full.select("set_key", "class_id", "copies", "n_shingles"), links
+    return sets.drop("cells", "fold"), full.select("set_key", "class_id", "copies", "n_shingles"), links
 
 
 def ngram_jaccard_join(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
