@@ -120,23 +120,24 @@ def vector_top_k(questions: pa.Table, batches: Iterator[pa.RecordBatch], keys: l
     yield _result(questions, keys, best, carry)
 
 
-def _vocabulary(questions: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted terms, the (term, question) incidence matrix and the number of terms of each question."""
+def _vocabulary(questions: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted terms, where each term's questions begin, those questions, and the number of terms of each question."""
     row, value = lists(questions.column("terms"))
-    terms = np.unique(value)
-    matrix = np.zeros((len(terms), questions.num_rows))
-    matrix[np.searchsorted(terms, value), row] = 1.0
-    return terms, matrix, np.maximum(matrix.sum(axis=0), 1.0)
+    order = np.argsort(value, kind="stable")
+    terms, first = np.unique(value[order], return_index=True)
+    return terms, np.append(first, len(value)), row[order], np.maximum(np.bincount(row, minlength=questions.num_rows), 1)
 
 
-def _shares(batch: pa.RecordBatch, terms: np.ndarray, matrix: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Share of each question's distinct terms that each chunk holds."""
+def _shares(batch: pa.RecordBatch, terms: np.ndarray, first: np.ndarray, asked: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Share of each question's distinct terms that each chunk holds, counted over the pairs that share a term."""
     row, value = lists(batch.column("terms"))
     place = np.minimum(np.searchsorted(terms, value), max(len(terms) - 1, 0))
     known = terms[place] == value if len(terms) else np.zeros(len(value), bool)
-    held = np.zeros((batch.num_rows, len(terms)))
-    held[row[known], place[known]] = 1.0
-    return (held @ matrix) / size
+    row, place = row[known], place[known]
+    counts = first[place + 1] - first[place]
+    question = asked[np.repeat(first[place] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())]
+    held = np.bincount(np.repeat(row, counts) * len(size) + question, minlength=batch.num_rows * len(size))
+    return held.reshape(batch.num_rows, len(size)) / size
 
 
 def _slices(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -149,10 +150,10 @@ def _slices(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
 def score_ranges(questions: pa.Table, batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
     """Smallest and largest vector score and keyword share of each question over the batches seen."""
     wanted = vectors(questions.column("embedding"))
-    terms, matrix, size = _vocabulary(questions)
+    words = _vocabulary(questions)
     low, high = np.full((2, len(wanted)), np.inf), np.full((2, len(wanted)), -np.inf)
-    for batch in _slices(batches, max(len(wanted), len(terms))):
-        both = plain_scores(vectors(batch.column("embedding")), wanted), _shares(batch, terms, matrix, size)
+    for batch in _slices(batches, len(wanted)):
+        both = plain_scores(vectors(batch.column("embedding")), wanted), _shares(batch, *words)
         for n, scores in enumerate(both):
             low[n] = np.minimum(low[n], scores.min(axis=0))
             high[n] = np.maximum(high[n], scores.max(axis=0))
@@ -164,7 +165,7 @@ def score_ranges(questions: pa.Table, batches: Iterator[pa.RecordBatch], keys: l
 def hybrid_top_k(questions: pa.Table, batches: Iterator[pa.RecordBatch], keys: list[str], k: int, w_vector: float, w_keyword: float, carry: str | None) -> Iterator[pa.RecordBatch]:
     """Weighted sum of both scores, each scaled to 0..1 by the ranges in the question rows."""
     wanted = vectors(questions.column("embedding"))
-    terms, matrix, size = _vocabulary(questions)
+    words = _vocabulary(questions)
     low_v, high_v, low_k, high_k = (questions.column(n).to_numpy() for n in ("vector_low", "vector_high", "keyword_low", "keyword_high"))
     best = Best(len(wanted), k)
 
@@ -172,19 +173,19 @@ def hybrid_top_k(questions: pa.Table, batches: Iterator[pa.RecordBatch], keys: l
         span = np.where(high > low, high - low, 1.0)
         return np.where(high > low, (scores - low) / span, 0.0)
 
-    for batch in _slices(batches, max(len(wanted), len(terms))):
+    for batch in _slices(batches, len(wanted)):
         score = (w_vector * scaled(plain_scores(vectors(batch.column("embedding")), wanted), low_v, high_v)
-                 + w_keyword * scaled(_shares(batch, terms, matrix, size), low_k, high_k))
+                 + w_keyword * scaled(_shares(batch, *words), low_k, high_k))
         _offer(best, score, batch, k, carry)
     yield _result(questions, keys, best, carry)
 
 
 def keyword_top_k(questions: pa.Table, batches: Iterator[pa.RecordBatch], keys: list[str], k: int, carry: str | None) -> Iterator[pa.RecordBatch]:
     """Best chunks by share of question terms alone."""
-    terms, matrix, size = _vocabulary(questions)
+    words = _vocabulary(questions)
     best = Best(questions.num_rows, k)
-    for batch in _slices(batches, max(questions.num_rows, len(terms))):
-        _offer(best, _shares(batch, terms, matrix, size), batch, k, carry)
+    for batch in _slices(batches, questions.num_rows):
+        _offer(best, _shares(batch, *words), batch, k, carry)
     yield _result(questions, keys, best, carry)
 
 

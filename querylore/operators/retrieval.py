@@ -18,6 +18,7 @@ from querylore.functions import blocks, sqltext
 from querylore.functions.columns import epoch_seconds
 from querylore.functions.text import non_blank_lines
 from querylore.operators.relational import last_per_group
+from querylore.session import scratch_dir
 
 SHARED_BYTES = 64 << 20
 QUESTION_BLOCK = 2_000
@@ -40,13 +41,21 @@ NOTHING_FOUND = (
 # --- the two ways to bring questions and chunks together -------------------------------------------------------------
 
 def _bytes(df: DataFrame) -> Column:
-    """Estimated bytes of a row: eight per list element, sixteen per other value."""
+    """Estimated bytes of a row: eight per list element, a text's own bytes, sixteen per other value."""
     total = F.lit(0)
     for field in df.schema:
-        total = total + (F.size(field.name) * 8 if field.dataType.typeName() == "array" else F.lit(16))
+        kind, value = field.dataType.typeName(), F.col(field.name)
+        total = total + (F.coalesce(F.size(value), F.lit(0)) * 8 if kind == "array" else F.coalesce(F.octet_length(value), F.lit(0)) + 16 if kind == "string" else F.lit(16))
     return total
 
 
+def _once(df: DataFrame, purpose: str) -> DataFrame:
+    """A table of the question side, written to the shared folder, so that measuring, sharing and joining it does not compute it again."""
+    path = scratch_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def blockwise(questions: DataFrame, chunks: DataFrame, keys: list[str], kernel: Callable, schema: str, shared_bytes: int = SHARED_BYTES) -> DataFrame:
     """Run a kernel (questions, chunk batches) -> batches over all questions and all chunks."""
     measured = questions.agg(F.count("*").alias("n"), F.coalesce(F.sum(_bytes(questions)), F.lit(0)).alias("bytes")).first()
@@ -138,7 +147,7 @@ def hybrid_top_k(questions: DataFrame, chunks: DataFrame, k: int = 5, w_vector:
     names = ["vector_low", "vector_high", "keyword_low", "keyword_high"]
     range_schema = f"query_id {dict(asked.dtypes)['query_id']}, " + ", ".join(f"{n} double" for n in names)
     seen = blockwise(asked, have, keys, partial(blocks.score_ranges, keys=keys), range_schema, shared_bytes)
-    ranges = seen.groupBy("query_id").agg(*[(F.min if n.endswith("low") else F.max)(n).alias(n) for n in names])
+    ranges = _once(seen.groupBy("query_id").agg(*[(F.min if n.endswith("low") else F.max)(n).alias(n) for n in names]), "score-ranges")
     kernel = partial(blocks.hybrid_top_k, keys=keys, k=k, w_vector=w_vector, w_keyword=w_keyword, carry=None)
     best = blockwise(asked.join(ranges, "query_id"), have, keys, kernel, _schema(asked, keys, None), shared_bytes)
     return last_per_group(best, keys, [F.desc("score"), F.col("chunk_id")], k, rank="rank")
@@ -382,7 +391,7 @@ def statement_questions(statements: DataFrame, sql: str = "sql") -> DataFrame:
 
 def statement_search(statements: DataFrame, chunks: DataFrame, n: int = 10) -> DataFrame:
     """Context for SQL statements. Each distinct question text is searched once, whatever the number of statements."""
-    asked = statement_questions(statements)
+    asked = _once(statement_questions(statements), "statement-questions")
     best = keyword_top_k(asked.select("query_text").distinct(), chunks, 5, ("query_text",), carry="content_hash")
     found = asked.join(best, "query_text").filter(F.col("rank") <= F.col("k")).withColumn("position", place(F.col("rank"), F.col("question_no")))
     return best_contexts(found, ["query_id"], ["chunk_id", "question_no"], n)
