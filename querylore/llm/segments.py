@@ -8,6 +8,7 @@ The rules are those of the vocabularies' published patterns (fixed values):
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ import pyarrow as pa
 from querylore.llm.arrays import mix, span_hashes
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
+LAST_PLANE = 0x40000
 _classes: np.ndarray | None = None
 
 
@@ -23,7 +25,8 @@ def char_classes() -> np.ndarray:
     global _classes
     if _classes is None:
         kinds = {"L": LETTER, "N": NUMBER, "Z": SPACE}
-        table = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
+        table = np.zeros(0x110000, np.uint8)  # no letter, number or space has a code point beyond the third plane
+        table[:LAST_PLANE] = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(LAST_PLANE)), np.uint8, LAST_PLANE)
         table[[9, 10, 11, 12, 13, 0x85]] = SPACE
         _classes = table
     return _classes
@@ -84,22 +87,62 @@ class Pieces:
         cut[last] = True
         cut[last[codes[last] == 32] + 1] = False
 
-    def distinct(self) -> tuple[list[str], np.ndarray]:
-        """The distinct pieces and the number of each occurrence's piece among them."""
-        _, at, number = np.unique(self.hashes, return_index=True, return_inverse=True)
-        joined = self.joined
-        return [joined[a:b] for a, b in zip(self.starts[at].tolist(), self.ends[at].tolist())], number
-
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct hashes in ascending order, an occurrence of each, and the number of each occurrence's hash among them."""
+        return np.unique(self.hashes, return_index=True, return_inverse=True)
 
-def spread_ids(per_piece: list[np.ndarray], number: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all occurrences in order, and the bounds of each text's ids."""
-    sizes = np.array([len(p) for p in per_piece], np.int64)
-    table = np.concatenate(per_piece) if per_piece else np.zeros(0, np.int32)
-    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    def strings(self, at: np.ndarray) -> list[str]:
+        """The texts of these occurrences."""
+        joined = self.joined
+        return [joined[a:b] for a, b in zip(self.starts[at].tolist(), self.ends[at].tolist())]
+
+
+class Known:
+    """Ids of pieces by hash, in flat arrays: what a worker has encoded already, up to ``limit`` pieces; then it starts afresh."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.begins = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.sizes, self.ids = np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.hashes, hashes)
+        inside = np.minimum(at, max(0, len(self.hashes) - 1))
+        return np.where(self.hashes[inside] == hashes, inside, -1) if len(self.hashes) else np.full(len(hashes), -1)
+
+    def get(self, hashes: np.ndarray, encode: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A table of ids and, for each of the distinct, ascending hashes, where its ids begin and how many they are. ``encode`` is given
+        the positions of unknown hashes and returns their ids, one piece after the other, and the bounds of each."""
+        new = self._find(hashes) < 0
+        if len(self.hashes) + new.sum() > self.limit:
+            self.clear()
+            new[:] = True
+        if new.any():
+            flat, bounds = encode(np.flatnonzero(new))
+            at = np.searchsorted(self.hashes, hashes[new])
+            self.hashes = np.insert(self.hashes, at, hashes[new])
+            self.begins = np.insert(self.begins, at, bounds[:-1] + len(self.ids))
+            self.sizes = np.insert(self.sizes, at, np.diff(bounds).astype(np.int32))
+            self.ids = np.concatenate([self.ids, flat.astype(np.int32)])
+        at = self._find(hashes)
+        return self.ids, self.begins[at], self.sizes[at].astype(np.int64)
+
+
+def ragged(table: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """table[begins[i] : begins[i] + sizes[i]] for each i, one after the other."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return table[np.repeat(begins - (ends - sizes), sizes) + np.arange(total)]
+
+
+def spread_ids(table: np.ndarray, begins: np.ndarray, sizes: np.ndarray, number: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all occurrences in order, and the bounds of each text's ids; piece k has table[begins[k] : begins[k] + sizes[k]]."""
     counts = sizes[number]
     ends = np.concatenate([[0], np.cumsum(counts)])
-    flat = table[np.repeat(offsets[:-1][number] - ends[:-1], counts) + np.arange(ends[-1])] if len(number) else np.zeros(0, np.int32)
-    return flat, ends[first]
+    return ragged(table, begins[number], counts), ends[first]
 
 
 def split_specials(texts: list[str], specials: dict[str, int]) -> tuple[list[str], list[list[tuple[int, int | None]]]]:

@@ -10,6 +10,8 @@ binary columns, because Spark's own writers are what can write to any shared sto
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,15 +19,15 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from querylore.llm.arrays import mix, pieces
-from querylore.llm.segments import Pieces, column_texts, put_together, split_specials, spread_ids
+from querylore.llm.segments import Known, Pieces, column_texts, put_together, split_specials, spread_ids
 from querylore.llm.sharding import _range_of
 
 END = 2
 CHUNK_IDS = 1 << 20
 BUCKET_BYTES = 8 << 20
 MOST_BUCKETS = 8192
-BATCH_BYTES = 1 << 22
-KNOWN = 400_000
+BATCH_BYTES = 1 << 21
+KNOWN = 2_000_000  # pieces whose ids a worker remembers, in about 30 bytes each
 GROUP = 4  # keys that share a displacement, on average
 _STEP = np.uint64(0xA0761D6478BD642F)
 _COPY = np.uint64(0xE7037ED1A0B428DB)
@@ -105,21 +107,23 @@ def _encoder(text: str):
     if _worker.get("key") != key:
         tokenizer = Tokenizer.from_str(text)
         specials = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
-        _worker.update(key=key, tokenizer=tokenizer, specials=specials, known={})
+        _worker.update(key=key, tokenizer=tokenizer, specials=specials, known=Known(KNOWN))
     return _worker["tokenizer"], _worker["specials"], _worker["known"]
 
 
-def _ids_of(words: list[str], tokenizer: Tokenizer, known: dict[str, np.ndarray]) -> list[np.ndarray]:
-    """The public library's ids of each distinct piece; a worker asks for a piece once."""
-    missing = [w for w in words if w not in known]
-    if len(known) + len(missing) > KNOWN:
-        known.clear()
-        missing = words
-    for at in range(0, len(missing), 4096):
-        part = missing[at : at + 4096]
-        for word, encoding in zip(part, tokenizer.encode_batch(part, add_special_tokens=False)):
-            known[word] = np.array(encoding.ids, np.int32)
-    return [known[w] for w in words]
+def _ids_of(cut: Pieces, tokenizer: Tokenizer, known: Known):
+    """The public library's ids of a batch's distinct pieces (see ``Known.get``) and the number of each occurrence's piece. A worker
+    asks the library for a piece once in a while; pieces are told apart by 64-bit hashes."""
+    hashes, at, number = cut.distinct()
+
+    def encode(new):
+        words, found = cut.strings(at[new]), []
+        for begin in range(0, len(words), 1024):
+            found += [e.ids for e in tokenizer.encode_batch(words[begin : begin + 1024], add_special_tokens=False)]
+        bounds = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int64)
+        return np.fromiter(itertools.chain.from_iterable(found), np.int32, bounds[-1]), bounds
+
+    return *known.get(hashes, encode), number
 
 
 def encode_records(docs: DataFrame, tokenizer_file: str, end: int = END, buckets: int | None = None) -> DataFrame:
@@ -142,8 +146,7 @@ def encode_records(docs: DataFrame, tokenizer_file: str, end: int = END, buckets
         for batch in pieces(batches, "text", BATCH_BYTES):
             segments, parts = split_specials(column_texts(batch.column(2)), specials)
             cut = Pieces(segments, spaced=True)
-            words, number = cut.distinct()
-            flat, ends = put_together(*spread_ids(_ids_of(words, tokenizer, known), number, cut.first), parts)
+            flat, ends = put_together(*spread_ids(*_ids_of(cut, tokenizer, known), cut.first), parts)
             flat = flat.astype("<u2") if tokenizer.get_vocab_size() <= 1 << 16 else flat.astype("<u4")
             last = np.array([end], flat.dtype).tobytes()
             blobs = [flat[ends[i] : ends[i + 1]].tobytes() + last for i in range(batch.num_rows)]
@@ -229,6 +232,12 @@ class _Chunk:
         return np.frombuffer(self.payload, f"<u{self.width}", length, begin * self.width).astype("<u4")
 
 
+def _one_by_one(batch: pa.RecordBatch):
+    """The rows of a batch, each copied when its turn comes: a chunk is several megabytes."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 _READ = "bucket int, doc_id long, copy long, begin long, ids binary"
 
 
@@ -251,7 +260,7 @@ def read_records(files: DataFrame) -> DataFrame:
 
     def read(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _one_by_one(batch):
                 prints = np.frombuffer(row["fingerprint"], np.uint64)
                 doc_ids, copies = unmix(prints).view(np.int64), np.frombuffer(row["copy"], np.uint32)
                 for at in range(0, len(doc_ids), 512):
@@ -275,7 +284,7 @@ def look_up(files: DataFrame, keys: DataFrame) -> DataFrame:
 
     def find(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _one_by_one(batch):
                 wanted = np.array(row["asked"], np.int64)
                 chunk = _Chunk(row)
                 slots = chunk.find(wanted, np.zeros(len(wanted), np.uint32))
