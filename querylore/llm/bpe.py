@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 
 from querylore.llm.arrays import pieces
 from querylore.llm.lexicon import Lexicon, compile_lexicon
-from querylore.llm.segments import Pieces, column_texts, put_together, split_specials, spread_ids
+from querylore.llm.segments import Known, Pieces, column_texts, put_together, split_specials, spread_ids
 
 LEXICON = 50_000
-BATCH_BYTES = 1 << 22
-KNOWN = 400_000  # merged words a worker remembers before it starts afresh
+BATCH_BYTES = 1 << 21
+KNOWN = 1_000_000  # merged words a worker remembers, in about 30 bytes each
+SPAN = 1 << 31  # pairs of ids are kept as one number
+NO_RANK = 1 << 40
 
 
 def byte_letters() -> list[str]:
@@ -46,31 +48,60 @@ class Vocabulary:
         model = data["model"]
         self.ids: dict[str, int] = model["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
-        self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
+        merges = [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        known = [(i, self.ids[x], self.ids[y], self.ids[x + y]) for i, (x, y) in enumerate(merges) if x in self.ids and y in self.ids and x + y in self.ids]
+        keys = np.array([x * SPAN + y for _, x, y, _ in known], np.int64)
+        order = np.argsort(keys, kind="stable")
+        self.pairs, self.rank_of = keys[order], np.array([i for i, *_ in known], np.int64)[order]
+        self.joined = np.zeros(len(merges) + 1, np.int64)
+        for i, _, _, z in known:
+            self.joined[i] = z
+        letters = byte_letters()
+        self.inner = np.array([self.ids.get(c, -1) for c in letters], np.int64)
+        self.last = np.array([self.ids.get(c + self.suffix, -1) for c in letters], np.int64)
         self.specials = {t["content"]: t["id"] for t in data["added_tokens"]}
-        self.letters = byte_letters()
         top = max([*self.ids.values(), *self.specials.values()])
         self.tokens = [""] * (top + 1)
         for token, i in [*self.ids.items(), *self.specials.items()]:
             self.tokens[i] = token
 
-    def merge(self, word: str) -> np.ndarray:
-        """The ids of one word: the adjacent pair of least rank is joined, leftmost first, until no pair has a rank."""
-        parts = [self.letters[b] for b in word.encode()]
-        parts[-1] += self.suffix
-        ranks = self.ranks
-        while len(parts) > 1:
-            best, at = min((ranks.get((a, b), 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if best == 1 << 60:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return np.array([self.ids[p] for p in parts if p in self.ids], np.int32)
+    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one after the other, and the bounds of each. All words take each step together: the adjacent pair
+        of least rank is joined, leftmost first, until no pair of the word has a rank."""
+        sizes = np.array([len(w) for w in words], np.int64)
+        raw = np.frombuffer(b"".join(words), np.uint8)
+        ends = np.cumsum(sizes)
+        symbols = self.inner[raw]
+        symbols[ends[sizes > 0] - 1] = self.last[raw[ends[sizes > 0] - 1]]
+        word = np.repeat(np.arange(len(words)), sizes)
+        live = np.arange(len(symbols))  # positions that can still change, whole words at a time
+        gone = np.zeros(len(symbols), bool)
+        while len(live) > 1 and len(self.pairs):
+            a, b = live[:-1], live[1:]
+            pair = symbols[a] * SPAN + symbols[b]
+            at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+            rank = np.where((self.pairs[at] == pair) & (word[a] == word[b]), self.rank_of[at], NO_RANK)
+            own = word[a]
+            begins = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            least = np.minimum.reduceat(rank, begins)
+            spread = np.repeat(least, np.diff(np.append(begins, len(own))))
+            hits = np.flatnonzero((rank == spread) & (rank < NO_RANK))
+            hits = hits[np.concatenate([[True], own[hits][1:] != own[hits][:-1]])] if len(hits) else hits
+            symbols[a[hits]] = self.joined[rank[hits]]
+            gone[b[hits]] = True
+            open_ = np.zeros(len(words), bool)
+            open_[own[hits]] = True
+            live = live[~gone[live] & open_[word[live]]]
+        kept = ~gone & (symbols >= 0)
+        counts = np.bincount(word[kept], minlength=len(words))
+        return symbols[kept].astype(np.int32), np.concatenate([[0], np.cumsum(counts)])
 
 
 def _counted(batches):
     for batch in pieces(batches, "text", BATCH_BYTES):
-        words, number = Pieces([normalized(t) for t in column_texts(batch.column(0))], spaced=False).distinct()
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(np.bincount(number, minlength=len(words)))], ["word", "n"])
+        cut = Pieces([normalized(t) for t in column_texts(batch.column(0))], spaced=False)
+        _, at, number = cut.distinct()
+        yield pa.RecordBatch.from_arrays([pa.array(cut.strings(at), pa.string()), pa.array(np.bincount(number, minlength=len(at)))], ["word", "n"])
 
 
 def frequent_words(docs: DataFrame, size: int = LEXICON) -> list[str]:
@@ -82,12 +113,23 @@ def frequent_words(docs: DataFrame, size: int = LEXICON) -> list[str]:
 _worker: dict = {}  # per process: the vocabulary and lexicon in use, and words merged so far
 
 
-def _tools(key, vocabulary, lexicon):
+def _tools(key, vocabulary, lexicon) -> tuple[Vocabulary, Lexicon, Known]:
     if _worker.get("key") != key:
-        _worker.update(key=key, vocabulary=Vocabulary(vocabulary.value), lexicon=Lexicon(lexicon.value), known={})
+        _worker.update(key=key, vocabulary=Vocabulary(vocabulary.value), lexicon=Lexicon(lexicon.value), known=Known(KNOWN))
     return _worker["vocabulary"], _worker["lexicon"], _worker["known"]
 
 
+def word_ids(words: list[bytes], hashes: np.ndarray, vocabulary: Vocabulary, lexicon: Lexicon, known: Known) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A table of ids, and where the ids of each of the distinct words begin in it and how many they are."""
+    ranks = lexicon.ranks(words)
+    seen, unseen = np.flatnonzero(ranks >= 0), np.flatnonzero(ranks < 0)
+    merged, at, n = known.get(hashes[unseen], lambda new: vocabulary.merge([words[i] for i in unseen[new]]))
+    begins, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+    begins[seen], sizes[seen] = lexicon.spans(ranks[seen])
+    begins[unseen], sizes[unseen] = at + len(lexicon.ids), n
+    return np.concatenate([np.asarray(lexicon.ids, np.int32), merged]), begins, sizes
+
+
 def encode(docs: DataFrame, vocabulary_file: str, size: int = LEXICON) -> DataFrame:
     """``docs`` (text, ...) with ``ids``, the sub-word ids of the whole text; other columns as they are, an old ``ids`` is replaced.
 
@@ -97,7 +139,9 @@ def encode(docs: DataFrame, vocabulary_file: str, size: int = LEXICON) -> DataFr
     with open(vocabulary_file, encoding="utf-8") as file:
         text = file.read()
     vocabulary = Vocabulary(text)
-    blob = compile_lexicon([(w.encode(), vocabulary.merge(w)) for w in frequent_words(docs, size)])
+    words = [w.encode() for w in frequent_words(docs, size)]
+    ids, bounds = vocabulary.merge(words)
+    blob = compile_lexicon([(w, ids[a:b]) for w, a, b in zip(words, bounds, bounds[1:])])
     context = docs.sparkSession.sparkContext
     sent_vocabulary, sent_lexicon, key = context.broadcast(text), context.broadcast(blob), f"{context.applicationId}-{hash(blob)}-{hash(text)}"
     rest = docs.drop("ids")
@@ -109,20 +153,10 @@ def encode(docs: DataFrame, vocabulary_file: str, size: int = LEXICON) -> DataFr
         for batch in pieces(batches, "text", BATCH_BYTES):
             segments, parts = split_specials(column_texts(batch.column(text_at)), vocabulary.specials)
             cut = Pieces([normalized(s) for s in segments], spaced=False)
-            words, number = cut.distinct()
-            ranks = lexicon.ranks([w.encode() for w in words]).tolist()
-            per_word = []
-            for word, rank in zip(words, ranks):
-                if rank >= 0:
-                    per_word.append(lexicon.ids_of(rank))
-                    continue
-                ids = known.get(word)
-                if ids is None:
-                    if len(known) >= KNOWN:
-                        known.clear()
-                    ids = known[word] = vocabulary.merge(word)
-                per_word.append(ids)
-            flat, bounds = put_together(*spread_ids(per_word, number, cut.first), parts)
+            hashes, at, number = cut.distinct()
+            words = [w.encode() for w in cut.strings(at)]
+            flat, bounds = spread_ids(*word_ids(words, hashes, vocabulary, lexicon, known), number, cut.first)
+            flat, bounds = put_together(flat, bounds, parts)
             lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(names))] + [lists], [*names, "ids"])
 

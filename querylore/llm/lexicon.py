@@ -127,5 +127,7 @@ class Lexicon:
             rank[:] = -1
         return rank
 
-    def ids_of(self, rank: int) -> np.ndarray:
-        return np.asarray(self.ids[self.bounds[rank] : self.bounds[rank + 1]], np.int32)
+    def spans(self, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of these ranks begin in ``ids``, and how many they are."""
+        begins = np.asarray(self.bounds[ranks])
+        return begins, np.asarray(self.bounds[ranks + 1]) - begins

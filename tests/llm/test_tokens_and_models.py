@@ -42,7 +42,8 @@ def test_lexicon_finds_its_words_and_no_others():
     ranks = lexicon.ranks([w.encode() for w in words] + [b"", b"zzz"])
     assert ranks.tolist() == [k // 2 if k % 2 == 0 else -1 for k in range(len(words))] + [-1, -1]
     by_bytes = sorted(range(len(own)), key=lambda i: own[i].encode())
-    assert [lexicon.ids_of(r).tolist() for r in range(len(own))] == [list(range(i % 5)) for i in by_bytes]
+    begins, sizes = lexicon.spans(np.arange(len(own)))
+    assert [lexicon.ids[b : b + n].tolist() for b, n in zip(begins, sizes)] == [list(range(i % 5)) for i in by_bytes]
     assert Lexicon(compile_lexicon([])).ranks([b"a", b""]).tolist() == [-1, -1]
 
 
