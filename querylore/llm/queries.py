@@ -117,7 +117,31 @@ n AS (SELECT item_id, count(*) AS n FROM i GROUP BY 1)
 SELECT doc_id, item_id, n AS item_shingles, count(*) AS shared_shingles, count(*) / n AS containment
 FROM d JOIN i USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n HAVING 100 * count(*) >= 80 * n"""
 
+_SPLIT = r"list_filter(string_split_regex({0}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+_LINKS = f"""WITH RECURSIVE d AS (SELECT doc_id, {_SPLIT.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+k AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM d WHERE len(w) > 0),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(list_slice(w, k, k + 4), ' ') AS s FROM k),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b, shared = x.n AND shared = y.n AS same FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+r AS (SELECT doc_id AS a, doc_id AS c FROM d UNION SELECT l.a, r.c FROM r JOIN l ON l.b = r.a),
+m AS (SELECT a, min(c) AS component_id FROM r GROUP BY a), e AS (SELECT a, min(b) AS b FROM l WHERE same GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(e.b, d.doc_id)) AS class_id, m.component_id
+FROM d JOIN m ON m.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN e ON e.a = d.doc_id"""
+
+_CUT = f"""WITH d AS (SELECT doc_id, {_SPLIT.format("coalesce(text, '')")} AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS k FROM d WHERE len(w) >= 50),
+h AS MATERIALIZED (SELECT doc_id, k, md5(array_to_string(list_slice(w, k, k + 49), ' ')) AS h FROM p),
+m AS (SELECT h, min(doc_id) AS first FROM h GROUP BY h),
+c AS (SELECT DISTINCT doc_id, unnest(range(k, k + 50)) AS k FROM h JOIN m ON h.h = m.h WHERE first < doc_id),
+u AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d WHERE len(w) > 0),
+g AS (SELECT u.doc_id, count(c.k) AS n_removed, string_agg(word, ' ' ORDER BY u.k) FILTER (WHERE c.k IS NULL) AS kept FROM u LEFT JOIN c ON u.doc_id = c.doc_id AND u.k = c.k GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g ON d.doc_id = g.doc_id"""
+
 SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": _LINKS,
+    "op3_substring_dedup": _CUT,
     "op5_chat_formatting": _CHAT,
     "op10_benchmark_decontamination": _LEAKS,
 }
