@@ -45,7 +45,7 @@ def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids, decoded) of each document."""
     file = vocabulary("word_bpe_49k.json")
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), file), file)
+    coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), file).drop("text"), file)
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 

@@ -18,11 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querylore.llm.arrays import pieces
+from querylore.llm.common import stored
 from querylore.llm.lexicon import Lexicon, compile_lexicon
 from querylore.llm.segments import Known, Pieces, column_texts, put_together, split_specials, spread_ids
 
 LEXICON = 50_000
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 20
 KNOWN = 1_000_000  # merged words a worker remembers, in about 30 bytes each
 SPAN = 1 << 31  # pairs of ids are kept as one number
 NO_RANK = 1 << 40
@@ -105,9 +106,19 @@ def _counted(batches):
 
 
 def frequent_words(docs: DataFrame, size: int = LEXICON) -> list[str]:
-    """The ``size`` words with most occurrences in all texts; ties by byte order."""
+    """At most ``size`` words with most occurrences in all texts: whole levels of like counts, sixteen levels to a doubling.
+
+    Only the number of words of each level and then the chosen words reach the driver. Words that occur once are never chosen.
+    """
     counts = docs.select("text").mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
+    kept = stored(counts.filter("n > 1").select("word", F.floor(F.log2("n") * 16).cast("int").alias("level")), "word-levels")
+    total, least = 0, None
+    for row in sorted(kept.groupBy("level").count().collect(), key=lambda r: -r["level"]):
+        total += row["count"]
+        if total > size:
+            break
+        least = row["level"]
+    return [] if least is None else sorted(r["word"] for r in kept.filter(F.col("level") >= least).select("word").collect())
 
 
 _worker: dict = {}  # per process: the vocabulary and lexicon in use, and words merged so far
@@ -165,7 +176,7 @@ def encode(docs: DataFrame, vocabulary_file: str, size: int = LEXICON) -> DataFr
 
 
 def decode(encoded: DataFrame, vocabulary_file: str) -> DataFrame:
-    """``encoded`` (ids, ...) with ``decoded``: the tokens of the ids joined by one space, which is what the public library gives for a
+    """``encoded`` (ids, ...) with ``decoded`` (leave texts out before: all columns travel along): the tokens of the ids joined by one space, which is what the public library gives for a
     vocabulary without a decoder. Ids outside the vocabulary are left out; null or empty ids give an empty text."""
     with open(vocabulary_file, encoding="utf-8") as file:
         tokens = Vocabulary(file.read()).tokens

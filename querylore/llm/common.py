@@ -18,11 +18,6 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def rows_estimate(df: DataFrame) -> int:
-    """Rows of a table; for plain Parquet tables Spark answers from the file footers."""
-    return df.count()
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over the undirected links ``a``, ``b`` (longs), of all nodes but these smallest.
 

@@ -65,8 +65,8 @@ def least_shared(n: int, threshold: tuple[int, int]) -> int:
 
 def _sets(texts: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
     """(doc_id, n_shingles, set_key, cells) of each document; cells are the keys of its rarest shingles."""
-    mean = texts.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = bits_for(mean / 6 / 512)  # some 64 shingles a cell: only clearly frequent ones must stand out
+    total = texts.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = bits_for(total / 6 / 512)  # some 64 shingles a cell: only clearly frequent ones must stand out
 
     def all_shingles(batches):
         for batch in pieces(batches, "text"):
