@@ -73,33 +73,67 @@ def category_samples(queries: DataFrame, n: int = 20) -> DataFrame:
     return top.select("category", "position", "query_id", "complexity", F.array_join("tables", ", ").alias("tables"), "query_text")
 
 
-def category_pages(queries: DataFrame) -> DataFrame:
-    """Rows (path, content). Lists are cut to their fixed lengths before they are gathered."""
-    def gathered(df, order, line, name):
-        lines = F.transform(F.array_sort(F.collect_list(F.struct(order, line.alias("line")))), lambda x: x["line"])
-        return df.groupBy("category").agg(F.array_join(lines, "").alias(name))
+# Headings and table heads of the pages.
+CATEGORY_HEAD = "'.\n\n## Complexity Distribution\n\n| Complexity | Count | Percentage |\n|-----------|-------|------------|\n"
+CATEGORY_TABLES = "\n## Tables Used in this Category\n\n| Table Name | Query Count | Percentage |\n|------------|------------|------------|\n"
+CATEGORY_SAMPLES = "\n## Sample Queries\n\n"
+NO_DESCRIPTION = "No description available"
+INDEX_HEAD = "# SQL Query Documentation\n\nThis documentation catalogs and analyzes common SQL query patterns from a repository of "
+INDEX_CATEGORIES = " queries.\n\n## Query Categories\n\n"
+INDEX_TABLES = "\n## Most Used Tables\n\n| Table Name | Query Count |\n|------------|------------|\n"
+USAGE_CATEGORIES = " queries.\n\n## Usage by Category\n\n| Category | Query Count | Percentage |\n|----------|------------|------------|\n"
+USAGE_JOINS = "\n## Common Join Patterns\n\n| Joined With | Query Count | Percentage |\n|------------|------------|------------|\n"
+USAGE_FILTERS = "\n## Common WHERE Conditions\n\n| Column | Query Count | Percentage |\n|--------|------------|------------|\n"
+USAGE_SAMPLES = "\n## Sample Queries Using This Table\n\n"
 
-    def row(*cells):
-        return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |\n"))
 
-    pct = F.col("pct_text")
-    n = F.col("n").cast("string")
-    sample = F.concat(F.lit("### Query "), F.col("query_id").cast("string"), F.lit("\n\n**Complexity**: "), "complexity",
-                      F.lit("  \n**Tables**: "), "tables", F.lit("  \n\n```sql\n"), "query_text", F.lit("\n```\n\n"))
+def _text(*parts) -> Column:
+    """Columns and fixed texts in a row; null when a column is."""
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def _row(*cells: Column) -> Column:
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |\n"))
+
+
+def _linked(name: Column, folder: str) -> Column:
+    return _text("[", name, f"]({folder}", slug(name), ".md)")
+
+
+def _lines(df: DataFrame, keys: list[str], order: list[Column], line: Column, name: str) -> DataFrame:
+    """The lines of each page in order. What is gathered here is cut to a fixed length or counted per name before."""
+    row = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], line.alias("line"))
+    return df.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["line"]), "").alias(name))
+
+
+def category_pages(queries: DataFrame) -> DataFrame:
+    """Rows (path, content). Lists are cut to their fixed lengths before they are gathered."""
+    n, pct = F.col("n").cast("string"), F.col("pct_text")
+    sample = _text("### Query ", F.col("query_id").cast("string"), "\n\n**Complexity**: ", F.col("complexity"), "  \n**Tables**: ", F.col("tables"),
+                   f"  \n**Description**: {NO_DESCRIPTION}  \n\n```sql\n", F.col("query_text"), "\n```\n\n")
     parts = [
-        gathered(category_levels(queries), "level_no", row(F.col("complexity"), n, pct), "levels"),
-        gathered(category_tables(queries), "position", row(F.col("table_name"), n, pct), "tables"),
-        gathered(category_samples(queries), "position", sample, "samples"),
+        _lines(category_levels(queries), ["category"], [F.col("level_no")], _row(F.col("complexity"), n, pct), "levels"),
+        _lines(category_tables(queries), ["category"], [F.col("position")], _row(_linked(F.col("table_name"), "../tables_usage/"), n, pct), "tables"),
+        _lines(category_samples(queries), ["category"], [F.col("position")], sample, "samples"),
     ]
     out = count_by(queries, "category", name="total")
     for part in parts:
         out = out.join(part, "category", "left")
-    content = F.concat(
-        F.lit("# "), "category", F.lit(" Queries\n\nThis document contains "), F.col("total").cast("string"), F.lit(" queries categorized as '"), "category",
-        F.lit("'.\n\n## Complexity Distribution\n\n| Complexity | Count | Percentage |\n|-----------|-------|------------|\n"), "levels",
-        F.coalesce(F.concat(F.lit("\n## Tables Used in this Category\n\n| Table Name | Query Count | Percentage |\n|------------|------------|------------|\n"), "tables"), F.lit("")),
-        F.lit("\n## Sample Queries\n\n"), F.coalesce("samples", F.lit("")))
-    return out.select(F.concat(F.lit("query_patterns/"), slug(F.col("category")), F.lit(".md")).alias("path"), content.alias("content"))
+    empty = F.lit("")
+    content = _text(
+        "# ", F.col("category"), " Queries\n\nThis document contains ", F.col("total").cast("string"), " queries categorized as '", F.col("category"), CATEGORY_HEAD, F.col("levels"),
+        F.coalesce(_text(CATEGORY_TABLES, F.col("tables")), empty), CATEGORY_SAMPLES, F.coalesce("samples", empty))
+    return out.select(_text("query_patterns/", slug(F.col("category")), ".md").alias("path"), content.alias("content"))
+
+
+def index_page(queries: DataFrame) -> DataFrame:
+    """One row (path, content): all categories and the most used tables."""
+    n = F.col("n").cast("string")
+    categories = _lines(front_categories(queries), [], [-F.col("n"), F.col("category")], _text("- [", F.col("category"), "](", F.col("path"), ") (", n, " queries)\n"), "categories")
+    tables = _lines(front_tables(queries), [], [-F.col("n"), F.col("table_name")], _row(_text("[", F.col("table_name"), "](", F.col("path"), ")"), n), "tables")
+    total = queries.agg(F.count("*").cast("string").alias("total"))
+    content = _text(INDEX_HEAD, F.col("total"), INDEX_CATEGORIES, categories.scalar(), INDEX_TABLES, tables.scalar())
+    return total.select(F.lit("index.md").alias("path"), content.alias("content"))
 
 
 # --- table pages ----------------------------------------------------------------------------------------------------
@@ -140,3 +174,30 @@ def table_filters(queries: DataFrame, n: int = 10) -> DataFrame:
 def table_samples(queries: DataFrame, n: int = 10) -> DataFrame:
     used = _tables_of(queries).join(used_tables(queries), "table_name", "left_semi")
     return last_per_group(used, ["table_name"], [F.col("complexity"), F.col("query_id")], n).select("table_name", "position", "query_id", "complexity", "category", "query_text")
+
+
+def table_usage_pages(queries: DataFrame, catalog_tables: DataFrame) -> DataFrame:
+    """Rows (path, content), one per table with significant use."""
+    used, n, key = used_tables(queries), F.col("n").cast("string"), ["table_name"]
+    share = percent_text(F.col("n"), F.col("total"))
+    by_use = [-F.col("n")]
+    categories = table_categories(queries).join(used, "table_name")
+    partners = table_partners(queries).join(used, "table_name")
+    filters = table_filters(queries).join(used, "table_name")
+    sample = _text("### ", F.col("category"), " Query (Complexity: ", F.col("complexity"), ")\n\n```sql\n", F.col("query_text"), "\n```\n\n")
+    parts = [
+        _lines(categories, key, [*by_use, F.col("category")], _row(_linked(F.col("category"), "../query_patterns/"), n, share), "categories"),
+        _lines(partners, key, [*by_use, F.col("partner")], _row(_linked(F.col("partner"), "./"), n, share), "partners"),
+        _lines(filters, key, [F.col("position")], _row(F.col("column"), n, share), "filters"),
+        _lines(table_samples(queries), key, [F.col("position")], sample, "samples"),
+    ]
+    out = table_overview(queries, catalog_tables)
+    for part in parts:
+        out = out.join(part, "table_name", "left")
+    name, empty = F.col("table_name"), F.lit("")
+    schema = _text(F.col("description"), "\n\nSee [full schema documentation](../../schema/tables/", name, ".md) for this table.\n\n")
+    content = _text(
+        "# ", name, " Usage Documentation\n\n", F.coalesce(schema, empty), "This document describes how the `", name, "` table is used across ", F.col("total").cast("string"),
+        USAGE_CATEGORIES, F.coalesce("categories", empty), F.coalesce(_text(USAGE_JOINS, F.col("partners")), empty), F.coalesce(_text(USAGE_FILTERS, F.col("filters")), empty),
+        USAGE_SAMPLES, F.coalesce("samples", empty))
+    return out.select(_text("tables_usage/", slug(name), ".md").alias("path"), content.alias("content"))

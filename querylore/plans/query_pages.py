@@ -72,14 +72,16 @@ def _(t):
     return P.table_partners(page_queries(t))
 
 
-@plan("q25_table_filters", rf"""WITH {PAGES}, w AS (SELECT query_id, clean, main_table, unnest(regexp_extract_all(clean, '(?i)\b(?:WHERE|AND|OR|ON)\s+((?:\w+\.)?\w+\s*(?:>=|<=|<>|!=|=|>|<|\bIN\b|\bLIKE\b|\bBETWEEN\b|\bIS\b))', 1)) AS c FROM pg),
+FILTERS = rf"""w AS (SELECT query_id, clean, main_table, unnest(regexp_extract_all(clean, '(?i)\b(?:WHERE|AND|OR|ON)\s+((?:\w+\.)?\w+\s*(?:>=|<=|<>|!=|=|>|<|\bIN\b|\bLIKE\b|\bBETWEEN\b|\bIS\b))', 1)) AS c FROM pg),
 al AS (SELECT query_id, pos, regexp_extract(x, '^(\w+)', 1) AS tab, regexp_extract(x, '(\w+)$', 1) AS ali FROM (SELECT query_id, unnest(l) AS x, unnest(range(len(l))) AS pos FROM (SELECT query_id, regexp_extract_all(clean, '(?i)\b(?:FROM|JOIN)\s+(\w+\s+(?:AS\s+)?\w+)', 1) AS l FROM pg))),
 a1 AS (SELECT query_id, ali, arg_min(tab, pos) AS tab FROM al GROUP BY 1, 2),
 d AS (SELECT DISTINCT w.query_id, coalesce(a1.tab, nullif(regexp_extract(w.c, '^(\w+)\.', 1), ''), w.main_table) AS table_name, regexp_extract(w.c, '^(?:\w+\.)?(\w+)', 1) AS col
   FROM w LEFT JOIN a1 ON w.query_id = a1.query_id AND a1.ali = regexp_extract(w.c, '^(\w+)\.', 1)),
 c AS (SELECT table_name, col AS "column", count(*) AS n FROM d WHERE table_name IS NOT NULL GROUP BY 1, 2),
-r AS (SELECT c.table_name, CAST(row_number() OVER (PARTITION BY c.table_name ORDER BY n DESC, "column") AS INT) AS position, "column", n, total FROM c JOIN used ON c.table_name = used.table_name)
-SELECT table_name, position, "column", n, {PCT} FROM r WHERE position <= 10""")
+r AS (SELECT c.table_name, CAST(row_number() OVER (PARTITION BY c.table_name ORDER BY n DESC, "column") AS INT) AS position, "column", n, total FROM c JOIN used ON c.table_name = used.table_name)"""
+
+
+@plan("q25_table_filters", f"WITH {PAGES}, {FILTERS} SELECT table_name, position, \"column\", n, {PCT} FROM r WHERE position <= 10")
 def _(t):
     return P.table_filters(page_queries(t))
 

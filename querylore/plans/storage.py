@@ -9,7 +9,7 @@ from querylore.operators import pages as P
 from querylore.operators import querylog as Q
 from querylore.plans.catalog import BASE, DOC_SQL, JOIN_LISTS, LISTS, _documents
 from querylore.plans.query_log import ANALYZED, EXTRACTED, UNIQUE, analyzed, unique
-from querylore.plans.query_pages import PAGES, page_queries
+from querylore.plans.query_pages import FILTERS, PAGES, page_queries
 from querylore.plans.registry import plan
 from querylore.session import scratch_dir
 from querylore.sources import query_files as S
@@ -107,10 +107,10 @@ lx AS (SELECT t.category, lv.level_no, lv.complexity, coalesce(cl.n, 0) AS n, pr
 ll AS (SELECT category, string_agg('| ' || complexity || ' | ' || n || ' | ' || pct || ' |' || chr(10), '' ORDER BY level_no) AS levels FROM lx GROUP BY 1),
 ct AS (SELECT category, table_name, count(*) AS n FROM pt GROUP BY 1, 2),
 tx AS (SELECT ct.category, table_name, n, total, row_number() OVER (PARTITION BY ct.category ORDER BY n DESC, table_name) AS r FROM ct JOIN tot ON ct.category = tot.category),
-tt AS (SELECT category, string_agg('| ' || table_name || ' | ' || n || ' | ' || printf('%.1f%%', n::DOUBLE / total * 100) || ' |' || chr(10), '' ORDER BY r) AS tables FROM tx WHERE r <= 15 GROUP BY 1),
+tt AS (SELECT category, string_agg('| [' || table_name || '](../tables_usage/' || replace(lower(table_name), ' ', '_') || '.md) | ' || n || ' | ' || printf('%.1f%%', n::DOUBLE / total * 100) || ' |' || chr(10), '' ORDER BY r) AS tables FROM tx WHERE r <= 15 GROUP BY 1),
 sx AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY complexity, query_id) AS r FROM pg),
 ss AS (SELECT category, string_agg('### Query ' || query_id || chr(10) || chr(10) || '**Complexity**: ' || complexity || '  ' || chr(10) || '**Tables**: ' || array_to_string(tables, ', ') || '  '
-  || chr(10) || chr(10) || '```sql' || chr(10) || query_text || chr(10) || '```' || chr(10) || chr(10), '' ORDER BY r) AS samples FROM sx WHERE r <= 20 GROUP BY 1)
+  || chr(10) || '**Description**: No description available  ' || chr(10) || chr(10) || '```sql' || chr(10) || query_text || chr(10) || '```' || chr(10) || chr(10), '' ORDER BY r) AS samples FROM sx WHERE r <= 20 GROUP BY 1)
 SELECT 'query_patterns/' || t.category || '.md' AS path, md5('# ' || t.category || ' Queries' || chr(10) || chr(10) || 'This document contains ' || total
   || ' queries categorized as ' || chr(39) || t.category || chr(39) || '.' || chr(10) || chr(10) || '## Complexity Distribution' || chr(10) || chr(10)
   || '| Complexity | Count | Percentage |' || chr(10) || '|-----------|-------|------------|' || chr(10) || levels
@@ -125,6 +125,52 @@ def _(t):
     return K.read_pages(t.spark, folder).withColumn("content", F.md5("content"))
 
 
+_INDEX_SQL = f"""WITH {PAGES}, c AS (SELECT category, count(*) AS n FROM pg GROUP BY 1), u AS (SELECT table_name, count(*) AS n FROM pt GROUP BY 1 ORDER BY n DESC, 1 LIMIT 20)
+SELECT 'index.md' AS path, md5('# SQL Query Documentation' || chr(10) || chr(10) || 'This documentation catalogs and analyzes common SQL query patterns from a repository of '
+  || (SELECT count(*) FROM pg) || ' queries.' || chr(10) || chr(10) || '## Query Categories' || chr(10) || chr(10)
+  || (SELECT string_agg('- [' || category || '](query_patterns/' || replace(lower(category), ' ', '_') || '.md) (' || n || ' queries)' || chr(10), '' ORDER BY n DESC, category) FROM c)
+  || chr(10) || '## Most Used Tables' || chr(10) || chr(10) || '| Table Name | Query Count |' || chr(10) || '|------------|------------|' || chr(10)
+  || (SELECT string_agg('| [' || table_name || '](tables_usage/' || replace(lower(table_name), ' ', '_') || '.md) | ' || n || ' |' || chr(10), '' ORDER BY n DESC, table_name) FROM u)) AS content"""
+
+
+@plan("k03_index_page", _INDEX_SQL)
+def _(t):
+    folder = K.write_pages(P.index_page(page_queries(t)), scratch_dir(t.spark, "index-page"))
+    return K.read_pages(t.spark, folder).withColumn("content", F.md5("content"))
+
+
+def _shares(source: str, link: str, order: str) -> str:
+    return f"""SELECT x.table_name, string_agg('| ' || {link} || ' | ' || n || ' | ' || printf('%.1f%%', n::DOUBLE / used.total * 100) || ' |' || chr(10), '' ORDER BY {order}) AS txt
+  FROM {source} x JOIN used ON x.table_name = used.table_name GROUP BY 1"""
+
+
+_USAGE_SQL = f"""WITH {PAGES}, {FILTERS},
+k AS (SELECT table_name, min(coalesce(nullif(table_comment, ''), 'Table ' || table_name)) AS description FROM cat_table WHERE table_type = 'BASE TABLE' GROUP BY 1),
+uc AS (SELECT table_name, category, count(*) AS n FROM pt GROUP BY 1, 2),
+ux AS (SELECT a AS table_name, b AS partner FROM pairs UNION ALL SELECT b, a FROM pairs WHERE a <> b), uj AS (SELECT table_name, partner, count(*) AS n FROM ux GROUP BY 1, 2),
+us AS (SELECT *, row_number() OVER (PARTITION BY table_name ORDER BY complexity, query_id) AS r FROM pt),
+tc AS ({_shares("uc", "'[' || category || '](../query_patterns/' || replace(lower(category), ' ', '_') || '.md)'", "n DESC, category")}),
+tj AS ({_shares("uj", "'[' || partner || '](./' || replace(lower(partner), ' ', '_') || '.md)'", "n DESC, partner")}),
+tf AS ({_shares("(SELECT table_name, position, \"column\", n FROM r WHERE position <= 10)", '"column"', "position")}),
+ts AS (SELECT table_name, string_agg('### ' || category || ' Query (Complexity: ' || complexity || ')' || chr(10) || chr(10) || '```sql' || chr(10) || query_text || chr(10) || '```' || chr(10) || chr(10), '' ORDER BY r) AS txt
+  FROM us WHERE r <= 10 GROUP BY 1)
+SELECT 'tables_usage/' || replace(lower(used.table_name), ' ', '_') || '.md' AS path, md5('# ' || used.table_name || ' Usage Documentation' || chr(10) || chr(10)
+  || coalesce(description || chr(10) || chr(10) || 'See [full schema documentation](../../schema/tables/' || used.table_name || '.md) for this table.' || chr(10) || chr(10), '')
+  || 'This document describes how the `' || used.table_name || '` table is used across ' || used.total || ' queries.' || chr(10) || chr(10) || '## Usage by Category' || chr(10) || chr(10)
+  || '| Category | Query Count | Percentage |' || chr(10) || '|----------|------------|------------|' || chr(10) || coalesce(tc.txt, '')
+  || coalesce(chr(10) || '## Common Join Patterns' || chr(10) || chr(10) || '| Joined With | Query Count | Percentage |' || chr(10) || '|------------|------------|------------|' || chr(10) || tj.txt, '')
+  || coalesce(chr(10) || '## Common WHERE Conditions' || chr(10) || chr(10) || '| Column | Query Count | Percentage |' || chr(10) || '|--------|------------|------------|' || chr(10) || tf.txt, '')
+  || chr(10) || '## Sample Queries Using This Table' || chr(10) || chr(10) || coalesce(ts.txt, '')) AS content
+FROM used LEFT JOIN k ON used.table_name = k.table_name LEFT JOIN tc ON used.table_name = tc.table_name LEFT JOIN tj ON used.table_name = tj.table_name
+LEFT JOIN tf ON used.table_name = tf.table_name LEFT JOIN ts ON used.table_name = ts.table_name"""
+
+
+@plan("k03_table_usage_pages", _USAGE_SQL)
+def _(t):
+    folder = K.write_pages(P.table_usage_pages(page_queries(t), C.base_tables(t.cat_table)), scratch_dir(t.spark, "usage-pages"))
+    return K.read_pages(t.spark, folder).withColumn("content", F.md5("content"))
+
+
 _PATH = """'/data/docs/' || source || CASE WHEN doc_id % 2 = 0 THEN '/' ELSE chr(92) END || CAST(doc_id AS STRING) ||
   CASE doc_id % 5 WHEN 0 THEN '.md' WHEN 1 THEN '.TXT' WHEN 2 THEN '.json' WHEN 3 THEN '.xyz' ELSE '' END"""
 
