@@ -109,7 +109,16 @@ def test_corpus_pages(spark):
     assert {(r["table_name"], r["partner"], r["n"], r["pct"]) for r in P.table_partners(queries).collect()} == {("db_order", "db_customer", 1, 50.0)}
     assert {(r["column"], r["n"]) for r in P.table_filters(queries).collect()} == {("s", 2), ("k", 1)}
     page = {r["path"]: r["content"] for r in P.category_pages(queries).collect()}["query_patterns/customer_management.md"]
-    assert page.startswith("# customer_management Queries\n\nThis document contains 1 queries") and "| Medium | 1 | 100.0% |" in page and "| db_customer | 1 | 100.0% |" in page
+    assert page.startswith("# customer_management Queries\n\nThis document contains 1 queries") and "| Medium | 1 | 100.0% |" in page and "| [db_customer](../tables_usage/db_customer.md) | 1 | 100.0% |" in page
+    assert "**Tables**: db_order, db_customer  \n**Description**: No description available  \n\n```sql\nSELECT a" in page
+    index = P.index_page(queries).first()["content"]
+    assert "from a repository of 3 queries.\n" in index and "| [db_order](tables_usage/db_order.md) | 2 |\n" in index
+    known = spark.createDataFrame([("t", "db_order", "Orders")], "tenant string, table_name string, description string")
+    usage = {r["path"]: r["content"] for r in P.table_usage_pages(queries, known).collect()}
+    assert list(usage) == ["tables_usage/db_order.md"]
+    text = usage["tables_usage/db_order.md"]
+    assert text.startswith("# db_order Usage Documentation\n\nOrders\n\nSee [full schema documentation](../../schema/tables/db_order.md) for this table.\n\nThis document describes how the `db_order` table is used across 2 queries.")
+    assert "| [db_customer](./db_customer.md) | 1 | 50.0% |" in text and "| s | 2 | 100.0% |" in text and text.count("```sql") == 2
     pair = spark.createDataFrame([("a_JOIN_b",)], "p string")
     assert tuple(pair.select(*[P.join_partner(F.col("p"), F.lit(x)) for x in "abc"]).first()) == ("b", "a", None)
     sample = Q.representative_sample(Q.business_areas(Q.analyze_queries(log)), 2).collect()
