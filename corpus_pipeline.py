@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querylore.llm import bpe, decontaminate, language_id, ngram_join, substring_dedup
-from querylore.llm.common import stored
+from querylore.llm.common import stored, text_batches
 from querylore.llm.queries import vocabulary
 
 
@@ -18,6 +18,7 @@ def _clear_of(docs: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, s
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised stay: those without letters, or with a score below the calibrated bound, go."""
+    text_batches(spark)
     own, back = _clear_of(docs, ["held_out", "lang_pred", "score", "accepted"])
     kept = language_id.identify(own).filter("accepted").drop("held_out", "lang_pred", "score", "accepted")
     return kept.withColumnsRenamed(back).select(*docs.columns)
@@ -25,11 +26,13 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest doc_id."""
+    text_batches(spark)
     return ngram_join.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words that repeat 50 words or more of an earlier document go; a document that loses none keeps its text as it is."""
+    text_batches(spark)
     own, back = _clear_of(docs, ["kept_text", "n_words", "n_removed"])
     cut = substring_dedup.remove_repeated_windows(own).withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
@@ -44,6 +47,7 @@ def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids, decoded) of each document."""
+    text_batches(spark)
     file = vocabulary("word_bpe_49k.json")
     coded = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), file).drop("text"), file)
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")

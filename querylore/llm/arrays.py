@@ -75,6 +75,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()  # the worker may wait idle beside others
 
 
 class Words:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from querylore.session import scratch_dir
@@ -11,6 +11,17 @@ SPAN_BITS = 8  # ids per level of the ordered helpers: 256
 LEVELS = 3
 
 
+BATCH_ROWS = 512  # rows of whole texts that Spark hands to a Python worker at once
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Limits the batches between Spark and Python workers for the session: texts are thousands of bytes, and the default of 10,000 rows
+    is held on both sides, once or twice. A smaller setting of the caller stays. Results do not depend on it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """The frame written once to the shared folder and read back, so that lost executors cost a reread at most."""
     path = scratch_dir(df.sparkSession, purpose)

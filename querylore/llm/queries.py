@@ -19,6 +19,7 @@ from querylore.llm import sharding as H
 from querylore.llm import substring_dedup as S
 from querylore.llm import token_files as T
 from querylore.llm import winnowing as W
+from querylore.llm.common import text_batches
 from querylore.session import scratch_dir
 
 
@@ -32,6 +33,7 @@ def vocabulary(name: str) -> str:
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    text_batches(spark)
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
