@@ -80,6 +80,22 @@ def merged(df: DataFrame, bits: int, keys: Callable[[Iterator[pa.RecordBatch]],
     return Sketch(bits, np.frombuffer(flat, np.uint8).reshape(ROWS, -1))
 
 
+class Repeated:
+    """Of a merged sketch only whether an estimate is two or more, one bit for each cell: an eighth of its bytes for the tasks."""
+
+    def __init__(self, df: DataFrame, sketch: Sketch):
+        self._bits = sketch.bits
+        self._flags = df.sparkSession.sparkContext.broadcast(np.packbits(sketch.table > 1, axis=1))
+
+    def test(self, keys: np.ndarray) -> np.ndarray:
+        """True for every key whose estimate is two or more."""
+        flags, out = self._flags.value, np.ones(len(keys), bool)
+        for row in range(ROWS):
+            at = cells(keys, row, self._bits)
+            out &= (flags[row, at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+        return out
+
+
 class Shared:
     """A sketch as a Spark broadcast, for use inside tasks."""
 

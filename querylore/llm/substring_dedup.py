@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querylore.llm.arrays import Words, pieces, sliding_min, span_hashes
-from querylore.llm.sketch import Shared, bits_for, merged
+from querylore.llm.sketch import Repeated, bits_for, merged
 
 SIZE = 50
 GRAM = 16
@@ -58,18 +58,17 @@ def remove_repeated_windows(docs: DataFrame, size: int = SIZE, gram: int = GRAM)
         for batch in pieces(batches, "text"):
             yield _windows(Words(batch.column(1), lower=False), size, gram)[2]
 
-    shared = Shared(texts, merged(texts, bits, anchors))
+    again = Repeated(texts, merged(texts, bits, anchors))
 
-    def repeated(table, words):
+    def repeated(words):
         at, anchors, _ = _windows(words, size, gram)
-        at = at[table.estimate(anchors) > 1] if len(at) else at
+        at = at[again.test(anchors)] if len(at) else at
         return at, span_hashes(words.hashes, at, at + size)
 
     def estimated(batches):
-        table = shared.get()
         for batch in pieces(batches, "text"):
             words = Words(batch.column(1), lower=False)
-            at, hashes = repeated(table, words)
+            at, hashes = repeated(words)
             ids = batch.column(0).to_numpy()[np.searchsorted(words.first, at, "right") - 1]
             order = np.lexsort((ids, hashes))
             hashes, ids = hashes[order], ids[order]
@@ -85,10 +84,9 @@ def remove_repeated_windows(docs: DataFrame, size: int = SIZE, gram: int = GRAM)
     text_at, id_at = names.index("text"), names.index("doc_id")
 
     def cut(batches):
-        table = shared.get()
         for batch in pieces(batches, "text"):
             words = Words(batch.column(text_at), lower=False)
-            at, hashes = repeated(table, words)
+            at, hashes = repeated(words)
             row = np.searchsorted(words.first, at, "right") - 1
             mine = batch.column("_owned")
             named = batch.column(id_at).is_valid().to_numpy(zero_copy_only=False)
