@@ -17,7 +17,10 @@ The Jaccard distance 1 - J is a metric, and two documents are linked when it is
    weighted Jaccard distance is a metric too and never above the sets' own distance, so no link is lost; the pairs found are then
    compared exactly. A region too large for one task is dealt into blocks of rows first.
 
-``links`` holds class pairs (a, b): every linked pair is either in it, or both ends are joined by pairs in it.
+``links`` holds class pairs (a, b): every linked pair is either in it, or both ends are joined by pairs in it. It gives the components.
+
+5. All links are counted inside the components, which no link leaves. The classes of a component are dealt into blocks, each pair of
+   blocks is one task's work, and each pair of classes meets in exactly one of them and is compared exactly. Only sums per class leave a task.
 """
 
 from __future__ import annotations
@@ -40,6 +43,8 @@ LEAF = 48
 BINS = 128
 LEAF_CELL = 16  # sets of a cell that are compared pair by pair
 POSITION_BITS = 20  # later positions count as the last one, which only weakens a bound
+PAIR_ROWS, PAIR_SHINGLES = 2048, 1 << 19  # classes, and shingles of them, in a block whose pairs are counted
+OFTEN = 64  # a shingle of more sets of two blocks is counted by a matrix product
 KEY_SHIFT = 24  # cell keys keep 40 bits of a shingle hash; a false meeting only costs a comparison
 
 
@@ -58,6 +63,10 @@ def shingles(batch: pa.RecordBatch, column: int, size: int = SHINGLE):
     return (np.concatenate(rows) if rows else np.zeros(0, np.uint64)), ends
 
 
+def set_key(own: np.ndarray) -> bytes:
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+
+
 def least_shared(n: int, threshold: tuple[int, int]) -> int:
     """Shingles that a set of n must share with any linked set."""
     return -(-n * threshold[0] // threshold[1])
@@ -86,7 +95,7 @@ def _sets(texts: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
             n, keys, cells, bounds, fold = np.diff(ends), [], [], [0], []
             for i in range(batch.num_rows):
                 own = flat[ends[i] : ends[i + 1]]
-                keys.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
+                keys.append(set_key(own))
                 take = len(own) - least_shared(len(own), threshold) + 1 if len(own) else 0
                 cells.append(own[np.argsort(order[ends[i] : ends[i + 1]], kind="stable")[:take]])
                 bounds.append(bounds[-1] + take)
@@ -153,6 +162,11 @@ def _arrays(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return values.flatten().to_numpy().view(np.uint64), bounds - bounds[0]
 
 
+def id_keys(batches):
+    for batch in batches:
+        yield batch.column(0).to_numpy().astype(np.int64).view(np.uint64)
+
+
 def _verified(texts: DataFrame, pairs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
     """The linked ones among the pairs (x, p), by exact comparison of whole sets, as stored (a, b).
 
@@ -160,10 +174,6 @@ def _verified(texts: DataFrame, pairs: DataFrame, size: int, threshold: tuple[in
     """
     ids = pairs.select("x").unionByName(pairs.select(F.col("p").alias("x"))).distinct()
 
-    def id_keys(batches):
-        for batch in batches:
-            yield batch.column(0).to_numpy().astype(np.int64).view(np.uint64)
-
     wanted = Shared(ids, merged(ids, bits_for(pairs.count() * 2), id_keys))
 
     def hashed(batches):
@@ -263,29 +273,131 @@ def _links(texts: DataFrame, classes: DataFrame, size: int, threshold: tuple[int
     return stars.unionByName(_verified(texts, stored(rest, "rest"), size, threshold))
 
 
+def shared_counts(flat: np.ndarray, row: np.ndarray, n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many values each of the rows ``a`` shares with each of the rows ``b``; ``flat`` are the distinct values of each of n rows.
+
+    ``a`` comes before ``b`` or is the same; then only the part above the diagonal counts. Rare values are counted pair by pair.
+    """
+    _, value, often = np.unique(flat, return_inverse=True, return_counts=True)
+    order = np.lexsort((row, value))
+    order = order[often[value[order]] > 1]  # a value of one row is shared with none
+    value, row = value[order], row[order]
+    out = np.zeros((len(a), len(b)), np.int32)
+    shift = 0 if a is b or len(a) == n else len(a)
+    rare = often[value] <= OFTEN
+    v, r = value[rare], row[rare]
+    for lag in range(1, OFTEN):
+        same = np.flatnonzero(v[lag:] == v[:-lag]) if lag < len(v) else np.zeros(0, np.int64)
+        if not len(same):
+            break
+        x, y = r[same], r[same + lag]
+        met = (x < len(a)) & (y >= shift)
+        np.add.at(out, (x[met], y[met] - shift), 1)
+    v, r = value[~rare], row[~rare]
+    bounds = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1], [True]])) if len(v) else np.zeros(1, np.int64)
+    for k in range(0, len(bounds) - 1, 1024):
+        to = min(k + 1024, len(bounds) - 1)
+        own = slice(bounds[k], bounds[to])
+        has = np.zeros((n, to - k), np.float32)
+        has[r[own], np.searchsorted(bounds[k : to + 1], np.arange(bounds[k], bounds[to]), "right") - 1] = 1
+        out += (has[a] @ has[b].T).astype(np.int32)
+    return out
+
+
+def _pair_counts(size: int, threshold: tuple[int, int]):
+    def run(table: pa.Table) -> pa.Table:
+        flats, keys, copies, first = [], [], [], []
+        for batch in pieces(table.select(["text", "set_key", "copies", "first"]).to_batches(), "text"):
+            flat, ends = shingles(batch, 0, size)
+            for i, key in enumerate(batch.column(1).to_pylist()):
+                own = flat[ends[i] : ends[i + 1]]
+                if set_key(own) == key:  # not so for other rows that repeat the doc_id
+                    flats.append(own)
+                    keys.append(key)
+                    copies.append(batch.column(2)[i].as_py())
+                    first.append(batch.column(3)[i].as_py())
+        rank = {key: at for at, key in enumerate(dict.fromkeys(keys))}
+        one = [keys.index(key) for key in rank] if len(rank) < len(keys) else list(range(len(keys)))
+        one.sort(key=lambda at: not first[at])  # the rows of the first block come first
+        flats, keys = [flats[at] for at in one], [keys[at] for at in one]
+        copies, n_first = np.array([copies[at] for at in one], np.float64), sum(first[at] for at in one)
+        n = np.array([len(f) for f in flats], np.int64)
+        within = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        a = np.arange(len(n) if within else n_first)
+        b = a if within else np.arange(n_first, len(n))
+        others = np.zeros(len(n))
+        if len(a) and len(b):
+            both = shared_counts(np.concatenate(flats), np.repeat(np.arange(len(n)), n), len(n), a, b)
+            for k in range(0, len(a), 256):  # rows at a time, as exact numbers are wide
+                part = both[k : k + 256].astype(np.float64)
+                linked = threshold[1] * part >= threshold[0] * (n[a[k : k + 256], None] + n[None, b] - part)
+                if within:
+                    linked &= np.arange(k, k + len(part))[:, None] < b[None, :]
+                others[a[k : k + 256]] += linked @ copies[b]
+                others[b] += copies[a[k : k + 256]] @ linked
+        return pa.table({"set_key": pa.array(keys, pa.binary()), "others": pa.array(others.astype(np.int64))})
+
+    return run
+
+
+def _link_counts(texts: DataFrame, named: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
+    """Stored (set_key, others): of the classes that have any, the rows in other classes that are linked with a row of the class."""
+    groups = named.groupBy("component_id").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("total")).filter("m > 1")
+    parts = F.ceil(F.greatest(F.col("m") / PAIR_ROWS, F.col("total") / PAIR_SHINGLES)).cast("int")
+    wanted = stored(named.join(groups.select("component_id", parts.alias("parts")), "component_id").select("class_id", "set_key", "component_id", "copies", "parts"), "counted")
+    ids = wanted.select("class_id").distinct()
+    held = Shared(ids, merged(ids, bits_for(wanted.count() * 2), id_keys))
+
+    def likely(batches):
+        table = held.get()
+        for batch in batches:
+            batch = batch.filter(pa.array(table.estimate(batch.column(0).to_numpy().astype(np.int64).view(np.uint64)) > 0))
+            if batch.num_rows:
+                yield batch
+
+    rows = texts.mapInArrow(likely, "class_id long, text string").join(wanted, "class_id").withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    rows = rows.select("component_id", "i", "j", "text", "set_key", "copies", (F.col("own") == F.col("i")).alias("first"))
+    sums = rows.groupBy("component_id", "i", "j").applyInArrow(_pair_counts(size, threshold), "set_key binary, others long")
+    return stored(sums.groupBy("set_key").agg(F.sum("others").alias("others")), "link-counts")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
 def link_tables(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sets, classes, links) of the documents with a doc_id: sets (doc_id, n_shingles, set_key), classes (class_id, copies, n_shingles)."""
-    texts = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = _texts(docs)
     sets = stored(_sets(texts, size, threshold), "sets")
     full = sets.groupBy("set_key").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("cells").alias("cells"), F.first("fold").alias("fold"))
     links = _links(texts, full, size, threshold)
     return sets.drop("cells", "fold"), full.select("set_key", "class_id", "copies", "n_shingles"), links
 
 
+def _named(docs: DataFrame, size: int, threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """The sets, and their classes that have shingles with component_id."""
+    sets, classes, links = link_tables(docs, size, threshold)
+    labels = components(links)
+    filled = classes.filter("n_shingles > 0").join(labels, classes["class_id"] == labels["node"], "left")
+    return sets, filled.select("set_key", "class_id", F.coalesce("component", "class_id").alias("component_id"), "copies", "n_shingles")
+
+
 def ngram_jaccard_join(docs: DataFrame, size: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id) for each row of ``docs`` (doc_id, text, ...).
+    """(doc_id, n_shingles, class_id, component_id, n_links) for each row of ``docs`` (doc_id, text, ...).
 
-    class_id is the smallest doc_id with the same shingle set, component_id the smallest reachable over links.
+    class_id is the smallest doc_id with the same shingle set, component_id the smallest reachable over links, n_links the number
+    of other rows with a doc_id that are linked with this one, copies included.
     A null, empty or blank text has no set: 0 shingles, linked with nothing. Fewer than ``size`` words are one shingle.
-    Rows that repeat a doc_id count as one document in links and keep a row each. Rows without a doc_id are returned
-    with null classes and their own shingles not counted (null). Other columns of ``docs`` are ignored. An empty table gives
+    Rows that repeat a doc_id count as one document in components, as rows in n_links, and keep a row each. Rows without a doc_id
+    are returned with nulls, their own shingles not counted. Other columns of ``docs`` are ignored. An empty table gives
     an empty table. Links come from exact comparison of 64-bit shingle hashes.
     """
-    sets, classes, links = link_tables(docs, size, threshold)
-    labels = components(links)
-    filled = classes.filter("n_shingles > 0").join(labels, classes["class_id"] == labels["node"], "left")
-    named = filled.select("set_key", "class_id", F.coalesce("component", "class_id").alias("component_id"))
-    out = sets.join(named, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    sets, named = _named(docs, size, threshold)
+    named = stored(named, "named")
+    named = named.join(_link_counts(_texts(docs), named, size, threshold), "set_key", "left")
+    named = named.select("set_key", "class_id", "component_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    out = sets.join(named, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     nameless = docs.filter(F.col("doc_id").isNull()).select(*[F.lit(None).cast("long").alias(c) for c in out.columns])
     return out.unionByName(nameless)
 
@@ -295,6 +407,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows without a doc_id stay. Of rows that repeat the kept doc_id, all stay.
     """
-    groups = ngram_jaccard_join(docs.select("doc_id", "text"))
-    dropped = groups.filter("component_id <> doc_id").select("doc_id").distinct()
+    sets, named = _named(docs.select("doc_id", "text"), SHINGLE, THRESHOLD)
+    dropped = sets.join(named.select("set_key", "component_id"), "set_key").filter("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti")

@@ -44,6 +44,12 @@ def jaccard_components(docs):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
+def link_counts(docs):
+    """{doc_id: number of linked documents} of rows with distinct ids, by comparing all pairs."""
+    sets = {i: shingle_set(t) for i, t in docs}
+    return {i: sum(1 for j, o in sets.items() if i != j and s and o and 100 * len(s & o) >= 80 * len(s | o)) for i, s in sets.items()}
+
+
 def cut_windows(docs, size=50):
     """{doc_id: (n_words, n_removed, kept text)}."""
     every, own = {i: words(t) for i, t in docs}, {}

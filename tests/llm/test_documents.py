@@ -33,6 +33,24 @@ def test_jaccard_join_equals_all_pairs(docs, corpus, monkeypatch, leaf_cell, lea
     assert got == plain.jaccard_components(corpus)
 
 
+@pytest.mark.parametrize("rows, shingles, often", [(2048, 1 << 19, 64), (7, 1 << 19, 3), (2048, 3000, 1)])
+def test_link_counts_equal_all_pairs(docs, corpus, monkeypatch, rows, shingles, often):
+    # small limits send the fixture through blocks and matrix products
+    for name, value in (("PAIR_ROWS", rows), ("PAIR_SHINGLES", shingles), ("OFTEN", often)):
+        monkeypatch.setattr(ngram_join, name, value)
+    got = {r.doc_id: r.n_links for r in ngram_join.ngram_jaccard_join(docs).collect()}
+    assert got == plain.link_counts(corpus)
+    assert sum(got.values()) > 300
+
+
+def test_link_counts_of_odd_rows(spark):
+    rng = random.Random(1)
+    text, other = plain.sentence(rng, 40), plain.sentence(rng, 40)
+    rows = [(1, text), (1, text), (1, other), (2, other), (None, text), (3, text + " end"), (4, None), (5, "")]
+    got = sorted(((r.doc_id, r.n_shingles, r.n_links) for r in ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, DOCS)).collect()), key=repr)
+    assert got == [(1, 36, 1), (1, 36, 2), (1, 36, 2), (2, 36, 1), (3, 37, 2), (4, 0, 0), (5, 0, 0), (None, None, None)]
+
+
 def test_metric_join_equals_all_pairs():
     import numpy as np
 
