@@ -1,6 +1,7 @@
 """Document fingerprints by winnowing. DataFrame functions only.
 
-A text is cut into tokens of at most ``TOKEN`` characters at white space, so scripts without spaces have tokens too. Every ``K``
+A text is cut into tokens of at most ``TOKEN`` characters at white space. Letters of scripts without spaces are tokens of their own, and so is
+each character of any other run of more than ``LONG_RUN``: there a cut counted from the start of the run would move with what comes before. Every ``K``
 consecutive tokens are hashed; in every ``W`` consecutive hashes the least is selected, the rightmost of equals. Any two texts that share
 ``K + W - 1`` tokens in a row share a selected hash, and no match shorter than K tokens counts. Hash and position are packed into
 one number whose order is hash first, then position downwards, so one minimum does both.
@@ -14,12 +15,19 @@ from pyspark.sql import functions as F
 from querylore.llm.common import SPAN_BITS, following, stored
 
 TOKEN, K, W = 6, 4, 8
+LONG_RUN = 64
+SPACELESS = "".join(rf"\p{{Is{script}}}" for script in "Han Hiragana Katakana Bopomofo Yi Thai Lao Khmer Myanmar Tibetan Javanese Balinese Tai_Le New_Tai_Lue Tai_Tham Tai_Viet".split())
+SPACELESS_RANGE = r"\x{2EA}\x{2EB}\x{E00}-\x{10FFFF}"  # all such letters are in it
 POSITION_BITS = 24
 SHARED_EDGES = 1_000_000  # rows of two longs that may be broadcast
 
 
 def _tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(rf"(\S{{1,{TOKEN}}})"), F.lit(1))
+    cut, single = F.lit(rf"(\S{{1,{TOKEN}}})"), F.lit(r"(\S)")
+    runs = F.regexp_extract_all(text, F.lit(rf"([{SPACELESS}]|[^\s{SPACELESS}]+)"), F.lit(1))
+    tokens = F.flatten(F.transform(runs, lambda r: F.regexp_extract_all(r, F.when(F.char_length(r) > LONG_RUN, single).otherwise(cut), F.lit(1))))
+    # most texts have neither such letters nor such runs, and need one pattern only
+    return F.when(text.rlike(rf"[{SPACELESS_RANGE}]|\S{{{LONG_RUN + 1}}}"), tokens).otherwise(F.regexp_extract_all(text, cut, F.lit(1)))
 
 
 def _grams(tokens: Column) -> Column:

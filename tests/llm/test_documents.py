@@ -191,6 +191,22 @@ def test_shared_runs_share_a_selected_hash(spark):
     assert set.intersection(*[set(r.h) for r in picked])
 
 
+@pytest.mark.parametrize("letters, around, n", [("天地人日月山水火木金土", "上下左右大小中", 20), ("กขคงจฉชซ", "ดตถทธน", 20), ("ABCDEFGHIJabcdefghij", "0123456789", 100)])
+def test_passages_without_spaces_share_a_selected_hash_at_any_offset(spark, letters, around, n):
+    rng = random.Random(10)
+    some = lambda k, of: "".join(rng.choice(of) for _ in range(k))
+    passage = some(n, letters)
+    rows = [(i, some(40 + i, around) + passage + some(40, around)) for i in range(7)]
+    picked = winnowing.select_grams(spark.createDataFrame(rows, DOCS), "text", "picked").select(winnowing.hashes(F.col("picked")).alias("h")).collect()
+    assert set.intersection(*[set(r.h) for r in picked])
+
+
+def test_tokens_of_mixed_texts(spark):
+    rows = [(1, "information is café"), (2, "information 天地x is"), (3, "b" * 65 + " information")]
+    got = [r.t for r in spark.createDataFrame(rows, DOCS).coalesce(1).orderBy("doc_id").select(winnowing._tokens(F.col("text")).alias("t")).collect()]
+    assert got == [["inform", "ation", "is", "café"], ["inform", "ation", "天", "地", "x", "is"], ["b"] * 65 + ["inform", "ation"]]
+
+
 def test_rightmost_of_equal_hashes_is_selected(spark):
     text = " ".join(["tick"] * 30)
     picked = winnowing.select_grams(spark.createDataFrame([(1, text)], DOCS), "text", "p").select(winnowing.fingerprint(F.col("p")).alias("f")).first().f
