@@ -9,8 +9,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from querylore.llm import align as A
 from querylore.llm import bpe as B
 from querylore.llm import chat as C
+from querylore.llm import collocations as P
 from querylore.llm import decontaminate as D
 from querylore.llm import html_extract as X
 from querylore.llm import language_id as L
@@ -18,6 +20,7 @@ from querylore.llm import ngram_join as N
 from querylore.llm import sharding as H
 from querylore.llm import substring_dedup as S
 from querylore.llm import token_files as T
+from querylore.llm import warc as R
 from querylore.llm import winnowing as W
 from querylore.llm.common import text_batches
 from querylore.session import scratch_dir
@@ -87,6 +90,20 @@ def op10_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFram
     return D.contained_items(_table(spark, folder, "documents").select("doc_id", "text"), _table(spark, folder, "benchmark"))
 
 
+def op11_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return P.collocations(_table(spark, folder, "documents").select("text", "lang"))
+
+
+def op12_cross_tokenizer_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return A.aligned_documents(docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+def op13_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = R.write_archives(_table(spark, folder, "pages").select("page_id", "url", "html"), scratch_dir(spark, "archives"))
+    return R.capture_histories(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "history_no")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_sharding": op2_sharding,
@@ -98,6 +115,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_language_id": op9_language_id,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_cross_tokenizer_alignment": op12_cross_tokenizer_alignment,
+    "op13_warc": op13_warc,
 }
 
 _WORDS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -142,9 +162,37 @@ u AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d
 g AS (SELECT u.doc_id, count(c.k) AS n_removed, string_agg(word, ' ' ORDER BY u.k) FILTER (WHERE c.k IS NULL) AS kept FROM u LEFT JOIN c ON u.doc_id = c.doc_id AND u.k = c.k GROUP BY 1)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g ON d.doc_id = g.doc_id"""
 
+_PHRASES = r"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS t FROM d),
+w AS MATERIALIZED (SELECT lang, list_filter(string_split_regex(t, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, w, j, unnest(range(1, len(w) - j + 2)) AS k FROM w, (SELECT unnest(range(1, 6)) AS j) WHERE len(w) >= j),
+f AS MATERIALIZED (SELECT lang, list_slice(w, k, k + j - 1) AS s, count(*) AS f FROM g GROUP BY 1, 2 HAVING count(*) >= 100),
+i AS (SELECT lang, s, f, unnest(range(2, len(s))) AS j FROM f WHERE len(s) > 2),
+b AS (SELECT lang, s, f, j, unnest(range(1, len(s) - j + 2)) AS k FROM i),
+o AS (SELECT lang, list_slice(s, k, k + j - 1) AS s, max(f) AS f FROM b GROUP BY 1, 2),
+c AS (SELECT f.lang, f.s, f.f AS a, unnest(range(1, len(f.s))) AS k FROM f LEFT JOIN o ON o.lang = f.lang AND o.s = f.s WHERE len(f.s) > 1 AND (o.f IS NULL OR 100 * o.f < 100 * f.f)),
+x AS (SELECT c.lang, c.s, a, k, l.f AS l, r.f AS r, n, ((1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f))::BIGINT AS score FROM c JOIN n ON n.lang = c.lang
+  JOIN f l ON l.lang = c.lang AND l.s = list_slice(c.s, 1, k) JOIN f r ON r.lang = c.lang AND r.s = list_slice(c.s, k + 1, len(c.s))),
+y AS (SELECT *, array_to_string(s, ' ') AS phrase FROM x QUALIFY row_number() OVER (PARTITION BY lang, s ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM y
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000"""
+
+_CAPTURES = r"""WITH p AS (SELECT page_id, url, coalesce(html, '') AS h, sha256(coalesce(html, '')) AS d FROM pages),
+o AS (SELECT d, min(page_id) AS least FROM p WHERE octet_length(encode(h)) >= 100 GROUP BY d),
+u AS (SELECT *, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)([^#]*)', ['host', 'path']) AS x FROM p),
+k AS (SELECT *, regexp_replace(lower(regexp_replace(regexp_replace(x.host, '^.*@', ''), ':[0-9]*$', '')), '^www\.', '') AS host,
+  CASE WHEN starts_with(x.path, '/') THEN '' ELSE '/' END || x.path AS rest, regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.\-]*://') AS is_url FROM u),
+n AS (SELECT *, CASE WHEN is_url THEN array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || rest ELSE coalesce(url, '') END AS url_key FROM k)
+SELECT page_id, octet_length(encode(h))::BIGINT AS payload_bytes, n.d AS payload_digest, CASE WHEN least < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN least < page_id THEN least END AS refers_to, url_key, row_number() OVER (PARTITION BY url_key ORDER BY page_id % 4294967296, page_id) AS history_no
+FROM n LEFT JOIN o ON n.d = o.d"""
+
 SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": _LINKS,
     "op3_substring_dedup": _CUT,
     "op5_chat_formatting": _CHAT,
     "op10_benchmark_decontamination": _LEAKS,
+    "op11_phrase_collocations": _PHRASES,
+    "op13_warc": _CAPTURES,
 }
