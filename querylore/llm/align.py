@@ -196,8 +196,9 @@ class Alignment:
         self.rows = rows
         (self.a, self.a_first), (self.b, self.b_first) = a_kept, b_kept
         self.a_bytes, self.b_bytes = Csr.of_spans(a.tokens.sizes[self.a]), Csr.of_spans(b.tokens.sizes[self.b])
-        ends = np.intersect1d(self.a_bytes.indptr[1:], self.b_bytes.indptr[1:], assume_unique=False)
-        self.a_group, self.b_group = np.searchsorted(ends, self.a_bytes.indptr[1:]), np.searchsorted(ends, self.b_bytes.indptr[1:])
+        a_ends, b_ends = self.a_bytes.indptr[1:], self.b_bytes.indptr[1:]  # both ascending
+        ends = a_ends[b_ends[np.searchsorted(b_ends, a_ends)] == a_ends] if len(rows) else a_ends
+        self.a_group, self.b_group = np.searchsorted(ends, a_ends), np.searchsorted(ends, b_ends)
         self.groups = len(ends)
 
     def links(self):

@@ -174,8 +174,8 @@ def _streams(texts: DataFrame, words: DataFrame) -> DataFrame:
 class _Counter:
     """The n-grams of one length that a task has seen: keys not yet sorted, and a filter."""
 
-    def __init__(self, packing: Packing, range_bits: int):
-        self.packing, self.range_bits = packing, range_bits
+    def __init__(self, packing: Packing, range_bits: int, limit: int):
+        self.packing, self.range_bits, self.limit = packing, range_bits, limit
         self.held, self.size, self.filter = [], 0, None
 
     def add(self, columns: list[np.ndarray]) -> None:
@@ -190,9 +190,9 @@ class _Counter:
 
     def rows(self, last: bool):
         """Hands the filter on, cut at ranges of quotients, when it is full or the task ends."""
-        if self.size >= HELD or last:
+        if self.size >= self.limit or last:
             self.settle()
-            if self.filter is not None and (last or len(self.filter) >= HELD):
+            if self.filter is not None and (last or len(self.filter) >= self.limit):
                 for at, part in self.filter.ranges(self.range_bits):
                     yield pa.RecordBatch.from_arrays([pa.array([self.packing.n], pa.int32()), pa.array([at]), pa.array([part.to_bytes()], pa.binary())], ["words", "range", "filter"])
                 self.filter = None
@@ -209,17 +209,18 @@ def _merge(table: pa.Table, least: int) -> pa.Table:
 def _frequent(streams: DataFrame, lengths: list[int], bits: int, range_bits: int, least: int, pairs=None) -> DataFrame:
     """(gram array<int>, first long, n long) of the n-grams of these lengths that occur ``least`` times or more. ``pairs`` is the shared
     bitmap of frequent pairs and its number of leading bits, for lengths above two."""
+    limit, step = HELD, max(1, HELD // 4)
 
     def count(batches):
-        counters = [_Counter(Packing(n, bits), range_bits) for n in lengths]
+        counters = [_Counter(Packing(n, bits), range_bits, limit) for n in lengths]
         two = Packing(2, bits)
         known = np.frombuffer(pairs[0].value, np.uint8) if pairs else None
         for batch in batches:
             for blob in batch.column(0):
                 ids = np.frombuffer(blob.as_py(), np.int32)
-                for begin in range(0, max(len(ids) - 1, 0), HELD // 4):  # a long text is cut; its cuts overlap by what an n-gram needs
-                    part = ids[begin : begin + HELD // 4 + LONGEST - 1]
-                    own = min(HELD // 4, len(part))
+                for begin in range(0, max(len(ids) - 1, 0), step):  # a long text is cut; its cuts overlap by what an n-gram needs
+                    part = ids[begin : begin + step + LONGEST - 1]
+                    own = min(step, len(part))
                     near = (part[:-1] != STOP) & (part[1:] != STOP)
                     if pairs is not None:
                         at = np.flatnonzero(near)

@@ -111,3 +111,86 @@ def corpus(seed: int = 5) -> list[tuple[int, str | None]]:
     rng.shuffle(texts)
     ids = rng.sample(range(3 * len(texts)), len(texts))
     return list(zip(ids, texts))
+
+
+def phrases(docs, least, top, longest=5):
+    """{lang: [(rank, phrase, a, l, r, n, score)]} of (lang, text) rows, from all n-grams."""
+    total, f = {}, {}
+    for lang, text in docs:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", lowered(text)):
+            w = [x for x in re.split(r"[\x20\x09]+", piece) if x]
+            total[lang] = total.get(lang, 0) + len(w)
+            for n in range(1, longest + 1):
+                for k in range(len(w) - n + 1):
+                    key = lang, tuple(w[k : k + n])
+                    f[key] = f.get(key, 0) + 1
+    often = {key: n for key, n in f.items() if n >= least and len(key[1]) > 1}
+    inside = set()
+    for (lang, s), n in often.items():
+        for m in range(2, len(s)):
+            for k in range(len(s) - m + 1):
+                part = lang, s[k : k + m]
+                if part in often and 100 * n >= 100 * often[part]:
+                    inside.add(part)
+    rows = {}
+    for (lang, s), a in often.items():
+        if (lang, s) not in inside:
+            cuts = [(1000 * a * total[lang] // (f[lang, s[:k]] * f[lang, s[k:]]), k, f[lang, s[:k]], f[lang, s[k:]]) for k in range(1, len(s))]
+            score, _, left, right = min(cuts)
+            rows.setdefault(lang, []).append((" ".join(s), a, left, right, total[lang], score))
+    return {lang: [(i + 1, *r) for i, r in enumerate(sorted(own, key=lambda r: (-r[5], -r[1], r[0].encode()))[:top])] for lang, own in rows.items()}
+
+
+def token_bytes(tokenizer, pieces):
+    """(bytes of an id of A, bytes of an id of B)."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+    letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+    return (
+        lambda i: bytes(letters[c] for c in tokenizer.id_to_token(i)),
+        lambda i: bytes([int(pieces.id_to_piece(i)[3:5], 16)]) if pieces.is_byte(i) else pieces.id_to_piece(i).replace("▁", " ").encode(),
+    )
+
+
+def alignments(rows, tokenizer, pieces):
+    """Sorted (doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of (doc_id, text) rows, by comparing every two tokens of a group."""
+    a_bytes, b_bytes = token_bytes(tokenizer, pieces)
+    counts, found = {}, []
+    for doc_id, text in rows:
+        a = tokenizer.encode(f" {text}", add_special_tokens=False).ids if text else []
+        b = pieces.encode(text) if text else []
+        if not text or b"".join(map(a_bytes, a)) != f" {text}".encode() or b"".join(map(b_bytes, b)) != f" {text}".encode():
+            found.append((doc_id, None))
+            continue
+        spans = []
+        for ids, of in ((a, a_bytes), (b, b_bytes)):
+            at, own = 0, []
+            for i in ids:
+                own.append((at, at + len(of(i)), i))
+                at += len(of(i))
+            spans.append(own)
+        groups, links, i, j = [], [], 0, 0
+        while i < len(a):
+            own = [[spans[0][i]], [spans[1][j]]]
+            i, j = i + 1, j + 1
+            while own[0][-1][1] != own[1][-1][1]:
+                if own[0][-1][1] < own[1][-1][1]:
+                    own[0].append(spans[0][i])
+                    i += 1
+                else:
+                    own[1].append(spans[1][j])
+                    j += 1
+            links += [(x[2], y[2]) for x in own[0] for y in own[1] if x[0] < y[1] and y[0] < x[1]]
+            groups.append("|".join(",".join(str(t[2]) for t in side) for side in own))
+        for link in links:
+            counts[link] = counts.get(link, 0) + 1
+        found.append((doc_id, (len(a), len(b), len(groups), links, ";".join(groups))))
+    most = {}
+    for (_, b), n in counts.items():
+        most[b] = max(n, most.get(b, 0))
+    out = [
+        (i, 0, 0, 0, 0, 0, 0, "") if x is None
+        else (i, *x[:3], len(x[3]), sum(counts[k] == most[k[1]] for k in x[3]), sum(counts[k] for k in x[3]), sha(x[4]))
+        for i, x in found
+    ]
+    return sorted(out, key=repr)
