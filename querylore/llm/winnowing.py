@@ -4,11 +4,14 @@ A text is cut into tokens of at most ``TOKEN`` characters at white space. Letter
 each character of any other run of more than ``LONG_RUN``: there a cut counted from the start of the run would move with what comes before. Every ``K``
 consecutive tokens are hashed; in every ``W`` consecutive hashes the least is selected, the rightmost of equals. Any two texts that share
 ``K + W - 1`` tokens in a row share a selected hash, and no match shorter than K tokens counts. Hash and position are packed into
-one number whose order is hash first, then position downwards, so one minimum does both.
+one number whose order is hash first, then position downwards, so one minimum does both. A position has 24 bits: in a text of more than 16 million
+tokens (some 100 MB) positions start again from 0, and of equal hashes that far apart the rightmost need not be taken.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +30,7 @@ def _tokens(text: Column) -> Column:
     runs = F.regexp_extract_all(text, F.lit(rf"([{SPACELESS}]|[^\s{SPACELESS}]+)"), F.lit(1))
     tokens = F.flatten(F.transform(runs, lambda r: F.regexp_extract_all(r, F.when(F.char_length(r) > LONG_RUN, single).otherwise(cut), F.lit(1))))
     # most texts have neither such letters nor such runs, and need one pattern only
-    return F.when(text.rlike(rf"[{SPACELESS_RANGE}]|\S{{{LONG_RUN + 1}}}"), tokens).otherwise(F.regexp_extract_all(text, cut, F.lit(1)))
+    return F.when(text.rlike(rf"[{SPACELESS_RANGE}]|(?:^|\s)\S{{{LONG_RUN + 1}}}"), tokens).otherwise(F.regexp_extract_all(text, cut, F.lit(1)))
 
 
 def _grams(tokens: Column) -> Column:
@@ -71,11 +74,12 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(one == 0, F.lit(1.0)).otherwise(both / (one - both)).cast("double")
 
 
-def with_next(docs: DataFrame, text: str, carried: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, text: str, carried: list[str], prepared: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Adds next_<column> for the row with the next larger doc_id; the last is followed by the first.
 
     Rows are dealt by spans of 256 ids and read in order inside a span; the first row of the next span that has any visits the span
-    before it. Of rows with one doc_id the order is that of the text. Rows without a doc_id have no next row (null).
+    before it. Of rows with one doc_id the order is that of the text. Rows without a doc_id have no next row (null). ``prepared`` adds what
+    costs much to the dealt rows, so that it is computed once for each row and visitor and never shuffled.
     """
     columns = docs.columns
     ids = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"))
@@ -89,7 +93,7 @@ def with_next(docs: DataFrame, text: str, carried: list[str]) -> DataFrame:
     own = docs.withColumn("_span", F.coalesce(F.shiftright(F.col("doc_id").cast("long"), SPAN_BITS), -1 - F.pmod(F.xxhash64(text), F.lit(1 << 20)))).withColumn("_guest", F.lit(0))
     guests = docs.join(edges, "doc_id").withColumn("_guest", F.when(F.col("_wrap"), 2).otherwise(1)).select(*columns, "_span", "_guest")
     order = Window.partitionBy("_span").orderBy("_guest", "doc_id", text)
-    rows = own.unionByName(guests)
+    rows = prepared(own.unionByName(guests).repartition("_span"))
     for c in carried:
         rows = rows.withColumn(f"next_{c}", F.when(F.col("doc_id").isNotNull(), F.lead(c).over(order)))
     return rows.filter("_guest = 0").drop("_span", "_guest")
@@ -104,8 +108,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     the order of their texts. Equal texts have equal fingerprints. Other columns are ignored. An empty table gives an empty table.
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = select_grams(texts, "text", "picked")
-    rows = with_next(own, "text", ["text", "picked"])
+    rows = with_next(texts, "text", ["text", "picked"], lambda dealt: select_grams(dealt, "text", "picked"))
     n, edited_n = F.char_length("text"), F.floor(F.char_length("text") / 4).cast("int")
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", F.concat(F.substring("text", F.lit(1), n - edited_n), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), edited_n)))
     rows = select_grams(rows, "edited", "edited_picked")
