@@ -4,7 +4,7 @@ A text's features are its sub-words of two to four bytes inside words (with the
 ``BUCKETS`` rows of an embedding table. The text's vector is their mean; a linear layer and a softmax follow. Because both are linear, table and
 layer are multiplied into one table of class scores before it is sent to the tasks, and a whole text is scored by a mean of rows.
 
-Training uses a bounded sample: of each language the ``SAMPLE`` labelled rows with the least hash of doc_id, whole texts. A
+Training uses a bounded sample: of each language the ``SAMPLE`` labelled rows with the least hash of doc_id, up to ``SAMPLE_BYTES``, whole texts. A
 tenth of it is held back to calibrate a temperature and the score below which a prediction is rejected.
 """
 
@@ -19,11 +19,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from querylore.llm.arrays import pieces, text_bytes
+from querylore.llm.common import free_name
 
 BUCKETS_BITS = 15
 BUCKETS = 1 << BUCKETS_BITS
 DIMENSIONS = 16
 SAMPLE = 800  # rows of each language
+SAMPLE_BYTES = 16 << 20  # of text of each language
 EPOCHS = 4
 RATE = 0.6
 REJECT_SHARE = 0.001  # of rightly predicted held-back texts may fall below the rejection score
@@ -88,15 +90,18 @@ def softmax(logits: np.ndarray) -> np.ndarray:
 
 
 def sample(labelled: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """At most ``size`` rows of each language from (doc_id, text, lang): those with the least hash of doc_id.
+    """At most ``size`` rows of each language from (doc_id, text, lang): those with the least hash of doc_id, as many of them as have ``SAMPLE_BYTES``
+    of text together, or one.
 
-    Only ids are ranked; Spark cuts the ranking in every partition before the shuffle. The chosen ids are at most ``size``
-    per language and may be broadcast; languages beyond the 256 with most rows are not learned.
+    Only ids and sizes are ranked; Spark cuts the ranking in every partition before the shuffle. The chosen ids are at most ``size``
+    per language and may be broadcast. Every language is learned.
     """
     named = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    top = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).select("lang")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = named.join(F.broadcast(top), "lang").select("doc_id", "lang").withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= size).select("doc_id", "lang").distinct()
+    sized = named.select("doc_id", "lang", F.octet_length("text").cast("long").alias("_size"))
+    first = sized.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= size)
+    running = F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ids = first.withColumn("_sum", running).filter((F.col("_rank") == 1) | (F.col("_sum") <= SAMPLE_BYTES)).select("doc_id", "lang").distinct()
     return named.select("doc_id", "text", "lang").join(F.broadcast(ids), ["doc_id", "lang"])
 
 
@@ -183,7 +188,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = rest.columns
     text_at = names.index("text")
-    marked = rest.withColumn("_letters", letters)
+    marked = rest.withColumn(free_name(rest, "letters"), letters)
 
     def run(batches):
         own = shared.value
@@ -206,6 +211,11 @@ def held_out() -> Column:
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text, lang, ...) with held_out, lang_pred, score, accepted; learned from rows that are not held out."""
+    """``docs`` (doc_id, text, lang, ...) with held_out, lang_pred, score, accepted (old columns of these names are replaced); learned from rows that are not held out.
+
+    Rows without a doc_id are not held out and not learned from; rows without a lang or text are not learned from; every row gets a prediction
+    (see ``predict``), repeated rows each their own, equal texts the same. Languages as likely as each other go to the first in order. Other columns
+    stay. An empty table gives an empty table.
+    """
     rows = docs.drop("held_out").withColumn("held_out", held_out())
     return predict(rows, train(rows.filter(~F.col("held_out")).select("doc_id", "text", "lang")))

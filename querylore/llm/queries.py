@@ -41,8 +41,7 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
-    # all links are counted; the rows are those of the SQL text, which has no count
-    return N.ngram_jaccard_join(_table(spark, folder, "documents").select("doc_id", "text")).drop("n_links")
+    return N.ngram_jaccard_join(_table(spark, folder, "documents").select("doc_id", "text"))
 
 
 def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,7 +64,7 @@ def op4_bpe_encoding(spark: SparkSession, folder: str) -> DataFrame:
 def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     rows = C.rotate_perspectives(_table(spark, folder, "conversations"))
     mask = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return rows.select("conv_id", "perspective", "part", "n_turns", "text", mask.alias("mask"))
+    return rows.select("conv_id", "perspective", "part", "block", "n_turns", "text", mask.alias("mask"))
 
 
 def op6_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
@@ -122,20 +121,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _WORDS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
-_CHAT = """WITH t AS (SELECT conv_id, turn, turn // 64 AS part, CASE WHEN role <> '' THEN role ELSE 'unknown' END AS role,
+_CHAT = """WITH r AS (SELECT conv_id, turn, turn // 64 AS part, CASE WHEN role <> '' THEN role ELSE 'unknown' END AS role,
   replace(coalesce(text, ''), '<|im_', '<| im_') || '<|im_end|>' AS said FROM conversations),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id, part ORDER BY turn, role, said) AS place FROM r),
 s AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
-m AS (SELECT t.conv_id, perspective, part, turn, role = perspective AS own, said, '<|im_start|>' || CASE WHEN role = perspective THEN 'assistant'
+m AS (SELECT t.conv_id, perspective, part, (place - 1) // 64 AS block, place, role = perspective AS own, said, '<|im_start|>' || CASE WHEN role = perspective THEN 'assistant'
   WHEN role = 'system' THEN role ELSE 'user name=' || role END || chr(10) AS head FROM t JOIN s ON t.conv_id = s.conv_id),
-p AS (SELECT *, sum(length(head) + length(said) + 1) OVER (PARTITION BY conv_id, perspective, part ORDER BY turn) - 1 AS stop FROM m)
-SELECT conv_id, perspective, part, count(*) AS n_turns, string_agg(head || said || chr(10), '' ORDER BY turn) AS text,
-  coalesce(string_agg((stop - length(said))::BIGINT || '-' || stop::BIGINT, ',' ORDER BY turn) FILTER (WHERE own), '') AS mask
-FROM p GROUP BY conv_id, perspective, part"""
+p AS (SELECT *, sum(length(head) + length(said) + 1) OVER (PARTITION BY conv_id, perspective, part, block ORDER BY place) - 1 AS stop FROM m)
+SELECT conv_id, perspective, part, block, count(*) AS n_turns, string_agg(head || said || chr(10), '' ORDER BY place) AS text,
+  coalesce(string_agg((stop - length(said))::BIGINT || '-' || stop::BIGINT, ',' ORDER BY place) FILTER (WHERE own), '') AS mask
+FROM p GROUP BY conv_id, perspective, part, block"""
 
 _LEAKS = f"""WITH dw AS (SELECT doc_id, {_WORDS} AS w FROM documents), iw AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
-dl AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM dw WHERE len(w) > 0),
+z AS (SELECT DISTINCT least(len(w), 5) AS j FROM iw WHERE len(w) > 0),
+dl AS (SELECT doc_id, w, j, unnest(range(1, len(w) - j + 2)) AS k FROM dw, z WHERE len(w) >= j),
 il AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM iw WHERE len(w) > 0),
-d AS (SELECT DISTINCT doc_id, list_slice(w, k, k + 4) AS s FROM dl), i AS (SELECT DISTINCT item_id, list_slice(w, k, k + 4) AS s FROM il),
+d AS (SELECT DISTINCT doc_id, list_slice(w, k, k + j - 1) AS s FROM dl), i AS (SELECT DISTINCT item_id, list_slice(w, k, k + 4) AS s FROM il),
 n AS (SELECT item_id, count(*) AS n FROM i GROUP BY 1)
 SELECT doc_id, item_id, n AS item_shingles, count(*) AS shared_shingles, count(*) / n AS containment
 FROM d JOIN i USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id, n HAVING 100 * count(*) >= 80 * n"""
@@ -149,8 +150,8 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 l AS MATERIALIZED (SELECT a, b, shared = x.n AND shared = y.n AS same FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
 r AS (SELECT doc_id AS a, doc_id AS c FROM d UNION SELECT l.a, r.c FROM r JOIN l ON l.b = r.a),
-m AS (SELECT a, min(c) AS component_id FROM r GROUP BY a), e AS (SELECT a, min(b) AS b FROM l WHERE same GROUP BY a)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(e.b, d.doc_id)) AS class_id, m.component_id
+m AS (SELECT a, min(c) AS component_id FROM r GROUP BY a), e AS (SELECT a, min(b) FILTER (WHERE same) AS b, count(*) AS n_links FROM l GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(e.b, d.doc_id)) AS class_id, m.component_id, coalesce(n_links, 0) AS n_links
 FROM d JOIN m ON m.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN e ON e.a = d.doc_id"""
 
 _CUT = f"""WITH d AS (SELECT doc_id, {_SPLIT.format("coalesce(text, '')")} AS w FROM documents),

@@ -2,9 +2,10 @@
 
 Records are ordered by a hash of their text, so equal texts are neighbours. A size-weighted sample of keys (a record is drawn with
 a chance in proportion to its bytes; at most about ``DRAWS`` draws a range reach the driver) gives the quantile boundaries of many
-key ranges. Exact bytes are then counted per range: an overfull range is subdivided by a second hash of the text, and a piece
-that is still overfull, because it is mostly copies of one text, by doc_id. The pieces, a few for each range, are packed into the
-shards, the heaviest first into the lightest shard. Copies of one text share a shard unless they alone overfill a range.
+key ranges. Exact bytes are then counted per range: an overfull range is subdivided by a second hash of the text, and a text whose
+copies alone overfill a range is a piece of its own, counted in parts by doc_id. The pieces, a few for each range, are packed into the
+shards, the heaviest first into the lightest shard. Copies of one text share a shard; they are parted only where they exceed a shard's mean, or
+where shards that hold such groups whole would not come out even (``packed``).
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ ROWS_PER_RANGE = 50_000
 MOST_RANGES = 8192
 DRAWS = 16
 OVERFULL = 2.0  # times the mean bytes of a range
+EVEN = 1.02  # times the mean bytes of a shard that the fullest may have before groups of copies are parted
 
 
 def _range_of(key, bounds: list[int]):
@@ -36,6 +38,31 @@ def _range_of(key, bounds: list[int]):
     return F.when(block == 0, 0).otherwise((block - 1) * step + F.size(F.filter(inner, lambda b: b <= key))).cast("int")
 
 
+def packed(pieces: dict[tuple, int], shards: int) -> dict[tuple, int]:
+    """The shard of each piece (range, text or part, part of copies or -1), by bytes: the heaviest first into the lightest shard.
+
+    The parts of one text's copies go together as long as the text fits a shard's mean and the shards still come out even; else the texts above
+    half that size, and so on, are dealt part by part.
+    """
+    mean = max(1.0, sum(pieces.values()) / shards)
+    groups: dict[tuple, list[tuple]] = {}
+    for r, s, t in sorted(pieces):
+        groups.setdefault((r, s, t >= 0), []).append((r, s, t))
+    sizes = {g: sum(pieces[p] for p in own) for g, own in groups.items()}
+    whole = mean
+    while True:
+        units = [own for g, own in groups.items() if sizes[g] <= whole] + [[p] for g, own in groups.items() if sizes[g] > whole for p in own]
+        lightest = [(0, shard) for shard in range(shards)]
+        where = {}
+        for own in sorted(units, key=lambda u: (-sum(pieces[p] for p in u), u)):
+            filled, shard = heapq.heappop(lightest)
+            where.update(dict.fromkeys(own, shard))
+            heapq.heappush(lightest, (filled + sum(pieces[p] for p in own), shard))
+        if max(lightest)[0] <= EVEN * mean or all(len(own) == 1 for own in units):
+            return where
+        whole /= 2
+
+
 def assign_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) for each row of ``docs`` (doc_id, text, ...).
 
@@ -58,28 +85,24 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
             bounds.append(row["key"])
         seen += row["draws"]
 
-    placed = rows.withColumn("r", _range_of(F.col("key"), bounds))
-    first = placed.groupBy("r").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > OVERFULL * share)
+    # texts whose copies alone overfill a range, fewer than the ranges; every other text lies whole in one piece
+    heavy = rows.groupBy("key").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > OVERFULL * share).select("key", F.ceil(F.col("bytes") / share).cast("int").alias("copies"))
+    placed = rows.withColumn("r", _range_of(F.col("key"), bounds)).join(F.broadcast(heavy), "key", "left")
+    first = placed.filter("copies IS NULL").groupBy("r").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > OVERFULL * share)
     by_text = first.select("r", F.ceil(F.col("bytes") / share).cast("int").alias("parts"))  # at most a row for each range
-    placed = placed.join(F.broadcast(by_text), "r", "left").withColumn("s", F.coalesce(F.pmod(F.xxhash64("key", F.lit(2)), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
-    second = placed.groupBy("r", "s").agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > OVERFULL * share)
-    by_id = second.select("r", "s", F.ceil(F.col("bytes") / share).cast("int").alias("parts"))
-    placed = placed.join(F.broadcast(by_id), ["r", "s"], "left").withColumn("t", F.coalesce(F.pmod(F.xxhash64("doc_id", "key", F.lit(3)), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+    placed = placed.join(F.broadcast(by_text), "r", "left")
+    among = F.when(F.col("copies").isNotNull(), F.col("key")).otherwise(F.coalesce(F.pmod(F.xxhash64("key", F.lit(2)), F.col("parts")), F.lit(0)))
+    copy = F.coalesce(F.pmod(F.xxhash64("doc_id", "key", F.lit(3)), F.col("copies")).cast("int"), F.lit(-1))
+    placed = placed.withColumn("s", among).withColumn("t", copy).drop("parts", "copies")
 
     # one row for each piece: fewer than ranges * (1 + 2 / OVERFULL) + total / share, whatever the input
-    pieces = placed.groupBy("r", "s", "t").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
-    lightest = [(0, shard) for shard in range(shards)]
-    where: dict[tuple, int] = {}
-    for piece in sorted(pieces, key=lambda p: (-p["bytes"], p["r"], p["s"], p["t"])):
-        filled, shard = heapq.heappop(lightest)
-        where[(piece["r"], piece["s"], piece["t"])] = shard
-        heapq.heappush(lightest, (filled + piece["bytes"], shard))
+    pieces = {(p["r"], p["s"], p["t"]): (p["bytes"], p["n"]) for p in placed.groupBy("r", "s", "t").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}
+    where = packed({piece: size for piece, (size, _) in pieces.items()}, shards)
     begun, table = [0] * shards, []
-    for piece in sorted(pieces, key=lambda p: (p["r"], p["s"], p["t"])):
-        shard = where[(piece["r"], piece["s"], piece["t"])]
-        table.append((piece["r"], piece["s"], piece["t"], shard, begun[shard]))
-        begun[shard] += piece["n"]
-    plan = docs.sparkSession.createDataFrame(table, "r int, s int, t int, shard int, begun long")
+    for piece in sorted(pieces):
+        table.append((*piece, where[piece], begun[where[piece]]))
+        begun[where[piece]] += pieces[piece][1]
+    plan = docs.sparkSession.createDataFrame(table, "r int, s long, t int, shard int, begun long")
     number = F.row_number().over(Window.partitionBy("r", "s", "t").orderBy("key", "doc_id"))
     numbered = placed.withColumn("number", number - 1)
     return numbered.join(F.broadcast(plan), ["r", "s", "t"]).select("doc_id", "size", "text_crc32", "shard", (F.col("begun") + F.col("number")).alias("slot"))

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from querylore.llm.arrays import Words, pieces, sliding_min, span_hashes
+from querylore.llm.common import free_name
 from querylore.llm.sketch import Repeated, bits_for, merged
 
 SIZE = 50
@@ -77,8 +78,9 @@ def remove_repeated_windows(docs: DataFrame, size: int = SIZE, gram: int = GRAM)
             yield pa.RecordBatch.from_arrays([pa.array(hashes[one].view(np.int64)), pa.array(ids[one])], ["window", "doc_id"])
 
     owners = texts.mapInArrow(estimated, "window long, doc_id long").groupBy("window").agg(F.min("doc_id").alias("doc_id"))
-    owned = owners.groupBy("doc_id").agg(F.collect_list("window").alias("_owned"))
     rest = docs.drop("kept_text", "n_words", "n_removed")
+    mine_name = free_name(rest, "owned")
+    owned = owners.groupBy("doc_id").agg(F.collect_list("window").alias(mine_name))
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rest.schema)}, kept_text string, n_words long, n_removed long"
     names = rest.columns
     text_at, id_at = names.index("text"), names.index("doc_id")
@@ -88,7 +90,7 @@ def remove_repeated_windows(docs: DataFrame, size: int = SIZE, gram: int = GRAM)
             words = Words(batch.column(text_at), lower=False)
             at, hashes = repeated(words)
             row = np.searchsorted(words.first, at, "right") - 1
-            mine = batch.column("_owned")
+            mine = batch.column(mine_name)
             named = batch.column(id_at).is_valid().to_numpy(zero_copy_only=False)
             kept, n_words, n_removed = [], np.diff(words.first), np.zeros(batch.num_rows, np.int64)
             bounds = np.searchsorted(row, np.arange(batch.num_rows + 1))
@@ -108,7 +110,7 @@ def remove_repeated_windows(docs: DataFrame, size: int = SIZE, gram: int = GRAM)
                 kept.append(_joined(words, a, b, keep))
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(len(names))] + [pa.array(kept, pa.string()), pa.array(n_words), pa.array(n_removed)], [*names, "kept_text", "n_words", "n_removed"])
 
-    return rest.join(owned, "doc_id", "left").select(*names, "_owned").mapInArrow(cut, schema)
+    return rest.join(owned, "doc_id", "left").select(*names, mine_name).mapInArrow(cut, schema)
 
 
 def _joined(words: Words, a: int, b: int, keep: np.ndarray) -> str:

@@ -155,7 +155,7 @@ def encode_records(docs: DataFrame, tokenizer_file: str, end: int = END, buckets
     wide = Tokenizer.from_str(sent.value).get_vocab_size() > 1 << 16
     dealt = texts.select(_range_of(F.col("doc_id"), bounds).alias("bucket"), "doc_id", "text")
     records = dealt.mapInArrow(encode, "bucket int, doc_id long, ids binary")
-    sorted_ = records.repartition("bucket").sortWithinPartitions("bucket", "doc_id", "ids")
+    sorted_ = records.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "doc_id", "ids")  # a task for each bucket
     return sorted_.mapInArrow(_packer(4 if wide else 2), FILES)
 
 
@@ -279,7 +279,8 @@ def read_records(files: DataFrame) -> DataFrame:
 def look_up(files: DataFrame, keys: DataFrame) -> DataFrame:
     """(doc_id, ids) of the asked keys (doc_id) that are stored, copy 0 of each; only chunks that are asked are read in full.
 
-    A key's chunk is found by the id ranges of the chunks; the chunk's perfect hash then leads to the record in constant time.
+    A key's bucket is found by the buckets' least ids, its chunk by the id ranges of that bucket's chunks; the chunk's perfect hash then leads to the record
+    in constant time. Null keys and keys that are not stored give no row, repeated keys one.
     """
 
     def find(batches):
@@ -292,8 +293,13 @@ def look_up(files: DataFrame, keys: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(wanted[hit]), pa.array([chunk.ids(s).tobytes() for s in slots[hit]], pa.binary())], ["doc_id", "ids"])
 
     ranges = files.select(F.col("bucket").alias("_bucket"), F.col("chunk").alias("_chunk"), "first_id", "last_id")
+    # buckets are ranges of ascending ids, at most MOST_BUCKETS; a key belongs to the last bucket that begins at or below it
+    begins = sorted((r["first"], r["bucket"]) for r in files.groupBy("bucket").agg(F.min("first_id").alias("first")).collect())
+    place = _range_of(F.col("doc_id"), [first for first, _ in begins])
+    numbers = F.array(*[F.lit(bucket) for _, bucket in begins]) if begins else F.array().cast("array<int>")
     one = keys.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    one = one.withColumn("_place", place).filter("_place > 0").select("doc_id", F.get(numbers, F.col("_place") - 1).alias("_bucket"))
     # a chunk is asked for no more keys than it has documents, but for keys between its own
-    asked = one.join(ranges, F.col("doc_id").between(F.col("first_id"), F.col("last_id"))).groupBy("_bucket", "_chunk").agg(F.collect_list("doc_id").alias("asked"))
+    asked = one.join(ranges, "_bucket").filter(F.col("doc_id").between(F.col("first_id"), F.col("last_id"))).groupBy("_bucket", "_chunk").agg(F.collect_list("doc_id").alias("asked"))
     own = files.join(asked, (F.col("bucket") == F.col("_bucket")) & (F.col("chunk") == F.col("_chunk")))
     return own.drop("_bucket", "_chunk").mapInArrow(find, "doc_id long, ids binary")

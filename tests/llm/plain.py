@@ -6,6 +6,8 @@ import hashlib
 import random
 import re
 
+import xxhash
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -68,16 +70,41 @@ def cut_windows(docs, size=50):
 
 def leaks(docs, items, size=5, percent=80):
     """{(doc_id, item_id): (item_shingles, shared)}."""
-    sets = [(i, shingle_set(t, size, str.lower)) for i, t in docs]
+    sets = {n: [(i, {tuple(w[k : k + n]) for w in [words((t or "").lower())] for k in range(len(w) - n + 1)}) for i, t in docs] for n in range(1, size + 1)}
     out = {}
     for item, text in items:
         q = shingle_set(text, size, str.lower)
-        for i, s in sets:
+        for i, s in sets[min(size, max(1, len(words(text))))]:
             if q and 100 * len(q & s) >= percent * len(q):
                 out[(i, item)] = len(q), len(q & s)
     return out
 
 
+def winnowed(text, token=6, long_run=64, k=4, w=8):
+    """The fingerprint of a text, window by window: position:hash of the rightmost least gram of each."""
+    spaceless = re.compile("[\u0e00-\u0e7f\u3040-\u30ff\u4e00-\u9fff]")
+    tokens = []
+    for run in re.findall(r"[^ \t\n\x0b\f\r]+", text or ""):
+        for part in re.findall(f"{spaceless.pattern}|[^{spaceless.pattern[1:-1]}]+", run):
+            tokens += list(part) if len(part) > long_run else [part[i : i + token] for i in range(0, len(part), token)]
+
+    def hash_of(parts):
+        h = 42
+        for part in parts:
+            h = xxhash.xxh64_intdigest(part.encode(), h)
+        return h >> 25
+
+    grams = [(hash_of(tokens[i : i + k]), -i) for i in range(len(tokens) - k + 1)] if len(tokens) >= k else [(hash_of([" ".join(tokens)]), 0)] if tokens else []
+    picked = list(dict.fromkeys(min(grams[i : i + w]) for i in range(max(1, len(grams) - w + 1)))) if grams else []
+    return " ".join(f"{-at:X}:{h:x}" for h, at in picked)
+
+
+def likeness(one, other):
+    """Jaccard likeness of the hashes of two fingerprints."""
+    a, b = ({g.split(":")[1] for g in f.split()} for f in (one, other))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 

@@ -105,6 +105,32 @@ def test_leaks_equal_plain(spark, docs, corpus):
     found = decontaminate.contained_items(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id): (r.item_shingles, r.shared_shingles) for r in found} == plain.leaks(corpus, items)
     assert {r.item_id for r in found} == {1, 2, 5, 7}
+
+
+def test_short_items_are_found_inside_documents(spark):
+    texts = [(1, "zero one Two three four five six"), (2, "one two three"), (3, "one two, three four"), (4, "four"), (5, None), (6, "three four one two three four")]
+    items = [(1, "one two three four"), (2, "FOUR"), (3, "one two"), (4, " "), (5, None), (6, "six seven"), (7, "zero one two three four five six")]
+    found = decontaminate.contained_items(spark.createDataFrame(texts, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): (r.item_shingles, r.shared_shingles) for r in found} == plain.leaks(texts, items)
+    assert {(r.doc_id, r.item_id) for r in found} == {(1, 1), (6, 1), (1, 2), (3, 2), (4, 2), (6, 2), (1, 3), (2, 3), (6, 3), (1, 7)}
+    assert all(r.containment == 1.0 for r in found)
+
+
+def test_columns_that_clash_with_inner_names(spark):
+    text = plain.sentence(random.Random(2), 55)
+    odd = spark.createDataFrame([(1, text, "a", "b", "c"), (2, text + " end", "d", "e", "f")], "doc_id long, text string, owned string, leak string, letters string")
+    items = spark.createDataFrame([(1, text)], "item_id long, text string")
+    assert [r.n_removed for r in substring_dedup.remove_repeated_windows(odd).orderBy("doc_id").collect()] == [0, 55]
+    assert decontaminate.drop_contaminated(odd, items).columns == odd.columns
+    cut = substring_dedup.remove_repeated_windows(odd)
+    assert cut.select("owned", "leak", "letters").distinct().count() == 2
+
+
+def test_clean_documents_stay(spark, docs, corpus):
+    rng = random.Random(4)
+    long_one = max((t for _, t in corpus if t), key=len).split()
+    items = [(1, " ".join(long_one[500:530])), (2, "A b c d")]
+    found = decontaminate.contained_items(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
     clean = decontaminate.drop_contaminated(docs, spark.createDataFrame(items, "item_id long, text string"))
     assert {r.doc_id for r in clean.collect()} == {i for i, _ in corpus} - {r.doc_id for r in found}
 
@@ -151,6 +177,29 @@ def test_copies_share_a_shard(spark):
     assert placed.filter("n > 1").count() == 0
 
 
+def test_a_group_stays_whole_while_it_fits_a_shard(spark):
+    rng = random.Random(11)
+    some = [(plain.sentence(rng, 12), share) for share in (0.01, 0.02, 0.05, 0.06, 0.2)]
+    rows = [text for text, share in some for _ in range(int(6000 * share))]
+    rows = list(enumerate(rows + [plain.sentence(rng, 12) for _ in range(6000 - len(rows))]))
+    placed = sharding.assign_shards(spark.createDataFrame(rows, DOCS)).collect()
+    sizes = _check_shards(placed, dict(rows), 16)
+    assert len(sizes) == 16 and max(sizes.values()) < 1.05 * min(sizes.values())
+    shards = defaultdict(set)
+    for r in placed:
+        shards[dict(rows)[r.doc_id]].add(r.shard)
+    assert [len(shards[text]) == 1 for text, _ in some] == [True, True, True, True, False]
+    assert all(len(s) == 1 for text, s in shards.items() if text != some[-1][0])
+
+
+def test_groups_are_parted_where_shards_would_not_come_out_even():
+    pieces = {(0, g, t): 10 for g in range(17) for t in range(10)}
+    where = sharding.packed(pieces, 16)
+    loads = [sum(pieces[p] for p, shard in where.items() if shard == k) for k in range(16)]
+    assert max(loads) <= 1.1 * min(loads)
+    assert sharding.packed({}, 4) == {}
+
+
 def test_shards_of_odd_rows(spark):
     odd = spark.createDataFrame([(None, None, 1), (3, "x", 2), (3, "x", 3), (4, "", 4)], "doc_id long, text string, shard int")
     rows = sharding.assign_shards(odd).collect()
@@ -177,6 +226,11 @@ def test_fingerprints(docs, corpus):
         assert r.n_chars == len(texts[r.doc_id] or "") and r.edited == want[r.doc_id]
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
         prints[texts[r.doc_id] or ""].add(r.fingerprint)
+        own, edited = plain.winnowed(texts[r.doc_id]), plain.winnowed(r.edited)
+        assert (r.fingerprint, r.edited_fingerprint) == (own, edited)
+        ids = sorted(texts)
+        after = plain.winnowed(texts[ids[(ids.index(r.doc_id) + 1) % len(ids)]])
+        assert r.near_edited == pytest.approx(plain.likeness(own, edited)) and r.near_next == pytest.approx(plain.likeness(own, after))
     assert all(len(p) == 1 for p in prints.values())
     long_ = [r for r in rows if r.n_chars > 400 and len(set((texts[r.doc_id]).split())) > 1]
     assert min(r.near_edited for r in long_) > 0.4

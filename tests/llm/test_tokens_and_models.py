@@ -89,6 +89,18 @@ def test_token_files_round_trip(spark, docs, texts, monkeypatch):
         start += r.n_ids
     keys = spark.createDataFrame([(0,), (8,), (8,), (77,), (10_000,), (-1,), (None,)], "doc_id long")
     assert {r.doc_id: bytes(r.ids) for r in token_files.look_up(files, keys).collect()} == {i: want[i][0] for i in (0, 8, 77)}
+
+
+def test_look_up_of_many_keys_has_no_nested_loop(spark):
+    docs = spark.range(100_000).select((F.col("id") * 3).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    files = token_files.encode_records(docs, vocabulary("byte_bpe_50k.json"), buckets=7)
+    path = scratch_dir(spark, "many-keys")
+    files.write.parquet(path)
+    files = token_files.open_records(spark, path)
+    keys = spark.range(100_000).select((F.col("id") * 2 - 5).alias("doc_id"))
+    found = token_files.look_up(files, keys)
+    assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
+    assert {r.doc_id for r in found.select("doc_id").collect()} == {k for k in range(-5, 199_995, 2) if k >= 0 and k % 3 == 0}
     empty = token_files.open_records(spark, token_files.write_records(docs.limit(0), BYTES, scratch_dir(spark, "token-files")))
     assert token_files.read_records(empty).collect() == []
 
