@@ -8,6 +8,7 @@ speed, never a result.
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
 
@@ -26,7 +27,9 @@ LEXICON = 50_000
 BATCH_BYTES = 1 << 20
 KNOWN = 1_000_000  # merged words a worker remembers, in about 30 bytes each
 SPAN = 1 << 31  # pairs of ids are kept as one number
+LONG_WORD = 256  # bytes; longer words are merged one by one, through a heap
 NO_RANK = 1 << 40
+GONE = -2  # a symbol that became part of the one before it
 
 
 def byte_letters() -> list[str]:
@@ -54,6 +57,7 @@ class Vocabulary:
         keys = np.array([x * SPAN + y for _, x, y, _ in known], np.int64)
         order = np.argsort(keys, kind="stable")
         self.pairs, self.rank_of = keys[order], np.array([i for i, *_ in known], np.int64)[order]
+        self.ranks = {key: (i, z) for (i, _, _, z), key in zip(known, keys.tolist())}
         self.joined = np.zeros(len(merges) + 1, np.int64)
         for i, _, _, z in known:
             self.joined[i] = z
@@ -67,8 +71,48 @@ class Vocabulary:
             self.tokens[i] = token
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of words, one after the other, and the bounds of each. All words take each step together: the adjacent pair
-        of least rank is joined, leftmost first, until no pair of the word has a rank."""
+        """The ids of words, one after the other, and the bounds of each."""
+        is_long = np.array([len(w) > LONG_WORD for w in words], bool)
+        if not is_long.any():
+            return self._merge_together(words)
+        flat, bounds = self._merge_together([w for w, l in zip(words, is_long) if not l])
+        parts, counts, short = [], np.zeros(len(words), np.int64), 0
+        for i, word in enumerate(words):
+            if is_long[i]:
+                parts.append(self._merge_long(word))
+            else:
+                parts.append(flat[bounds[short] : bounds[short + 1]])
+                short += 1
+            counts[i] = len(parts[-1])
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum(counts)])
+
+    def _merge_long(self, word: bytes) -> np.ndarray:
+        """The ids of one word: pairs wait in a heap by rank and place, symbols are a linked list, so a word of n bytes takes n log n steps."""
+        raw = np.frombuffer(word, np.uint8)
+        symbols = np.append(self.inner[raw[:-1]], self.last[raw[-1]]).tolist()
+        n, ranks = len(symbols), self.ranks
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(found[0], at, found[1]) for at in range(n - 1) if (found := ranks.get(symbols[at] * SPAN + symbols[at + 1]))]
+        heapq.heapify(heap)
+        while heap:
+            rank, at, joined = heapq.heappop(heap)
+            right = after[at]
+            found = ranks.get(symbols[at] * SPAN + symbols[right]) if symbols[at] != GONE and right < n else None
+            if found is None or found[0] != rank:
+                continue  # the pair was joined with something else meanwhile
+            symbols[at], symbols[right] = joined, GONE
+            after[at] = after[right]
+            if after[at] < n:
+                before[after[at]] = at
+                if pair := ranks.get(joined * SPAN + symbols[after[at]]):
+                    heapq.heappush(heap, (pair[0], at, pair[1]))
+            left = before[at]
+            if left >= 0 and (pair := ranks.get(symbols[left] * SPAN + joined)):
+                heapq.heappush(heap, (pair[0], left, pair[1]))
+        return np.array([s for s in symbols if s >= 0], np.int32)
+
+    def _merge_together(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All words take each step together: the adjacent pair of least rank is joined, leftmost first, until no pair of the word has a rank."""
         sizes = np.array([len(w) for w in words], np.int64)
         raw = np.frombuffer(b"".join(words), np.uint8)
         ends = np.cumsum(sizes)
@@ -144,7 +188,8 @@ def word_ids(words: list[bytes], hashes: np.ndarray, vocabulary: Vocabulary, lex
 def encode(docs: DataFrame, vocabulary_file: str, size: int = LEXICON) -> DataFrame:
     """``docs`` (text, ...) with ``ids``, the sub-word ids of the whole text; other columns as they are, an old ``ids`` is replaced.
 
-    A null, empty or blank text has no ids. Special strings of the vocabulary inside a text become their ids, as in the public library.
+    A null, empty or blank text has no ids; repeated rows are encoded alike, an empty table gives an empty table. The longest word may be a whole text: a word of n
+    bytes takes about n log n steps, and a text is held by one task. Special strings of the vocabulary inside a text become their ids, as in the public library.
     The vocabulary file is read on the driver and sent to the tasks.
     """
     with open(vocabulary_file, encoding="utf-8") as file:
@@ -177,7 +222,8 @@ def encode(docs: DataFrame, vocabulary_file: str, size: int = LEXICON) -> DataFr
 
 def decode(encoded: DataFrame, vocabulary_file: str) -> DataFrame:
     """``encoded`` (ids, ...) with ``decoded`` (leave texts out before: all columns travel along): the tokens of the ids joined by one space, which is what the public library gives for a
-    vocabulary without a decoder. Ids outside the vocabulary are left out; null or empty ids give an empty text."""
+    vocabulary without a decoder. Ids outside the vocabulary are left out; null or empty ids give an empty text. Long texts are decoded whole, repeated
+    rows alike; an empty table gives an empty table."""
     with open(vocabulary_file, encoding="utf-8") as file:
         tokens = Vocabulary(file.read()).tokens
     sent = encoded.sparkSession.sparkContext.broadcast(tokens)

@@ -7,6 +7,7 @@ The rules are those of the vocabularies' published patterns (fixed values):
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -149,17 +150,17 @@ def split_specials(texts: list[str], specials: dict[str, int]) -> tuple[list[str
     """Texts cut at special strings: plain segments, and for each text its parts as (segment, None) or (-1, special id)."""
     segments: list[str] = []
     parts: list[list[tuple[int, int | None]]] = []
+    # the first that occurs, and of those at one place the longest
+    pattern = re.compile("|".join(re.escape(s) for s in sorted(specials, key=len, reverse=True)) or r"(?!)")
     for text in texts:
         own: list[tuple[int, int | None]] = []
-        while True:
-            hits = [(at, -len(s), s) for s in specials if (at := text.find(s)) >= 0]
-            head, found = (text[: min(hits)[0]], min(hits)[2]) if hits else (text, None)
-            own.append((len(segments), None))
-            segments.append(head)
-            if found is None:
-                break
-            own.append((-1, specials[found]))
-            text = text[min(hits)[0] + len(found) :]
+        at = 0
+        for found in pattern.finditer(text):
+            own += [(len(segments), None), (-1, specials[found[0]])]
+            segments.append(text[at : found.start()])
+            at = found.end()
+        own.append((len(segments), None))
+        segments.append(text[at:])
         parts.append(own)
     return segments, parts
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from querylore.llm import bpe, chat, html_extract, language_id, token_files
 from querylore.llm.lexicon import Lexicon, compile_lexicon
 from querylore.llm.queries import vocabulary
+from querylore.llm.segments import split_specials
 from querylore.session import scratch_dir
 from tests.llm import plain
 
@@ -68,6 +69,22 @@ def test_encoding_equals_the_public_library(docs, texts, size):
     assert bpe.encode(docs.limit(0), WORDS, size).collect() == []
 
 
+@needs_files
+def test_long_words_and_many_specials_equal_the_public_library():
+    from tokenizers import Tokenizer
+
+    rng, public = random.Random(6), Tokenizer.from_file(WORDS)
+    vocabulary_ = bpe.Vocabulary(open(WORDS, encoding="utf-8").read())
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300_000)), "a" * 100_000, "z" * 256, "z" * 257, "éß日本" * 500, "short", "x"]
+    flat, bounds = vocabulary_.merge([w.encode() for w in words])
+    for word, a, b in zip(words, bounds, bounds[1:]):
+        assert flat[a:b].tolist() == public.encode(word, add_special_tokens=False).ids
+    text = "<|endoftext|>a<|startoftext|>" * 20_000
+    segments, parts = split_specials([text, "", "<|endoftext"], vocabulary_.specials)
+    assert len(parts[0]) == 80_001 and "".join(segments) == "a" * 20_000 + "<|endoftext"
+    assert [len(p) for p in parts[1:]] == [1, 1]
+
+
 @needs_files
 def test_token_files_round_trip(spark, docs, texts, monkeypatch):
     from tokenizers import Tokenizer
