@@ -6,7 +6,9 @@ keys, indexes and references of one table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from querylore.functions.columns import escape_pipe
@@ -110,30 +112,48 @@ def flagged_columns(tables: DataFrame, cols: DataFrame, keys: DataFrame, idx: Da
     )
 
 
-def _list(df: DataFrame, order: list[str], fields: list[str], name: str) -> DataFrame:
-    """Sorted list of structs per table."""
-    wanted = [*order, *[f for f in fields if f not in order]]
-    return df.groupBy(*TABLE).agg(F.array_sort(F.collect_list(F.struct(*wanted))).alias(name))
-
-
 def schema_documents(tables: DataFrame, cols: DataFrame, keys: DataFrame, idx: DataFrame) -> DataFrame:
-    """One nested row per table. Missing lists are empty, never null."""
+    """One nested row per table. Missing lists are empty, never null.
+
+    Columns, keys, references and indexes of a table meet in one grouping, each kind in a column of its own; the marks of a column are then read
+    off the lists of its table. Rows of what is no base table have no description and go.
+    """
     edges = foreign_keys(tables, keys)
-    parts = [
-        _list(flagged_columns(tables, cols, keys, idx), ["ordinal", "column_name"],
-              ["data_type", "is_nullable", "default", "description", "is_primary_key", "is_foreign_key", "has_index"], "columns"),
-        primary_key_columns(tables, keys).groupBy(*TABLE).agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "column_name"))), lambda k: k["column_name"]).alias("primary_key")),
-        _list(edges, ["constraint_name", "ordinal"], ["column_name", "ref_table", "ref_column"], "foreign_keys"),
-        _list(indexes(tables, idx), ["index_name"], ["columns", "is_unique", "is_primary"], "indexes"),
-        _list(referenced_by(edges), ["from_table", "via", "from_column"], ["via"], "referenced_by"),
-    ]
-    out = base_tables(tables)
-    for part in parts:
-        name = part.columns[-1]
-        # the tables are known before the join, so empty lists are all that a left join has to fill in
-        out = out.join(part, TABLE, "left").withColumn(name, F.coalesce(name, F.array().cast(part.schema[name].dataType)))
-    return out
+    name = F.col("column_name")
+    described = F.coalesce(F.nullif(F.col("column_comment"), F.lit("")), F.concat(F.lit("Column "), name, F.lit(" in "), "table_name"))
+    kinds = {
+        "description": base_tables(tables).select(*TABLE, F.col("description").alias("v")),
+        "column": cols.select(*TABLE, F.struct(
+            "ordinal", "column_name", full_type(F.col("data_type"), F.col("char_len"), F.col("num_precision"), F.col("num_scale")).alias("data_type"),
+            (F.col("is_nullable") == "YES").alias("is_nullable"), F.col("column_default").alias("default"), described.alias("description")).alias("v")),
+        "key": keys.filter(F.col("constraint_name") == "PRIMARY").select(*TABLE, F.struct("ordinal", "column_name").alias("v")),
+        "foreign": edges.select(*TABLE, F.struct("constraint_name", "ordinal", "column_name", "ref_table", "ref_column").alias("v")),
+        "index": idx.select(*TABLE, F.struct("index_name", "seq", "column_name", "non_unique").alias("v")),
+        "reference": referenced_by(edges).select(*TABLE, F.struct("from_table", "via", "from_column").alias("v")),
+    }
+    types = {kind: df.schema["v"].dataType for kind, df in kinds.items()}
+    tagged = [df.select(*TABLE, *[F.col("v").alias(k) if k == kind else F.lit(None).cast(types[k]).alias(k) for k in kinds]) for kind, df in kinds.items()]
+    rows = reduce(DataFrame.unionByName, tagged).groupBy(*TABLE).agg(
+        F.max("description").alias("description"), *[F.array_sort(F.collect_list(k)).alias(k) for k in kinds if k != "description"])
+    rows = rows.filter(F.col("description").isNotNull())
+
+    def holds(kind: str, c: Column) -> Column:
+        return F.exists(kind, lambda e: e["column_name"] == c["column_name"])
+
+    flagged = F.transform("column", lambda c: F.struct(
+        c["ordinal"].alias("ordinal"), c["column_name"].alias("column_name"), c["data_type"].alias("data_type"), c["is_nullable"].alias("is_nullable"),
+        c["default"].alias("default"), c["description"].alias("description"), holds("key", c).alias("is_primary_key"),
+        holds("foreign", c).alias("is_foreign_key"), holds("index", c).alias("has_index")))
+
+    def one_index(index_name: Column) -> Column:
+        own = F.filter("index", lambda i: i["index_name"] == index_name)
+        return F.struct(
+            index_name.alias("index_name"), F.array_join(F.transform(own, lambda i: i["column_name"]), ",").alias("columns"),
+            (F.array_min(F.transform(own, lambda i: i["non_unique"])) == 0).alias("is_unique"), (index_name == "PRIMARY").alias("is_primary"))
+
+    return rows.select(
+        *TABLE, "description", flagged.alias("columns"), F.transform("key", lambda k: k["column_name"]).alias("primary_key"), F.col("foreign").alias("foreign_keys"),
+        F.transform(F.array_distinct(F.transform("index", lambda i: i["index_name"])), one_index).alias("indexes"), F.col("reference").alias("referenced_by"))
 
 
 def relationship_edges(tables: DataFrame, keys: DataFrame) -> DataFrame:
@@ -142,6 +162,13 @@ def relationship_edges(tables: DataFrame, keys: DataFrame) -> DataFrame:
         F.col("ref_table").alias("target_table"), F.col("ref_column").alias("target_column"))
 
 
+def ordered_edges(edges: DataFrame, first: str = "source") -> DataFrame:
+    """The edges of each tenant with their place among them: by source and then target, or the other way round."""
+    second = {"source": "target", "target": "source"}[first]
+    order = Window.partitionBy("tenant").orderBy(f"{first}_table", f"{second}_table", f"{first}_column", f"{second}_column")
+    return edges.withColumn("position", F.row_number().over(order))
+
+
 def tables_summary(documents: DataFrame) -> DataFrame:
     return documents.select(
         *TABLE, escape_pipe(F.col("description")).alias("description"), F.size("columns").alias("column_count"),
@@ -165,6 +192,26 @@ def _join_example(table: Column, other: Column, own: Column, theirs: Column) ->
     return F.concat(F.lit("SELECT t1.*, t2.*\nFROM "), table, F.lit(" t1\nJOIN "), other, F.lit(" t2 ON t1."), own, F.lit(" = t2."), theirs)
 
 
+# Headings, table heads and marks of the pages.
+TABLE_MARKS = ("[TABLE: ", "[/TABLE: ")
+EXAMPLE_MARKS = ("\n\n[QUERY_EXAMPLE]\n```sql\n", "\n```\n[/QUERY_EXAMPLE]\n")
+STATISTICS = ("## Quick Statistics\n\n- **Columns**: ", "\n- **Primary Key**: ", "\n- **Foreign Keys**: ", "\n- **Referenced By**: ", " tables\n- **Indexes**: ")
+COLUMN_HEAD = "## Columns\n\n| Column Name | Data Type | Nullable | Default | Description | PK | FK | Indexed |\n|-------------|-----------|----------|---------|-------------|----|----|---------|\n"
+KEY_HEAD = "\n## Primary Key\n\n| Column |\n|--------|\n"
+FOREIGN_HEAD = "\n## Foreign Keys\n\n| Column | Referenced Table | Referenced Column |\n|--------|------------------|-------------------|\n"
+REFERENCE_HEAD = "\n## Referenced By\n\n| Table | Column | Foreign Key |\n|-------|--------|-------------|\n"
+INDEX_HEAD = "\n## Indexes\n\n| Name | Columns | Unique | Primary |\n|------|---------|--------|--------|\n"
+JOIN_HEAD = "\n## Common Join Patterns\n\n"
+SUMMARY_HEAD = "# Tables Summary\n\n| Table Name | Description | # Columns | Primary Key | Foreign Keys |\n|------------|-------------|-----------|-------------|--------------|\n"
+RELATIONS_HEAD = "# Database Relationships Summary\n\n"
+BY_SOURCE_HEAD = "## Relationships by Source Table\n\n| Source Table | Source Column | Target Table | Target Column |\n|--------------|--------------|-------------|---------------|\n"
+BY_TARGET_HEAD = "\n## Relationships by Target Table\n\n| Target Table | Target Column | Source Table | Source Column |\n|--------------|--------------|-------------|---------------|\n"
+INDEX_PAGE = (
+    "# Database Schema Documentation\n\nThis documentation describes the database schema extracted on ",
+    "\n\n## Contents\n\n- [Tables Summary](tables/tables_summary.md)\n- [Relationships Summary](relationships/relationships_summary.md)\n\n## Tables\n\n",
+)
+
+
 # --- markdown -------------------------------------------------------------------------------------------------------
 
 def _lines(array: Column, line) -> Column:
@@ -189,7 +236,7 @@ def _cells(*cells: Column) -> Column:
 
 
 def _example(title: Column, sql: Column) -> Column:
-    return F.concat(F.lit("### Join with "), title, F.lit("\n\n[QUERY_EXAMPLE]\n```sql\n"), sql, F.lit("\n```\n[/QUERY_EXAMPLE]\n"))
+    return F.concat(F.lit("### Join with "), title, F.lit(EXAMPLE_MARKS[0]), sql, F.lit(EXAMPLE_MARKS[1]))
 
 
 def table_documents(documents: DataFrame) -> DataFrame:
@@ -202,32 +249,71 @@ def table_documents(documents: DataFrame) -> DataFrame:
 
     by_name = F.array_sort("columns", lambda a, b: F.when(a["column_name"] < b["column_name"], -1).when(a["column_name"] > b["column_name"], 1).otherwise(0))
     statistics = F.concat(
-        F.lit("## Quick Statistics\n\n- **Columns**: "), F.size("columns").cast("string"),
-        F.lit("\n- **Primary Key**: "), F.when(F.size(key) > 0, F.array_join(key, ", ")).otherwise("None"),
-        F.lit("\n- **Foreign Keys**: "), F.size(fks).cast("string"),
-        F.lit("\n- **Referenced By**: "), F.size(refs).cast("string"),
-        F.lit(" tables\n- **Indexes**: "), F.size("indexes").cast("string"), F.lit("\n\n"))
+        F.lit(STATISTICS[0]), F.size("columns").cast("string"),
+        F.lit(STATISTICS[1]), F.when(F.size(key) > 0, F.array_join(key, ", ")).otherwise("None"),
+        F.lit(STATISTICS[2]), F.size(fks).cast("string"),
+        F.lit(STATISTICS[3]), F.size(refs).cast("string"),
+        F.lit(STATISTICS[4]), F.size("indexes").cast("string"), F.lit("\n\n"))
     column_table = F.concat(
-        F.lit("## Columns\n\n| Column Name | Data Type | Nullable | Default | Description | PK | FK | Indexed |\n"
-              "|-------------|-----------|----------|---------|-------------|----|----|---------|\n"),
+        F.lit(COLUMN_HEAD),
         _lines(by_name, lambda c: _cells(
             c["column_name"], escape_pipe(c["data_type"]), F.when(c["is_nullable"], "YES").otherwise("NO"),
             F.coalesce(escape_pipe(c["default"]), F.lit("NULL")), escape_pipe(c["description"]),
             _tick(c["is_primary_key"]), _tick(c["is_foreign_key"]), _tick(c["has_index"]))))
     joins = F.concat(
-        F.lit("\n## Common Join Patterns\n\n"),
+        F.lit(JOIN_HEAD),
         _lines(fks, lambda f: _example(f["ref_table"], _join_example(name, f["ref_table"], f["column_name"], f["ref_column"]))),
         F.when(F.size(key) > 0, _lines(refs, lambda r: _example(
             F.concat(r["from_table"], F.lit(" (referencing)")), _join_example(name, r["from_table"], key[0], r["from_column"])))).otherwise(""))
     content = F.concat(
-        F.lit("[TABLE: "), name, F.lit("]\n# Table: "), name, F.lit("\n\n"), F.col("description"), F.lit("\n\n"),
+        F.lit(TABLE_MARKS[0]), name, F.lit("]\n# Table: "), name, F.lit("\n\n"), F.col("description"), F.lit("\n\n"),
         statistics, column_table,
-        _section(key, "\n## Primary Key\n\n| Column |\n|--------|\n", lambda c: _cells(c)),
-        _section(fks, "\n## Foreign Keys\n\n| Column | Referenced Table | Referenced Column |\n|--------|------------------|-------------------|\n",
+        _section(key, KEY_HEAD, lambda c: _cells(c)),
+        _section(fks, FOREIGN_HEAD,
                  lambda f: _cells(f["column_name"], link(f["ref_table"]), f["ref_column"])),
-        _section(refs, "\n## Referenced By\n\n| Table | Column | Foreign Key |\n|-------|--------|-------------|\n",
+        _section(refs, REFERENCE_HEAD,
                  lambda r: _cells(link(r["from_table"]), r["from_column"], r["via"])),
-        _section(F.col("indexes"), "\n## Indexes\n\n| Name | Columns | Unique | Primary |\n|------|---------|--------|--------|\n",
+        _section(F.col("indexes"), INDEX_HEAD,
                  lambda i: _cells(i["index_name"], F.replace(i["columns"], F.lit(","), F.lit(", ")), _tick(i["is_unique"]), _tick(i["is_primary"]))),
-        joins, F.lit("[/TABLE: "), name, F.lit("]\n"))
+        joins, F.lit(TABLE_MARKS[1]), name, F.lit("]\n"))
     return documents.select(*TABLE, content.alias("content"))
+
+
+def _page(order: list[str], line: Column) -> Column:
+    """The lines of a group in order, one text."""
+    pairs = F.array_sort(F.collect_list(F.struct(*order, line.alias("line"))))
+    return F.array_join(F.transform(pairs, lambda p: p["line"]), "")
+
+
+def _table_link(table: str, folder: str) -> Column:
+    return F.concat(F.lit("["), table, F.lit(f"]({folder}/"), table, F.lit(".md)"))
+
+
+def tables_summary_pages(documents: DataFrame) -> DataFrame:
+    """(path, content): a page for each tenant that lists its tables. A page is one text, so a tenant's tables meet in one group."""
+    rows = tables_summary(documents)
+    line = F.concat(_cells(
+        _table_link("table_name", "./tables"), F.col("description"), F.col("column_count").cast("string"), F.col("primary_key"), F.col("foreign_key_count").cast("string")), F.lit("\n"))
+    return rows.groupBy("tenant").agg(_page(["table_name"], line).alias("lines")).select(
+        F.concat(F.lit("tables/"), "tenant", F.lit("/tables_summary.md")).alias("path"), F.concat(F.lit(SUMMARY_HEAD), "lines").alias("content"))
+
+
+def relationships_summary_pages(edges: DataFrame, tables: DataFrame) -> DataFrame:
+    """(path, content): a page for each tenant with its references in both orders, by source and by target. Both lists come from one grouping."""
+    def lines(first: str, second: str) -> Column:
+        cells = [_table_link(f"{first}_table", "../tables"), F.col(f"{first}_column"), _table_link(f"{second}_table", "../tables"), F.col(f"{second}_column")]
+        return _page([f"{first}_table", f"{second}_table", f"{first}_column", f"{second}_column"], F.concat(_cells(*cells), F.lit("\n")))
+
+    both = edges.groupBy("tenant").agg(lines("source", "target").alias("by_source"), lines("target", "source").alias("by_target"))
+    no = F.lit("")
+    return tables.select("tenant").distinct().join(both, "tenant", "left").select(
+        F.concat(F.lit("relationships/"), "tenant", F.lit("/relationships_summary.md")).alias("path"),
+        F.concat(F.lit(RELATIONS_HEAD + BY_SOURCE_HEAD), F.coalesce("by_source", no), F.lit(BY_TARGET_HEAD), F.coalesce("by_target", no)).alias("content"))
+
+
+def schema_index_pages(tables: DataFrame, extracted_on: str) -> DataFrame:
+    """(path, content): the front page of each tenant's schema. ``extracted_on`` is the day the catalog was read."""
+    line = F.concat(F.lit("- "), _table_link("table_name", "tables"), F.lit("\n"))
+    return tables.groupBy("tenant").agg(_page(["table_name"], line).alias("lines")).select(
+        F.concat(F.lit("schema/"), "tenant", F.lit("/index.md")).alias("path"),
+        F.concat(F.lit(INDEX_PAGE[0] + extracted_on + INDEX_PAGE[1]), "lines").alias("content"))

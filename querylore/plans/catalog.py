@@ -106,6 +106,21 @@ def _(t):
     return C.relationship_edges(t.cat_table, t.cat_key).orderBy("tenant", "source_table", "target_table")
 
 
+def _ordered(first: str, second: str) -> str:
+    return f"""WITH {BASE}, ed AS (SELECT tenant, table_name AS source_table, column_name AS source_column, ref_table AS target_table, ref_column AS target_column FROM fk)
+SELECT *, CAST(row_number() OVER (PARTITION BY tenant ORDER BY {first}_table, {second}_table, {first}_column, {second}_column) AS INT) AS position FROM ed"""
+
+
+@plan("c07_edges_by_source", _ordered("source", "target"))
+def _(t):
+    return C.ordered_edges(C.relationship_edges(t.cat_table, t.cat_key))
+
+
+@plan("c07_edges_by_target", _ordered("target", "source"))
+def _(t):
+    return C.ordered_edges(C.relationship_edges(t.cat_table, t.cat_key), "target")
+
+
 @plan("c08_tables_summary", rf"""WITH {BASE}, {LISTS}
 SELECT b.tenant, b.table_name, replace(b.description, '|', '\|') AS description, coalesce(l_cols.n, 0) AS column_count,
   coalesce(replace(pks.primary_key, ',', ', '), 'None') AS primary_key, coalesce(l_fk.n, 0) AS foreign_key_count FROM base b {JOIN_LISTS}""")

@@ -39,7 +39,7 @@ def _query_pages(t):
 
 @plan("s04_query_text_files", "SELECT fname AS name, md5(content) AS content FROM query_log")
 def _(t):
-    return S.read_query_text(t.spark, _query_pages(t)).select("name", F.md5(F.regexp_replace("query", r"\n\z", "")).alias("content"))
+    return S.read_query_text(t.spark, _query_pages(t)).select("name", F.md5("query").alias("content"))
 
 
 @plan("s05_query_lines", r"""SELECT md5(line) AS line, count(*) AS n FROM (SELECT regexp_replace(unnest(string_split(text, chr(10))), '^\s+|\s+$', '', 'g') AS line FROM documents) WHERE line <> '' GROUP BY 1""")
@@ -51,8 +51,7 @@ def _(t):
 
 @plan("s06_markdown_folder", f"WITH {EXTRACTED} SELECT query_id, fname, database, hash FROM ex")
 def _(t):
-    # the pattern fits the writer's part files; a page's own name is that of its folder
-    files = S.read_markdown_folder(t.spark, _query_pages(t), "*.txt")
+    files = S.read_markdown_folder(t.spark, _query_pages(t), "")
     numbered = files.withColumn("query_id", F.regexp_extract("fname", r"_query_(\d+)", 1).cast("bigint"))
     return Q.extract_sql(numbered).select("query_id", "fname", "database", "hash")
 
@@ -100,6 +99,47 @@ def _(t):
     return K.read_pages(t.spark, folder).select("path", F.md5("content").alias("content"))
 
 
+def _page_plan(name: str, build, sql: str):
+    """A page for each tenant, written and read back."""
+
+    @plan(name, sql)
+    def _(t):
+        folder = K.write_pages(build(t), scratch_dir(t.spark, name))
+        return K.read_pages(t.spark, folder).withColumn("content", F.md5("content"))
+
+
+_NL = "chr(10)"
+_page_plan("k03_tables_summary", lambda t: C.tables_summary_pages(_documents(t)), rf"""WITH {BASE}, {LISTS},
+sm AS (SELECT b.tenant, b.table_name, replace(b.description, '|', '\|') AS description, coalesce(l_cols.n, 0) AS n,
+  coalesce(replace(pks.primary_key, ',', ', '), 'None') AS k, coalesce(l_fk.n, 0) AS f FROM base b {JOIN_LISTS})
+SELECT 'tables/' || tenant || '/tables_summary.md' AS path, md5('# Tables Summary' || {_NL} || {_NL} || '| Table Name | Description | # Columns | Primary Key | Foreign Keys |'
+  || {_NL} || '|------------|-------------|-----------|-------------|--------------|' || {_NL}
+  || string_agg('| [' || table_name || '](./tables/' || table_name || '.md) | ' || description || ' | ' || n || ' | ' || k || ' | ' || f || ' |' || {_NL}, '' ORDER BY table_name)) AS content
+FROM sm GROUP BY tenant""")
+
+
+def _relations(first: str, second: str) -> str:
+    def link(x):
+        return f"'[' || {x}_table || '](../tables/' || {x}_table || '.md)'"
+    line = f"'| ' || {link(first)} || ' | ' || {first}_column || ' | ' || {link(second)} || ' | ' || {second}_column || ' |' || chr(10)"
+    return f"string_agg({line}, '' ORDER BY {first}_table, {second}_table, {first}_column, {second}_column)"
+
+
+_page_plan("k03_relationships_summary", lambda t: C.relationships_summary_pages(C.relationship_edges(t.cat_table, t.cat_key), C.base_tables(t.cat_table)), f"""WITH {BASE},
+ed AS (SELECT tenant, table_name AS source_table, column_name AS source_column, ref_table AS target_table, ref_column AS target_column FROM fk),
+tx AS (SELECT tenant, {_relations("source", "target")} AS by_source, {_relations("target", "source")} AS by_target FROM ed GROUP BY tenant)
+SELECT 'relationships/' || t.tenant || '/relationships_summary.md' AS path, md5('# Database Relationships Summary' || {_NL} || {_NL} || '## Relationships by Source Table' || {_NL} || {_NL}
+  || '| Source Table | Source Column | Target Table | Target Column |' || {_NL} || '|--------------|--------------|-------------|---------------|' || {_NL} || coalesce(by_source, '')
+  || {_NL} || '## Relationships by Target Table' || {_NL} || {_NL} || '| Target Table | Target Column | Source Table | Source Column |' || {_NL}
+  || '|--------------|--------------|-------------|---------------|' || {_NL} || coalesce(by_target, '')) AS content
+FROM (SELECT DISTINCT tenant FROM base) t LEFT JOIN tx ON tx.tenant = t.tenant""")
+
+_page_plan("k03_schema_index", lambda t: C.schema_index_pages(C.base_tables(t.cat_table), "2024-01-31"), f"""WITH {BASE}
+SELECT 'schema/' || tenant || '/index.md' AS path, md5('# Database Schema Documentation' || {_NL} || {_NL} || 'This documentation describes the database schema extracted on 2024-01-31' || {_NL} || {_NL}
+  || '## Contents' || {_NL} || {_NL} || '- [Tables Summary](tables/tables_summary.md)' || {_NL} || '- [Relationships Summary](relationships/relationships_summary.md)' || {_NL}
+  || {_NL} || '## Tables' || {_NL} || {_NL} || string_agg('- [' || table_name || '](tables/' || table_name || '.md)' || {_NL}, '' ORDER BY table_name)) AS content FROM base GROUP BY tenant""")
+
+
 _CATEGORY_SQL = f"""WITH {PAGES}, lv AS (SELECT * FROM (VALUES (0, 'Low'), (1, 'Medium'), (2, 'High'), (3, 'Very High')) AS v(level_no, complexity)),
 cl AS (SELECT category, complexity, count(*) AS n FROM pg GROUP BY 1, 2),
 lx AS (SELECT t.category, lv.level_no, lv.complexity, coalesce(cl.n, 0) AS n, printf('%.1f%%', coalesce(cl.n, 0)::DOUBLE / total * 100) AS pct

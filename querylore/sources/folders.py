@@ -8,6 +8,8 @@ files. Every task also lists what it wrote in files of ``LIST`` (a list names ab
 folder to its place: until then, and if the write is killed, nobody sees a page. A reader deals out the lists to its tasks, so
 neither side ever lists the files themselves and there is nothing to be found out about partitions.
 
+Any other folder can be read as well; its files are then listed once, and dealt out ``LISTED`` at a time.
+
 The folder must be on a store that all executors share and whose folders can be renamed (a mounted path, HDFS).
 """
 
@@ -27,6 +29,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 
 LIST = "_list"
 PART_BYTES = 8 << 20
+LISTED = 256
 
 
 def _store(path: str) -> tuple[fs.FileSystem, str]:
@@ -110,7 +113,8 @@ class FolderWriter(DataSourceArrowWriter):
 
 @dataclass
 class ListPart(InputPartition):
-    path: str
+    path: str | None
+    names: list[str]
 
 
 class FolderReader(DataSourceReader):
@@ -124,8 +128,13 @@ class FolderReader(DataSourceReader):
 
     def partitions(self):
         store, root = _store(self.path)
-        found = store.get_file_info(fs.FileSelector(f"{root}/{LIST}", allow_not_found=True))
-        return [ListPart(f.path) for f in sorted(found, key=lambda f: f.path) if not f.base_name.startswith(".")]
+        if store.get_file_info(f"{root}/{LIST}").type == fs.FileType.Directory:
+            found = store.get_file_info(fs.FileSelector(f"{root}/{LIST}"))
+            return [ListPart(f.path, []) for f in sorted(found, key=lambda f: f.path) if not f.base_name.startswith(".")]
+        found = store.get_file_info(fs.FileSelector(root, recursive=True))
+        names = sorted(f.path[len(root.rstrip("/")) + 1 :] for f in found if f.type == fs.FileType.File)
+        names = [n for n in names if not any(p.startswith((".", "_")) for p in n.split("/"))]
+        return [ListPart(None, names[i : i + LISTED]) for i in range(0, len(names), LISTED)]
 
     def read(self, partition):
         if partition is None:  # a folder without files
@@ -133,8 +142,10 @@ class FolderReader(DataSourceReader):
         store, root = _store(self.path)
 
         def files():
-            with store.open_input_stream(partition.path) as listed:
-                names = [json.loads(line) for line in listed.read().decode().split("\n")]
+            names = partition.names
+            if partition.path:
+                with store.open_input_stream(partition.path) as listed:
+                    names = [json.loads(line) for line in listed.read().decode().split("\n")]
             for name in names:
                 with store.open_input_stream(f"{root}/{name}", compression=None) as file:
                     yield name, file.read()
@@ -181,6 +192,6 @@ def write_files(files: DataFrame, path: str) -> str:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(name, content binary) of a folder that ``write_files`` wrote."""
+    """(name, content binary) of the files of a folder; names are paths below it."""
     spark.dataSource.register(NamedFiles)
     return spark.read.format("named_files").load(path)

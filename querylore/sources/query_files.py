@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querylore.functions.columns import strip
+from querylore.sources.folders import read_files
 
 
 def read_query_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
@@ -25,15 +26,17 @@ def read_query_csv(spark: SparkSession, path: str) -> DataFrame:
     return table.select("name", "query")
 
 
-def _file_name() -> Column:
-    """The name of the file a row comes from; for a page that a Spark writer put into a folder of its own (``path=name``), that name."""
-    folder = F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), "/path=([^/]+)/[^/]+$", 1))
-    return F.coalesce(F.nullif(folder, F.lit("")), F.col("_metadata.file_name"))
+def _text() -> Column:
+    return F.decode("content", "UTF-8")
 
 
 def read_query_text(spark: SparkSession, path: str) -> DataFrame:
     """Every file is one query, named by the file."""
-    return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(_file_name().alias("name"), F.col("value").alias("query"))
+    return read_files(spark, path).select(_last("name").alias("name"), _text().alias("query"))
+
+
+def _last(name: str) -> Column:
+    return F.substring_index(name, "/", -1)
 
 
 def read_query_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -41,10 +44,10 @@ def read_query_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, lineSep="\n").select(strip(F.col("value")).alias("query")).filter("query <> ''")
 
 
-def read_markdown_folder(spark: SparkSession, path: str, pattern: str = "*.md") -> DataFrame:
-    """Files of a folder with name and whole content."""
-    files = spark.read.text(path, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=True)
-    return files.select(_file_name().alias("fname"), F.col("value").alias("content"))
+def read_markdown_folder(spark: SparkSession, path: str, ending: str = ".md") -> DataFrame:
+    """Files of a folder with name and whole content, those whose name has the ending."""
+    files = read_files(spark, path).filter(F.col("name").endswith(ending))
+    return files.select(_last("name").alias("fname"), _text().alias("content"))
 
 
 def under_prefixes(path: Column, prefixes: list[str]) -> Column:

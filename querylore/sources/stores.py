@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+from querylore.sources.folders import read_files, write_files
+
 BROKEN = "_broken"
 
 
@@ -38,15 +40,14 @@ def analysis_path(source: str) -> str:
 
 
 def write_pages(pages: DataFrame, folder: str) -> str:
-    """Rows (path, content) as one file each. Contents are written by the executors that made them."""
-    pages.select("path", "content").repartition("path").write.mode("overwrite").partitionBy("path").text(folder)
-    return folder
+    """Rows (path, content) as one file each, of that path below the folder. Contents are written by the executors that made them, and all
+    pages appear at once. Paths must be distinct."""
+    return write_files(pages.select(F.col("path").alias("name"), "content"), folder)
 
 
 def read_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages written by ``write_pages``; the newline the writer ends a file with is taken off."""
-    files = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
-    return files.select("path", F.regexp_replace("value", r"\n\z", "").alias("content"))
+    """(path, content) of the pages of a folder."""
+    return read_files(spark, folder).select(F.col("name").alias("path"), F.decode("content", "UTF-8").alias("content"))
 
 
 def append_rows(df: DataFrame, path: str) -> str:
