@@ -350,32 +350,59 @@ def with_errors(questions: DataFrame, found: DataFrame) -> DataFrame:
 
 # --- searches about tables and statements ----------------------------------------------------------------------------
 
+COMMON_NAMES = 16  # a word in more names of a tenant than this is a common one
+
+
 def relationship_search(documents: DataFrame, names: DataFrame, n: int = 10) -> DataFrame:
-    """Documents that answer five fixed questions about every table of a tenant, by share of question words.
+    """Documents that answer five fixed questions about every table of a tenant, by share of question words. ``names`` has the tables to ask about.
 
-    A question's words are its fixed words and the words of the table's name, which may be several (``sales-log``) and of any case. So
-    the best documents are among those holding a word of the name (an equi join on the word) and the best by fixed
-    words (a few per question): documents are not paired with tables whose name they share no word with. ``names`` has the tables to ask about.
+    A question's words are its fixed words and the words of the table's name, which may be several (``sales-log``) and of any case. Only words that few
+    names of the tenant have are joined, so a document meets a bounded number of names for each of its words. What a document holds of the
+    common words (``db`` in every name) is the same for all names with the same common words: these are scored as one, and only against
+    the first documents of each class that holds the same common and fixed words. The best of a name are among those that hold a rare word of it, which are scored in
+    full, and the best by common and fixed words alone.
     """
     per = n // len(RELATIONSHIP_TEXTS) + 1
     fixed = [F.array(*map(F.lit, sorted(set(t.replace("{}", " ").split())))) for t in RELATIONSHIP_TEXTS]
-    words = documents.select("tenant", F.col("table_name").alias("doc"), F.md5("content").alias("content_hash"), terms(F.col("content")).alias("words"))
-    scored = words.withColumn("held", F.array(*[F.size(F.array_intersect("words", f)) for f in fixed]))
     asked = names.select("tenant", F.col("table_name").alias("asked")).withColumn("name_words", terms(F.col("asked")))
-    sizes = F.array(*[F.size(F.array_union(f, F.col("name_words"))) for f in fixed])
-    # outer forms: the plain ones add filters that would compute the words of every document again
-    by_word = asked.select("tenant", "asked", "name_words", F.explode_outer("name_words").alias("word"))
-    holding = scored.select("tenant", "doc", "content_hash", "held", F.explode_outer("words").alias("word")).join(by_word, ["tenant", "word"])
-    # counted per pair: of a name's words, those that are not among the fixed words of the question add to what a document holds
+    each = asked.select("tenant", "asked", F.explode_outer("name_words").alias("word"))
+    often = each.groupBy("tenant", "word").agg(F.count("*").alias("n")).filter(F.col("n") > COMMON_NAMES)
+    commons = often.groupBy("tenant").agg(F.sort_array(F.collect_set("word")).alias("tenant_common"))
+    no_words = F.array().cast("array<string>")
+
+    def with_common(df: DataFrame, words: str) -> DataFrame:
+        own = F.array_sort(F.array_intersect(words, F.coalesce("tenant_common", no_words)))
+        return df.join(commons, "tenant", "left").withColumn("common", own).drop("tenant_common")
+
+    def not_fixed(words: Column, i: int) -> Column:
+        return F.size(F.array_except(words, fixed[i]))
+
+    asked = with_common(asked, "name_words").withColumn("sizes", F.array(*[F.size(F.array_union(f, F.col("name_words"))) for f in fixed]))
+    words = documents.select("tenant", F.col("table_name").alias("doc"), F.md5("content").alias("content_hash"), terms(F.col("content")).alias("words"))
+    held = F.array(*[F.size(F.array_intersect("words", f)) for f in fixed])
+    scored = with_common(words, "words").withColumn("held", held)
+
+    classes = last_per_group(scored.select("tenant", "doc", "content_hash", "common", "held"), ["tenant", "common", "held"], [F.col("doc")], per, rank="place").drop("place", "position")
+    signatures = asked.select("tenant", F.col("common").alias("asked_common")).distinct()
+    shared = [F.get("held", F.lit(i)) + not_fixed(F.array_intersect("common", "asked_common"), i) for i in range(len(fixed))]
+    met = classes.join(signatures, "tenant").select("tenant", "asked_common", "doc", "content_hash", F.posexplode(F.array(*shared)).alias("question_no", "held"))
+    leading = last_per_group(met, ["tenant", "asked_common", "question_no"], [F.desc("held"), F.col("doc")], per, rank="place").drop("place", "position")
+    own = asked.select("tenant", "asked", F.col("common").alias("asked_common"), "sizes")
+    general = own.join(leading, ["tenant", "asked_common"]).select("tenant", "asked", "question_no", "doc", "content_hash", F.col("held").alias("hits"), "sizes")
+
+    rare = asked.select("tenant", "asked", F.col("common").alias("asked_common"), "sizes", F.explode_outer(F.array_except("name_words", "common")).alias("word")).filter("word IS NOT NULL")
+    # the outer form: the plain one adds a filter that would compute the words of every document again
+    by_word = scored.select("tenant", "doc", "content_hash", "common", "held", F.explode_outer("words").alias("word")).join(rare, ["tenant", "word"])
     extra = [F.sum(F.when(F.array_contains(f, F.col("word")), 0).otherwise(1)) for f in fixed]
-    pairs = holding.groupBy("tenant", "asked", "name_words", "doc", "content_hash", "held").agg(F.array(*extra).alias("extra"))
-    named = pairs.select("tenant", "asked", "name_words", "doc", "content_hash", F.posexplode_outer(F.transform("held", lambda h, i: h + F.get("extra", i))).alias("question_no", "held"))
-    leading = last_per_group(scored.select("tenant", "doc", "content_hash", F.posexplode_outer("held").alias("question_no", "held")), ["tenant", "question_no"], [F.desc("held"), F.col("doc")], per).drop("position")
-    others = leading.join(asked, "tenant").select(*named.columns)
+    pairs = by_word.groupBy("tenant", "asked", "asked_common", "sizes", "doc", "content_hash", "common", "held").agg(F.array(*extra).alias("extra"))
+    hits = [F.get("held", F.lit(i)) + F.get("extra", F.lit(i)) + not_fixed(F.array_intersect("common", "asked_common"), i) for i in range(len(fixed))]
+    special = pairs.select("tenant", "asked", "doc", "content_hash", "sizes", F.posexplode(F.array(*hits)).alias("question_no", "hits"))
+
     question = ["tenant", "asked", "question_no"]
-    candidates = named.unionByName(others).select(*question, "doc", "content_hash", (F.col("held") / F.get(sizes, F.col("question_no"))).alias("score"))
-    # a document is listed twice at most, with and without its name counted
-    once = candidates.groupBy(*question, "doc", "content_hash").agg(F.max("score").alias("score"))
+    candidates = general.unionByName(special.select(*general.columns))
+    # a document is listed twice at most, with and without its rare words counted
+    score = F.max(F.col("hits") / F.get("sizes", F.col("question_no"))).alias("score")
+    once = candidates.groupBy(*question, "doc", "content_hash").agg(score)
     found = last_per_group(once, question, [F.desc("score"), F.col("doc")], per, rank="rank").withColumn("position", place(F.col("rank"), F.col("question_no")))
     return best_contexts(found, ["tenant", "asked"], ["doc", "question_no"], n)
 

@@ -37,6 +37,17 @@ def _(t):
     return t.spark.read.parquet(out).select("request_key").distinct()
 
 
+@plan("z02_reuse_within_ttl", """WITH RECURSIVE rq AS (SELECT DISTINCT event_type AS request_key, epoch_us(ts) // 1000000 AS second FROM events),
+chain AS (SELECT request_key, min(second) AS second FROM rq GROUP BY 1
+  UNION ALL SELECT c.request_key, min(r.second) FROM chain c JOIN rq r ON r.request_key = c.request_key AND r.second >= c.second + 3600 GROUP BY c.request_key)
+SELECT r.request_key, r.second, CASE WHEN c.second IS NULL THEN 0 ELSE 1 END::BIGINT AS computed FROM rq r LEFT JOIN chain c ON r.request_key = c.request_key AND r.second = c.second""")
+def _(t):
+    # files come in no order of time: rows are late by the whole log at most
+    requests = t.events.select(F.col("event_type").alias("request_key"), F.col("ts").cast("timestamp").alias("ts"))
+    out = _run(t, Z.reused_requests, _arriving(t, requests, "reused"), "reused", delay="3650 days")
+    return Z.latest_state(t.spark, out, ["request_key", "second"])
+
+
 @plan("z03_running_analytics", f"""SELECT company_id, md5(content) AS question_hash, count(*) AS use_count, {STAMP.format("min(created_at)")} AS first_used, {STAMP.format("max(created_at)")} AS last_used
 FROM chat_message WHERE message_type = 'user' GROUP BY 1, 2""")
 def _(t):

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from pyspark.sql.types import StructType
 
 from querylore.operators.feedback import training_rows
@@ -45,6 +47,88 @@ def first_requests(requests: DataFrame, folder: str, checkpoint: str, ttl: str =
     return kept.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+SPAN = 86_400  # seconds of one entry of the state
+BEFORE_ALL = -(1 << 62)
+
+
+def chain_marks(seconds: np.ndarray, free: int, ttl: int) -> tuple[np.ndarray, int]:
+    """Which of the ascending seconds compute when nothing may before ``free``, and when something may again after them."""
+    computed = np.zeros(len(seconds), np.int64)
+    at = int(np.searchsorted(seconds, free))
+    while at < len(seconds):
+        computed[at], free = 1, int(seconds[at]) + ttl
+        at = int(np.searchsorted(seconds, free))
+    return computed, free
+
+
+class ReuseChain(StatefulProcessor):
+    """The computed and reused seconds of one key. State is a map from spans of time to the span's entry (when it may compute again) and its
+    seconds. A batch changes the spans it has rows for, and those behind them as far as their entries change; rows whose mark is new or other than
+    before are given out. A timer takes spans that the watermark has passed out of the state and keeps only where their chain leaves."""
+
+    def __init__(self, ttl: int):
+        self.ttl, self.span = ttl, max(SPAN, ttl)
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.spans = handle.getMapState("spans", "span bigint", "entry bigint, seconds array<bigint>")
+        self.settled = handle.getValueState("settled", "span bigint, free bigint")
+
+    def handleInputRows(self, key, rows, timerValues):
+        arrived = np.unique(np.concatenate([frame["second"].to_numpy(np.int64) for frame in rows]))
+        number = arrived // self.span
+        done, free = self.settled.get() if self.settled.exists() else (BEFORE_ALL, BEFORE_ALL)
+        known = sorted(int(k[0]) for k in self.spans.keys())
+        touched = {int(n) for n in np.unique(number) if n > done}  # later rows than the watermark allows are left out
+        seconds_out, marks_out = [], []
+        for span in sorted({*known, *touched}):
+            held = self.spans.containsKey((span,))
+            entry, old = self.spans.getValue((span,)) if held else (None, [])
+            old = np.asarray(old, np.int64)
+            if span not in touched and entry == free:
+                _, free = chain_marks(old, free, self.ttl)
+                continue
+            new = np.union1d(old, arrived[number == span])
+            marks, leaves = chain_marks(new, free, self.ttl)
+            before = np.full(len(new), -1, np.int64)
+            if held:
+                before[np.searchsorted(new, old)] = chain_marks(old, entry, self.ttl)[0]
+            else:
+                self.handle.registerTimer((span + 1) * self.span * 1000)
+            self.spans.updateValue((span,), (int(free), new.tolist()))
+            changed = marks != before
+            seconds_out.append(new[changed])
+            marks_out.append(marks[changed])
+            free = leaves
+        if seconds_out:
+            yield pd.DataFrame({"request_key": key[0], "second": np.concatenate(seconds_out), "computed": np.concatenate(marks_out)})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        span = int(expiredTimerInfo.getExpiryTimeInMs()) // 1000 // self.span - 1
+        for old in sorted(int(k[0]) for k in self.spans.keys()):
+            if old <= span:
+                entry, seconds = self.spans.getValue((old,))
+                _, free = chain_marks(np.asarray(seconds, np.int64), entry, self.ttl)
+                self.settled.update((old, free))
+                self.spans.removeKey((old,))
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def reused_requests(requests: DataFrame, folder: str, checkpoint: str, ttl: int = 3600, delay: str = "1 hour") -> StreamingQuery:
+    """The batch operator's rule on a stream: whether a key's second computes or reuses an answer computed less than ``ttl`` seconds before. Reuse
+    does not extend an answer's life. Requests (request_key, ts) may come in any order and in any batches, up to ``delay`` late; marks that a
+    late row changes are given out again, so ``latest_state`` by key and second has what the batch operator says. State is kept for ``delay`` and a span."""
+    requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    timed = requests.withWatermark("ts", delay).select("request_key", "ts", F.unix_seconds("ts").alias("second"))
+    marks = timed.groupBy("request_key").transformWithStateInPandas(
+        ReuseChain(ttl), outputStructType="request_key string, second bigint, computed bigint", outputMode="Update", timeMode="EventTime")
+    return _upsert(marks, folder, checkpoint)
+
+
 def _upsert(changes: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """Write the changed rows of every batch under its number."""
     def write(batch: DataFrame, number: int) -> None:

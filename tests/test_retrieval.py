@@ -173,9 +173,11 @@ def test_reuse_follows_computed_answers(spark):
     assert total[0] == total[1] == len(requests)
 
 
-def test_relationship_search_with_telling_names(spark):
-    # table names that are question words themselves, and names nobody else mentions
-    tenants = {"a": ["table", "keys", "orders", "zebra"], "b": ["reference"], "c": ["DB_Order", "sales-log", "db.order", "Sales", "foreign-keys"]}
+@pytest.mark.parametrize("common", [16, 1])
+def test_relationship_search_with_telling_names(spark, monkeypatch, common):
+    # table names that are question words themselves, and names nobody else mentions; words that many names share
+    monkeypatch.setattr(R, "COMMON_NAMES", common)
+    tenants = {"d": [f"db-{x}" for x in ("order", "customer", "order-line", "keys", "z")] + ["tables-db", "DB"], "a": ["table", "keys", "orders", "zebra"], "b": ["reference"], "c": ["DB_Order", "sales-log", "db.order", "Sales", "foreign-keys"]}
     rng = random.Random(12)
     docs = [(t, n, f"{n} " + " ".join(rng.choices(["primary", "key", "foreign", "keys", "tables", "schema", "relationships", "orders", "of", "x"], k=6)))
             for t, ns in tenants.items() for n in ns]

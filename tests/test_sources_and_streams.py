@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from querylore.operators import feedback as V
 from querylore.session import scratch_dir, spread
+from querylore.sources import folders as Folders
 from querylore.sources import jdbc
 from querylore.sources import query_files as S
 from querylore.sources import stores as K
@@ -134,6 +135,66 @@ def test_repeated_requests_are_dropped(spark, tmp_path):
     assert kept == {"a": 2, "b": 1, "c": 1}
 
 
+def _chain(seconds, ttl=3600):
+    free, marks = None, {}
+    for s in sorted(seconds):
+        marks[s] = int(free is None or s >= free)
+        free = s + ttl if marks[s] else free
+    return marks
+
+
+def test_reuse_on_a_stream_follows_computed_answers(spark, tmp_path):
+    import random
+
+    rng = random.Random(4)
+    start = 1_700_000_000
+    rows = [("hot", start + rng.randint(0, 400_000)) for _ in range(700)] + [("edge", start + x) for x in (0, 3599, 3600, 7199, 7200, 7200)] + [("one", start)]
+    rng.shuffle(rows)  # every batch has rows from all over
+    for n in range(5):
+        batch = spark.createDataFrame(rows[n::5], "request_key string, s bigint").select("request_key", F.timestamp_seconds("s").alias("ts"))
+        batch.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = Z.arriving(spark, str(tmp_path / "in"), batch.schema, 1)
+    Z.reused_requests(stream, str(tmp_path / "out"), str(tmp_path / "check"), delay="30 days").awaitTermination()
+    got = {(r["request_key"], r["second"]): r["computed"] for r in Z.latest_state(spark, str(tmp_path / "out"), ["request_key", "second"]).collect()}
+    want = {(k, s): m for k in ("hot", "edge", "one") for s, m in _chain({s for x, s in rows if x == k}).items()}
+    assert got == want
+
+
+def test_reuse_on_a_stream_forgets_what_the_watermark_has_passed(spark, tmp_path):
+    day, start = 86_400, 1_700_006_400 // 86_400 * 86_400
+    batches = [[start + day - 10], [start + day + 100], [start + 9 * day], [start + 9 * day + 5, start + 20 * day], [start + 21 * day, start + 3]]
+    for n, seconds in enumerate(batches):
+        batch = spark.createDataFrame([("k", s) for s in seconds], "request_key string, s bigint").select("request_key", F.timestamp_seconds("s").alias("ts"))
+        batch.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        Z.reused_requests(Z.arriving(spark, str(tmp_path / "in"), batch.schema), str(tmp_path / "out"), str(tmp_path / "check"), delay="1 day").awaitTermination()
+    got = {r["second"]: r["computed"] for r in Z.latest_state(spark, str(tmp_path / "out"), ["request_key", "second"]).collect()}
+    # the last batch's second row comes three weeks late
+    assert got == _chain(s for b in batches for s in b if s != start + 3)
+
+
+def test_folders_of_files(spark, tmp_path):
+    files = spark.range(60).select(F.concat(F.lit("a b/ü "), "id", F.lit(".md")).alias("name"), F.concat(F.lit("x\n"), "id").alias("content")).repartition(7)
+    path = str(tmp_path / "pages")
+    want = {f"a b/ü {i}.md": f"x\n{i}".encode() for i in range(60)}
+    for uri in (path, f"file://{path}"):
+        Folders.write_files(files, uri)
+        assert {r["name"]: bytes(r["content"]) for r in Folders.read_files(spark, uri).collect()} == want
+    assert (tmp_path / "pages" / "a b" / "ü 7.md").read_text() == "x\n7"  # real files
+    assert Folders.read_files(spark, Folders.write_files(files.limit(0), str(tmp_path / "none"))).count() == 0
+    # a write that fails leaves what was there before, and no page of its own
+    broken = files.withColumn("content", F.lit("new")).unionByName(spark.createDataFrame([("../up", "y")], "name string, content string"))
+    with pytest.raises(Exception, match="not a file name"):
+        Folders.write_files(broken, path)
+    assert {r["name"]: bytes(r["content"]) for r in Folders.read_files(spark, path).collect()} == want
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["none", "pages"]
+    # files of any other origin are listed
+    plain = tmp_path / "plain" / "sub"
+    plain.mkdir(parents=True)
+    (plain / "q.sql").write_text("SELECT 1")
+    (plain.parent / "_hidden").write_text("x")
+    assert [(r["name"], bytes(r["content"])) for r in Folders.read_files(spark, str(tmp_path / "plain")).collect()] == [("sub/q.sql", b"SELECT 1")]
+
+
 def test_running_counts(spark, tmp_path):
     schema = "company_id int, message_type string, content string, created_at timestamp"
     rows = [(i % 2, "user" if i % 3 else "assistant", f"q{i % 4}", T0 + dt.timedelta(minutes=7 * i)) for i in range(90)]
