@@ -180,15 +180,90 @@ def hybrid_top_k(questions: pa.Table, batches: Iterator[pa.RecordBatch], keys: l
     yield _result(questions, keys, best, carry)
 
 
+class _Lists:
+    """For every term the questions that have it. Within a question terms are placed from rare to common, by how many questions have them."""
+
+    def __init__(self, questions: pa.Table):
+        row, value = lists(questions.column("terms"))
+        self.terms, number, often = np.unique(value, return_inverse=True, return_counts=True)
+        order = np.lexsort((number, often[number], row))
+        row, number = row[order], number[order]
+        self.sizes = np.bincount(row, minlength=questions.num_rows)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.own = number  # the terms of each question, rare ones first
+        place = np.arange(len(row)) - self.begins[row]
+        by_term = np.argsort(number, kind="stable")
+        self.term, self.question, self.place = number[by_term], row[by_term], place[by_term]
+
+    def telling(self, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists cut to the terms that can bring in a chunk: one whose share reaches the floor holds at least ``need`` terms of the question, so it
+        holds one of all but the ``need - 1`` most common. Bounds of each term's list, and the questions in it."""
+        need = np.maximum(1, np.ceil(np.maximum(floor, 0) * self.sizes - SLACK)).astype(np.int64)
+        kept = self.place < (self.sizes - need + 1)[self.question]
+        return np.concatenate([[0], np.cumsum(np.bincount(self.term[kept], minlength=len(self.terms)))]), self.question[kept]
+
+
+def _spread(bounds: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``at`` the positions bounds[at] .. bounds[at + 1], one after the other, and how many they are."""
+    counts = bounds[at + 1] - bounds[at]
+    return np.repeat(bounds[at] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum()), counts
+
+
 def keyword_top_k(questions: pa.Table, batches: Iterator[pa.RecordBatch], keys: list[str], k: int, carry: str | None) -> Iterator[pa.RecordBatch]:
-    """Best chunks by share of question terms alone."""
-    words = _vocabulary(questions)
+    """Best chunks by share of question terms alone. Pairs come from the lists of telling terms and are counted in full; a pair
+    that shares no term is looked at only while a question has fewer than k chunks that share one."""
+    own = _Lists(questions)
+    sizes = np.maximum(own.sizes, 1)
     best = Best(questions.num_rows, k)
-    for batch in _slices(batches, questions.num_rows):
-        _offer(best, _shares(batch, *words), batch, k, carry)
+    for batch in batches:
+        row, value = lists(batch.column("terms"))
+        place = np.minimum(np.searchsorted(own.terms, value), max(len(own.terms) - 1, 0))
+        known = own.terms[place] == value if len(own.terms) else np.zeros(len(value), bool)
+        row, place = row[known], place[known]
+        begin = np.searchsorted(row, np.arange(batch.num_rows + 1))
+        everywhere = np.bincount(own.term, minlength=len(own.terms))
+        load = np.concatenate([[0], np.cumsum(everywhere[place])])[begin]  # pairs before each row, at most
+        start = 0
+        while start < batch.num_rows:
+            end = max(start + 1, int(np.searchsorted(load, load[start] + CELLS // 4, "right")) - 1)
+            here = slice(begin[start], begin[end])
+            _add_shares(best, own, sizes, batch.slice(start, end - start), row[here] - start, place[here], k, carry)
+            start = end
     yield _result(questions, keys, best, carry)
 
 
+def _add_shares(best: Best, own: _Lists, sizes: np.ndarray, batch: pa.RecordBatch, row: np.ndarray, place: np.ndarray, k: int, carry: str | None) -> None:
+    ident, extra, n = batch.column("chunk_id").to_numpy(), _extra(batch, carry), best.questions
+    bounds, asked = own.telling(best.floor)
+    at, counts = _spread(bounds, place)
+    pair = np.unique(np.repeat(row, counts) * n + asked[at])
+    has = np.sort(row * max(1, len(own.terms)) + place)
+    ends = np.append(own.begins, len(own.own))
+    for s in range(0, len(pair), PAIRS):
+        chunk, question = pair[s:s + PAIRS] // n, pair[s:s + PAIRS] % n
+        at, counts = _spread(ends, question)
+        wanted = np.repeat(chunk, counts) * max(1, len(own.terms)) + own.own[at]
+        found = np.searchsorted(has, wanted)
+        hit = has[np.minimum(found, len(has) - 1)] == wanted
+        held = np.bincount(np.repeat(np.arange(len(chunk)), counts)[hit], minlength=len(chunk))
+        score = held / sizes[question]
+        kept = score >= best.floor[question]
+        best.add(question[kept], score[kept], ident[chunk[kept]], extra[chunk[kept]])
+    open_ = np.flatnonzero(best.floor <= 0)  # of chunks that share nothing the smallest ids fill up
+    if len(open_):
+        met = np.bincount(pair % n, minlength=n)[open_] if len(pair) else np.zeros(len(open_), np.int64)
+        by_id = np.argsort(ident, kind="stable")
+        many = np.minimum(k + met, len(ident))  # so many of the smallest ids have k that share nothing, if there are as many
+        for s in range(0, len(open_), max(1, PAIRS // max(1, int(many.max())))):
+            part = slice(s, s + max(1, PAIRS // max(1, int(many.max()))))
+            question = np.repeat(open_[part], many[part])
+            chunk = by_id[np.arange(len(question)) - np.repeat(np.cumsum(many[part]) - many[part], many[part])]
+            key = chunk * n + question
+            place_ = np.minimum(np.searchsorted(pair, key), max(0, len(pair) - 1))
+            none = pair[place_] != key if len(pair) else np.ones(len(key), bool)
+            best.add(question[none], np.zeros(int(none.sum())), ident[chunk[none]], extra[chunk[none]])
+
+
 def _offer(best: Best, score: np.ndarray, batch: pa.RecordBatch, k: int, carry: str | None) -> None:
     """Many chunks can tie on a keyword share, so of equal scores only the k smallest ids go on."""
     ident, extra = batch.column("chunk_id").to_numpy(), _extra(batch, carry)
@@ -199,3 +274,57 @@ def _offer(best: Best, score: np.ndarray, batch: pa.RecordBatch, k: int, carry:
     keep = score[row, column] >= best.floor[column]
     r, c = row[keep], column[keep]
     best.add(c, score[r, c], ident[r], extra[r])
+
+
+# --- search by cells ----------------------------------------------------------------------------------------------------
+
+def nearest(points: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each point and the distance to it."""
+    at = np.zeros(len(points), np.int64)
+    norms = (centres**2).sum(1)
+    step = max(1, CELLS // max(1, len(centres)))
+    for start in range(0, len(points), step):
+        part = slice(start, start + step)
+        at[part] = (norms - 2 * points[part] @ centres.T).argmin(1)
+    return at, np.sqrt(((points - centres[at]) ** 2).sum(1))
+
+
+def bounds_in(cell: int, wanted: np.ndarray, norms: np.ndarray, centres: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """What no vector of the cell can exceed, for each question: the product with the centre and the rest of length ``radius`` at most."""
+    product = wanted @ centres[cell]
+    return product + norms * radius[cell] + SLACK * (1 + np.abs(product) + norms * radius[cell])
+
+
+def cell_top_k(questions: pa.Table, batches: Iterator[pa.RecordBatch], keys: list[str], k: int, by: str | None, carry: str | None,
+               centres: np.ndarray, radius: np.ndarray, seeds: bool) -> Iterator[pa.RecordBatch]:
+    """As ``vector_top_k`` over chunks with their ``cell``. In the first round (``seeds``) a question looks into its ``seed`` cell; in the second into
+    the cells whose bound reaches its ``floor``, the k-th score of the first round, or the k-th score seen since."""
+    wanted = vectors(questions.column("embedding"))
+    norms = np.sqrt((wanted**2).sum(1))
+    best = Best(len(wanted), k)
+    floor = None if seeds else questions.column("floor").to_numpy()
+    seed = questions.column("seed").to_numpy() if seeds else None
+    values = np.asarray(questions.column(by).to_pylist(), object) if by else None
+    for batch in batches:
+        cell = batch.column("cell").to_numpy()
+        have, ident, extra = vectors(batch.column("embedding")), batch.column("chunk_id").to_numpy(), _extra(batch, carry)
+        own = np.asarray(batch.column(by).to_pylist(), object) if by else None
+        for c in np.unique(cell):
+            if seeds:
+                open_ = np.flatnonzero(seed == c)
+            else:
+                open_ = np.flatnonzero(bounds_in(int(c), wanted, norms, centres, radius) >= np.maximum(floor, best.floor))
+            rows = np.flatnonzero(cell == c)
+            for value in set(own[rows]) if by else (None,):
+                asked = open_[values[open_] == value] if by else open_
+                some = rows[own[rows] == value] if by else rows
+                step = max(1, CELLS // max(1, len(asked)))
+                for start in range(0, len(some) if len(asked) else 0, step):
+                    part = some[start:start + step]
+                    scores = have[part] @ wanted[asked].T
+                    lowest = np.partition(scores, len(part) - k, axis=0)[len(part) - k] if len(part) > k else np.full(len(asked), -np.inf)
+                    row, column = np.nonzero(scores >= np.maximum(lowest, best.floor[asked]) - SLACK)
+                    for s in range(0, len(row), PAIRS):
+                        r, q = part[row[s:s + PAIRS]], asked[column[s:s + PAIRS]]
+                        best.add(q, plain_dot(have[r], wanted[q]), ident[r], extra[r])
+    yield _result(questions, keys, best, carry)

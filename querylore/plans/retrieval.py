@@ -3,10 +3,12 @@
 from pyspark.sql import functions as F
 
 from querylore.operators import catalog as C
+from querylore.operators import cells as L
 from querylore.operators import retrieval as R
 from querylore.plans.catalog import DOC_SQL, _documents
 from querylore.plans.query_log import UNIQUE, unique
 from querylore.plans.registry import plan
+from querylore.session import scratch_dir
 
 DOT = "list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[]))"
 CHUNKS = "ch AS MATERIALIZED (SELECT chunk_id, kb_type, label, embedding, content, md5(content) AS content_hash FROM kb_chunk)"
@@ -59,6 +61,22 @@ def _(t):
     return _rounded(R.top_k(_standard(t), t.kb_chunk, 5, ("query_id", "kb_type"), by="kb_type"), "query_id", "kb_type", "chunk_id", "rank")
 
 
+def _cells(t):
+    return L.CellTable(t.spark, L.write_cells(t.kb_chunk.select("chunk_id", "embedding", "kb_type"), scratch_dir(t.spark, "cells")))
+
+
+@plan("r01_top_k_by_cells", f"WITH {_top(5)} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM tk WHERE strategy = 'standard'")
+def _(t):
+    return _rounded(L.cell_top_k(_standard(t), _cells(t), 5), "query_id", "chunk_id", "rank")
+
+
+@plan("r02_top_k_of_source_by_cells", f"""WITH {SCORES}, f AS (SELECT * FROM sc WHERE strategy = 'standard' AND q_kb = kb_type),
+tk AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INT) AS rank FROM f QUALIFY rank <= 5)
+SELECT query_id, kb_type, chunk_id, rank, round(score, 6) AS score FROM tk""")
+def _(t):
+    return _rounded(L.cell_top_k(_standard(t), _cells(t), 5, ("query_id", "kb_type"), by="kb_type"), "query_id", "kb_type", "chunk_id", "rank")
+
+
 @plan("r03_content_sample", "SELECT chunk_id, CASE WHEN content = '' THEN '' ELSE left(content, 500) || '...' END AS content_sample FROM kb_chunk")
 def _(t):
     return t.kb_chunk.select("chunk_id", R.content_sample(F.col("content")).alias("content_sample"))

@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from querylore.operators import cells as L
 from querylore.operators import retrieval as R
 
 DIM = 4
@@ -211,3 +212,62 @@ def test_texts(spark):
     asked = spark.createDataFrame([(1, "SELECT x FROM a JOIN b JOIN a")], "query_id int, sql string")
     texts = [r["query_text"] for r in R.statement_questions(asked).orderBy("question_no").collect()]
     assert texts[0] == "a schema columns indexes" and texts[6:9] == texts[0:3] and len(texts) == 10 and texts[-1].startswith("SQL query optimization for: SELECT x")
+
+
+@pytest.mark.parametrize("shared", [R.SHARED_BYTES, 0])
+@pytest.mark.parametrize("distinct, cells", [(None, 9), (3, 9), (None, 1)])
+def test_search_by_cells_equals_brute_force(spark, monkeypatch, tmp_path, shared, distinct, cells):
+    # scattered vectors, where next to nothing can be skipped, and three vectors that fill all places with ties
+    monkeypatch.setattr(R, "QUESTION_BLOCK", 3)
+    monkeypatch.setattr(R, "CHUNK_BLOCK", 20)
+    questions, chunks = vectors(8, 1), vectors(90, 2, distinct)
+    q, c = frames(spark, questions, chunks)
+    c = c.unionByName(spark.createDataFrame([(1000, None, "g0", "no vector")], c.schema))
+    table = L.CellTable(spark, L.write_cells(c, str(tmp_path / "cells"), cells))
+    assert rows(L.cell_top_k(q, table, 5, shared_bytes=shared), "query_id", "chunk_id", "rank", "score") == brute(questions, chunks, 5)
+    got = L.cell_top_k(q, table, 5, ("query_id", "kind"), by="kind", carry="content", shared_bytes=shared)
+    assert rows(got, "query_id", "chunk_id", "rank", "score") == brute(questions, chunks, 5, by=True)
+    assert all(r["content"] == f"text {r['chunk_id']}" for r in got.collect())
+    few = L.cell_top_k(q, table, 200, shared_bytes=shared)
+    assert few.count() == 8 * 90
+
+
+def test_search_by_cells_skips_most_pairs_of_grouped_vectors(spark, tmp_path):
+    rng = random.Random(5)
+    centres = [[rng.uniform(-1, 1) * 4 for _ in range(DIM)] for _ in range(30)]
+    near = lambda x: [F32(v + rng.uniform(-0.05, 0.05)) for v in x]
+    chunks, questions = [near(centres[i % 30]) for i in range(3000)], [near(centres[i % 30]) for i in range(40)]
+    q, c = frames(spark, questions, chunks)
+    table = L.CellTable(spark, L.write_cells(c, str(tmp_path / "cells")))
+    assert rows(L.cell_top_k(q, table, 5), "query_id", "chunk_id", "rank", "score") == brute(questions, chunks, 5)
+    compared = L.compared_pairs(q, table, 5).collect()
+    assert len(compared) == 40 and 0 < sum(r["compared"] for r in compared) < 40 * 3000 / 2
+    empty = L.CellTable(spark, L.write_cells(c.limit(0), str(tmp_path / "none")))
+    assert L.cell_top_k(q, empty, 5).collect() == []
+
+
+def test_keyword_lists_equal_a_full_count_and_stay_small():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from querylore.functions import blocks
+
+    rng = random.Random(9)
+    word = lambda: int(20_000 * rng.random() ** 3)  # noqa: E731  some words are in most questions
+    questions = [sorted({word() for _ in range(rng.randint(0, 9))}) for _ in range(5_000)]
+    chunks = [sorted({word() for _ in range(rng.randint(0, 60))}) for _ in range(700)]
+    asked = pa.table({"query_id": pa.array(range(5_000)), "terms": pa.array(questions, pa.list_(pa.int64()))})
+    batch = pa.RecordBatch.from_arrays([pa.array([(i * 7919) % 700 for i in range(700)]), pa.array(chunks, pa.list_(pa.int64()))], ["chunk_id", "terms"])
+    tracemalloc.start()
+    found = next(blocks.keyword_top_k(asked, iter([batch.slice(0, 300), batch.slice(300)]), ["query_id"], 5, None)).to_pydict()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1 << 30
+    got = {}
+    for q, c, s in zip(found["query_id"], found["chunk_id"], found["score"]):
+        got.setdefault(q, []).append((-s, c))
+    sets = [(batch.column(0)[i].as_py(), set(t)) for i, t in enumerate(chunks)]
+    for q in range(0, 5_000, 61):
+        want = sorted((-len(own & set(questions[q])) / max(1, len(questions[q])), c) for c, own in sets)[:5]
+        assert sorted(got[q]) == want
