@@ -232,6 +232,7 @@ def _(t):
     feedback = t.query_feedback.select("id", "feedback_type", "corrected_response", "processing_status")
     taken = V.training_rows(t.query_feedback).select(F.col("feedback_id").alias("id"))
     changes = feedback.join(taken, "id", "left_semi").withColumn("processing_status", F.lit("reviewed"))
-    stored = K.append_rows(K.updated_rows(feedback, changes, ["id"]), scratch_dir(t.spark, "feedback"))
-    kinds = t.spark.read.parquet(stored).groupBy(F.concat(F.lit("feedback "), "processing_status").alias("kind")).agg(F.count("*").alias("n"))
+    stored = K.KeyedTable.create(feedback, scratch_dir(t.spark, "feedback"), ["id"])
+    stored.update(changes)
+    kinds = stored.read().groupBy(F.concat(F.lit("feedback "), "processing_status").alias("kind")).agg(F.count("*").alias("n"))
     return kinds.unionByName(t.spark.read.parquet(path).agg(F.count("*").alias("n")).select(F.lit("messages").alias("kind"), "n"))

@@ -56,6 +56,23 @@ def _put(store: fs.FileSystem, path: str, content: bytes) -> None:
     store.move(unfinished, path)
 
 
+def put_file(path: str, content: bytes) -> None:
+    """One file, whole or not at all; an older one of the name is replaced."""
+    store, at = _store(path)
+    _put(store, at, content)
+
+
+def open_file(path: str):
+    store, at = _store(path)
+    return store.open_input_stream(at)
+
+
+def folder_names(path: str) -> list[str]:
+    """The names right below a folder."""
+    store, at = _store(path)
+    return [f.base_name for f in store.get_file_info(fs.FileSelector(at))]
+
+
 @dataclass
 class Written(WriterCommitMessage):
     files: int

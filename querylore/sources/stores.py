@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from querylore.sources.folders import read_files, write_files
+from querylore.sources.folders import LIST, folder_names, open_file, put_file, read_files, write_files
 
 BROKEN = "_broken"
 
@@ -59,3 +62,57 @@ def updated_rows(existing: DataFrame, changes: DataFrame, keys: list[str]) -> Da
     """Existing rows with those of the same key replaced, and new ones added. Write the result to a new folder: a folder
     cannot be overwritten while it is read."""
     return existing.join(changes.select(*keys), keys, "left_anti").unionByName(changes)
+
+
+BUCKETS = 64
+_BUCKET = "bucket"
+
+
+class KeyedTable:
+    """A table whose rows are replaced by key, stored in hash buckets of the key, each in a folder of the version that wrote it.
+
+    A small list says which version of each bucket is current. An update reads and writes the buckets that its keys fall into, as folders of
+    a new version, and then replaces the list by one rename: files of other buckets stay as they are, readers see the table before or after, and a killed update leaves
+    nothing but a folder nobody reads. Superseded folders stay for readers at work. One update at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        with open_file(f"{self.path}/{LIST}") as file:
+            known = json.loads(file.read())
+        self.keys, self.buckets, self.versions = known["keys"], known["buckets"], {int(b): v for b, v in known["versions"].items()}
+        self.schema = StructType.fromJson(known["schema"])
+
+    @classmethod
+    def create(cls, df: DataFrame, path: str, keys: list[str], buckets: int = BUCKETS) -> KeyedTable:
+        """Stores ``df``, whose keys are unique. A bucket is written by one task, so their number grows with the table."""
+        put_file(f"{path.rstrip('/')}/{LIST}", json.dumps({"keys": keys, "buckets": buckets, "versions": {}, "schema": df.schema.jsonValue()}).encode())
+        table = cls(df.sparkSession, path)
+        table._write(df)
+        return table
+
+    def _numbered(self, df: DataFrame) -> DataFrame:
+        return df.withColumn(_BUCKET, F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
+
+    def _write(self, df: DataFrame) -> None:
+        version = f"v-{uuid.uuid4().hex}"
+        self._numbered(df).repartition(_BUCKET).write.partitionBy(_BUCKET).parquet(f"{self.path}/{version}")
+        written = [int(name.split("=")[1]) for name in folder_names(f"{self.path}/{version}") if name.startswith(f"{_BUCKET}=")]  # a name a bucket at most
+        self.versions |= dict.fromkeys(written, version)
+        known = {"keys": self.keys, "buckets": self.buckets, "versions": self.versions, "schema": self.schema.jsonValue()}
+        put_file(f"{self.path}/{LIST}", json.dumps(known).encode())
+
+    def _read(self, buckets) -> DataFrame:
+        paths = [f"{self.path}/{self.versions[b]}/{_BUCKET}={b}" for b in sorted(buckets) if b in self.versions]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def read(self) -> DataFrame:
+        return self._read(self.versions)
+
+    def update(self, changes: DataFrame) -> list[int]:
+        """Replaces the rows of the changes' keys and adds new ones; the changes' keys are unique. Returns the buckets that were written."""
+        changes = changes.select(*self.schema.names)
+        touched = sorted(r[0] for r in self._numbered(changes).select(_BUCKET).distinct().collect())  # numbers below ``buckets``
+        if touched:
+            self._write(updated_rows(self._read(touched), changes, self.keys))
+        return touched

@@ -56,6 +56,34 @@ def test_pages_and_updates(spark, tmp_path):
     assert sorted(tuple(r) for r in K.updated_rows(old, new, ["k"]).collect()) == [(1, "a"), (2, "c"), (3, "d")]
 
 
+def test_updates_leave_other_buckets_alone(spark, tmp_path):
+    import os
+
+    def files():
+        return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(tmp_path / "t") for f in names if f.endswith(".parquet")}
+
+    rows = spark.range(500).select("id", F.concat(F.lit("v"), "id").alias("bucket"), F.lit(None).cast("string").alias("note"))
+    rows = rows.withColumnRenamed("bucket", "value")
+    table = K.KeyedTable.create(rows, str(tmp_path / "t"), ["id"], 16)
+    before, want = files(), {r["id"]: (r["value"], r["note"]) for r in rows.collect()}
+    changes = spark.createDataFrame([("new", 7, "n"), ("more", 1000, None)], "value string, id long, note string")
+    written = table.update(changes)
+    want |= {7: ("new", "n"), 1000: ("more", None)}
+    again = K.KeyedTable(spark, str(tmp_path / "t"))
+    assert {r["id"]: (r["value"], r["note"]) for r in again.read().collect()} == want and again.read().count() == 501
+    after = files()
+    assert all(after[f] == m for f, m in before.items()) and 1 <= len(written) <= 2
+    assert {f.split("bucket=")[1].split("/")[0] for f in after if f not in before} == {str(b) for b in written}
+    # an update that fails changes nothing
+    broken = changes.withColumn("value", F.raise_error(F.lit("stop")).cast("string"))
+    with pytest.raises(Exception, match="stop"):
+        again.update(broken)
+    assert K.KeyedTable(spark, str(tmp_path / "t")).versions == again.versions
+    assert again.update(changes.limit(0)) == []
+    none = K.KeyedTable.create(rows.limit(0), str(tmp_path / "none"), ["id"])
+    assert none.read().count() == 0 and none.update(changes) and none.read().count() == 2
+
+
 def test_connection_options():
     pg = jdbc.connection_options("h", 5432, "db", "u", "p", schema="s")
     assert pg["url"] == "jdbc:postgresql://h:5432/db" and pg["sessionInitStatement"] == 'SET search_path TO "s"'
