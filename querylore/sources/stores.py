@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,6 +83,7 @@ class KeyedTable:
             known = json.loads(file.read())
         self.keys, self.buckets, self.versions = known["keys"], known["buckets"], {int(b): v for b, v in known["versions"].items()}
         self.schema = StructType.fromJson(known["schema"])
+        self.applied = known.get("applied", -1)
 
     @classmethod
     def create(cls, df: DataFrame, path: str, keys: list[str], buckets: int = BUCKETS) -> KeyedTable:
@@ -91,6 +93,19 @@ class KeyedTable:
         table._write(df)
         return table
 
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, schema: StructType, keys: list[str], buckets: int = BUCKETS) -> KeyedTable:
+        """The table at a path, a new one without rows where there is none."""
+        try:
+            return cls(spark, path)
+        except FileNotFoundError:
+            put_file(f"{path.rstrip('/')}/{LIST}", json.dumps({"keys": keys, "buckets": buckets, "versions": {}, "schema": schema.jsonValue()}).encode())
+            return cls(spark, path)
+
+    def _put_list(self) -> None:
+        known = {"keys": self.keys, "buckets": self.buckets, "versions": self.versions, "schema": self.schema.jsonValue(), "applied": self.applied}
+        put_file(f"{self.path}/{LIST}", json.dumps(known).encode())
+
     def _numbered(self, df: DataFrame) -> DataFrame:
         return df.withColumn(_BUCKET, F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
 
@@ -99,8 +114,7 @@ class KeyedTable:
         self._numbered(df).repartition(_BUCKET).write.partitionBy(_BUCKET).parquet(f"{self.path}/{version}")
         written = [int(name.split("=")[1]) for name in folder_names(f"{self.path}/{version}") if name.startswith(f"{_BUCKET}=")]  # a name a bucket at most
         self.versions |= dict.fromkeys(written, version)
-        known = {"keys": self.keys, "buckets": self.buckets, "versions": self.versions, "schema": self.schema.jsonValue()}
-        put_file(f"{self.path}/{LIST}", json.dumps(known).encode())
+        self._put_list()
 
     def _read(self, buckets) -> DataFrame:
         paths = [f"{self.path}/{self.versions[b]}/{_BUCKET}={b}" for b in sorted(buckets) if b in self.versions]
@@ -116,3 +130,23 @@ class KeyedTable:
         if touched:
             self._write(updated_rows(self._read(touched), changes, self.keys))
         return touched
+
+    def merge(self, changes: DataFrame, combine: Callable[[DataFrame], DataFrame], number: int | None = None) -> list[int]:
+        """Puts mergeable rows together: ``combine`` makes one row a key of stored and new rows, null keys included. Returns the buckets that
+        were written. A batch with a ``number`` is merged once: its number is kept in the list that makes it visible, so a batch that a stream
+        runs again after a failure, or any number not above the last, changes nothing."""
+        if number is not None and number <= self.applied:
+            return []
+        changes = changes.select(*self.schema.names)
+        touched = sorted(r[0] for r in self._numbered(changes).select(_BUCKET).distinct().collect())  # numbers below ``buckets``
+        before = self.applied
+        self.applied = before if number is None else number
+        try:
+            if touched:
+                self._write(combine(self._read(touched).unionByName(changes)).select(*self.schema.names))
+            elif number is not None:
+                self._put_list()
+        except BaseException:
+            self.applied = before
+            raise
+        return touched

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from pyspark.sql.types import StructType
 
+from querylore.operators import states as A
 from querylore.operators.feedback import training_rows
+from querylore.operators.querylog import extract_sql
+from querylore.sources.stores import BUCKETS, KeyedTable
 
 
 def arriving(spark: SparkSession, folder: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -156,3 +161,27 @@ def hourly_analytics(messages: DataFrame, folder: str, checkpoint: str, delay: s
     hour = F.window("created_at", "1 hour").alias("hour")
     counts = messages.withWatermark("created_at", delay).groupBy("company_id", hour).agg(F.count("*").alias("messages"))
     return _upsert(counts.select("company_id", F.col("hour.start").alias("hour_start"), "messages"), folder, checkpoint)
+
+
+def _growing(rows: DataFrame, state: Callable, merged: Callable, keys: list[str], path: str, buckets: int) -> StreamingQuery:
+    """Merges the state of every batch into a keyed table. The checkpoint lies in the table's folder, as batch numbers mean nothing without it."""
+    KeyedTable.open(rows.sparkSession, path, state(rows).schema, keys, buckets)
+
+    def write(batch: DataFrame, number: int) -> None:
+        new = state(batch).persist()
+        try:
+            KeyedTable(batch.sparkSession, path).merge(new, merged, number)
+        finally:
+            new.unpersist()
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/_checkpoint").trigger(availableNow=True).start()
+
+
+def growing_catalog(files: DataFrame, path: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """The unique queries of all files so far, from a stream of query files; files of earlier batches are not read again."""
+    return _growing(files, lambda batch: A.query_state(extract_sql(batch)), A.merged_queries, A.CATALOG_KEYS, path, buckets)
+
+
+def growing_sales(counted: DataFrame, path: str, buckets: int = BUCKETS) -> StreamingQuery:
+    """Sales states of days from a stream of counted orders, each of which arrives once."""
+    return _growing(counted, A.sales_state, A.merged_sales, A.SALES_KEYS, path, buckets)
