@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from querylore.llm.arrays import Words, pieces, sliding_min, span_hashes
 from querylore.llm.common import free_name
-from querylore.llm.sketch import Repeated, bits_for, merged
+from querylore.llm.sketch import Repeated, Twice, bits_for, merged
 
 SIZE = 50
 GRAM = 16
@@ -59,7 +59,7 @@ def remove_repeated_windows(docs: DataFrame, size: int = SIZE, gram: int = GRAM)
         for batch in pieces(batches, "text"):
             yield _windows(Words(batch.column(1), lower=False), size, gram)[2]
 
-    again = Repeated(texts, merged(texts, bits, anchors))
+    again = Repeated(texts, merged(texts, bits, anchors, Twice))
 
     def repeated(words):
         at, anchors, _ = _windows(words, size, gram)

@@ -4,6 +4,7 @@ import random
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -281,3 +282,24 @@ def test_following_ids_over_gaps(spark):
     ids = sorted(random.Random(3).sample(range(-(1 << 40), 1 << 40), 300)) + [1 << 50, (1 << 50) + 1]
     got = {r.id: r.next_id for r in following(spark.createDataFrame([(i,) for i in ids], "id long")).collect()}
     assert got == dict(zip(ids, [*ids[1:], None]))
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_two_bit_sketch_equals_counts(parts):
+    """Cells met twice or more are those of a counting sketch, in one task or several, also when keys share bytes and cells."""
+    from querylore.llm import sketch as K
+
+    rng = np.random.default_rng(7)
+    keys = np.concatenate([rng.integers(0, 1 << 63, 60_000), rng.integers(0, 500, 2_000), np.zeros(5, np.int64)]).astype(np.uint64)
+    counts, bits = K.Sketch(K.LEAST_BITS), []
+    counts.add(keys)
+    for part in np.array_split(keys, parts):
+        bits.append(K.Twice(K.LEAST_BITS))
+        for batch in [*np.array_split(part, 4), part[:0]]:
+            bits[-1].add(batch)
+    slices = [b.slices() for b in bits]
+    whole = slices[0]
+    for other in slices[1:]:
+        whole = np.stack([K.Twice.joined(a, b) for a, b in zip(whole, other)])
+    both = K.Twice.of(K.LEAST_BITS, whole)
+    assert (both.table[1] == np.packbits(counts.table > 1, axis=1)).all() and (both.table[0] == np.packbits(counts.table > 0, axis=1)).all()
