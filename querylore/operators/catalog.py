@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from querylore.functions.columns import escape_pipe
-from querylore.operators.relational import joined_list, keep_known
+from querylore.operators.relational import joined_list, keep_known, unshared
 
 TABLE = ["tenant", "table_name"]
 
@@ -62,7 +62,7 @@ def primary_keys(tables: DataFrame, keys: DataFrame, cols: DataFrame | None = No
     """Key columns per table in key order, or in table order when the columns are given."""
     primary = primary_key_columns(tables, keys)
     if cols is not None:
-        primary = primary.drop("ordinal").join(cols.select(*TABLE, "column_name", "ordinal"), [*TABLE, "column_name"])
+        primary = primary.drop("ordinal").join(unshared(cols.select(*TABLE, "column_name", "ordinal")), [*TABLE, "column_name"])
     return primary.groupBy(*TABLE).agg(joined_list("column_name", "ordinal").alias("primary_key"))
 
 
@@ -106,7 +106,7 @@ def flagged_columns(tables: DataFrame, cols: DataFrame, keys: DataFrame, idx: Da
         .groupBy(*TABLE, "column_name").agg(F.max("pk").alias("pk"), F.max("fk").alias("fk"), F.max("ix").alias("ix"))
     )
     no = F.lit(False)
-    return columns(tables, cols).join(marks, [*TABLE, "column_name"], "left").select(
+    return columns(tables, cols).join(unshared(marks), [*TABLE, "column_name"], "left").select(
         *TABLE, "ordinal", "column_name", "data_type", "is_nullable", "default", "description",
         F.coalesce("pk", no).alias("is_primary_key"), F.coalesce("fk", no).alias("is_foreign_key"), F.coalesce("ix", no).alias("has_index"),
     )
@@ -182,7 +182,7 @@ def suggested_joins(tables: DataFrame, keys: DataFrame) -> DataFrame:
     forward = edges.select(*TABLE, F.col("ref_table").alias("other_table"), F.lit("references").alias("direction"),
                            F.col("column_name").alias("own_column"), F.col("ref_column").alias("other_column"))
     first_key = primary_key_columns(tables, keys).groupBy(*TABLE).agg(F.min_by("column_name", "ordinal").alias("own_column"))
-    backward = referenced_by(edges).join(first_key, TABLE).select(
+    backward = referenced_by(edges).join(unshared(first_key), TABLE).select(
         *TABLE, F.col("from_table").alias("other_table"), F.lit("referenced by").alias("direction"), "own_column", F.col("from_column").alias("other_column"))
     return forward.unionByName(backward).withColumn(
         "join_sql", _join_example(F.col("table_name"), F.col("other_table"), F.col("own_column"), F.col("other_column")))
@@ -306,7 +306,7 @@ def relationships_summary_pages(edges: DataFrame, tables: DataFrame) -> DataFram
 
     both = edges.groupBy("tenant").agg(lines("source", "target").alias("by_source"), lines("target", "source").alias("by_target"))
     no = F.lit("")
-    return tables.select("tenant").distinct().join(both, "tenant", "left").select(
+    return tables.select("tenant").distinct().join(unshared(both), "tenant", "left").select(
         F.concat(F.lit("relationships/"), "tenant", F.lit("/relationships_summary.md")).alias("path"),
         F.concat(F.lit(RELATIONS_HEAD + BY_SOURCE_HEAD), F.coalesce("by_source", no), F.lit(BY_TARGET_HEAD), F.coalesce("by_target", no)).alias("content"))
 

@@ -37,9 +37,18 @@ def ordered_distinct(array: Column) -> Column:
     return F.array_distinct(array)
 
 
+def unshared(df: DataFrame) -> DataFrame:
+    """The side of a join that grows with the input: both sides are dealt by key and merged.
+
+    Spark takes a table made by ``inline`` or ``explode`` for as small as the rows it is made from, and would pass all of it through the
+    driver to every task.
+    """
+    return df.hint("merge")
+
+
 def keep_known(df: DataFrame, known: DataFrame, *keys: str) -> DataFrame:
     """Rows whose keys exist in the other table."""
-    return df.join(known.select(*keys), list(keys), "left_semi")
+    return df.join(unshared(known.select(*keys)), list(keys), "left_semi")
 
 
 def insert_missing(existing: DataFrame, incoming: DataFrame, keys: list[str], id_column: str) -> DataFrame:

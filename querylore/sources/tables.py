@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from querylore.session import spread
 from querylore.sources.views import BASE_TABLES, VIEWS, needed_views, spark_text
 
-# views whose texts are read word by word, and the table their rows come from
-SPREAD = {"query_log": "events", "kb_chunk": "documents", "cat_table": "customer"}
+# views whose texts are read word by word or that make many rows of one, and the table their rows come from
+SPREAD = {"query_log": "events", "kb_chunk": "documents"} | {f"cat_{x}": "customer" for x in ("table", "column", "key", "index")}
 
 
 class Tables:

@@ -91,3 +91,21 @@ def test_chunk_constants_and_report(spark):
     assert tuple(D.load_report(docs).first()) == (4, 1, 3)
     assert D.hierarchical_chunks(docs).select("doc_id", "chunk").collect()[0] == (1, "a b")
     assert docs.select(F.size(D.tokens(F.col("text")))).first()[0] == 2
+
+
+def test_no_catalog_table_is_sent_whole_to_every_task(spark):
+    # rows made by inline look as few as the rows they are made from, so Spark takes the table for a small one
+    customers = spark.createDataFrame([("a", "t"), ("a", "u"), ("b", "t")], "tenant string, table_name string")
+    tables = customers.selectExpr("*", "'' AS table_comment", "'BASE TABLE' AS table_type")
+    cols = customers.selectExpr("*", "1 AS ordinal", "'id' AS column_name", "'int' AS data_type", "0 AS char_len", "0 AS num_precision", "0 AS num_scale",
+                                "'NO' AS is_nullable", "'' AS column_default", "'' AS column_comment")
+    keys = customers.selectExpr("*", "1 AS ordinal", "'id' AS column_name", "inline(array(struct('PRIMARY' AS constraint_name, CAST(NULL AS STRING) AS ref_table, "
+                                "CAST(NULL AS STRING) AS ref_column), struct('f' AS constraint_name, 't' AS ref_table, 'id' AS ref_column)))")
+    idx = customers.selectExpr("*", "'PRIMARY' AS index_name", "1 AS seq", "'id' AS column_name", "0 AS non_unique")
+    found = {
+        "c03": C.primary_keys(tables, keys, cols), "c04": C.column_references(C.foreign_keys(tables, keys)), "c05": C.flagged_columns(tables, cols, keys, idx),
+        "c06": C.schema_documents(tables, cols, keys, idx), "c07": C.ordered_edges(C.relationship_edges(tables, keys)), "c10": C.suggested_joins(tables, keys)}
+    for name, df in found.items():
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString(), name
+    assert {tuple(r) for r in found["c03"].collect()} == {("a", "t", "id"), ("a", "u", "id"), ("b", "t", "id")}
+    assert found["c07"].count() == 3
