@@ -254,7 +254,8 @@ ON c.tenant = x.tenant AND c.table_name = x.table_name WHERE list_contains(x.col
 def _(t):
     indexes = t.cat_index.groupBy("tenant", "table_name", "index_name").agg(F.collect_list("column_name").alias("cols"))
     columns = t.cat_column.select("tenant", "table_name", "column_name")
-    return columns.join(indexes.select("tenant", "table_name", "index_name", F.explode("cols").alias("column_name")), ["tenant", "table_name", "column_name"])
+    held = indexes.select("tenant", "table_name", "index_name", F.explode("cols").alias("column_name"))
+    return columns.join(L.unshared(held), ["tenant", "table_name", "column_name"])
 
 
 @plan("j11_known_tables_only", """

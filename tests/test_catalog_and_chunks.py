@@ -109,3 +109,15 @@ def test_no_catalog_table_is_sent_whole_to_every_task(spark):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString(), name
     assert {tuple(r) for r in found["c03"].collect()} == {("a", "t", "id"), ("a", "u", "id"), ("b", "t", "id")}
     assert found["c07"].count() == 3
+
+
+def test_columns_by_index_are_merged_not_sent_whole(spark):
+    from types import SimpleNamespace
+
+    from querylore.plans.registry import all_plans
+
+    named = spark.createDataFrame([("a", "t", "id"), ("a", "t", "x"), (None, "t", "id")], "tenant string, table_name string, column_name string")
+    plan = all_plans()["j10_array_membership"]
+    got = plan.build(SimpleNamespace(cat_index=named.withColumn("index_name", F.lit("i")).filter("column_name = 'id'"), cat_column=named))
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r[c] for c in ("tenant", "table_name", "column_name", "index_name")) for r in got.collect()] == [("a", "t", "id", "i")]
