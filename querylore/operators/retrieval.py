@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from querylore.functions import blocks, sqltext
 from querylore.functions.columns import epoch_seconds
 from querylore.functions.text import non_blank_lines
-from querylore.operators.relational import last_per_group
+from querylore.operators.relational import last_per_group, unshared
 from querylore.session import scratch_dir
 
 SHARED_BYTES = 64 << 20
@@ -372,7 +372,7 @@ def relationship_search(documents: DataFrame, names: DataFrame, n: int = 10) ->
 
     def with_common(df: DataFrame, words: str) -> DataFrame:
         own = F.array_sort(F.array_intersect(words, F.coalesce("tenant_common", no_words)))
-        return df.join(commons, "tenant", "left").withColumn("common", own).drop("tenant_common")
+        return df.join(unshared(commons), "tenant", "left").withColumn("common", own).drop("tenant_common")
 
     def not_fixed(words: Column, i: int) -> Column:
         return F.size(F.array_except(words, fixed[i]))
@@ -385,14 +385,14 @@ def relationship_search(documents: DataFrame, names: DataFrame, n: int = 10) ->
     classes = last_per_group(scored.select("tenant", "doc", "content_hash", "common", "held"), ["tenant", "common", "held"], [F.col("doc")], per, rank="place").drop("place", "position")
     signatures = asked.select("tenant", F.col("common").alias("asked_common")).distinct()
     shared = [F.get("held", F.lit(i)) + not_fixed(F.array_intersect("common", "asked_common"), i) for i in range(len(fixed))]
-    met = classes.join(signatures, "tenant").select("tenant", "asked_common", "doc", "content_hash", F.posexplode(F.array(*shared)).alias("question_no", "held"))
+    met = classes.join(unshared(signatures), "tenant").select("tenant", "asked_common", "doc", "content_hash", F.posexplode(F.array(*shared)).alias("question_no", "held"))
     leading = last_per_group(met, ["tenant", "asked_common", "question_no"], [F.desc("held"), F.col("doc")], per, rank="place").drop("place", "position")
     own = asked.select("tenant", "asked", F.col("common").alias("asked_common"), "sizes")
-    general = own.join(leading, ["tenant", "asked_common"]).select("tenant", "asked", "question_no", "doc", "content_hash", F.col("held").alias("hits"), "sizes")
+    general = own.join(unshared(leading), ["tenant", "asked_common"]).select("tenant", "asked", "question_no", "doc", "content_hash", F.col("held").alias("hits"), "sizes")
 
     rare = asked.select("tenant", "asked", F.col("common").alias("asked_common"), "sizes", F.explode_outer(F.array_except("name_words", "common")).alias("word")).filter("word IS NOT NULL")
     # the outer form: the plain one adds a filter that would compute the words of every document again
-    by_word = scored.select("tenant", "doc", "content_hash", "common", "held", F.explode_outer("words").alias("word")).join(rare, ["tenant", "word"])
+    by_word = scored.select("tenant", "doc", "content_hash", "common", "held", F.explode_outer("words").alias("word")).join(unshared(rare), ["tenant", "word"])
     extra = [F.sum(F.when(F.array_contains(f, F.col("word")), 0).otherwise(1)) for f in fixed]
     pairs = by_word.groupBy("tenant", "asked", "asked_common", "sizes", "doc", "content_hash", "common", "held").agg(F.array(*extra).alias("extra"))
     hits = [F.get("held", F.lit(i)) + F.get("extra", F.lit(i)) + not_fixed(F.array_intersect("common", "asked_common"), i) for i in range(len(fixed))]

@@ -271,3 +271,10 @@ def test_keyword_lists_equal_a_full_count_and_stay_small():
     for q in range(0, 5_000, 61):
         want = sorted((-len(own & set(questions[q])) / max(1, len(questions[q])), c) for c, own in sets)[:5]
         assert sorted(got[q]) == want
+
+
+def test_no_side_of_a_relationship_search_is_sent_whole(spark):
+    d = spark.createDataFrame([("a", "t", "t keys"), ("a", "u", "u")], "tenant string, table_name string, content string")
+    found = R.relationship_search(d, d.select("tenant", "table_name"))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.filter("asked = 't' AND rank = 1").first()["doc"] == "t"
