@@ -18,6 +18,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CELLS = 4_000_000  # score matrix cells held at once
 PAIRS = 500_000  # pairs scored exactly at once
+ASKED = 1_000  # questions whose best are kept together
+NEAR = 250_000  # products of vectors held at once: they stay near the core
 SLACK = 1e-9  # wider than the rounding difference between a matrix product and a plain sum
 
 
@@ -95,29 +97,91 @@ def _result(questions: pa.Table, keys: list[str], best: Best, carry: str | None)
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def vector_top_k(questions: pa.Table, batches: Iterator[pa.RecordBatch], keys: list[str], k: int, by: str | None, carry: str | None) -> Iterator[pa.RecordBatch]:
-    """A matrix product finds the candidates, the plain sum decides among them: exact, ties included."""
-    wanted = vectors(questions.column("embedding"))
-    best = Best(len(wanted), k)
-    groups = {None: np.arange(len(wanted))}
+def _matrix(column) -> np.ndarray:
+    """A list column as a matrix of its own type if that is float and no product or sum of its values can leave the type, else of doubles."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    far = flat.dtype != np.float32 or not (np.isfinite(flat).all() and (len(flat) == 0 or np.abs(flat).max() < 1e12))
+    return flat.astype(np.float64 if far else np.float32).reshape(len(column), -1)
+
+
+def _lengths(rows: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.einsum("ij,ij->i", rows, rows, dtype=np.float64))
+
+
+class _Part:
+    """Some questions, compared with the same chunks, and their best so far."""
+
+    def __init__(self, asked: np.ndarray, value, wanted: np.ndarray, k: int):
+        self.asked, self.value, self.wanted, self.k = asked, value, wanted[asked], k
+        self.lengths, self.best = _lengths(self.wanted), Best(len(asked), k)
+
+    def look(self, have: np.ndarray, rows: np.ndarray, ident: np.ndarray, extra: np.ndarray) -> None:
+        """A matrix product finds the candidates among the rows, the plain sum decides among them: exact, ties included."""
+        step, waiting = max(1, NEAR // len(self.asked)), []
+        for start in range(0, len(rows), step):
+            part = rows[start:start + step]
+            own = have[part]
+            wanted = self.wanted if self.wanted.dtype == own.dtype else self.wanted.astype(np.float64)
+            scores = own @ wanted.T
+            # by how much a product can differ from the plain sum, whatever the order of its terms
+            unit = np.finfo(scores.dtype).eps
+            slack = SLACK + 2 * (have.shape[1] + 2) * unit * self.lengths * _lengths(own).max()
+
+            def reached(lowest):
+                return np.flatnonzero(scores >= np.nextafter((np.maximum(lowest, self.best.floor) - slack).astype(scores.dtype), scores.dtype.type(-np.inf)))
+
+            near = reached(-np.inf) if np.isfinite(self.best.floor).all() else None
+            if len(part) > self.k and (near is None or len(near) > 4 * self.k * len(self.asked)):
+                near = reached(np.partition(scores, len(part) - self.k, axis=0)[len(part) - self.k].astype(np.float64))
+            elif near is None:
+                near = reached(-np.inf)
+            waiting.append((part[near // len(self.asked)], near % len(self.asked)))
+            # few candidates wait for others, as each addition sorts all that is best so far
+            if sum(len(r) for r, _ in waiting) > self.k * len(self.asked) or start == 0 or start + step >= len(rows):
+                row, column = (np.concatenate(x) for x in zip(*waiting))
+                waiting = []
+                for s in range(0, len(row), PAIRS):
+                    r, c = row[s:s + PAIRS], column[s:s + PAIRS]
+                    self.best.add(c, plain_dot(have[r].astype(np.float64), self.wanted[c].astype(np.float64)), ident[r], extra[r])
+
+
+def _parts(questions: pa.Table, k: int, by: str | None, order: np.ndarray | None = None) -> list[_Part]:
+    """The questions in parts of ``ASKED``, each of one value of ``by``."""
+    wanted = _matrix(questions.column("embedding"))
+    order = np.arange(len(wanted)) if order is None else order
+    groups = {None: order}
     if by:
-        values = np.asarray(questions.column(by).to_pylist(), object)
-        groups = {v: np.flatnonzero(values == v) for v in set(values)}
-    step = max(1, CELLS // max(1, len(wanted)))
+        values = np.asarray(questions.column(by).to_pylist(), object)[order]
+        groups = {v: order[values == v] for v in set(values)}
+    return [_Part(own[at:at + ASKED], value, wanted, k) for value, own in groups.items() for at in range(0, len(own), ASKED)]
+
+
+def _of_value(batch: pa.RecordBatch, by: str | None, parts: list[_Part]) -> dict:
+    """The rows of a batch for each value the parts ask for."""
+    if not by:
+        return {None: np.arange(batch.num_rows)}
+    own = np.asarray(batch.column(by).to_pylist(), object)
+    return {v: np.flatnonzero(own == v) for v in {p.value for p in parts}}
+
+
+def _results(questions: pa.Table, keys: list[str], parts: list[_Part], carry: str | None) -> Iterator[pa.RecordBatch]:
+    for part in parts:
+        part.best.question = part.asked[part.best.question]
+        yield _result(questions, keys, part.best, carry)
+
+
+def vector_top_k(questions: pa.Table, batches: Iterator[pa.RecordBatch], keys: list[str], k: int, by: str | None, carry: str | None) -> Iterator[pa.RecordBatch]:
+    """The best chunks of each question by dot product."""
+    parts = _parts(questions, k, by)
     for batch in batches:
-        have, ident, extra = vectors(batch.column("embedding")), batch.column("chunk_id").to_numpy(), _extra(batch, carry)
-        own = np.asarray(batch.column(by).to_pylist(), object) if by else None
-        for value, asked in groups.items():
-            rows = np.flatnonzero(own == value) if by else np.arange(len(have))
-            for start in range(0, len(rows), step):
-                part = rows[start:start + step]
-                scores = have[part] @ wanted[asked].T
-                lowest = np.partition(scores, len(part) - k, axis=0)[len(part) - k] if len(part) > k else np.full(len(asked), -np.inf)
-                row, column = np.nonzero(scores >= np.maximum(lowest, best.floor[asked]) - SLACK)
-                for s in range(0, len(row), PAIRS):
-                    r, c = part[row[s:s + PAIRS]], asked[column[s:s + PAIRS]]
-                    best.add(c, plain_dot(have[r], wanted[c]), ident[r], extra[r])
-    yield _result(questions, keys, best, carry)
+        if batch.num_rows:
+            have, ident, extra = _matrix(batch.column("embedding")), batch.column("chunk_id").to_numpy(), _extra(batch, carry)
+            rows = _of_value(batch, by, parts)
+            for part in parts:
+                part.look(have, rows[part.value], ident, extra)
+    yield from _results(questions, keys, parts, carry)
 
 
 def _vocabulary(questions: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -297,34 +361,26 @@ def bounds_in(cell: int, wanted: np.ndarray, norms: np.ndarray, centres: np.ndar
 
 def cell_top_k(questions: pa.Table, batches: Iterator[pa.RecordBatch], keys: list[str], k: int, by: str | None, carry: str | None,
                centres: np.ndarray, radius: np.ndarray, seeds: bool) -> Iterator[pa.RecordBatch]:
-    """As ``vector_top_k`` over chunks with their ``cell``. In the first round (``seeds``) a question looks into its ``seed`` cell; in the second into
-    the cells whose bound reaches its ``floor``, the k-th score of the first round, or the k-th score seen since."""
-    wanted = vectors(questions.column("embedding"))
-    norms = np.sqrt((wanted**2).sum(1))
-    best = Best(len(wanted), k)
+    """As ``vector_top_k`` over chunks with their ``cell``. Questions of one seed are compared together. In the first round (``seeds``) they look into
+    their ``seed`` cells; in the second into the cells whose bound reaches the ``floor`` of one of them, the k-th score of the first round, or the
+    k-th score seen since."""
+    seed = questions.column("seed").to_numpy()
+    parts = _parts(questions, k, by, np.argsort(seed, kind="stable"))
     floor = None if seeds else questions.column("floor").to_numpy()
-    seed = questions.column("seed").to_numpy() if seeds else None
-    values = np.asarray(questions.column(by).to_pylist(), object) if by else None
     for batch in batches:
-        cell = batch.column("cell").to_numpy()
-        have, ident, extra = vectors(batch.column("embedding")), batch.column("chunk_id").to_numpy(), _extra(batch, carry)
-        own = np.asarray(batch.column(by).to_pylist(), object) if by else None
-        for c in np.unique(cell):
+        if not batch.num_rows:
+            continue
+        cells, cell = np.unique(batch.column("cell").to_numpy(), return_inverse=True)
+        have, ident, extra = _matrix(batch.column("embedding")), batch.column("chunk_id").to_numpy(), _extra(batch, carry)
+        rows = _of_value(batch, by, parts)
+        for part in parts:
             if seeds:
-                open_ = np.flatnonzero(seed == c)
+                open_ = np.isin(cells, seed[part.asked])
             else:
-                open_ = np.flatnonzero(bounds_in(int(c), wanted, norms, centres, radius) >= np.maximum(floor, best.floor))
-            rows = np.flatnonzero(cell == c)
-            for value in set(own[rows]) if by else (None,):
-                asked = open_[values[open_] == value] if by else open_
-                some = rows[own[rows] == value] if by else rows
-                step = max(1, CELLS // max(1, len(asked)))
-                for start in range(0, len(some) if len(asked) else 0, step):
-                    part = some[start:start + step]
-                    scores = have[part] @ wanted[asked].T
-                    lowest = np.partition(scores, len(part) - k, axis=0)[len(part) - k] if len(part) > k else np.full(len(asked), -np.inf)
-                    row, column = np.nonzero(scores >= np.maximum(lowest, best.floor[asked]) - SLACK)
-                    for s in range(0, len(row), PAIRS):
-                        r, q = part[row[s:s + PAIRS]], asked[column[s:s + PAIRS]]
-                        best.add(q, plain_dot(have[r], wanted[q]), ident[r], extra[r])
-    yield _result(questions, keys, best, carry)
+                least = np.maximum(floor[part.asked], part.best.floor)
+                product = centres[cells] @ part.wanted.T.astype(np.float64)
+                reach = radius[cells][:, None] * part.lengths
+                open_ = (product + reach + SLACK * (1 + np.abs(product) + reach) >= least).any(1)
+            own = rows[part.value]
+            part.look(have, own[open_[cell[own]]], ident, extra)
+    yield from _results(questions, keys, parts, carry)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from querylore.functions import blocks
 from querylore.operators.relational import last_per_group
-from querylore.operators.retrieval import SHARED_BYTES, _once, _schema, blockwise
+from querylore.operators.retrieval import SHARED_BYTES, VECTOR_CHUNKS, VECTOR_QUESTIONS, _once, _schema, blockwise
 
 MOST_CELLS = 4_096  # centres are sent to every task
 CELL_ROWS = 2_000
@@ -94,7 +94,7 @@ def _with_floor(asked: DataFrame, table: CellTable, k: int, keys: list[str], by:
     kernel = partial(blocks.cell_top_k, keys=keys, k=k, by=by, carry=None, centres=table.centres, radius=table.radius, seeds=True)
     have = table.chunks.select("chunk_id", "embedding", "cell", *([by] if by else []))
     seeds = asked.select(F.col("seed").alias("cell")).distinct()
-    found = blockwise(asked, have.join(seeds, "cell", "left_semi"), keys, kernel, _schema(asked, keys, None), shared_bytes)
+    found = blockwise(asked, have.join(seeds, "cell", "left_semi"), keys, kernel, _schema(asked, keys, None), shared_bytes, VECTOR_QUESTIONS, VECTOR_CHUNKS)
     first = last_per_group(found, keys, [F.desc("score"), F.col("chunk_id")], k, rank="rank")
     floors = first.groupBy(*keys).agg(F.count("*").alias("n"), F.min("score").alias("kth")).filter(F.col("n") == k).drop("n")
     return asked.join(floors, keys, "left").withColumn("floor", F.coalesce("kth", F.lit(float("-inf")))).drop("kth")
@@ -110,7 +110,7 @@ def cell_top_k(questions: DataFrame, table: CellTable, k: int = 5, keys: tuple[s
     asked = _once(_with_floor(asked, table, k, keys, by, shared_bytes), "asked-floors")
     have = table.chunks.select("chunk_id", "embedding", "cell", *([by] if by else []), *([carry] if carry else []))
     kernel = partial(blocks.cell_top_k, keys=keys, k=k, by=by, carry=carry, centres=table.centres, radius=table.radius, seeds=False)
-    best = blockwise(asked, have, keys, kernel, _schema(asked, keys, carry), shared_bytes)
+    best = blockwise(asked, have, keys, kernel, _schema(asked, keys, carry), shared_bytes, VECTOR_QUESTIONS, VECTOR_CHUNKS)
     return last_per_group(best.repartition(keys[0]), keys, [F.desc("score"), F.col("chunk_id")], k, rank="rank")
 
 

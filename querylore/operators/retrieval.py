@@ -8,7 +8,7 @@ blocks beyond it. Both ways give the same rows.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +23,9 @@ from querylore.session import scratch_dir
 SHARED_BYTES = 64 << 20
 QUESTION_BLOCK = 2_000
 CHUNK_BLOCK = 20_000
+# vectors are compared so fast that larger blocks pay: each is sent as often as the other side has blocks
+VECTOR_QUESTIONS = 50_000
+VECTOR_CHUNKS = 100_000
 
 # Texts asked about a table and about a statement, and the parts of a context text.
 RELATIONSHIP_TEXTS = [
@@ -56,7 +59,8 @@ def _once(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def blockwise(questions: DataFrame, chunks: DataFrame, keys: list[str], kernel: Callable, schema: str, shared_bytes: int = SHARED_BYTES) -> DataFrame:
+def blockwise(questions: DataFrame, chunks: DataFrame, keys: list[str], kernel: Callable, schema: str, shared_bytes: int = SHARED_BYTES,
+              question_block: int | None = None, chunk_block: int | None = None) -> DataFrame:
     """Run a kernel (questions, chunk batches) -> batches over all questions and all chunks."""
     measured = questions.agg(F.count("*").alias("n"), F.coalesce(F.sum(_bytes(questions)), F.lit(0)).alias("bytes")).first()
     if measured["n"] == 0:
@@ -65,8 +69,8 @@ def blockwise(questions: DataFrame, chunks: DataFrame, keys: list[str], kernel:
         shared = chunks.sparkSession.sparkContext.broadcast(questions.toArrow())
         return chunks.mapInArrow(lambda batches: kernel(shared.value, batches), schema)
 
-    question_blocks = -(-measured["n"] // QUESTION_BLOCK)
-    chunk_blocks = -(-chunks.count() // CHUNK_BLOCK)
+    question_blocks = -(-measured["n"] // (question_block or QUESTION_BLOCK))
+    chunk_blocks = max(1, -(-chunks.count() // (chunk_block or CHUNK_BLOCK)))
 
     def block(df, columns, n):
         return F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
@@ -103,15 +107,32 @@ def with_hash(chunks: DataFrame) -> DataFrame:
 def top_k(questions: DataFrame, chunks: DataFrame, k: int = 5, keys: tuple[str, ...] = ("query_id",), by: str | None = None,
           carry: str | None = None, shared_bytes: int = SHARED_BYTES) -> DataFrame:
     """The k chunks of highest dot product per question; ties go to the smaller id. With ``by``, only chunks of the
-    question's own group take part. Returns keys, chunk_id, score, rank."""
-    keys = list(keys)
-    only = [by] if by else []
+    question's own group take part. Returns keys, chunk_id, score, rank.
+
+    Equal vectors have equal scores, so each distinct vector of the questions is compared once with each distinct vector of the chunks. Of chunks with
+    one vector the k smallest ids can be among the best, and the best chunks are among those of the k best vectors.
+    """
+    keys, only = list(keys), [by] if by else []
     asked = questions.filter("embedding IS NOT NULL").select(*dict.fromkeys([*keys, *only]), "embedding")
     have = chunks.filter("embedding IS NOT NULL").select("chunk_id", "embedding", *only, *([carry] if carry else []))
-    kernel = partial(blocks.vector_top_k, keys=keys, k=k, by=by, carry=carry)
-    best = blockwise(asked, have, keys, kernel, _schema(asked, keys, carry), shared_bytes)
+    vectors = _once(asked.select("embedding", *only).distinct().withColumn("vector_no", F.monotonically_increasing_id()), "question-vectors")
+    same = ["embedding", *only]
+    first = last_per_group(have, same, [F.col("chunk_id")], k)
+    listed = F.array_sort(F.collect_list(F.struct("chunk_id", *([carry] if carry else [])))).alias("copies")
+    grouped = first.groupBy(*same).agg(listed).withColumn("copy_no", F.monotonically_increasing_id().cast("string"))
+    copies = _once(grouped.withColumn("chunk_id", F.col("copies")[0]["chunk_id"]), "chunk-vectors")
+
+    kernel = partial(blocks.vector_top_k, keys=["vector_no"], k=k, by=by, carry="copy_no")
+    found = blockwise(vectors, copies.drop("copies"), ["vector_no"], kernel, _schema(vectors, ["vector_no"], "copy_no"), shared_bytes, VECTOR_QUESTIONS, VECTOR_CHUNKS)
+    near = last_per_group(found, ["vector_no"], [F.desc("score"), F.col("chunk_id")], k).select("vector_no", "copy_no", "score")
+    spelt = near.join(unshared(copies.select("copy_no", "copies")), "copy_no").select("vector_no", "score", F.inline("copies"))
+    best = last_per_group(spelt, ["vector_no"], [F.desc("score"), F.col("chunk_id")], k).drop("position")
+    lists = best.groupBy("vector_no").agg(F.collect_list(F.struct("chunk_id", "score", *([carry] if carry else []))).alias("found"))
+    answers = vectors.join(unshared(lists), "vector_no").select(*[F.col(c).alias(f"_{c}") for c in same], "found")
+    pairs = asked.join(unshared(answers), reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in same]))
     # dealt by question alone: whatever follows per question, variant or content needs no further shuffle
-    return last_per_group(best.repartition(keys[0]), keys, [F.desc("score"), F.col("chunk_id")], k, rank="rank")
+    each = pairs.select(*keys, F.inline("found")).repartition(keys[0])
+    return last_per_group(each, keys, [F.desc("score"), F.col("chunk_id")], k, rank="rank")
 
 
 def terms(text: Column) -> Column:

@@ -278,3 +278,50 @@ def test_no_side_of_a_relationship_search_is_sent_whole(spark):
     found = R.relationship_search(d, d.select("tenant", "table_name"))
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert found.filter("asked = 't' AND rank = 1").first()["doc"] == "t"
+
+
+@pytest.mark.parametrize("by", [None, "kind"])
+def test_each_distinct_vector_is_compared_once(spark, monkeypatch, by):
+    # 60 questions and 90 chunks have few vectors; some questions come twice, and a key has two vectors
+    monkeypatch.setattr(R, "VECTOR_QUESTIONS", 2)
+    monkeypatch.setattr(R, "VECTOR_CHUNKS", 2)
+    questions, chunks = vectors(60, 3, 4), vectors(90, 4, 5)
+    q, c = frames(spark, questions, chunks)
+    want = {(i, *r) for i, *r in brute(questions, chunks, 7, by=bool(by))}
+    compared, blockwise = {}, R.blockwise
+
+    def watched(asked, have, *rest):
+        compared["questions"], compared["chunks"] = asked.count(), have.count()
+        return blockwise(asked, have, *rest)
+    monkeypatch.setattr(R, "blockwise", watched)
+    keys = ("query_id", by) if by else ("query_id",)
+    for shared in (R.SHARED_BYTES, 0):
+        got = R.top_k(q, c, 7, keys, by=by, carry="content", shared_bytes=shared)
+        assert rows(got, "query_id", "chunk_id", "rank", "score") == want
+        assert all(r["content"] == f"text {r['chunk_id']}" for r in got.collect())
+        assert compared["questions"] <= 4 * (3 if by else 1) and compared["chunks"] <= 5 * (3 if by else 1)
+    twice = R.top_k(q.unionByName(q), c, 7, keys, by=by)
+    assert twice.count() == len(want) and twice.filter("rank = 2").join(twice.filter("rank = 1").select("query_id", "chunk_id"), ["query_id", "chunk_id"]).count() == 60
+
+
+@pytest.mark.parametrize("kind", ["float32", "float64"])
+def test_single_precision_finds_the_exact_best(kind):
+    import numpy as np
+    import pyarrow as pa
+
+    from querylore.functions import blocks
+
+    rng = np.random.default_rng(1)
+    # next to equal vectors of very different lengths: single precision alone cannot tell them apart
+    chunks = (np.repeat(rng.normal(size=(30, 64)), 40, 0) * (1 + 1e-7 * rng.integers(0, 9, (1200, 64)))).astype(kind)
+    asked = (rng.normal(size=(25, 64)) * 10.0 ** rng.integers(-3, 4, (25, 1))).astype(kind)
+    listed = lambda m: pa.array(list(m), pa.list_(pa.from_numpy_dtype(kind)))
+    table = pa.table({"query_id": np.arange(25), "embedding": listed(asked)})
+    batch = pa.RecordBatch.from_arrays([pa.array(rng.permutation(1200)), listed(chunks)], ["chunk_id", "embedding"])
+    found = pa.Table.from_batches(blocks.vector_top_k(table, iter([batch.slice(0, 700), batch.slice(700)]), ["query_id"], 5, None, None)).to_pydict()
+    got = {(q, c) for q, c in zip(found["query_id"], found["chunk_id"])}
+    ident, want = batch.column(0).to_numpy(), set()
+    for q in range(25):
+        score = blocks.plain_dot(chunks.astype(float), np.broadcast_to(asked[q].astype(float), chunks.shape))
+        want |= {(q, int(i)) for i in ident[np.lexsort((ident, -score))[:5]]}
+    assert got == want
