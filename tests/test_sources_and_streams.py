@@ -234,3 +234,41 @@ def test_running_counts(spark, tmp_path):
     assert got == want
     Z.hourly_analytics(Z.arriving(spark, str(tmp_path / "in"), messages.schema, 1), str(tmp_path / "h"), str(tmp_path / "ch"), "2 days").awaitTermination()
     assert Z.latest_state(spark, str(tmp_path / "h"), ["company_id", "hour_start"]).agg(F.sum("messages")).first()[0] == 90
+
+
+def test_a_task_makes_each_folder_once_and_none_after_an_abort(tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    made, writer = [], Folders._NamedWriter(str(tmp_path / "pages"), True)
+
+    class Store:
+        def __init__(self, store):
+            self.store = store
+
+        def __getattr__(self, name):
+            return getattr(self.store, name)
+
+        def create_dir(self, path, recursive=True):
+            made.append(path)
+            self.store.create_dir(path, recursive=recursive)
+
+    store = Folders._store
+    monkeypatch.setattr(Folders, "_store", lambda path: (Store(store(path)[0]), store(path)[1]))
+    monkeypatch.setattr(Folders, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": staticmethod(lambda: 0)}))}))
+
+    def batch(first):
+        return pa.RecordBatch.from_arrays([pa.array([f"a/{first + i}.md" for i in range(20)]), pa.array([b"x"] * 20)], ["name", "content"])
+
+    def rows():
+        yield batch(0)
+        yield batch(20)
+
+    assert writer.write(rows()).files == 40 and len(made) == len(set(made)) == 2
+
+    def stopped():
+        yield batch(40)
+        writer.abort([])
+        yield batch(60)
+    with pytest.raises(FileNotFoundError):
+        writer.write(stopped())
+    assert list(tmp_path.iterdir()) == []
