@@ -68,9 +68,8 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     the documents lack is null. An empty table gives an empty table; other columns are left out.
     """
     text_batches(spark)
-    file = vocabulary("word_bpe_49k.json")
     named = docs.select("doc_id", *[c if c in docs.columns else F.lit(None).cast("string").alias(c) for c in ("lang", "source")], "text")
-    coded = bpe.decode(bpe.encode(named, file).drop("text"), file)
+    coded = bpe.round_trip(named, vocabulary("word_bpe_49k.json"))
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 

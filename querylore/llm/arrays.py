@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20  # text bytes that are hashed at once; a longer text is hashed alone
+CHUNK_BYTES = 1 << 18  # text bytes that are hashed at once, which takes some 60 bytes each; a longer text is hashed alone
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True

@@ -192,6 +192,16 @@ def encode(docs: DataFrame, vocabulary_file: str, size: int = LEXICON) -> DataFr
     bytes takes about n log n steps, and a text is held by one task. Special strings of the vocabulary inside a text become their ids, as in the public library.
     The vocabulary file is read on the driver and sent to the tasks.
     """
+    return _encoded(docs, vocabulary_file, size, False)
+
+
+def round_trip(docs: DataFrame, vocabulary_file: str, size: int = LEXICON) -> DataFrame:
+    """``docs`` (text, ...) with ``ids`` and ``decoded`` (old columns of these names are replaced) in place of the text: the rows that ``decode`` makes of those of
+    ``encode``. Both are done in one pass, as two passes in a row would hold two Python workers with their tables for each task."""
+    return _encoded(docs, vocabulary_file, size, True)
+
+
+def _encoded(docs: DataFrame, vocabulary_file: str, size: int, decoded: bool) -> DataFrame:
     with open(vocabulary_file, encoding="utf-8") as file:
         text = file.read()
     vocabulary = Vocabulary(text)
@@ -200,12 +210,14 @@ def encode(docs: DataFrame, vocabulary_file: str, size: int = LEXICON) -> DataFr
     blob = compile_lexicon([(w, ids[a:b]) for w, a, b in zip(words, bounds, bounds[1:])])
     context = docs.sparkSession.sparkContext
     sent_vocabulary, sent_lexicon, key = context.broadcast(text), context.broadcast(blob), f"{context.applicationId}-{hash(blob)}-{hash(text)}"
-    rest = docs.drop("ids")
-    names = rest.columns
-    text_at = names.index("text")
+    rest = docs.drop("ids", *["decoded"] * decoded)
+    text_at = rest.columns.index("text")
+    kept = [i for i, name in enumerate(rest.columns) if not (decoded and name == "text")]
+    names = [rest.columns[i] for i in kept]
 
     def run(batches):
         vocabulary, lexicon, known = _tools(key, sent_vocabulary, sent_lexicon)
+        table = pa.array(vocabulary.tokens, pa.string()) if decoded else None
         for batch in pieces(batches, "text", BATCH_BYTES):
             segments, parts = split_specials(column_texts(batch.column(text_at)), vocabulary.specials)
             cut = Pieces([normalized(s) for s in segments], spaced=False)
@@ -214,10 +226,24 @@ def encode(docs: DataFrame, vocabulary_file: str, size: int = LEXICON) -> DataFr
             flat, bounds = spread_ids(*word_ids(words, hashes, vocabulary, lexicon, known), number, cut.first)
             flat, bounds = put_together(flat, bounds, parts)
             lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(names))] + [lists], [*names, "ids"])
+            out = pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + [lists], [*names, "ids"])
+            yield from _with_decoded(out, len(names), table) if decoded else [out]
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
-    return rest.mapInArrow(run, f"{schema}, ids array<int>")
+    schema = "".join(f"`{rest.columns[i]}` {rest.schema[i].dataType.simpleString()}, " for i in kept)
+    return rest.mapInArrow(run, f"{schema}ids array<int>{', decoded string' * decoded}")
+
+
+def _with_decoded(batch: pa.RecordBatch, ids_at: int, table: pa.Array):
+    """The rows of a batch with the text of their ids; ``table`` has the tokens in order of their ids."""
+    for at in range(0, batch.num_rows, 256):  # decoded texts are several times as long as ids
+        part = batch.slice(at, 256)
+        column = part.column(ids_at)
+        column = pc.fill_null(column, []) if column.null_count else column
+        flat, bounds = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+        known = (flat >= 0) & (flat < len(table))
+        kept = np.concatenate([[0], np.cumsum(known)])
+        texts = pa.ListArray.from_arrays(pa.array(kept[bounds - bounds[0]].astype(np.int32)), table.take(pa.array(flat[known])))
+        yield pa.RecordBatch.from_arrays([*part.columns, pc.binary_join(texts, " ")], [*part.schema.names, "decoded"])
 
 
 def decode(encoded: DataFrame, vocabulary_file: str) -> DataFrame:
@@ -228,21 +254,12 @@ def decode(encoded: DataFrame, vocabulary_file: str) -> DataFrame:
         tokens = Vocabulary(file.read()).tokens
     sent = encoded.sparkSession.sparkContext.broadcast(tokens)
     rest = encoded.drop("decoded")
-    names = rest.columns
-    ids_at = names.index("ids")
+    ids_at = rest.columns.index("ids")
 
     def run(batches):
         table = pa.array(sent.value, pa.string())
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):  # decoded texts are several times as long as ids
-                part = batch.slice(at, 256)
-                column = part.column(ids_at)
-                column = pc.fill_null(column, []) if column.null_count else column
-                flat, bounds = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-                known = (flat >= 0) & (flat < len(table))
-                kept = np.concatenate([[0], np.cumsum(known)])
-                texts = pa.ListArray.from_arrays(pa.array(kept[bounds - bounds[0]].astype(np.int32)), table.take(pa.array(flat[known])))
-                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(names))] + [pc.binary_join(texts, " ")], [*names, "decoded"])
+            yield from _with_decoded(batch, ids_at, table)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
     return rest.mapInArrow(run, f"{schema}, decoded string")

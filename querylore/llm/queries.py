@@ -55,8 +55,7 @@ def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_bpe_encoding(spark: SparkSession, folder: str) -> DataFrame:
-    file = vocabulary("word_bpe_49k.json")
-    coded = B.decode(B.encode(_table(spark, folder, "documents").select("doc_id", "text"), file).drop("text"), file)
+    coded = B.round_trip(_table(spark, folder, "documents").select("doc_id", "text"), vocabulary("word_bpe_49k.json"))
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

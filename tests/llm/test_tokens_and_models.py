@@ -69,6 +69,22 @@ def test_encoding_equals_the_public_library(docs, texts, size):
     assert bpe.encode(docs.limit(0), WORDS, size).collect() == []
 
 
+@needs_files
+def test_a_task_encodes_and_decodes_with_one_worker(spark, docs):
+    import corpus_pipeline
+    from querylore.llm.queries import QUERIES
+
+    named = docs.withColumn("ids", F.lit("old")).withColumn("decoded", F.lit(1))
+    want = bpe.decode(bpe.encode(named, WORDS, 40).drop("text"), WORDS)
+    got = bpe.round_trip(named, WORDS, 40)
+    assert sorted(got.columns) == sorted(want.columns) and got.schema["ids"].dataType == want.schema["ids"].dataType
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert bpe.round_trip(docs.limit(0), WORDS, 40).collect() == []
+    # each Python step of a task is a worker of its own with its own tables
+    for coded in (corpus_pipeline.encoded(spark, docs, ""), QUERIES["op4_bpe_encoding"](spark, "/root/testdata/sf0.001")):
+        assert coded._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 @needs_files
 def test_long_words_and_many_specials_equal_the_public_library():
     from tokenizers import Tokenizer
