@@ -244,6 +244,20 @@ def hybrid_top_k(questions: pa.Table, batches: Iterator[pa.RecordBatch], keys: l
     yield _result(questions, keys, best, carry)
 
 
+def asked_terms(words: pa.Table, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with those of their terms, in order, that are among the words."""
+    asked = np.sort(words.column("word").to_numpy())
+    for batch in batches:
+        row, value = lists(batch.column("terms"))
+        place = np.minimum(np.searchsorted(asked, value), max(len(asked) - 1, 0))
+        known = asked[place] == value if len(asked) else np.zeros(len(value), bool)
+        row, value = row[known], value[known]
+        order = np.lexsort((value, row))
+        bounds = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
+        kept = pa.ListArray.from_arrays(pa.array(bounds), pa.array(value[order], pa.int64()))
+        yield pa.RecordBatch.from_arrays([kept if name == "terms" else batch.column(name) for name in batch.schema.names], batch.schema.names)
+
+
 class _Lists:
     """For every term the questions that have it. Within a question terms are placed from rare to common, by how many questions have them."""
 

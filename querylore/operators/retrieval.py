@@ -115,20 +115,27 @@ def top_k(questions: DataFrame, chunks: DataFrame, k: int = 5, keys: tuple[str,
     keys, only = list(keys), [by] if by else []
     asked = questions.filter("embedding IS NOT NULL").select(*dict.fromkeys([*keys, *only]), "embedding")
     have = chunks.filter("embedding IS NOT NULL").select("chunk_id", "embedding", *only, *([carry] if carry else []))
-    vectors = _once(asked.select("embedding", *only).distinct().withColumn("vector_no", F.monotonically_increasing_id()), "question-vectors")
-    same = ["embedding", *only]
+    kernel = partial(blocks.vector_top_k, k=k, by=by)
+    return _each_distinct(asked, have, ["embedding", *only], kernel, k, keys, carry, shared_bytes, VECTOR_QUESTIONS, VECTOR_CHUNKS)
+
+
+def _each_distinct(asked: DataFrame, have: DataFrame, same: list[str], kernel: Callable, k: int, keys: list[str], carry: str | None, shared_bytes: int,
+                   question_block: int | None = None, chunk_block: int | None = None) -> DataFrame:
+    """The k best chunks per question where the score depends on the columns ``same`` alone: one question and one chunk of each value are compared, the k
+    smallest ids of the chunks of a value stand for them, and every question gets what its value found."""
+    kinds = _once(asked.select(*same).distinct().withColumn("asked_no", F.monotonically_increasing_id()), "question-kinds")
     first = last_per_group(have, same, [F.col("chunk_id")], k)
     listed = F.array_sort(F.collect_list(F.struct("chunk_id", *([carry] if carry else [])))).alias("copies")
     grouped = first.groupBy(*same).agg(listed).withColumn("copy_no", F.monotonically_increasing_id().cast("string"))
-    copies = _once(grouped.withColumn("chunk_id", F.col("copies")[0]["chunk_id"]), "chunk-vectors")
-
-    kernel = partial(blocks.vector_top_k, keys=["vector_no"], k=k, by=by, carry="copy_no")
-    found = blockwise(vectors, copies.drop("copies"), ["vector_no"], kernel, _schema(vectors, ["vector_no"], "copy_no"), shared_bytes, VECTOR_QUESTIONS, VECTOR_CHUNKS)
-    near = last_per_group(found, ["vector_no"], [F.desc("score"), F.col("chunk_id")], k).select("vector_no", "copy_no", "score")
-    spelt = near.join(unshared(copies.select("copy_no", "copies")), "copy_no").select("vector_no", "score", F.inline("copies"))
-    best = last_per_group(spelt, ["vector_no"], [F.desc("score"), F.col("chunk_id")], k).drop("position")
-    lists = best.groupBy("vector_no").agg(F.collect_list(F.struct("chunk_id", "score", *([carry] if carry else []))).alias("found"))
-    answers = vectors.join(unshared(lists), "vector_no").select(*[F.col(c).alias(f"_{c}") for c in same], "found")
+    copies = _once(grouped.withColumn("chunk_id", F.col("copies")[0]["chunk_id"]), "chunk-kinds")
+
+    kernel = partial(kernel, keys=["asked_no"], carry="copy_no")
+    found = blockwise(kinds, copies.drop("copies"), ["asked_no"], kernel, _schema(kinds, ["asked_no"], "copy_no"), shared_bytes, question_block, chunk_block)
+    near = last_per_group(found, ["asked_no"], [F.desc("score"), F.col("chunk_id")], k).select("asked_no", "copy_no", "score")
+    spelt = near.join(unshared(copies.select("copy_no", "copies")), "copy_no").select("asked_no", "score", F.inline("copies"))
+    best = last_per_group(spelt, ["asked_no"], [F.desc("score"), F.col("chunk_id")], k).drop("position")
+    lists = best.groupBy("asked_no").agg(F.collect_list(F.struct("chunk_id", "score", *([carry] if carry else []))).alias("found"))
+    answers = kinds.join(unshared(lists), "asked_no").select(*[F.col(c).alias(f"_{c}") for c in same], "found")
     pairs = asked.join(unshared(answers), reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in same]))
     # dealt by question alone: whatever follows per question, variant or content needs no further shuffle
     each = pairs.select(*keys, F.inline("found")).repartition(keys[0])
@@ -147,13 +154,21 @@ def term_numbers(text: Column) -> Column:
 
 def keyword_top_k(questions: DataFrame, chunks: DataFrame, k: int, keys: tuple[str, ...] = ("query_id",), text: str = "query_text",
                   carry: str | None = None, shared_bytes: int = SHARED_BYTES) -> DataFrame:
-    """The k chunks holding the largest share of a question's distinct words."""
+    """The k chunks holding the largest share of a question's distinct words.
+
+    Only words of some question count, so chunks that hold the same of these have equal scores and are compared as one; so are questions of the same
+    words. The words of all questions are shared with the tasks up to ``shared_bytes``; beyond that chunks are told apart by all their words.
+    """
     keys = list(keys)
-    asked = questions.select(*keys, term_numbers(F.col(text)).alias("terms"))
+    asked = _once(questions.select(*keys, F.array_sort(term_numbers(F.col(text))).alias("terms")), "question-terms")
     have = chunks.select("chunk_id", term_numbers(F.col("content")).alias("terms"), *([carry] if carry else []))
-    kernel = partial(blocks.keyword_top_k, keys=keys, k=k, carry=carry)
-    best = blockwise(asked, have, keys, kernel, _schema(asked, keys, carry), shared_bytes)
-    return last_per_group(best, keys, [F.desc("score"), F.col("chunk_id")], k, rank="rank")
+    words = _once(asked.select(F.explode("terms").alias("word")).distinct(), "question-words")
+    if words.count() * 8 <= shared_bytes:
+        shared = chunks.sparkSession.sparkContext.broadcast(words.toArrow())
+        have = have.mapInArrow(lambda batches: blocks.asked_terms(shared.value, batches), have.schema)
+    else:
+        have = have.withColumn("terms", F.array_sort("terms"))
+    return _each_distinct(asked, have, ["terms"], partial(blocks.keyword_top_k, k=k), k, keys, carry, shared_bytes)
 
 
 def hybrid_top_k(questions: DataFrame, chunks: DataFrame, k: int = 5, w_vector: float = 0.7, w_keyword: float = 0.3,

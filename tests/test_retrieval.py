@@ -273,6 +273,32 @@ def test_keyword_lists_equal_a_full_count_and_stay_small():
         assert sorted(got[q]) == want
 
 
+def test_each_distinct_word_set_is_compared_once(spark, monkeypatch):
+    # 400 chunks hold one of eight sets of the words asked for, and words of their own that no question has
+    monkeypatch.setattr(R, "QUESTION_BLOCK", 3)
+    monkeypatch.setattr(R, "CHUNK_BLOCK", 3)
+    held = lambda i: [w for bit, w in enumerate(("alpha", "beta", "gamma")) if i >> bit & 1]
+    contents = {(i * 7919) % 400: " ".join([*held(i), f"own{i}", "all"]) for i in range(400)}
+    asked = ["alpha beta x1", "Beta alpha x1", "gamma", "nothing", "", None, "alpha gamma beta gamma"]
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id bigint, query_text string")
+    c = spark.createDataFrame([(i, x, f"hash {i}") for i, x in contents.items()] + [(1000, None, "hash 1000")], "chunk_id bigint, content string, content_hash string")
+    contents[1000] = ""
+    want = set()
+    for qi, text in enumerate(asked):
+        scored = sorted((-share(text, contents[ci]) if text else 0.0, ci) for ci in contents)[:9]
+        want |= {(qi, ci, f"hash {ci}", r + 1, -s) for r, (s, ci) in enumerate(scored)}
+    compared, blockwise = [], R.blockwise
+
+    def watched(asked, have, *rest):
+        compared.append((asked.count(), have.count()))
+        return blockwise(asked, have, *rest)
+    monkeypatch.setattr(R, "blockwise", watched)
+    for shared in (R.SHARED_BYTES, 0):
+        got = R.keyword_top_k(q, c, 9, carry="content_hash", shared_bytes=shared)
+        assert rows(got, "query_id", "chunk_id", "content_hash", "rank", "score") == want
+    assert compared[0] == (6, 8) and compared[1][0] == 6
+
+
 def test_no_side_of_a_relationship_search_is_sent_whole(spark):
     d = spark.createDataFrame([("a", "t", "t keys"), ("a", "u", "u")], "tenant string, table_name string, content string")
     found = R.relationship_search(d, d.select("tenant", "table_name"))
