@@ -272,3 +272,14 @@ def test_a_task_makes_each_folder_once_and_none_after_an_abort(tmp_path, monkeyp
     with pytest.raises(FileNotFoundError):
         writer.write(stopped())
     assert list(tmp_path.iterdir()) == []
+
+
+def test_a_task_that_starts_after_an_abort_makes_nothing(tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(Folders, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": staticmethod(lambda: 0)}))}))
+    writer = Folders._NamedWriter(str(tmp_path / "pages"), True)
+    writer.abort([])
+    with pytest.raises(FileNotFoundError, match="has ended"):
+        writer.write(iter([pa.RecordBatch.from_arrays([pa.array(["a/b.md"]), pa.array([b"x"])], ["name", "content"])]))
+    assert list(tmp_path.iterdir()) == []
