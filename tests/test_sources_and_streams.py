@@ -283,3 +283,29 @@ def test_a_task_that_starts_after_an_abort_makes_nothing(tmp_path, monkeypatch):
     with pytest.raises(FileNotFoundError, match="has ended"):
         writer.write(iter([pa.RecordBatch.from_arrays([pa.array(["a/b.md"]), pa.array([b"x"])], ["name", "content"])]))
     assert list(tmp_path.iterdir()) == []
+
+
+def test_a_free_place_is_written_without_a_rename_and_half_a_file_is_replaced(tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    renamed, put = [], Folders._put
+    monkeypatch.setattr(Folders, "_put", lambda store, path, *more: (renamed.append(path), put(store, path, *more)))
+    monkeypatch.setattr(Folders, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": staticmethod(lambda: 0)}))}))
+    writer = Folders._NamedWriter(str(tmp_path / "pages"), True)
+    (half := tmp_path / writer.unseen / "a" / "3.md").parent.mkdir()
+    half.write_bytes(b"half of a longer fi")  # by a task that was killed
+    names = [*(f"a/{i}.md" for i in range(20)), "a/b/c.md", "a/7.md"]
+    batch = pa.RecordBatch.from_arrays([pa.array(names), pa.array([b"x" * i for i in range(22)])], ["name", "content"])
+    assert writer.write(iter([batch])).files == 22
+    assert [r.removeprefix(writer.unseen) for r in renamed] == ["/a/3.md", "/a/7.md", "/_list/000000-000000"]
+    writer.commit([])
+    files = {str(f.relative_to(tmp_path / "pages")): f.read_bytes() for f in (tmp_path / "pages" / "a").rglob("*") if f.is_file()}
+    assert files == {n: b"x" * i for i, n in enumerate(names)}
+
+
+def test_query_files_are_dealt_to_folders(spark, tmp_path):
+    files = spark.range(300).select(F.concat(F.lit("q_"), "id", F.lit(".md")).alias("fname"), F.concat(F.lit("SELECT "), "id").alias("content"))
+    path = K.write_pages(files.select(Folders.dealt_name(F.col("fname")).alias("path"), "content"), str(tmp_path / "q"))
+    assert {tuple(r) for r in S.read_query_text(spark, path).collect()} == {(f"q_{i}.md", f"SELECT {i}") for i in range(300)}
+    folders = [f for f in (tmp_path / "q").iterdir() if f.name != Folders.LIST]
+    assert 100 < len(folders) <= 256 and all(f.is_dir() and len(list(f.iterdir())) < 20 for f in folders)
