@@ -309,3 +309,12 @@ def test_query_files_are_dealt_to_folders(spark, tmp_path):
     assert {tuple(r) for r in S.read_query_text(spark, path).collect()} == {(f"q_{i}.md", f"SELECT {i}") for i in range(300)}
     folders = [f for f in (tmp_path / "q").iterdir() if f.name != Folders.LIST]
     assert 100 < len(folders) <= 256 and all(f.is_dir() and len(list(f.iterdir())) < 20 for f in folders)
+
+
+def test_files_reach_spark_in_batches():
+    reader = Folders._NamedReader("/nowhere")
+    small = list(reader.rows((f"{i}", b"x") for i in range(2_500)))
+    assert [b.num_rows for b in small] == [1_000, 1_000, 500]
+    assert [n for b in small for n in b.column(0).to_pylist()] == [f"{i}" for i in range(2_500)]
+    large = list(reader.rows((f"{i}", b"x" * Folders.BATCH_BYTES) for i in range(3)))
+    assert [b.num_rows for b in large] == [1, 1, 1] and list(reader.rows(iter([]))) == []
