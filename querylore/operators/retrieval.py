@@ -387,6 +387,7 @@ def with_errors(questions: DataFrame, found: DataFrame) -> DataFrame:
 # --- searches about tables and statements ----------------------------------------------------------------------------
 
 COMMON_NAMES = 16  # a word in more names of a tenant than this is a common one
+RARE_WORDS = 4_096  # a tenant's documents are asked for its rare words alone, when these are no more than this
 
 
 def relationship_search(documents: DataFrame, names: DataFrame, n: int = 10) -> DataFrame:
@@ -397,50 +398,62 @@ def relationship_search(documents: DataFrame, names: DataFrame, n: int = 10) ->
     common words (``db`` in every name) is the same for all names with the same common words: these are scored as one, and only against
     the first documents of each class that holds the same common and fixed words. The best of a name are among those that hold a rare word of it, which are scored in
     full, and the best by common and fixed words alone.
+
+    What is moved: a document's words once, as a text, to the names of its tenant; from there only words that are in some name; and a row for each name and
+    document that may be among its best, to the name, where all that follows is done.
     """
     per = n // len(RELATIONSHIP_TEXTS) + 1
     fixed = [F.array(*map(F.lit, sorted(set(t.replace("{}", " ").split())))) for t in RELATIONSHIP_TEXTS]
     asked = names.select("tenant", F.col("table_name").alias("asked")).withColumn("name_words", terms(F.col("asked")))
-    each = asked.select("tenant", "asked", F.explode_outer("name_words").alias("word"))
-    often = each.groupBy("tenant", "word").agg(F.count("*").alias("n")).filter(F.col("n") > COMMON_NAMES)
-    commons = often.groupBy("tenant").agg(F.sort_array(F.collect_set("word")).alias("tenant_common"))
+    each = asked.select("tenant", F.explode_outer("name_words").alias("word"))
+    counted = each.groupBy("tenant", "word").agg(F.count("*").alias("n")).withColumn("often", F.col("n") > COMMON_NAMES)
+    # rare words come first, so their place tells whether they are too many to be listed
+    placed = counted.withColumn("place", F.row_number().over(Window.partitionBy("tenant").orderBy("often", "word")))
+    listed = placed.groupBy("tenant").agg(
+        F.sort_array(F.collect_set(F.when(F.col("often"), F.col("word")))).alias("tenant_common"),
+        F.collect_set(F.when(~F.col("often") & (F.col("place") <= RARE_WORDS + 1), F.col("word"))).alias("tenant_rare"))
+    known = listed.withColumn("tenant_rare", F.when(F.size("tenant_rare") <= RARE_WORDS, F.col("tenant_rare")))
     no_words = F.array().cast("array<string>")
 
-    def with_common(df: DataFrame, words: str) -> DataFrame:
-        own = F.array_sort(F.array_intersect(words, F.coalesce("tenant_common", no_words)))
-        return df.join(unshared(commons), "tenant", "left").withColumn("common", own).drop("tenant_common")
+    def common(words: str) -> Column:
+        return F.array_sort(F.array_intersect(words, F.coalesce("tenant_common", no_words)))
 
     def not_fixed(words: Column, i: int) -> Column:
         return F.size(F.array_except(words, fixed[i]))
 
-    asked = with_common(asked, "name_words").withColumn("sizes", F.array(*[F.size(F.array_union(f, F.col("name_words"))) for f in fixed]))
-    words = documents.select("tenant", F.col("table_name").alias("doc"), F.md5("content").alias("content_hash"), terms(F.col("content")).alias("words"))
+    own = asked.join(unshared(known.drop("tenant_rare")), "tenant", "left").select("tenant", "asked", "name_words", common("name_words").alias("asked_common"))
+    words = documents.select("tenant", F.col("table_name").alias("doc"), F.unhex(F.md5("content")).alias("content_hash"), terms(F.col("content")).alias("words"))
     held = F.array(*[F.size(F.array_intersect("words", f)) for f in fixed])
-    scored = with_common(words, "words").withColumn("held", held)
+    # a word has no space
+    texts = words.select("tenant", "doc", "content_hash", held.alias("held"), F.array_join("words", " ").alias("words"))
+    spelt = texts.join(unshared(known), "tenant", "left").withColumn("words", F.array_remove(F.split("words", " "), ""))
+    scored = spelt.withColumn("common", common("words")).withColumn("words", F.coalesce(F.array_intersect("words", "tenant_rare"), "words"))
 
+    # what a document holds of each question without the rare words
+    base = F.array(*[F.get("held", F.lit(i)) + not_fixed(F.array_intersect("common", "asked_common"), i) for i in range(len(fixed))]).alias("base")
     classes = last_per_group(scored.select("tenant", "doc", "content_hash", "common", "held"), ["tenant", "common", "held"], [F.col("doc")], per, rank="place").drop("place", "position")
-    signatures = asked.select("tenant", F.col("common").alias("asked_common")).distinct()
-    shared = [F.get("held", F.lit(i)) + not_fixed(F.array_intersect("common", "asked_common"), i) for i in range(len(fixed))]
-    met = classes.join(unshared(signatures), "tenant").select("tenant", "asked_common", "doc", "content_hash", F.posexplode(F.array(*shared)).alias("question_no", "held"))
-    leading = last_per_group(met, ["tenant", "asked_common", "question_no"], [F.desc("held"), F.col("doc")], per, rank="place").drop("place", "position")
-    own = asked.select("tenant", "asked", F.col("common").alias("asked_common"), "sizes")
-    general = own.join(unshared(leading), ["tenant", "asked_common"]).select("tenant", "asked", "question_no", "doc", "content_hash", F.col("held").alias("hits"), "sizes")
-
-    rare = asked.select("tenant", "asked", F.col("common").alias("asked_common"), "sizes", F.explode_outer(F.array_except("name_words", "common")).alias("word")).filter("word IS NOT NULL")
+    signatures = own.select("tenant", "asked_common").distinct()
+    met = classes.join(unshared(signatures), "tenant").select("tenant", "asked_common", "doc", "content_hash", base)
+    by_question = met.select("*", F.posexplode("base").alias("question_no", "hits"))
+    leading = last_per_group(by_question, ["tenant", "asked_common", "question_no"], [F.desc("hits"), F.col("doc")], per)
+    lists = leading.groupBy("tenant", "asked_common").agg(F.collect_set(F.struct("doc", "content_hash", "base")).alias("leading"))
+    general = own.join(unshared(lists), ["tenant", "asked_common"]).select("tenant", "asked", F.inline("leading"), F.lit(None).cast("string").alias("word"))
+
+    rare = own.select("tenant", "asked", "asked_common", F.explode_outer(F.array_except("name_words", "asked_common")).alias("word")).filter("word IS NOT NULL")
     # the outer form: the plain one adds a filter that would compute the words of every document again
-    by_word = scored.select("tenant", "doc", "content_hash", "common", "held", F.explode_outer("words").alias("word")).join(unshared(rare), ["tenant", "word"])
-    extra = [F.sum(F.when(F.array_contains(f, F.col("word")), 0).otherwise(1)) for f in fixed]
-    pairs = by_word.groupBy("tenant", "asked", "asked_common", "sizes", "doc", "content_hash", "common", "held").agg(F.array(*extra).alias("extra"))
-    hits = [F.get("held", F.lit(i)) + F.get("extra", F.lit(i)) + not_fixed(F.array_intersect("common", "asked_common"), i) for i in range(len(fixed))]
-    special = pairs.select("tenant", "asked", "doc", "content_hash", "sizes", F.posexplode(F.array(*hits)).alias("question_no", "hits"))
-
+    by_word = scored.select("tenant", "doc", "content_hash", "common", "held", F.explode_outer("words").alias("word"))
+    special = by_word.join(unshared(rare), ["tenant", "word"]).select("tenant", "asked", "doc", "content_hash", base, "word")
+
+    # dealt by name: whatever follows needs no further shuffle
+    candidates = general.unionByName(special).repartition("tenant", "asked")
+    extra = [F.sum(F.when(F.col("word").isNull() | F.array_contains(f, F.col("word")), 0).otherwise(1)) for f in fixed]
+    pairs = candidates.groupBy("tenant", "asked", "doc", "content_hash", "base").agg(F.array(*extra).alias("extra"))
+    hits = F.zip_with("base", "extra", lambda b, e: b + e)
+    sizes = F.transform(F.array(*fixed), lambda f: F.size(F.array_union(f, terms(F.col("asked")))))
     question = ["tenant", "asked", "question_no"]
-    candidates = general.unionByName(special.select(*general.columns))
-    # a document is listed twice at most, with and without its rare words counted
-    score = F.max(F.col("hits") / F.get("sizes", F.col("question_no"))).alias("score")
-    once = candidates.groupBy(*question, "doc", "content_hash").agg(score)
-    found = last_per_group(once, question, [F.desc("score"), F.col("doc")], per, rank="rank").withColumn("position", place(F.col("rank"), F.col("question_no")))
-    return best_contexts(found, ["tenant", "asked"], ["doc", "question_no"], n)
+    answers = pairs.select("tenant", "asked", "doc", "content_hash", F.posexplode(F.zip_with(hits, sizes, lambda h, size: h / size)).alias("question_no", "score"))
+    found = last_per_group(answers, question, [F.desc("score"), F.col("doc")], per, rank="rank").withColumn("position", place(F.col("rank"), F.col("question_no")))
+    return best_contexts(found, ["tenant", "asked"], ["doc", "question_no"], n).withColumn("content_hash", F.lower(F.hex("content_hash")))
 
 
 def statement_questions(statements: DataFrame, sql: str = "sql") -> DataFrame:

@@ -306,6 +306,25 @@ def test_no_side_of_a_relationship_search_is_sent_whole(spark):
     assert found.filter("asked = 't' AND rank = 1").first()["doc"] == "t"
 
 
+def test_a_relationship_search_moves_words_of_names_and_ranks_in_one_place(spark, monkeypatch):
+    d = spark.createDataFrame([(t, f"{n}-log", f"{n} log of {m} keys") for t in "ab" for n in "uvwxyz" for m in "u"], "tenant string, table_name string, content string")
+    want = None
+    for rare in (R.RARE_WORDS, 6, 5, 0):  # a tenant with more rare words than this has all words of its documents moved
+        monkeypatch.setattr(R, "RARE_WORDS", rare)
+        monkeypatch.setattr(R, "COMMON_NAMES", 5)
+        found = R.relationship_search(d, d.select("tenant", "table_name"))
+        got = sorted(tuple(r) for r in found.collect())
+        want = want or got
+        assert got == want and {r[1] for r in got} == {f"{n}-log" for n in "uvwxyz"}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = R.relationship_search(d, d.select("tenant", "table_name"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(re.findall(r"(?<!Reused)Exchange hashpartitioning\([^)]*\basked#", plan)) == 1
+    assert "ReusedExchange" in plan and "tenant_rare" in plan  # documents are made once
+
+
 @pytest.mark.parametrize("by", [None, "kind"])
 def test_each_distinct_vector_is_compared_once(spark, monkeypatch, by):
     # 60 questions and 90 chunks have few vectors; some questions come twice, and a key has two vectors
